@@ -21,3 +21,15 @@ def get_session(app: str = "caselode", cores: str | None = None, **conf: str) ->
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers on the driver's path import this package too.
+
+    On a cluster the package is installed or sent with --py-files; in local
+    mode workers start elsewhere and only see PYTHONPATH.
+    """
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH", "")) if x)
