@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import pack, quality, tokencount, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_quality_rules": quality.op10_quality_rules}
+    return {
+        "op2_pack_cut": pack.op2_pack_cut,
+        "op3_token_counts": tokencount.op3_token_counts,
+        "op4_token_files": tokenfile.op4_token_files,
+        "op10_quality_rules": quality.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
