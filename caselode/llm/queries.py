@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pack, quality, tokencount, tokenfile
+from . import mix, pack, quality, shards, tokencount, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pack_cut": pack.op2_pack_cut,
         "op3_token_counts": tokencount.op3_token_counts,
         "op4_token_files": tokenfile.op4_token_files,
+        "op7_shard_hypergeometric": shards.op7_shard_hypergeometric,
+        "op9_mix_poisson": mix.op9_mix_poisson,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.quality_sql()}
+    return {"op9_mix_poisson": mix.mix_sql(), "op10_quality_rules": quality.quality_sql()}
