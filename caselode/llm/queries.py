@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mix, pack, quality, shards, tokencount, tokenfile
+from . import imatch, mix, pack, quality, shards, tokencount, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_imatch": imatch.op1_imatch,
         "op2_pack_cut": pack.op2_pack_cut,
         "op3_token_counts": tokencount.op3_token_counts,
         "op4_token_files": tokenfile.op4_token_files,
