@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, langid, mix, pack, quality, shards, tokencount, tokenfile
+from . import chat, imatch, langid, mix, pack, quality, shards, tokencount, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pack_cut": pack.op2_pack_cut,
         "op3_token_counts": tokencount.op3_token_counts,
         "op4_token_files": tokenfile.op4_token_files,
+        "op5_chat_trees": chat.op5_chat_trees,
         "op7_shard_hypergeometric": shards.op7_shard_hypergeometric,
         "op8_langid_centroids": langid.op8_langid_centroids,
         "op9_mix_poisson": mix.op9_mix_poisson,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_poisson": mix.mix_sql(), "op10_quality_rules": quality.quality_sql()}
+    return {"op5_chat_trees": chat.chat_sql(), "op9_mix_poisson": mix.mix_sql(), "op10_quality_rules": quality.quality_sql()}
