@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, imatch, langid, mix, pack, quality, shards, tokencount, tokenfile
+from . import chat, imatch, jaccard, langid, mix, pack, quality, shards, tokencount, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": tokencount.op3_token_counts,
         "op4_token_files": tokenfile.op4_token_files,
         "op5_chat_trees": chat.op5_chat_trees,
+        "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op7_shard_hypergeometric": shards.op7_shard_hypergeometric,
         "op8_langid_centroids": langid.op8_langid_centroids,
         "op9_mix_poisson": mix.op9_mix_poisson,
