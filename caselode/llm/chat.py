@@ -70,8 +70,9 @@ def paths(nodes: DataFrame) -> DataFrame:
     out = nodes.select("tree", "id").join(parents, ["tree", "id"], "left_anti").join(lost, ["tree", "id"], "left_anti")
     out = out.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("bigint").alias("distance"))
     for k in range(len(hops) - 1, -1, -1):
-        step = out.join(hops[k], ["tree", "id"]).select("tree", "leaf", F.col("up").alias("id"), (F.col("distance") + (1 << k)).alias("distance"))
-        out = out.unionByName(step)
+        # one join a round; a union of `out` and its step would double the plan each time
+        both = F.array(F.struct("id", "distance"), F.struct(F.col("up").alias("id"), (F.col("distance") + (1 << k)).alias("distance")))
+        out = out.join(hops[k], ["tree", "id"], "left").select("tree", "leaf", F.inline(both)).where("id is not null")
     return out
 
 

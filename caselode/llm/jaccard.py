@@ -486,5 +486,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return full.unionByName(empty)
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group: the one of the smallest id (null last).
+
+    Rows that share an id are one document; one of them stays.
+    """
+    classes = materialize(near_duplicates(docs, id_col, text), "classes")
+    lost = classes.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("lost_id"))
+    kept = docs.join(lost, F.col(id_col).cast("bigint").eqNullSafe(F.col("lost_id")), "left_anti")
+    repeated = classes.groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

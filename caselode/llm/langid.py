@@ -22,6 +22,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -38,6 +39,7 @@ DIM = 1 << DIM_BITS
 CLUSTERS, ROUNDS = 4, 8
 #: Training documents of a language, and of all languages together, at most.
 SAMPLE, SAMPLE_ALL = 500, 20_000
+MAX_LANGS = 1000
 REJECT = 0.4
 UNDETERMINED = "und"
 
@@ -109,10 +111,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     key = F.xxhash64("doc_id")
-    order = Window.partitionBy("lang").orderBy("key")
-    n_langs = max(1, usable.select("lang").distinct().count())
-    each = max(1, min(SAMPLE, SAMPLE_ALL // n_langs))
-    picked = usable.select("lang", key.alias("key"), "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages in {lang}")
+    each = max(1, min(SAMPLE, SAMPLE_ALL // max(1, len(counts))))
+    # keys below this share of their range hold several times `each`; the window ranks only those
+    share = F.from_json(F.lit(json.dumps({k: min(1.0, 8 * each / n) for k, n in counts.items()})), "map<string,double>")
+    near = F.pmod(key, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
+    order = Window.partitionBy("lang").orderBy("key", "doc_id")
+    ranked = usable.where(near).select("lang", F.pmod(key, F.lit(1 << 30)).alias("key"), "doc_id").withColumn("rank", F.row_number().over(order))
+    picked = ranked.where(F.col("rank") <= each)
     ids = [r[0] for r in picked.select("doc_id").distinct().collect()]
     one = usable.where(F.col("doc_id").isin(ids) if ids else F.lit(False)).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row"))
     sample = one.select("row.lang", "row.text")  # one row an id, so the bound holds for repeated ids too
@@ -146,14 +154,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     return Model(idf, np.concatenate(parts).astype(np.float32), langs, np.array(lowest))
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """id, columns to keep, lang_pred, score, rejected of every text."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", keep: list[str] = (), keep_text: bool = False) -> DataFrame:
+    """id, columns to keep, the text if asked for, lang_pred, score, rejected of every text."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # idf and centroids: CLUSTERS vectors a language
     cols = [F.col(id_col), *[F.col(c) for c in keep]]
-    rows = docs.select(F.col(text).alias("_text"), *cols)
-    schema = rows.schema[1:]
+    rows = docs.select(F.col(text), *cols)
+    first = 0 if keep_text else 1
+    schema = rows.schema[first:]
 
     def run(batches):
         for batch in batches:
@@ -161,8 +170,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
                 part = batch.slice(at, 512)
                 got = shared.value.predict([x.as_py() or "" for x in part.column(0)])
                 cols = list(zip(*got, strict=True)) if got else [[], [], []]
-                arrays = [*part.columns[1:], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[1:], "lang_pred", "score", "rejected"])
+                arrays = [*part.columns[first:], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names[first:], "lang_pred", "score", "rejected"])
 
     from pyspark.sql import types as T
 

@@ -41,6 +41,7 @@ RULES: list[tuple[str, str, float | None, float | None]] = [
     ("bullet_lines", "bullet_line_ratio", None, 0.9),
     ("ellipsis_lines", "ellipsis_line_ratio", None, 0.3),
 ]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_letter_words", "n_bullet_lines", "n_ellipsis_lines"]
 BASE_MIN_WORDS = 20
 BASE_MAX_REPEAT_PERCENT = 30
 
@@ -51,88 +52,101 @@ def _without(text: Column, chars: str) -> Column:
     return text
 
 
-def repeat_words(df: DataFrame, words: str, out: str) -> DataFrame:
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: the argument of a lambda.
+
+    Keeps the whole verdict one expression of linear size, also where the
+    optimizer moves a filter on it below a projection.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(words: Column) -> Column:
     """Words that stand in a window of WINDOW words found twice or more in the text.
 
     Windows are compared by a 64-bit hash. Only texts that do repeat a window
     sort their hashes; time is n log n in the words of one text.
     """
-    wh, h, t, p = unused(df, "wh", "h", "t", "p")
-    size = F.size(words)
-    df = df.withColumn(wh, F.transform(words, lambda w: F.xxhash64(w)))
-    df = df.withColumn(
-        h,
-        F.when(
-            size >= WINDOW,
-            F.transform(
-                F.sequence(F.lit(0), size - WINDOW),
-                lambda i: F.xxhash64(*[F.get(wh, i + k) for k in range(WINDOW)]),
-            ),
-        ).otherwise(F.expr("cast(array() as array<bigint>)")),
-    )
-    repeats = F.size(F.array_distinct(h)) < F.size(h)
-    df = df.withColumn(
-        t,
-        F.when(repeats, F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).otherwise(
-            F.expr("cast(array() as array<struct<x:bigint,i:int>>)")
-        ),
-    )
-    same = lambda e, j: F.coalesce(F.get(t, j)["x"] == e["x"], F.lit(False))
-    df = df.withColumn(
-        p,
-        F.sort_array(F.transform(F.filter(t, lambda e, j: same(e, j - 1) | same(e, j + 1)), lambda e: e["i"])),
-    )
-    covered = F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW))))
-    total = F.aggregate(covered, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return df.withColumn(out, total).drop(wh, h, t, p)
 
+    def windows(wh: Column) -> Column:
+        last = F.size(wh) - WINDOW
+        one = lambda i: F.xxhash64(*[F.get(wh, i + k) for k in range(WINDOW)])
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-def quality_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """df with the counts, `base_failed`, `failed` (names of failed rules) and `kept`."""
-    words, lines, stops, src = unused(df, "q_words", "q_lines", "q_stops", "q_text")
+    def repeated(t: Column) -> Column:
+        same = lambda e, j: F.coalesce(F.get(t, j)["x"] == e["x"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(t, lambda e, j: same(e, j - 1) | same(e, j + 1)), lambda e: e["i"]))
+
+    def covered(p: Column) -> Column:
+        widths = F.transform(p, lambda x, j: F.least(F.lit(WINDOW), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW))))
+        return F.aggregate(widths, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    def count(h: Column) -> Column:
+        places = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(let(places, repeated), covered)).otherwise(F.lit(0).cast("bigint"))
+
+    return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), count)
+
+
+def _counts(text: Column) -> Column:
     stop_list = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
-    out = df.withColumn(src, F.coalesce(F.col(text), F.lit("")))
-    out = out.withColumn(words, words_of(F.col(src)))
-    out = out.withColumn(lines, F.filter(F.split(F.col(src), "\n"), lambda x: F.rtrim(_blanks(x)) != ""))
-    out = repeat_words(out, words, "n_repeat_words")
-    n_lines = F.size(lines)
-    out = out.withColumns(
-        {
-            "n_words": F.size(words).cast("bigint"),
-            "word_chars": F.length(F.array_join(words, "")).cast("bigint"),
-            "n_symbols": (F.length(src) - F.length(_without(F.col(src), SYMBOLS))).cast("bigint"),
-            "n_dup_lines": (n_lines - F.size(F.array_distinct(lines))).cast("bigint"),
-            "n_lines": n_lines.cast("bigint"),
-            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(stop_list))).cast("bigint"),
-            "n_letter_words": F.size(F.filter(words, lambda w: w.rlike(LETTER))).cast("bigint"),
-            "n_bullet_lines": F.size(F.filter(lines, lambda x: F.ltrim(_blanks(x)).substr(1, 1).isin("-", "*", "•"))).cast("bigint"),
-            "n_ellipsis_lines": F.size(
-                F.filter(lines, lambda x: F.rtrim(_blanks(x)).endswith("...") | F.rtrim(_blanks(x)).endswith("…"))
-            ).cast("bigint"),
+    parts = F.struct(words_of(text).alias("w"), F.filter(F.split(text, "\n"), lambda x: F.rtrim(_blanks(x)) != "").alias("l"))
+
+    def counted(p: Column) -> Column:
+        words, lines = p["w"], p["l"]
+        ends = lambda x: F.rtrim(_blanks(x)).endswith("...") | F.rtrim(_blanks(x)).endswith("…")
+        out = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": F.length(text) - F.length(_without(text, SYMBOLS)),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeat_words(words),
+            "n_lines": F.size(lines),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(stop_list))),
+            "n_letter_words": F.size(F.filter(words, lambda w: w.rlike(LETTER))),
+            "n_bullet_lines": F.size(F.filter(lines, lambda x: F.ltrim(_blanks(x)).substr(1, 1).isin("-", "*", "•"))),
+            "n_ellipsis_lines": F.size(F.filter(lines, ends)),
         }
-    )
-    per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    metrics = {
-        "mean_word_chars": per("word_chars", "n_words"),
-        "symbols_per_word": per("n_symbols", "n_words"),
-        "stop_ratio": per("n_stop_words", "n_words"),
-        "letter_word_ratio": per("n_letter_words", "n_words"),
-        "dup_line_ratio": per("n_dup_lines", "n_lines"),
-        "bullet_line_ratio": per("n_bullet_lines", "n_lines"),
-        "ellipsis_line_ratio": per("n_ellipsis_lines", "n_lines"),
-    }
-    failed = []
-    for name, metric, low, high in rules:
-        bad = F.lit(False)
-        if low is not None:
-            bad = bad | (metrics[metric] < low)
-        if high is not None:
-            bad = bad | (metrics[metric] > high)
-        failed.append(F.when(bad, F.lit(name)))
-    base = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumns({"base_failed": base, "failed": F.array_compact(F.array(*failed))})
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
-    return out.drop(words, lines, src)
+        return F.struct(*[v.cast("bigint").alias(k) for k, v in out.items()])
+
+    return let(parts, counted)
+
+
+def verdict(text: Column, rules=RULES) -> Column:
+    """struct of the counts, `base_failed`, `failed` (names of failed rules) and `kept` of a text."""
+
+    def judged(c: Column) -> Column:
+        per = lambda a, b: F.when(c[b] > 0, c[a] / c[b]).otherwise(F.lit(0.0))
+        metrics = {
+            "mean_word_chars": per("word_chars", "n_words"),
+            "symbols_per_word": per("n_symbols", "n_words"),
+            "stop_ratio": per("n_stop_words", "n_words"),
+            "letter_word_ratio": per("n_letter_words", "n_words"),
+            "dup_line_ratio": per("n_dup_lines", "n_lines"),
+            "bullet_line_ratio": per("n_bullet_lines", "n_lines"),
+            "ellipsis_line_ratio": per("n_ellipsis_lines", "n_lines"),
+        }
+        failed = []
+        for name, metric, low, high in rules:
+            bad = F.lit(False)
+            if low is not None:
+                bad = bad | (metrics[metric] < low)
+            if high is not None:
+                bad = bad | (metrics[metric] > high)
+            failed.append(F.when(bad, F.lit(name)))
+        base = (c["n_words"] < BASE_MIN_WORDS) | (100 * c["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * c["n_words"])
+        names = F.array_compact(F.array(*failed)) if failed else F.expr("cast(array() as array<string>)")
+        return F.struct(*[c[k].alias(k) for k in COUNTS], base.alias("base_failed"), names.alias("failed"), (~base & (F.size(names) == 0)).alias("kept"))
+
+    return let(let(F.coalesce(text, F.lit("")), _counts), judged)
+
+
+def quality_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """df with the fields of `verdict` as columns."""
+    (q,) = unused(df, "quality")
+    out = df.withColumn(q, verdict(F.col(text), rules))
+    names = [*COUNTS, "base_failed", "failed", "kept"]
+    return out.select(*[c for c in df.columns if c not in names], *[F.col(q)[n].alias(n) for n in names])
 
 
 def _blanks(x: Column) -> Column:

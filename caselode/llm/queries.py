@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import chat, imatch, jaccard, langid, mix, pack, quality, shards, tokencount, tokenfile
 
 
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid_centroids": langid.op8_langid_centroids,
         "op9_mix_poisson": mix.op9_mix_poisson,
         "op10_quality_rules": quality.op10_quality_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
