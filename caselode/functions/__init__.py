@@ -1 +1 @@
-"""See the package README."""
+"""Column builders: pure expressions, no actions."""

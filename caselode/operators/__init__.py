@@ -1 +1 @@
-"""See the package README."""
+"""Operators: DataFrame in, DataFrame out; nothing is collected unless a docstring says so."""

@@ -1 +1 @@
-"""See the package README."""
+"""Named queries over the test tables, each with its SQL where SQL can say it."""
