@@ -1,55 +1,30 @@
-"""Helpers of the training-data operators: shared scratch tables and column names."""
+"""Helpers of the training-data operators: tables between steps, words, column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..storage import materialize, scratch_path, shared_dir
+
+__all__ = ["if_small", "materialize", "scratch_path", "shared_dir", "table", "unused", "words_of"]
 
 #: White space of the word rule, for Java and for DuckDB patterns.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only where that is unset: in local mode a temporary folder (one machine is
-    the whole cluster there), else a folder in the warehouse.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.startswith("local"):
-            base = f"file://{tempfile.mkdtemp(prefix='caselode-')}"
-        else:
-            base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/caselode-{tag}-{uuid.uuid4().hex}"
+#: Rows of a narrow table (a few numbers a row) that may be broadcast: tens of MB.
+BROADCAST_ROWS = 500_000
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again.
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, to be broadcast if it is counted as small; beyond the bound the join shuffles.
 
-    Cuts the lineage: what follows survives lost executors without running
-    df again, and reads the same rows however often it is retried.
+    df is a written table, so counting it reads footers. Pass rows if known.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+    n = df.count() if rows is None else rows
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,8 +12,8 @@ share c of them. Light (small) sets enumerate the fixed-size subsets, pairs
 post their prefix shingles (c = 1) to inverted lists, which they scan; light
 sets near the boundary post there too, as partners of heavy ones only. The
 boundary is the size that costs least, from the counts of sets by size and the
-length of lists. The smaller set of a pair need only be indexed by the shorter
-prefix |x| - ceil(8|x|/9) + 1.
+length of lists. A pair meets on a list only if what both sets hold from
+that place in the order on can still make the overlap that they need.
 
 The order comes from a table of shingle counts over all documents, of fixed
 size (SKETCH_BITS): it decides which shingles are looked at first, never what
@@ -42,13 +42,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import materialize, table
+from .common import if_small, materialize, table
 from .graph import components
 
 SHINGLE = 5
 NUM, DEN = 80, 100
 #: log2 of the number of counters in the table that orders shingles.
-SKETCH_BITS = 22
+SKETCH_BITS = 24
+#: Bytes of text hashed at once, and bits of a set's parity map.
+CHUNK_BYTES, PARITY = 1 << 19, 1024
 _BLOCK_BITS = 16
 #: Largest size of set considered light, and members of a star in one share.
 MAX_LIGHT, SHARE = 64, 2000
@@ -56,45 +58,89 @@ MAX_LIGHT, SHARE = 64, 2000
 FLUSH = 1 << 18
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-SUBSET, INDEX, PROBE, LIGHT = 0, 1, 2, 4
+#: A row's kind, below POS its flags, above its place in the order.
+SUBSET, LIST, LIGHT, POS = 0, 1, 2, 4
 
 
-class _Words(dict):
-    """Word to 64-bit hash, kept up to a bound."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 48:
-            if len(self) >= 600_000:
-                self.clear()
-            self[word] = h
-        return h
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A 64-bit number for each byte, the same for a letter's two cases.
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _MULT[1])
+_BYTE[0x41:0x5B] = _BYTE[0x61:0x7B]
+_BASE = 0x9FB21C651E98DF25
+_powers: dict[str, np.ndarray] = {}
 
 
-_words = _Words()
+def _power(kind: str, n: int) -> np.ndarray:
+    """1, b, b^2 ... modulo 2^64, of the base or its inverse."""
+    if len(_powers.get(kind, ())) < n:
+        base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
+        out = np.full(max(n, CHUNK_BYTES), base, np.uint64)
+        out[0] = 1
+        _powers[kind] = np.cumprod(out)
+    return _powers[kind][:n]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _sets(data: np.ndarray, edges: np.ndarray) -> list[np.ndarray]:
+    """Shingle sets of the texts data[edges[i] : edges[i + 1]].
+
+    A word's hash is the difference of two prefix sums of its bytes' numbers
+    times powers of a base, shifted to the word's start, then mixed.
+    """
+    n = len(data)
+    if n == 0:
+        return [np.zeros(0, np.uint64)] * (len(edges) - 1)
+    inside = ~_SPACE[data]
+    joined = inside.copy()
+    joined[1:] &= inside[:-1]
+    joined[0] = False
+    joined[edges[:-1][edges[:-1] < n]] = False  # a text's first byte continues no word
+    starts = np.flatnonzero(inside & ~joined)
+    goes_on = np.zeros(n, bool)
+    goes_on[:-1] = joined[1:]
+    ends = np.flatnonzero(inside & ~goes_on)
+    value = _BYTE[data] * _power("up", n)
+    total = np.cumsum(value)
+    words = _mix((total[ends] - total[starts] + value[starts]) * _power("down", n)[starts] + (ends - starts).astype(np.uint64))
+    k = max(0, len(words) - SHINGLE + 1)
+    grams = words[:k] * _MULT[0]
+    for i in range(1, SHINGLE):
+        grams += words[i : i + k] * _MULT[i]
+    grams = _mix(grams)
+    at, out = np.searchsorted(starts, edges), []
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if hi - lo >= SHINGLE:
+            own = np.sort(grams[lo : hi - SHINGLE + 1])
+            out.append(own[np.r_[True, own[1:] != own[:-1]]])
+        elif hi > lo:
+            own = words[lo:hi]
+            out.append(_mix(np.array([np.add.reduce(own * _MULT[: len(own)]) + np.uint64(len(own))], np.uint64)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def shingle_sets(texts: pa.Array):
+    """Sorted distinct shingle hashes of each text; A-Z as a-z, words [^\\x20\\x09-\\x0D]+; null as empty."""
+    texts = texts.fill_null("")
+    wide = pa.types.is_large_string(texts.type)
+    edges = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + CHUNK_BYTES, side="right")) - 1)
+        yield from _sets(data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo])
+        lo = hi
 
 
 def shingle_set(text: str) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text; A-Z lower-cased, words [^\\x20\\x09-\\x0D]+."""
-    words = text.encode().lower().split()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    if len(h) == 0:
-        return h
-    if len(h) < SHINGLE:
-        return _mix(np.array([np.add.reduce(h * _MULT[: len(h)]) + np.uint64(len(h))], np.uint64))
-    n = len(h) - SHINGLE + 1
-    s = h[:n] * _MULT[0]
-    for k in range(1, SHINGLE):
-        s += h[k : k + n] * _MULT[k]
-    return np.unique(_mix(s))
+    return next(shingle_sets(pa.array([text], pa.string())))
 
 
 def class_of(s: np.ndarray) -> int:
@@ -103,67 +149,80 @@ def class_of(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bit k says whether an odd number of elements fall on k; as many bits as elements, a power of 2, or PARITY.
+
+    An element in one of two sets only flips one bit, so the maps differ in no
+    more bits than the sets in elements: a lower bound that is cheap to have.
+    """
+    bits = max(PARITY, 1 << (max(1, len(s)) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def least_overlap(n: int) -> int:
     """Least size of the intersection of a set of n with a linked one."""
     return -(-n * NUM // DEN)
 
 
-def index_overlap(n: int) -> int:
-    """The same, if the other set is as large at least: t * (n + m) / (1 + t) with m >= n."""
-    return -(-2 * n * NUM // (NUM + DEN))
-
-
 # -- tables of counters: fixed size, built on the executors ------------------
 
 
 class _Counters:
-    """Counts by slot of a task, given out in blocks of 2^16 counters."""
+    """Counts by slot of a task, up to 255, given out in blocks of 2^16 counters."""
 
     def __init__(self, bits: int):
-        self.bits, self.n, self.held, self.size = bits, np.zeros(1 << bits, np.uint32), [], 0
+        self.bits, self.n, self.held, self.size = bits, np.zeros(1 << bits, np.uint8), [], 0
 
     def add(self, keys: np.ndarray) -> None:
-        self.held.append((keys >> np.uint64(64 - self.bits)).astype(np.int64))
+        self.held.append((keys >> np.uint64(64 - self.bits)).astype(np.uint32))
         self.size += len(keys)
-        if self.size >= 1 << 21:
+        if self.size >= 1 << 20:
             self.flush()
 
     def flush(self) -> None:
-        if self.held:
-            self.n += np.bincount(np.concatenate(self.held), minlength=1 << self.bits).astype(np.uint32)
-            self.held, self.size = [], 0
+        if self.size:
+            slots = np.sort(np.concatenate(self.held))
+            at = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+            more, slots = np.diff(np.r_[at, len(slots)]), slots[at]
+            self.n[slots] = np.minimum(255, self.n[slots] + more)
+        self.held, self.size = [], 0
 
     def blocks(self):
         self.flush()
         width = 1 << min(_BLOCK_BITS, self.bits)
         for b in range(len(self.n) // width):
             part = self.n[b * width : (b + 1) * width]
-            top = int(part.max())
-            if top:
-                yield b, part.astype("u1" if top < 256 else "<u2" if top < 65536 else "<u4").tobytes()
+            if part.any():
+                yield b, part.tobytes()
 
 
 def summed(blocks: DataFrame, bits: int) -> np.ndarray:
-    """One table from the tasks' blocks (block, counts): added up by block, then 2^bits counters come here."""
+    """One table from the tasks' blocks (block, counts): added up by block, then 2^bits counters come here.
+
+    Sums are kept up to 255, a byte each: beyond it shingles count as equally common.
+    """
     width = 1 << min(_BLOCK_BITS, bits)
 
+    def give(block: int, total: np.ndarray) -> pa.RecordBatch:
+        data = np.minimum(total, 255).astype(np.uint8).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["block", "counts"])
+
     def run(batches):
-        now, total = None, None
+        now, total = None, np.zeros(width, np.uint32)
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = blob.as_py()
-                part = np.frombuffer(raw, f"<u{len(raw) // width}")
                 if b != now:
                     if now is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], names=["block", "counts"])
-                    now, total = b, np.zeros(width, np.uint64)
-                total += part
+                        yield give(now, total)
+                    now, total = b, np.zeros(width, np.uint32)
+                total += np.frombuffer(blob.as_buffer(), np.uint8)
         if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], names=["block", "counts"])
+            yield give(now, total)
 
-    out = np.zeros(1 << bits, np.uint32)
-    for r in blocks.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, counts binary").toLocalIterator():
-        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["counts"], "<u4")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in blocks.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, counts binary").collect():
+        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
@@ -178,21 +237,21 @@ def profile(rows: DataFrame) -> DataFrame:
     def run(batches):
         counters = _Counters(SKETCH_BITS)
         for batch in batches:
-            sets = [shingle_set(x.as_py() or "") for x in batch.column(1)]
+            sets = list(shingle_sets(batch.column(1)))
             for s in sets:
                 counters.add(s)
             k = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                names=["doc_id", "node", "n", "block", "counts"],
+                [batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                names=["doc_id", "node", "n", "parity", "block", "counts"],
             )
         for b, blob in counters.blocks():
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([b], pa.int32()), pa.array([blob], pa.binary())],
-                names=["doc_id", "node", "n", "block", "counts"],
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([b], pa.int32()), pa.array([blob], pa.binary())],
+                names=["doc_id", "node", "n", "parity", "block", "counts"],
             )
 
-    return materialize(rows.mapInArrow(run, "doc_id bigint, node bigint, n bigint, block int, counts binary"), "profile")
+    return materialize(rows.mapInArrow(run, "doc_id bigint, node bigint, n bigint, parity array<bigint>, block int, counts binary"), "profile")
 
 
 # -- signatures ---------------------------------------------------------------
@@ -206,11 +265,12 @@ def boundary(sizes: dict[int, int], sketch: np.ndarray) -> int:
     lists is that of the rarest fifth of shingles, as only those are posted,
     in units of the counters' mean load.
     """
-    live = np.sort(sketch[sketch > 0]).astype(np.float64)
-    longer = 1.0
-    if len(live):
-        weight = np.cumsum(live)
-        longer = float(live[np.searchsorted(weight, 0.2 * weight[-1])] / live.mean())
+    slots = np.zeros(256, np.int64)  # counters by count, a part at a time: the driver holds no wide copy
+    for part in np.array_split(sketch, max(1, len(sketch) >> 20)):
+        slots += np.bincount(part, minlength=256)
+    weight, longer = np.cumsum(slots * np.arange(256)), 1.0
+    if weight[-1]:
+        longer = float(np.searchsorted(weight, 0.2 * weight[-1]) * slots[1:].sum() / weight[-1])
     prefix = lambda n: n - least_overlap(n) + 1
     best, cost = 0, None
     for b in range(MAX_LIGHT + 1):
@@ -224,8 +284,8 @@ def boundary(sizes: dict[int, int], sketch: np.ndarray) -> int:
 def _signatures(s: np.ndarray, sketch: np.ndarray, light: int):
     """(signatures, kinds, weight) of a set."""
     n = len(s)
-    counts = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    key = (np.minimum(counts, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24))
+    counts = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    key = (counts << np.uint64(40)) | (s >> np.uint64(24))
     order = np.argsort(key, kind="stable")
     p = n - least_overlap(n) + 1
     weight = int(16 * np.log2(1.0 + counts[order[:p]]).mean())
@@ -237,10 +297,8 @@ def _signatures(s: np.ndarray, sketch: np.ndarray, light: int):
         kinds.append(np.full(len(i), SUBSET, np.int32))
     if n > light or n * DEN > light * NUM or n < 2:
         first = s[order[:p]]
-        kind = np.full(p, PROBE, np.int32)
-        kind[: n - index_overlap(n) + 1] = INDEX
         sigs.append(first)
-        kinds.append(kind | (LIGHT if n <= light else 0))
+        kinds.append(np.arange(p, dtype=np.int32) * POS + LIST + (LIGHT if n <= light else 0))
     return np.concatenate(sigs), np.concatenate(kinds), weight
 
 
@@ -251,8 +309,7 @@ def signatures(rows: DataFrame, sketch, light: int) -> DataFrame:
         table, seen = sketch.value, set()
         for batch in batches:
             held, size = [], 0
-            for x in batch.column(1):
-                s = shingle_set(x.as_py() or "")
+            for s in shingle_sets(batch.column(1)):
                 if len(s) == 0 or (node := class_of(s)) in seen:
                     continue
                 seen.add(node)
@@ -324,13 +381,15 @@ def _pairs_of(comp, node, n, kind):
     """All pairs of a list's members in different components that sizes and kinds allow, in blocks."""
     order = np.lexsort((node, n))
     comp, node, n, kind = comp[order], node[order], n[order], kind[order]
+    place = kind // POS
     last = np.searchsorted(n.astype(np.int64) * NUM, n.astype(np.int64) * DEN, side="right")  # larger partners end here
     for i in range(len(n)):
         j = np.arange(i + 1, last[i])
         ok = comp[j] != comp[i]
         if kind[i] != SUBSET:
-            # the smaller is indexed; of equal sizes both are; not both light
-            ok &= ((kind[i] & INDEX) > 0) | ((n[j] == n[i]) & ((kind[j] & INDEX) > 0))
+            # what is left of both sets from here must hold the overlap that a link needs
+            need = -(-(n[i] + n[j]).astype(np.int64) * NUM // (NUM + DEN))
+            ok &= (n[i] - place[i] >= need) & (n[j] - place[j] >= need)
             ok &= ~(((kind[i] & LIGHT) > 0) & ((kind[j] & LIGHT) > 0))
         j = j[ok]
         if len(j):
@@ -409,17 +468,18 @@ def checked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         for b, blob in counters.blocks():
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["block", "counts"])
 
-    known = spark.sparkContext.broadcast(summed(wanted.select("node").mapInArrow(slots, "block int, counts binary"), SKETCH_BITS) > 0)
+    # which counters aren't 0, a bit each
+    known = spark.sparkContext.broadcast(np.packbits(summed(wanted.select("node").mapInArrow(slots, "block int, counts binary"), SKETCH_BITS)))
 
     def sets(batches):
         seen = set()
         for batch in batches:
             held, size = [], 0
-            for x in batch.column(1):
-                s = shingle_set(x.as_py() or "")
+            for s in shingle_sets(batch.column(1)):
                 if len(s) == 0 or (node := class_of(s)) in seen:
                     continue
-                if known.value[int(_hash64(np.array([node]))[0] >> np.uint64(64 - SKETCH_BITS))]:
+                slot = int(_hash64(np.array([node]))[0] >> np.uint64(64 - SKETCH_BITS))
+                if known.value[slot >> 3] >> (7 - (slot & 7)) & 1:
                     seen.add(node)
                     held.append((node, s.tobytes()))
                     size += len(s)
@@ -430,7 +490,7 @@ def checked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary())], names=["node", "items"])
 
     found = rows.mapInArrow(sets, "node bigint, items binary")
-    sent = found.join(wanted, "node").select("grp", "salt", "role", "node", "items")
+    sent = found.join(if_small(wanted), "node").select("grp", "salt", "role", "node", "items")
 
     def compare(batches):
         now, own, done = None, None, set()
@@ -456,29 +516,71 @@ def checked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def plausible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs whose parity maps don't rule out a link.
+
+    A link of overlap o >= t / (1 + t) * (n + m) leaves at most n + m - 2 o
+    elements in one set only, and the maps differ in no more bits than that.
+    """
+    left = maps.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("parity").alias("ap"))
+    right = maps.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("parity").alias("bp"))
+    n = pairs.count()
+    both = if_small(left.join(if_small(pairs, n), "a"), n).join(right, "b")
+    half = F.least(F.size("ap"), F.size("bp"))  # sizes that can link are so near that lengths differ twofold at most
+    fold = lambda x: F.when(F.size(x) == half, F.col(x)).otherwise(F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v)))
+    differ = F.aggregate(F.zip_with(fold("ap"), fold("bp"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    total = F.col("an") + F.col("bn")
+    near = F.least("an", "bn") * DEN >= F.greatest("an", "bn") * NUM
+    return both.where(F.when(near, differ * (NUM + DEN) <= total * (DEN - NUM)).otherwise(F.lit(False))).select("a", "b")
+
+
+def _with_component(rows: DataFrame, node: str, comps: DataFrame, out: str) -> DataFrame:
+    named = comps.select(F.col("node").alias(node), F.col("component").alias("_c"))
+    return rows.join(if_small(named), node, "left").withColumn(out, F.coalesce("_c", node)).drop("_c")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", trace=None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document. trace(name, df) is told of each step."""
     spark, rows = docs.sparkSession, _rows(docs, id_col, text)
-    known = profile(rows)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df = materialize(df, name)
+        if trace:
+            trace(name, df)
+        return df
+
+    known = keep(profile(rows), "profile")
     members = known.where("block is null").select("doc_id", "node", "n")
     counts = summed(known.where("block is not null").select("block", "counts"), SKETCH_BITS)
     sizes = {r["n"]: r["count"] for r in members.where((F.col("n") > 0) & (F.col("n") <= 2 * MAX_LIGHT)).groupBy("n").count().collect()}
     light = boundary(sizes, counts)
-    lists = materialize(stars(signatures(rows, spark.sparkContext.broadcast(counts), light)), "lists")
-
-    best = lists.where("center is not null").groupBy("node", "center").count()
-    best = best.groupBy("node").agg(F.max(F.struct("count", "center")).alias("m")).select(F.col("node").alias("a"), F.col("m.center").alias("b"))
-    links = materialize(checked(rows, materialize(best, "pairs")), "links")
-    comps = materialize(components(links), "comps")
-
-    labelled = lists.select("sig", "node", "n", "kind").join(comps.select("node", "component"), "node", "left").select("sig", "node", "n", "kind", F.coalesce("component", "node").alias("comp"))
-    rest = materialize(cross_pairs(labelled).distinct(), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(materialize(checked(rows, rest), "links"))
-        comps = materialize(components(links), "comps")
+    maps = keep(known.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "maps")
+    order = spark.sparkContext.broadcast(counts)
+    del counts
+    lists = keep(stars(signatures(rows, order, light)), "lists")
+    order.unpersist()
+
+    # first each class and the center that it shares most lists with, then all centers still apart
+    spokes = keep(lists.where("center is not null").groupBy("node", "center").count().select(F.col("node").alias("a"), F.col("center").alias("b"), "count"), "spokes")
+    best = keep(spokes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
+    links = keep(checked(rows, keep(plausible(best, maps), "pairs")), "links")
+    comps = keep(components(links), "comps")
+
+    def more(pairs: DataFrame, links: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = keep(plausible(pairs, maps), "pairs")
+        if pairs.isEmpty():
+            return links, comps
+        links = links.unionByName(keep(checked(rows, pairs), "links"))
+        return links, keep(components(links), "comps")
+
+    apart = _with_component(_with_component(spokes.select("a", "b"), "a", comps, "ca"), "b", comps, "cb").where("ca <> cb")
+    links, comps = more(keep(apart.select("a", "b"), "apart"), links, comps)
+    # what is still apart: every pair of every list
+    rest = cross_pairs(_with_component(lists.select("sig", "node", "n", "kind"), "node", comps, "comp")).distinct()
+    links, comps = more(keep(rest, "cross"), links, comps)
 
     classes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    labelled = classes.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = _with_component(classes, "node", comps, "component")
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = labelled.join(smallest, "component").select("node", "component_id")
     full = members.where("n > 0").join(by_class, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
