@@ -68,9 +68,12 @@ class Model:
         self.idf, self.centroids, self.langs, self.lowest = idf, centroids, langs, lowest
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts.astype(np.float32)) * self.idf
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm > 0, norm, 1)
+        x = counts.astype(np.float32)
+        np.log1p(x, out=x)
+        x *= self.idf
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        x /= np.where(norm > 0, norm, 1)
+        return x
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
         out = []
@@ -137,15 +140,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     found = sorted((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in sample.mapInArrow(run, "lang string, at binary, n binary").collect())
     if not found:
         return Model(np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), [], np.zeros(0))
-    counts = np.zeros((len(found), DIM), np.float32)
-    for i, (_, at, n) in enumerate(found):
-        counts[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
-    idf = (np.log((1 + len(found)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
+    seen = np.zeros(DIM, np.int64)
+    for _, at, _ in found:
+        seen[np.frombuffer(at, "<u2")] += 1
+    idf = (np.log((1 + len(found)) / (1 + seen)) + 1).astype(np.float32)
     model = Model(idf, np.zeros((0, DIM), np.float32), [], np.zeros(0))
-    x, names = model.vectors(counts), np.array([f[0] for f in found])
     parts, langs, lowest = [], [], []
-    for name in sorted(set(names)):
-        own = x[names == name]
+    for name in sorted({f[0] for f in found}):  # a language at a time: SAMPLE x DIM numbers in memory
+        rows_of = [f for f in found if f[0] == name]
+        counts = np.zeros((len(rows_of), DIM), np.float32)
+        for i, (_, at, n) in enumerate(rows_of):
+            counts[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
+        own = model.vectors(counts)
         c = _kmeans(own, CLUSTERS)
         floor = REJECT * float(np.quantile((own @ c.T).max(axis=1), 0.1))
         parts.append(c)
