@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import materialize
+
 
 def top(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first rows of a total order: a heap per task, no full sort."""
@@ -24,20 +26,22 @@ def keyset_page(df: DataFrame, key: str, after, limit: int = 100) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
-    """df with a gapless number from 0 in the given order, in two passes and no single task.
+    """df with a gapless number from 0 in the given order, without a single task.
 
-    Ranges are sorted and counted; a range's base is the sum of those before.
+    Rows are dealt into sorted ranges and written once with their range and
+    place in it (ranges are sampled, so a second deal would differ); a range's
+    base is the sum of the counts before.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    counts = sorted((r[0], r[1]) for r in ranged.groupBy("_p").count().collect())
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), place.alias("_k"))
+    ranged = materialize(ranged, "ranges")
     bases, at = {}, 0
-    for p, n in counts:
+    for p, n in sorted((r[0], r[1]) for r in ranged.groupBy("_p").count().collect()):
         bases[p] = at
         at += n
     base = F.get(F.array(*[F.lit(bases.get(p, 0)).cast("bigint") for p in range(max(bases, default=0) + 1)]), F.col("_p"))
-    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.withColumn(name, base + local).drop("_p")
+    return ranged.withColumn(name, base + F.col("_k")).drop("_p", "_k")
 
 
 def batch_plan(df: DataFrame, order: list[str], size: int) -> DataFrame:
