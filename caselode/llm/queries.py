@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_trees": chat.chat_sql(), "op9_mix_poisson": mix.mix_sql(), "op10_quality_rules": quality.quality_sql()}
+    return {"op5_chat_trees": chat.chat_sql(), "op6_jaccard_join": jaccard.jaccard_sql(), "op9_mix_poisson": mix.mix_sql(), "op10_quality_rules": quality.quality_sql()}
