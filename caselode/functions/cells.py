@@ -67,3 +67,21 @@ def body_state(x: Column) -> Column:
     """EMPTY_OR_SENTINEL for texts that stand for none; else OBSERVED; ERROR for null."""
     word = F.lower(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
     return F.when(x.isNull(), "ERROR").when(word.isin("", "empty", "no_info", "none"), "EMPTY_OR_SENTINEL").otherwise("OBSERVED")
+
+
+def sorted_object(x: Column) -> Column:
+    """A JSON object with its keys in order, to compare without their order; other texts as they are."""
+    entries = F.array_sort(F.map_entries(F.from_json(x, "map<string,string>")))
+    parsed = F.startswith(x, F.lit("{")) & F.from_json(x, "map<string,string>").isNotNull()
+    return F.when(parsed, F.to_json(F.map_from_entries(entries))).otherwise(x)
+
+
+def whole_number(x: Column) -> Column:
+    """A text as an integer, white space aside; null for all else."""
+    return F.trim(x).try_cast("bigint")
+
+
+def scalar_text(x: Column) -> Column:
+    """A trimmed text; null if blank."""
+    t = F.trim(x.cast("string"))
+    return F.when(t != "", t)

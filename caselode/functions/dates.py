@@ -6,7 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _FORMS = ((r"^\d{8}$", "yyyyMMdd"), (r"^\d{4}\.\d{2}\.\d{2}$", "yyyy.MM.dd"), (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"))
-_CITED = r"(\d{4})\. *(\d{1,2})\. *(\d{1,2})\."
+#: How dates are written in titles and in sections on the close of argument.
+_CITED = r"(?<![0-9])([0-9]{4})\.\s*([0-9]{1,2})\.\s*([0-9]{1,2})\.(?![0-9])"
+_CLOSING_DATE = r"(?<![0-9])([0-9]{4})\.\s*([0-9]{1,2})\.\s*([0-9]{1,2})(?![0-9])\.?"
+_CLOSING = r"【\s*변론\s*종(?:결|료)(?:일)?\s*】([^【]*)"
+NO_DATE = ("", "empty", "no_info")
+SENTINEL = "2072-01-01"
 
 
 def parse_date(x: Column) -> Column:
@@ -25,17 +30,16 @@ def day_digits(x: Column) -> Column:
     return F.when(F.length(d) == 8, d)
 
 
-def date_state(x: Column) -> Column:
-    """MISSING, INVALID or VALID."""
-    return F.when(x.isNull() | (F.trim(x) == ""), "MISSING").when(parse_date(x).isNull(), "INVALID").otherwise("VALID")
+def _written(x: Column, pattern: str) -> Column:
+    """All dates of a pattern of year, month and day; null for days that don't exist."""
+    part = lambda k: F.regexp_extract_all(x, F.lit(pattern), k)
+    rows = F.arrays_zip(part(1).alias("y"), part(2).alias("m"), part(3).alias("d"))
+    return F.transform(rows, lambda p: F.try_to_date(F.concat_ws("-", p["y"], F.lpad(p["m"], 2, "0"), F.lpad(p["d"], 2, "0")), "yyyy-MM-dd"))
 
 
 def cited_dates(x: Column) -> Column:
-    """All dates written `YYYY. M. D.` in a citation, null for days that don't exist."""
-    parts = F.arrays_zip(
-        F.regexp_extract_all(x, F.lit(_CITED), 1).alias("y"), F.regexp_extract_all(x, F.lit(_CITED), 2).alias("m"), F.regexp_extract_all(x, F.lit(_CITED), 3).alias("d")
-    )
-    return F.transform(parts, lambda p: F.try_to_date(F.concat_ws("-", p["y"], F.lpad(p["m"], 2, "0"), F.lpad(p["d"], 2, "0")), "yyyy-MM-dd"))
+    """All dates written `YYYY. M. D.`, null for days that don't exist."""
+    return _written(x, _CITED)
 
 
 def cited_date(x: Column) -> Column:
@@ -44,6 +48,18 @@ def cited_date(x: Column) -> Column:
     return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
+def metadata_date(x: Column) -> Column:
+    """A date in one of the three forms, or written out whole."""
+    x = F.trim(x)
+    whole = F.when(x.rlike(f"^(?:{_CITED})$"), F.get(cited_dates(x), F.lit(0)))
+    return F.coalesce(parse_date(x), whole)
+
+
+def date_state(x: Column) -> Column:
+    """MISSING, INVALID or VALID."""
+    return F.when(x.isNull() | F.trim(x).isin(*NO_DATE), "MISSING").when(metadata_date(x).isNull(), "INVALID").otherwise("VALID")
+
+
 def agreed_date(*values: Column) -> Column:
     """The one date that all given texts say; null if any is no date or two differ."""
     present = F.array_compact(F.array(*[F.when(F.trim(v) != "", v) for v in values]))
@@ -52,40 +68,48 @@ def agreed_date(*values: Column) -> Column:
     return F.when((F.size(present) > 0) & ~F.exists(days, lambda d: d.isNull()) & (F.size(one) == 1), F.get(one, F.lit(0)))
 
 
-def decision_date_status(title: Column, html: Column, metadata: Column, sentinel: str = "1900-01-01") -> Column:
-    """Proposal for a missing decision date from the title: one of eight states, the first that holds."""
-    days = cited_dates(title)
+def decision_date_status(title: Column, html: Column, *metadata: Column, sentinel: str = SENTINEL) -> Column:
+    """Proposal for a missing decision date from the title: one of eight states, the first that holds.
+
+    The title must stand in the visible text, white space and end marks aside.
+    """
+    none = F.expr("cast(array() as array<date>)")
+    days = F.coalesce(cited_dates(title), none)
     day = F.get(days, F.lit(0))
+    squeezed = lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", "")
+    name = F.regexp_replace(squeezed(title), "[★☆*]+$", "")
+    shown = (squeezed(title) != "") & F.contains(squeezed(html), name)
+    states = F.array(*[date_state(m) for m in metadata]) if metadata else F.expr("cast(array() as array<string>)")
+    values = F.array(*[metadata_date(m) for m in metadata]) if metadata else none
     return (
-        F.when(F.size(F.coalesce(days, F.expr("cast(array() as array<date>)"))) == 0, "MISSING_TITLE_DATE")
+        F.when(F.exists(days, lambda d: d.isNull()), "INVALID_TITLE_DATE")
+        .when(F.size(days) == 0, "MISSING_TITLE_DATE")
         .when(F.size(days) > 1, "AMBIGUOUS_TITLE")
-        .when(day.isNull(), "INVALID_TITLE_DATE")
         .when(day == F.lit(sentinel).cast("date"), "SENTINEL_DATE")
-        .when(~F.coalesce(F.contains(html, title), F.lit(False)), "TITLE_NOT_CONFIRMED_IN_HTML")
-        .when(date_state(metadata) == "INVALID", "INVALID_METADATA")
-        .when((date_state(metadata) == "VALID") & (parse_date(metadata) != day), "METADATA_CONFLICT")
+        .when(~shown, "TITLE_NOT_CONFIRMED_IN_HTML")
+        .when(F.array_contains(states, "INVALID"), "INVALID_METADATA")
+        .when(F.exists(values, lambda v: F.coalesce(v != day, F.lit(False))), "METADATA_CONFLICT")
         .otherwise("READY")
     )
 
 
 def closing_dates(x: Column) -> Column:
-    """Dates in marks that begin with the word for the close of argument."""
-    marks = F.regexp_extract_all(x, F.lit("【변론종결([^】]*)】"), 1)
-    return F.flatten(F.transform(marks, cited_dates))
+    """Dates in the sections that follow a heading on the close of argument."""
+    parts = F.coalesce(F.regexp_extract_all(x, F.lit(_CLOSING), 1), F.expr("cast(array() as array<string>)"))
+    return F.flatten(F.transform(parts, lambda p: _written(p, _CLOSING_DATE)))
 
 
-def closing_date_status(text: Column, existing: Column, confirmed: Column) -> Column:
-    """Proposal for the closing date: the largest date, to review if several occur."""
-    days = closing_dates(text)
+def closing_date_status(text: Column, html: Column, previous: Column) -> Column:
+    """Proposal for the closing date: the largest date, which the visible text must have too; to review if several occur."""
+    days, shown = closing_dates(text), closing_dates(html)
     top = F.array_max(days)
-    known = parse_date(existing)
     return (
         F.when(F.exists(days, lambda d: d.isNull()), "INVALID_DATE")
-        .when((F.size(days) == 0) & known.isNotNull(), "EXISTING_DATE_NOT_REPRODUCED")
+        .when((F.size(days) == 0) & previous.isNotNull(), "EXISTING_DATE_NOT_REPRODUCED")
         .when(F.size(days) == 0, "NOT_FOUND")
         .when(F.size(days) > 1, "REVIEW_MULTIPLE")
-        .when(~confirmed, "NOT_CONFIRMED_IN_HTML")
-        .when(known.isNotNull() & (known != top), "EXISTING_DATE_CONFLICT")
+        .when(~F.coalesce(F.array_contains(shown, top), F.lit(False)), "NOT_CONFIRMED_IN_HTML")
+        .when(previous.isNotNull() & (previous != top), "EXISTING_DATE_CONFLICT")
         .otherwise("READY")
     )
 
@@ -102,3 +126,24 @@ def in_window(day: Column, start: str | None, end: str | None, most_days: int =
     if not 0 <= (b - a).days <= most_days:
         raise ValueError(f"a window of 0 to {most_days} days")
     return day.between(F.lit(a), F.lit(b))
+
+
+def dated_spans(text: str) -> list[dict]:
+    """Dates written `YYYY. M. D.` with their places in the text; date is None for days that don't exist."""
+    import re
+    from datetime import date
+
+    out = []
+    for m in re.finditer(_CITED, text):
+        try:
+            day = date(int(m[1]), int(m[2]), int(m[3])).isoformat()
+        except ValueError:
+            day = None
+        out.append({"text": m[0], "start": m.start(), "end": m.end(), "date": day})
+    return out
+
+
+def dated_spans_udf():
+    from .html import _each
+
+    return _each(dated_spans, "array<struct<text:string,start:int,end:int,date:string>>")

@@ -113,3 +113,14 @@ def exact_metadata(ours: dict[str, Column], theirs: dict[str, Column]) -> Column
     same &= decision_kind(ours["kind"]) == decision_kind(theirs["kind"])
     same &= (F.length(day(ours)) == 8) & (day(ours) == day(theirs))
     return F.coalesce(same, F.lit(False))
+
+
+def display_court(x: Column, aliases: dict[str, str]) -> Column:
+    """A court's short name by a table of names without white space; else the name as it is."""
+    return F.coalesce(F.try_element_at(literal_map(aliases), compact(x)), x)
+
+
+def id_text(x: Column) -> Column:
+    """A numeric id as text, without the fraction of whole numbers."""
+    whole = x.cast("bigint")
+    return F.when(whole == x, whole.cast("string")).otherwise(x.cast("string"))

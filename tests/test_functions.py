@@ -85,21 +85,25 @@ def test_cited_and_agreed_dates(spark):
 
 def test_date_proposals(spark):
     rows = [
-        ("대법원 2001. 2. 3. 선고", "x 대법원 2001. 2. 3. 선고", None, "READY"),
+        ("대법원 2001. 2. 3. 선고 ★", "x 대법원 2001. 2.3. 선고", None, "READY"),
         ("대법원", "대법원", None, "MISSING_TITLE_DATE"),
         ("2001. 2. 3. 2001. 2. 4.", "", None, "AMBIGUOUS_TITLE"),
         ("2001. 2. 31.", "", None, "INVALID_TITLE_DATE"),
-        ("1900. 1. 1.", "", None, "SENTINEL_DATE"),
+        ("2072. 1. 1.", "", None, "SENTINEL_DATE"),
         ("2001. 2. 3.", "no", None, "TITLE_NOT_CONFIRMED_IN_HTML"),
         ("2001. 2. 3.", "2001. 2. 3.", "20011399", "INVALID_METADATA"),
         ("2001. 2. 3.", "2001. 2. 3.", "20010204", "METADATA_CONFLICT"),
+        ("2001. 2. 3.", "2001. 2. 3.", "2001. 2. 3.", "READY"),
+        ("2001. 2. 3.", "2001. 2. 3.", "no_info", "READY"),
+        (None, None, None, "MISSING_TITLE_DATE"),
     ]
     df = spark.createDataFrame(rows, "t string, h string, m string, want string")
     for r in df.select(dates.decision_date_status(F.col("t"), F.col("h"), F.col("m")).alias("got"), "want").collect():
         assert r.got == r.want
-    closing = [("【변론종결】 2001. 2. 3.", None, "NOT_FOUND"), ("【변론종결 2001. 2. 3.】", None, "READY"), ("【변론종결 2001. 2. 3.】【변론종결 2001. 2. 4.】", None, "REVIEW_MULTIPLE"), ("", "20010203", "EXISTING_DATE_NOT_REPRODUCED"), ("【변론종결 2001. 2. 3.】", "20010204", "EXISTING_DATE_CONFLICT")]
-    df = spark.createDataFrame(closing, "t string, e string, want string")
-    for r in df.select(dates.closing_date_status(F.col("t"), F.col("e"), F.lit(True)).alias("got"), "want").collect():
+    one, two = "【변론 종결】 2001. 2. 3. 【이유】", "【변론종결일】2001. 2. 3. 2001. 2. 4"
+    closing = [("2001. 2. 3.", "", None, "NOT_FOUND"), (one, one, None, "READY"), (one, one, "2001-02-03", "READY"), (two, two, None, "REVIEW_MULTIPLE"), ("", "", "2001-02-03", "EXISTING_DATE_NOT_REPRODUCED"), (one, one, "2001-02-04", "EXISTING_DATE_CONFLICT"), (one, "", None, "NOT_CONFIRMED_IN_HTML"), ("【변론종료】 2001. 13. 1.", "", None, "INVALID_DATE")]
+    df = spark.createDataFrame(closing, "t string, h string, e string, want string")
+    for r in df.select(dates.closing_date_status(F.col("t"), F.col("h"), F.col("e").cast("date")).alias("got"), "want").collect():
         assert r.got == r.want
 
 
@@ -163,3 +167,27 @@ def test_contracts(spark):
     assert [bool(r[0]) for r in df.select(F.coalesce(contracts.span_holds(F.col("t"), F.col("s"), F.col("e"), F.col("p")), F.lit(False))).collect()] == [True, False, False]
     r = df.select(contracts.reasons(text=contracts.not_blank(F.col("t")), small=F.col("e") < 5)).collect()
     assert [x[0] for x in r] == [[], ["small"], ["text"]]
+
+
+def test_small_functions(spark):
+    df = spark.createDataFrame([("서울 고등 법원", 3.0, '{"b":1,"a":2}', " 7 "), (None, 2.5, "x", "")], "c string, f double, j string, t string")
+    got = df.select(keys.display_court(F.col("c"), {"서울고등법원": "서울고법"}), keys.id_text(F.col("f")), cells.sorted_object(F.col("j")), cells.whole_number(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("서울고법", "3", '{"a":"2","b":"1"}', 7), (None, "2.5", "x", None)]
+    spans = dates.dated_spans("선고 2001. 2. 3. 과 2001. 2. 31.")
+    assert [(s["date"], s["start"]) for s in spans] == [("2001-02-03", 3), (None, 17)]
+    tag = "<img src=a name='n.png'>"
+    assert html.name_span("é" + tag, 1, 1 + len(tag), "n.png") == (18, 23)
+    assert html.name_span(tag, 0, len(tag), "other") is None and html.name_span("<img name=a name=a>", 0, 19, "a") is None
+
+
+def test_more_contracts(spark):
+    df = spark.createDataFrame([("SCAN", None, None, "UNKNOWN", None, True), ("SCAN", True, 2, "COMPLETE", "all", True), ("FULL_TEXT", False, 0, "PARTIAL", "all", None)], "tier string, visual boolean, n int, detection string, scope string, ocr boolean")
+    got = [list(r[0]) for r in df.select(contracts.fidelity(F.col("tier"), F.col("visual"), F.col("n"), F.col("detection"), F.col("scope"), F.col("ocr"), F.lit("NOT_YET_PROCESSED"))).collect()]
+    assert got == [[], [], ["INCOMPLETE_NEGATIVE_DETECTION"]]
+    gold = spark.createDataFrame([("ELIGIBLE", contracts.GOLD_CHECKS, []), ("ELIGIBLE", ["schema"], []), ("INELIGIBLE", [], [])], "s string, c array<string>, b array<string>")
+    assert [list(r[0]) for r in gold.select(contracts.gold(F.col("s"), F.col("c"), F.col("b"))).collect()] == [[], ["INCOMPLETE_GOLD_ASSESSMENT"], ["MISSING_GOLD_BLOCKER"]]
+    snap = spark.createDataFrame([("COMPLETE", 2, 2, 2, "basis", 0, 1, 2, 3), ("COMPLETE", 2, 3, 2, None, 1, 1, 2, 1)], "c string, n int, total int, seen int, basis string, failed int, t0 int, t1 int, t2 int")
+    cols = [F.col(c) for c in ("c", "n", "total", "seen", "basis", "failed", "t0", "t1", "t2")]
+    assert [list(r[0]) for r in snap.select(contracts.inventory(*cols)).collect()] == [[], ["INVALID_INVENTORY_TIMES", "UNPROVEN_COMPLETE_INVENTORY", "INCOMPLETE_INVENTORY_COUNT"]]
+    art = spark.createDataFrame([("a", "p", "blobs/aa/bb", "TEXT"), ("a", "a", "../x", "TEXT"), ("a", None, "ok", "TEXT"), ("a", None, "ok", "RESPONSE_BYTES")], "id string, parent string, path string, kind string")
+    assert [list(r[0]) for r in art.select(contracts.artifact(F.col("id"), F.col("parent"), F.col("path"), F.col("kind"))).collect()] == [[], ["INVALID_STORAGE_KEY", "SELF_PARENT_ARTIFACT"], ["MISSING_PARENT_ARTIFACT"], []]
