@@ -595,7 +595,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """
     classes = materialize(near_duplicates(docs, id_col, text), "classes")
     lost = classes.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("lost_id"))
-    kept = docs.join(lost, F.col(id_col).cast("bigint").eqNullSafe(F.col("lost_id")), "left_anti")
+    kept = docs.join(if_small(lost), F.col(id_col).cast("bigint").eqNullSafe(F.col("lost_id")), "left_anti")
     repeated = classes.groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
 
