@@ -383,7 +383,9 @@ def _pairs_of(comp, node, n, kind):
     comp, node, n, kind = comp[order], node[order], n[order], kind[order]
     place = kind // POS
     last = np.searchsorted(n.astype(np.int64) * NUM, n.astype(np.int64) * DEN, side="right")  # larger partners end here
-    for i in range(len(n)):
+    # a smaller set too deep in its order for the least partner, its own size, has none
+    able = (n - place).astype(np.int64) * (NUM + DEN) >= 2 * NUM * n.astype(np.int64)
+    for i in np.flatnonzero(able):
         j = np.arange(i + 1, last[i])
         ok = comp[j] != comp[i]
         if kind[i] != SUBSET:
