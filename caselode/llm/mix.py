@@ -23,6 +23,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table, unused
 
@@ -61,8 +62,8 @@ def rates(docs: DataFrame, targets: dict[str, float], source: str = "source", te
     wanted = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(shares), "array<struct<g:string,w:double>>")))
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
     sums = docs.groupBy(_group(F.col(source), targets).alias("g")).agg(F.sum(size).alias("bytes"))
-    total = sums.agg(F.sum("bytes").alias("all_bytes"))
-    out = wanted.join(sums, "g", "left").join(F.broadcast(total))  # one row of totals
+    sums = sums.withColumn("all_bytes", F.sum("bytes").over(Window.partitionBy(F.lit(1))))  # a row per target
+    out = wanted.join(sums, "g", "left")
     own = F.coalesce("bytes", F.lit(0))
     out = out.withColumn("mean", F.when(own > 0, F.col("w") * F.col("all_bytes") / own).otherwise(F.lit(0.0)))
     top = F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 40).cast("int")
