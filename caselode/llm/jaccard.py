@@ -582,9 +582,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     links, comps = more(keep(rest, "cross"), links, comps)
 
     classes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    labelled = _with_component(classes, "node", comps, "component")
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = labelled.join(smallest, "component").select("node", "component_id")
+    linked = keep(comps.join(classes, "node"), "linked")  # classes without a link need no component
+    smallest = keep(linked.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    named = linked.join(if_small(smallest), "component").select("node", "component_id")
+    by_class = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     full = members.where("n > 0").join(by_class, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
