@@ -130,10 +130,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
     def run(batches):
         for batch in batches:
-            got = [(x.as_py(), features(t.as_py())) for x, t in zip(batch.column(0), batch.column(1), strict=True) if _LETTER.search(t.as_py())]
-            at = [np.flatnonzero(v) for _, v in got]
+            got = []  # only the places that aren't 0
+            for x, t in zip(batch.column(0), batch.column(1), strict=True):
+                if _LETTER.search(t.as_py()):
+                    v = features(t.as_py())
+                    at = np.flatnonzero(v)
+                    got.append((x.as_py(), at.astype("<u2").tobytes(), v[at].astype("<u4").tobytes()))
+            cols = list(zip(*got, strict=True)) if got else [[], [], []]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in got], pa.string()), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([v[i].astype("<u4").tobytes() for (_, v), i in zip(got, at, strict=True)], pa.binary())],
+                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())],
                 names=["lang", "at", "n"],
             )
 
