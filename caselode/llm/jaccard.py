@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import if_small, materialize, table
+from .common import if_small, materialize, table, unused
 from .graph import components
 
 SHINGLE = 5
@@ -232,7 +232,10 @@ def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def profile(rows: DataFrame) -> DataFrame:
-    """Per document its class and set size; per task the blocks of its shingle counts."""
+    """Per document its class and set size; per task the blocks of its shingle counts. Numbers after the text are passed on."""
+    own = [c for c in rows.columns if c != "text"]
+    at = [rows.columns.index(c) for c in own]
+    names = [*own, "node", "n", "parity", "block", "counts"]
 
     def run(batches):
         counters = _Counters(SKETCH_BITS)
@@ -242,16 +245,16 @@ def profile(rows: DataFrame) -> DataFrame:
                 counters.add(s)
             k = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                names=["doc_id", "node", "n", "parity", "block", "counts"],
+                [*(batch.column(i) for i in at), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                names=names,
             )
         for b, blob in counters.blocks():
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([b], pa.int32()), pa.array([blob], pa.binary())],
-                names=["doc_id", "node", "n", "parity", "block", "counts"],
+                [*(pa.nulls(1, pa.int64()) for _ in at), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([b], pa.int32()), pa.array([blob], pa.binary())],
+                names=names,
             )
 
-    return materialize(rows.mapInArrow(run, "doc_id bigint, node bigint, n bigint, parity array<bigint>, block int, counts binary"), "profile")
+    return materialize(rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in own) + ", node bigint, n bigint, parity array<bigint>, block int, counts binary"), "profile")
 
 
 # -- signatures ---------------------------------------------------------------
@@ -541,9 +544,9 @@ def _with_component(rows: DataFrame, node: str, comps: DataFrame, out: str) -> D
     return rows.join(if_small(named), node, "left").withColumn(out, F.coalesce("_c", node)).drop("_c")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", trace=None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document. trace(name, df) is told of each step."""
-    spark, rows = docs.sparkSession, _rows(docs, id_col, text)
+def _linked_classes(rows: DataFrame, trace=None) -> tuple[DataFrame, DataFrame]:
+    """Every row's class and set size, and the component of each class that links."""
+    spark = rows.sparkSession
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df = materialize(df, name)
@@ -552,7 +555,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return df
 
     known = keep(profile(rows), "profile")
-    members = known.where("block is null").select("doc_id", "node", "n")
+    members = known.where("block is null").drop("parity", "block", "counts")
     counts = summed(known.where("block is not null").select("block", "counts"), SKETCH_BITS)
     sizes = {r["n"]: r["count"] for r in members.where((F.col("n") > 0) & (F.col("n") <= 2 * MAX_LIGHT)).groupBy("n").count().collect()}
     light = boundary(sizes, counts)
@@ -580,6 +583,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     # what is still apart: every pair of every list
     rest = cross_pairs(_with_component(lists.select("sig", "node", "n", "kind"), "node", comps, "comp")).distinct()
     links, comps = more(keep(rest, "cross"), links, comps)
+    return members, comps
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", trace=None) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document. trace(name, df) is told of each step."""
+    members, comps = _linked_classes(_rows(docs, id_col, text), trace)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df = materialize(df, name)
+        if trace:
+            trace(name, df)
+        return df
 
     classes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     linked = keep(comps.join(classes, "node"), "linked")  # classes without a link need no component
@@ -592,15 +607,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group: the one of the smallest id (null last).
+    """docs with one row of each group: the one of the smallest id (null last).
 
-    Rows that share an id are one document; one of them stays.
+    A row is known by its id and a 64-bit hash of its text, so rows that share
+    an id, or have none, stand each for their own text. Rows of equal id and
+    text are of one group; one of them stays. Texts with an empty set all stay.
     """
-    classes = materialize(near_duplicates(docs, id_col, text), "classes")
-    lost = classes.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("lost_id"))
-    kept = docs.join(if_small(lost), F.col(id_col).cast("bigint").eqNullSafe(F.col("lost_id")), "left_anti")
-    repeated = classes.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
+    ident, digest, lost_id, lost_key = unused(docs, "ident", "digest", "lost_id", "lost_key")
+    members, comps = _linked_classes(_rows(docs, id_col, text).withColumn("key", F.xxhash64("text")))
+    rows = materialize(_with_component(members.where("n > 0"), "node", comps, "grp").select("doc_id", "key", "grp"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("k")
+    first = rows.groupBy("grp").agg(F.count("*").alias("c"), first).where("c > 1")
+    first = materialize(first.select("grp", F.col("k.doc_id").alias("keep_id"), F.col("k.key").alias("keep_key")), "first")
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("key") == F.col("keep_key"))
+    judged = rows.join(if_small(first), "grp").groupBy("doc_id", "key", own.alias("own")).count()
+    judged = materialize(judged.select(F.col("doc_id").alias(lost_id), F.col("key").alias(lost_key), "own", "count"), "judged")
+    same = F.col(ident).eqNullSafe(F.col(lost_id)) & (F.col(digest) == F.col(lost_key))
+    lost, repeated = judged.where("not own"), judged.where("own and count > 1")
+    keyed = docs.withColumn(ident, F.col(id_col).cast("bigint")).withColumn(digest, F.xxhash64(F.col(text)))
+    kept = keyed.join(if_small(lost), same, "left_anti")
+    if not repeated.isEmpty():
+        again = kept.join(if_small(repeated), same, "left_semi").dropDuplicates([ident, digest])
+        kept = kept.join(if_small(repeated), same, "left_anti").unionByName(again)
+    return kept.select(*docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,6 +262,17 @@ def test_keep_one(spark):
     assert sorted((r.doc_id for r in kept), key=str) == [2, 7, 8, 9]
 
 
+def test_keep_one_decides_by_row(spark):
+    """Rows without an id, or with a tied one, stand each for their own text."""
+    base = [" ".join(f"{k}{i}" for i in range(50)) for k in "abcdefgh"]
+    rows = [(None, base[0]), (None, base[1]), (None, base[2]), (5, base[2] + " more"), (7, base[3]), (7, base[4]), (3, base[4] + " more"), (7, base[5]), (7, base[5]), (None, base[6]), (None, base[6]), (1, ""), (1, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(1)).repartition(3)
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(None, base[0]), (None, base[1]), (5, base[2] + " more"), (7, base[3]), (3, base[4] + " more"), (7, base[5]), (None, base[6]), (1, ""), (1, None), (None, " ")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_shingle_sets_follow_the_word_rule():
     for a, b, same in (("A b C d E", "a\tb\nc\x0bd\x0ce", True), ("a b c d e", "a b c d e", False), ("É b c d e", "é b c d e", False), ("ab c d e f", "a bc d e f", False)):
         assert (jaccard.shingle_set(a).tolist() == jaccard.shingle_set(b).tolist()) is same
