@@ -5,6 +5,9 @@ over its own size. A document's count is the Poisson distribution with that
 mean, inverted at a uniform number made from a hash of seed and document id:
 no random state, the same counts whenever and wherever a task runs. Copies are
 exploded and shuffled globally by range of a hash of (seed, id, copy).
+A mean above DRAW, for which exp(-mean) nears the smallest double, is split
+into equal parts of at most DRAW: the count is the sum of one draw for each,
+each at its own hash, which has the same Poisson law.
 
 Sizes are exact sums over all documents. The table of rates has one row per
 named target and one for all other sources together, so what is broadcast is
@@ -33,6 +36,9 @@ SEED = "mix-1"
 #: The production mix caps the dominant crawl at a quarter and lifts two small sources.
 TARGETS = {"src0": 0.25, "src1": 0.10, "src2": 0.10, OTHER: 0.55}
 
+#: Largest mean of one draw; exp(-DRAW) is still a normal double.
+DRAW = 700
+
 #: 52 bits of an md5 as a fraction in [0, 1).
 _BITS, _DIGITS = float(1 << 52), 13
 
@@ -53,9 +59,9 @@ def _group(source: Column, targets: dict[str, float]) -> Column:
 
 
 def rates(docs: DataFrame, targets: dict[str, float], source: str = "source", text: str = "text") -> DataFrame:
-    """source group, bytes, mean repetition rate and the cumulative Poisson terms.
+    """source group, bytes, mean repetition rate, number of draws and the cumulative Poisson terms of one draw.
 
-    Terms run to mean + 12 standard deviations + 40: beyond any 52-bit number.
+    Terms run to a draw's mean + 12 standard deviations + 40: beyond any 52-bit number.
     """
     whole = sum(targets.values())
     shares = json.dumps([{"g": k, "w": v / whole} for k, v in targets.items()])
@@ -66,15 +72,17 @@ def rates(docs: DataFrame, targets: dict[str, float], source: str = "source", te
     out = wanted.join(sums, "g", "left")
     own = F.coalesce("bytes", F.lit(0))
     out = out.withColumn("mean", F.when(own > 0, F.col("w") * F.col("all_bytes") / own).otherwise(F.lit(0.0)))
-    top = F.ceil(F.col("mean") + 12 * F.sqrt("mean") + 40).cast("int")
-    start = F.struct(F.exp(-F.col("mean")).alias("p"), F.exp(-F.col("mean")).alias("c"), F.array(F.exp(-F.col("mean"))).alias("cdf"))
+    out = out.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("mean") / DRAW)).cast("int"))
+    out = out.withColumn("part", F.col("mean") / F.col("draws"))
+    top = F.ceil(F.col("part") + 12 * F.sqrt("part") + 40).cast("int")
+    start = F.struct(F.exp(-F.col("part")).alias("p"), F.exp(-F.col("part")).alias("c"), F.array(F.exp(-F.col("part"))).alias("cdf"))
     step = lambda a, k: F.struct(
-        (a["p"] * F.col("mean") / k).alias("p"),
-        (a["c"] + a["p"] * F.col("mean") / k).alias("c"),
-        F.concat(a["cdf"], F.array(a["c"] + a["p"] * F.col("mean") / k)).alias("cdf"),
+        (a["p"] * F.col("part") / k).alias("p"),
+        (a["c"] + a["p"] * F.col("part") / k).alias("c"),
+        F.concat(a["cdf"], F.array(a["c"] + a["p"] * F.col("part") / k)).alias("cdf"),
     )
     cdf = F.aggregate(F.sequence(F.lit(1), top), start, step, lambda a: a["cdf"])
-    return out.select("g", own.alias("bytes"), "mean", cdf.alias("cdf"))
+    return out.select("g", own.alias("bytes"), "mean", "draws", cdf.alias("cdf"))
 
 
 def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: str = SEED, id_col: str = "doc_id", source: str = "source", text: str = "text", shuffle: bool = True) -> DataFrame:
@@ -83,15 +91,18 @@ def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: str = SEED,
         raise ValueError("target weights must be positive")
     if len(targets) > 10_000 or math.inf in targets.values():
         raise ValueError("at most 10000 targets, all finite")
-    g, mean, cdf, u = unused(docs, "g", "mean", "cdf", "u")
-    table_of_rates = F.broadcast(rates(docs, targets, source, text).select(F.col("g").alias(g), F.col("mean").alias(mean), F.col("cdf").alias(cdf)))
+    g, draws, cdf, u = unused(docs, "g", "draws", "cdf", "u")
+    table_of_rates = F.broadcast(rates(docs, targets, source, text).select(F.col("g").alias(g), F.col("draws").alias(draws), F.col("cdf").alias(cdf)))
     out = docs.drop("copy", "n_copies", "shuffle_key").withColumn(g, _group(F.col(source), targets)).join(table_of_rates, g)
-    out = out.withColumn(u, unit(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    count = F.size(F.filter(cdf, lambda c: c <= F.col(u)))
-    out = out.withColumn("n_copies", count.cast("bigint")).where("n_copies > 0")
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    out = out.withColumn(u, unit(F.lit(seed), ident))
+    drawn = lambda at: F.size(F.filter(cdf, lambda c: c <= at)).cast("bigint")
+    more = F.aggregate(F.sequence(F.lit(2), F.col(draws)), F.lit(0).cast("bigint"), lambda n, k: n + drawn(unit(F.lit(seed), F.lit("draw"), k, ident)))
+    count = drawn(F.col(u)) + F.when(F.col(draws) > 1, more).otherwise(F.lit(0).cast("bigint"))
+    out = out.withColumn("n_copies", count).where("n_copies > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_copies"))))
     key = hash52(F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy"))
-    out = out.withColumn("shuffle_key", key).drop(g, mean, cdf, u)
+    out = out.withColumn("shuffle_key", key).drop(g, draws, cdf, u)
     if shuffle:
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         out = out.repartitionByRange(parts, "shuffle_key").sortWithinPartitions("shuffle_key")

@@ -361,6 +361,16 @@ def test_mix_means(spark):
     assert all(abs(r["count"] - 2000) < 200 for r in n)
 
 
+def test_mix_large_means(spark):
+    """A small source beside a large one: means above what exp(-mean) can start from."""
+    df = spark.createDataFrame([*((i, "x", "src0") for i in range(300)), (300, "y" * 899_700, None)], "doc_id long, text string, source string")
+    got = {r.g: r.mean for r in mix.rates(df, {"src0": 0.5, "other": 0.5}).collect()}
+    assert got["src0"] == 1500
+    rows = mix.mix(df, {"src0": 0.5, "other": 0.5}, shuffle=False).where("source = 'src0'")
+    n = np.array([r["count"] for r in rows.groupBy("doc_id").count().collect()])
+    assert len(n) == 300 and abs(n.mean() - 1500) < 12 and 900 < n.var() < 2200
+
+
 # -- 10 -----------------------------------------------------------------------
 
 
