@@ -191,3 +191,16 @@ def test_more_contracts(spark):
     assert [list(r[0]) for r in snap.select(contracts.inventory(*cols)).collect()] == [[], ["INVALID_INVENTORY_TIMES", "UNPROVEN_COMPLETE_INVENTORY", "INCOMPLETE_INVENTORY_COUNT"]]
     art = spark.createDataFrame([("a", "p", "blobs/aa/bb", "TEXT"), ("a", "a", "../x", "TEXT"), ("a", None, "ok", "TEXT"), ("a", None, "ok", "RESPONSE_BYTES")], "id string, parent string, path string, kind string")
     assert [list(r[0]) for r in art.select(contracts.artifact(F.col("id"), F.col("parent"), F.col("path"), F.col("kind"))).collect()] == [[], ["INVALID_STORAGE_KEY", "SELF_PARENT_ARTIFACT"], ["MISSING_PARENT_ARTIFACT"], []]
+
+
+def test_visual_refs_are_whole():
+    data, signed = "data:image/png;base64," + "A" * 500, "https://x.y/i?" + "s" * 400
+    of = lambda h: [(r["kind"], r["ref"]) for r in html.visual_refs(h)]
+    assert of(f'<img src="{data}"><img src={signed}1><img src={signed}2>') == [("data", data), ("attribute", signed + "1"), ("attribute", signed + "2")]
+    assert of('<img src="a b.png">') == [("attribute", "a b.png")]
+    assert of(f'<source srcset="{data} 1x, c.png 2x">') == [("data", data), ("srcset", "c.png")]
+    assert of('<object data="o.swf"></object><svg:image xlink:href="i.png"/>') == [("attribute", "o.swf"), ("attribute", "i.png")]
+    assert of("<svg width=1></svg><picture></picture>") == [("element", "<svg width=1>"), ("element", "<picture>")]
+    assert of("<style>a{x:url(d.png)}") == [("css", "d.png")]
+    assert of(f'<td data-pic="x {data}">') == [("data", f"x {data}")]
+    assert of("<style>a{background:url(\"data:image/svg+xml,<svg a='b'>\")} b{x:url(c.png)}</style>") == [("data", "data:image/svg+xml,<svg a='b'>"), ("css", "c.png")]
