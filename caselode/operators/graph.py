@@ -1,4 +1,4 @@
-"""Parent chains and job trees, as recursive SQL with a bound on depth."""
+"""Parent chains and job trees, by pointer doubling."""
 
 from __future__ import annotations
 
@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, depth: int = 20) -> DataFrame:
-    """root, node, depth of all nodes (id, parent) below the roots (id)."""
-    spark = nodes.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE down(root, node, depth) AS (
-             SELECT id, id, 0 FROM {roots}
-             UNION ALL SELECT d.root, n.id, d.depth + 1 FROM down d JOIN {nodes} n ON n.parent = d.node WHERE d.depth < {depth})
-           SELECT root, node, depth FROM down WHERE depth > 0""",
-        nodes=nodes,
-        roots=roots,
-        depth=depth,
-    )
+def descendants(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, node, depth of all nodes (id, parent) below the roots (id), at any depth.
+
+    Pointer doubling: with 2^k-th ancestors known, round k adds the depths from
+    2^k on below 2^(k+1), until one adds nothing. Each round is written. A chain
+    deeper than there are nodes holds a cycle: that raises.
+    """
+    up = materialize(nodes.where("parent is not null").select("id", F.col("parent").alias("up")), "up")
+    n, steps = nodes.count(), 1
+    start = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(0).alias("depth"))
+    known = materialize(start, "down")
+    while True:
+        new = known.join(up, F.col("node") == F.col("up")).select("root", F.col("id").alias("node"), (F.col("depth") + steps).alias("depth"))
+        new = materialize(new, "down")
+        if new.isEmpty():
+            return known.where("depth > 0")
+        if steps > n:
+            raise ValueError("a chain of parents below the roots holds a cycle")
+        known = known.unionByName(new)
+        up = materialize(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")), "up")
+        steps *= 2
 
 
 def in_cycle(nodes: DataFrame) -> DataFrame:

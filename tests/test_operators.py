@@ -87,6 +87,15 @@ def test_graph(spark):
     assert rows(graph.in_cycle(n), "id") == [(7,), (8,), (9,)]
 
 
+def test_descendants_at_any_depth(spark):
+    chain = [(i, i - 1 if i else None) for i in range(45)]
+    df = spark.createDataFrame([*chain, (100, 3), (200, 201), (201, 200)], "id long, parent long")
+    got = rows(graph.descendants(df, df.where("parent is null").select("id")), "root", "node", "depth")
+    assert sorted(got) == sorted([*((0, i, i) for i in range(1, 45)), (0, 100, 4)])
+    with pytest.raises(ValueError, match="cycle"):
+        graph.descendants(df, df.where("id = 200").select("id"))
+
+
 def test_ledger(spark):
     old = spark.createDataFrame([("a", "1")], "k string, v string")
     new = spark.createDataFrame([("a", "2"), ("b", None), ("b", None)], "k string, v string")
