@@ -1,119 +1,144 @@
 r"""Token counts by a compiled transducer.
 
-The tokenizer file is compiled, path by path, into a deterministic transducer:
-from the reset state, each string without a blank or line feed leads back to
-the reset state at the next blank, and that path is annotated with the number
-of tokens it emits. No rule of the tokenizer looks across a blank (white space
-is dropped, words end there, normalisation composes nothing with it), so the
-blank synchronises the machine: whatever the state before it, it is reset
-after it. Paths are compiled when first met, with the tokenizers library as
-the source of the annotation, and kept up to a bound.
-
-A text is cut into chunks at arbitrary places. A chunk's state map says, for
-any state it may start in, which state it ends in and how many tokens it
-emits. As states before the first blank are strings, the map is held as
-(head, inner count, tail): a start state s goes to `tail`, emitting
-count(s + head) + inner. A chunk without a blank maps s to s + head. These
-maps compose associatively; `compose_all` folds them as a balanced tree, the
-shape of a parallel prefix scan.
-
-Defined cases: null and empty texts have 0 bytes and 0 tokens; very long texts
-are handled in chunks; repeated rows each give a row; other columns are
-ignored; an empty table gives no rows.
+`transducer` compiles the tokenizer file into a deterministic machine whose
+transitions carry counts of emitted tokens. Texts up to CHUNK code points are
+run whole, many at a time. Longer ones are normalised, cut into chunks at
+arbitrary places and dealt over the cluster: a chunk's state map says, for any
+state it may start in, which state it ends in and how many tokens it emits. As
+white space resets the machine, a map is (head, inner count, tail): what stands
+before the first reset, what is counted between, what stands after the last.
+Maps compose associatively; rounds over the (document, chunk) rows, each
+joining FAN neighbours, are the up-sweep of a parallel prefix scan and leave
+one map a document. No task ever holds more than a chunk, or FAN maps.
+
+Defined cases: null and empty texts have 0 bytes and 0 tokens; texts with a
+special string, or with a code point that the compiled table lacks, are counted
+whole by the tokenizers library; a tokenizer file that the compiler does not
+know raises Unsupported before any text is read; repeated rows and ids each
+give a row, null ids too; ids keep their type; other columns are ignored, so
+none can clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .bpe import default_path
 from .common import table
+from .transducer import GROUP, transducer
 
 LIMIT = 2048
-#: Code points in a chunk.
+#: Code points in a chunk; texts up to this run whole.
 CHUNK = 1 << 16
-#: Compiled paths that a worker keeps, and the longest one kept, in code points.
-PATHS, LONGEST = 1_000_000, 64
-
-
-class Transducer:
-    """Counts of emitted tokens by path from the reset state to itself."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.emits: dict[str, int] = {"": 0}
-
-    def compile(self, words) -> dict[str, int]:
-        """Annotate unknown paths; the ones too long to keep come back."""
-        new = [w for w in words if w not in self.emits]
-        if not new:
-            return {}
-        if len(self.emits) + len(new) > PATHS:
-            self.emits = {"": 0}
-            new = list(words)
-        long = {}
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (self.emits if len(w) <= LONGEST else long)[w] = len(e.ids)
-        return long
-
-    def count(self, words: list[str]) -> int:
-        """Tokens that words between resets emit."""
-        try:
-            return sum(map(self.emits.__getitem__, words))
-        except KeyError:
-            long = self.compile(set(words))
-            return sum(self.emits[w] if w in self.emits else long[w] for w in words)
-
-    def state_map(self, chunk: str) -> tuple:
-        """(head, inner count, tail), or (head,) if the chunk never resets."""
-        words = chunk.replace("\n", " ").split(" ")
-        if len(words) == 1:
-            return (chunk,)
-        return (words[0], self.count(words[1:-1]), words[-1])
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The map of chunk a followed by chunk b."""
-        if len(a) == 1:
-            return (a[0] + b[0], *b[1:])
-        if len(b) == 1:
-            return (a[0], a[1], a[2] + b[0])
-        return (a[0], a[1] + self.count([a[2] + b[0]]) + b[1], b[2])
-
-    def compose_all(self, maps: list[tuple]) -> tuple:
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0]
-
-    def tokens(self, text: str, chunk: int = CHUNK) -> int:
-        whole = self.compose_all([self.state_map(text[i : i + chunk]) for i in range(0, max(1, len(text)), chunk)])
-        return self.count([whole[0]]) if len(whole) == 1 else self.count([whole[0], whole[2]]) + whole[1]
-
-
-@lru_cache(maxsize=4)
-def transducer(path: str) -> Transducer:
-    return Transducer(path)
-
-
-def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every text; no shuffle."""
+#: Maps that one task composes in a round.
+FAN = 32
+
+#: A map with the number, id and size of the document that it is of.
+_NAMES = ["row", "doc_id", "n_bytes", "chunk", "head", "inner", "tail"]
+
+
+def _map_type(kind: str) -> str:
+    return f"row bigint, doc_id {kind}, n_bytes bigint, chunk bigint, head string, inner bigint, tail string"
+
+
+def _maps(of: list, chunk: pa.Array, maps: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*maps, strict=True)) or [[]] * 3
+    parts = [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()), strict=True)]
+    return pa.RecordBatch.from_arrays([*of, chunk, *parts], names=_NAMES)
+
+
+def _counted(rows: DataFrame, path: str, kind: str) -> DataFrame:
+    """id, n_bytes, n_tokens of rows (id, n_bytes, text), whole texts."""
 
     def run(batches):
         machine = transducer(path)
         for batch in batches:
-            n = [machine.tokens(x.as_py() or "") for x in batch.column(2)]
+            n, held, size = [], [], 0
+            for x in batch.column(2):
+                held.append(x.as_py())
+                size += len(held[-1] or "")
+                if size >= GROUP:
+                    n += machine.tokens(held)
+                    held, size = [], 0
+            n += machine.tokens(held)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+
+
+def chunk_maps(rows: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+    """The state map of each chunk of rows (row, doc_id, n_bytes, text).
+
+    A text that only the library can count has one map: its count between blanks.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches):
+        machine = transducer(path)
+        for batch in batches:
+            for i, text in enumerate(batch.column(3)):
+                text = text.as_py()
+                known = not machine.outside(text)
+                text = machine.normal(text) if known else str(machine.tokens([text])[0])
+                for k in range(0, len(text), chunk):
+                    own = [c.slice(i, 1) for c in batch.columns[:3]]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array([k // chunk]), pa.array([text[k : k + chunk]]), pa.array([known])], names=[*_NAMES[:4], "part", "known"])
+
+    def maps(batches):
+        machine = transducer(path)
+        for batch in batches:
+            parts = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            yield _maps(batch.columns[:3], batch.column(3), [machine.map_of(x) if known else ("", int(x), "") for x, known in parts])
+
+    parts = rows.mapInArrow(cut, f"row bigint, doc_id {kind}, n_bytes bigint, chunk bigint, part string, known boolean")
+    return parts.repartition("row", "chunk").mapInArrow(maps, _map_type(kind))
+
+
+def composed(maps: DataFrame, path: str, longest: int, fan: int = FAN) -> DataFrame:
+    """One map a document: rounds of composing `fan` neighbours, until `longest` chunks have become one."""
+    kind = maps.schema["doc_id"].dataType.simpleString()
+
+    def join(group: pa.Table) -> pa.Table:
+        machine, out = transducer(path), None
+        group = group.sort_by("chunk").combine_chunks()
+        for m in group.select(["head", "inner", "tail"]).to_pylist():
+            m = (m["head"], m["inner"], m["tail"])
+            out = m if out is None else machine.compose(out, m)
+        own = [group.column(i).chunk(0).slice(0, 1) for i in range(3)]
+        return pa.Table.from_batches([_maps(own, pa.array([group["chunk"][0].as_py() // fan]), [out])])
+
+    while longest > 1:
+        maps = maps.groupBy("row", F.floor(F.col("chunk") / fan).alias("next")).applyInArrow(join, _map_type(kind))
+        longest = -(-longest // fan)
+    return maps
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every text; only chunks of long texts are shuffled."""
+    ship(docs.sparkSession)
+    transducer(path)  # a file that can't be compiled fails here
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), size.alias("n_bytes"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("n_bytes"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    long = F.length("text") > chunk
+    out = _counted(rows.where(~F.coalesce(long, F.lit(False))), path, kind)
+    most = rows.where(long).agg(F.max(F.length("text"))).first()[0]
+    if most:
+        numbered = rows.where(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", "text")
+        # normalising may lengthen a text, at most threefold in code points
+        one = composed(chunk_maps(numbered, path, chunk), path, 3 * (most // chunk + 1), fan)
+
+        def total(batches):
+            machine = transducer(path)
+            for batch in batches:
+                n = [machine.total(m) for m in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6)), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:3], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+        out = out.unionByName(one.mapInArrow(total, f"doc_id {kind}, n_bytes bigint, n_tokens bigint"))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and odd inputs."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caselode.llm import chat, imatch, jaccard, langid, mix, pack, quality, shards, tokencount, tokenfile
+from caselode.llm import chat, imatch, jaccard, langid, mix, pack, quality, shards, tokencount, tokenfile, transducer
 from caselode.llm.bpe import byte_bpe, default_path
 from caselode.llm.common import scratch_path
 from caselode.llm.graph import components
@@ -141,27 +142,79 @@ def test_token_files_round_trip(spark, corpus, empty):
 # -- 3 ------------------------------------------------------------------------
 
 
+def library_counts(machine, texts):
+    return [len(machine.library.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_counts(spark, corpus, empty):
     df, texts = corpus
     path = default_path("word_bpe_49k.json")
-    machine = tokencount.Transducer(path)
-    want = {k: len(machine.library.encode(t, add_special_tokens=False).ids) for k, t in texts.items()}
-    got = {r.doc_id: r for r in tokencount.count_tokens(df, path).collect()}
-    assert {k: (r.n_bytes, r.n_tokens) for k, r in got.items()} == {k: (len(t.encode()), want[k]) for k, t in texts.items()}
+    machine = transducer.transducer(path)
+    want = dict(zip(texts, library_counts(machine, texts.values()), strict=True))
+    for chunk, fan in ((1 << 16, 32), (7, 2), (100, 3)):
+        got = {r.doc_id: r for r in tokencount.count_tokens(df, path, chunk=chunk, fan=fan).collect()}
+        assert {k: (r.n_bytes, r.n_tokens) for k, r in got.items()} == {k: (len(t.encode()), want[k]) for k, t in texts.items()}
     assert tokencount.count_tokens(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 1000])
-def test_chunks_compose_to_the_whole(chunk):
-    machine = tokencount.Transducer(default_path("word_bpe_49k.json"))
-    rng = random.Random(chunk)
-    for t in [x or "" for x in ODD[:7]] + ["".join(rng.choice("ab \n'sé1🙂.") for _ in range(60)) for _ in range(60)]:
-        assert machine.tokens(t, chunk) == len(machine.library.encode(t, add_special_tokens=False).ids)
-    maps = [machine.state_map(x) for x in ("ab c", "d", " e f", "g", "h ")]
-    left = maps[0]
-    for m in maps[1:]:
-        left = machine.compose(left, m)
-    assert left == machine.compose_all(maps)
+def test_token_counts_of_odd_rows(spark):
+    """Null and repeated ids, ids that are no numbers, clashing columns, words and texts over many chunks."""
+    path = default_path("word_bpe_49k.json")
+    machine = transducer.transducer(path)
+    long = "a" * 150_000 + " b " + "tree's 12 " * 20_000
+    texts = [None, "", long, long, "x" * 70_000 + "<|endoftext|>y", "\U00020000 z" * 30_000]
+    rows = [(["k", None][i % 2], t, 7) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n_tokens int").withColumn("row", F.lit("clash"))
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(df, path).collect()), key=str)
+    want = [(k, len((t or "").encode()), n, n > 2048) for (k, t, _), n in zip(rows, library_counts(machine, texts), strict=True)]
+    assert got == sorted(want, key=str)
+
+
+def test_transducer_is_the_library():
+    machine = transducer.Transducer(default_path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    parts = ["a", "e", "s", "t", "re", "ll", "v", "'", "''", " ", "\n", "1", "٣", "é", "e\u0301", "ß", "Σ", "İ", "한", "ㅎ", "ᄒ\u1161", "🙂", "\U00020000", "!", "...", "<|endoftext|>", "\x1c", "\u3000", "ſ", "K", "th", "ing"]
+    texts = [*ODD, *("".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(3000))]
+    texts += ["".join(rng.choice("abcdehilnorstu") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += [*("a" * k for k in range(120)), *("ab" * k + "a" for k in range(60)), "haha" * 900]
+    want = library_counts(machine, texts)
+    assert machine.tokens(texts) == want
+    machine._clear()  # states are numbered anew
+    assert machine.tokens(texts[::-1]) == want[::-1]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_chunks_compose_to_the_whole(size):
+    machine = transducer.transducer(default_path("word_bpe_49k.json"))
+    rng = random.Random(size)
+    for t in ["".join(rng.choice(["a", "b", " ", "\n", "'s", "e\u0301", "1", "🙂", "."]) for _ in range(60)) for _ in range(60)]:
+        whole = machine.normal(t)
+        maps = [machine.map_of(whole[i : i + size]) for i in range(0, max(1, len(whole)), size)]
+        left = maps[0]
+        for m in maps[1:]:
+            left = machine.compose(left, m)
+        while len(maps) > 1:
+            maps = [machine.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        assert left == maps[0]  # composing is associative
+        assert machine.total(left) == len(machine.library.encode(t, add_special_tokens=False).ids)
+
+
+def test_unknown_tokenizer_files_are_refused(tmp_path):
+    with open(default_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    changes = [
+        ("normalizer", {"type": "NFKC"}),
+        ("pre_tokenizer", {"type": "Whitespace"}),
+        ("model", spec["model"] | {"byte_fallback": True}),
+        ("model", spec["model"] | {"merges": spec["model"]["merges"][::-1]}),
+    ]
+    for k, (key, value) in enumerate(changes):
+        with open(f"{tmp_path}/{k}.json", "w", encoding="utf-8") as f:
+            json.dump(spec | {key: value}, f)
+        with pytest.raises(Exception):  # the library itself refuses some
+            transducer.Transducer(f"{tmp_path}/{k}.json")
+    with pytest.raises(transducer.Unsupported):
+        transducer.Transducer(default_path("byte_bpe_50k.json"))
 
 
 # -- 5 ------------------------------------------------------------------------
