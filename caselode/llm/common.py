@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 from ..storage import materialize, scratch_path, shared_dir
 
-__all__ = ["if_small", "materialize", "scratch_path", "shared_dir", "table", "unused", "words_of"]
+__all__ = ["count_upto", "if_small", "let", "materialize", "scratch_path", "shared_dir", "table", "unused", "words_of"]
 
 #: White space of the word rule, for Java and for DuckDB patterns.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,3 +47,19 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: the argument of a lambda.
+
+    Keeps an expression of linear size, also where the optimizer moves a
+    filter on it below a projection.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def count_upto(values: Column, x: Column, n: int) -> Column:
+    """How many of the n ascending values are at most x, by bisection."""
+    steps = [1 << k for k in reversed(range(max(1, n).bit_length()))]
+    further = lambda at, step: F.when(F.get(values, at + step - 1) <= x, at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)

@@ -1,28 +1,29 @@
 """Document fingerprints by I-Match with randomised lexicon subsets.
 
-Terms are words of letters and digits, lower-cased and hashed into 2^18
-buckets. A first pass counts, over all documents, in how many of them each
-bucket occurs. The lexicon is the band of buckets whose document frequency
-lies between two shares of the corpus, that is, of inverse document frequency
-within a range: neither so rare that an edit adds them nor so common that they
-say nothing. As a set of buckets it is a bitmap of 32 KB, however large the
-corpus and its vocabulary.
-
-A fingerprint keeps a text's distinct terms that are in the lexicon (all its
-terms, if fewer than MIN_TERMS are), sorts them, and hashes them once whole
-and once for each of several random subsets of the lexicon. A subset takes a
-term by bits of the term's hash: 1 of 8, 32, 128 or 512, so that for short and
-long texts some subsets hold few of its terms, and small edits leave those
-subsets' hashes alone. The likeness of two
-fingerprints is the share of equal hashes among those subsets that are empty
-in at most one of the two.
+Terms are lower-cased words of letters and digits. A first pass counts, over
+all documents, in how many of them each term occurs. The lexicon is the band of
+terms whose document frequency lies between two shares of the corpus, that is,
+of inverse document frequency within a range: neither so rare that an edit adds
+them nor so common that they say nothing. Every lexicon term occurs in at least
+LOW of the documents, so the lexicon has at most 1 / LOW times as many terms as
+a document has distinct terms on average, however large the corpus and its
+vocabulary: bounded, so it is a literal of the plan.
+
+A fingerprint keeps a text's distinct terms that are in the lexicon, sorts
+them, and hashes them once whole and once for each of several random subsets of
+the lexicon. A subset takes a term by bits of the term's hash. Subsets come in
+FAMILIES, each a chain of ever smaller ones, every one a quarter of the one
+before: whatever a text's length, some subsets hold few of its terms, and edits
+elsewhere leave their hashes alone. The likeness of two fingerprints is the
+share of equal hashes among those subsets that are empty in at most one of the
+two.
 
 Main path: built-in functions only. One shuffle moves the texts, to set each
 next to its successor by id.
 
-Defined cases: null and empty texts, and texts without letters or digits, have
-the empty fingerprint (likeness 1 to each other, 0 to any other); equal texts
-have equal fingerprints; documents with equal ids follow each other in order of
+Defined cases: null and empty texts, and texts without a lexicon term, have the
+empty fingerprint (likeness 1 to each other, 0 to any other); equal texts have
+equal fingerprints; documents with equal ids follow each other in order of
 their text; a null id comes first; a single document is its own successor;
 other columns are ignored; an empty table gives no rows.
 """
@@ -35,64 +36,61 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import count_upto, let, table
 
-BUCKET_BITS = 18
 #: The band: document frequency as a share of the corpus, and two documents at least.
 LOW, HIGH = 0.0005, 0.2
-MIN_TERMS = 4
-#: (number of subsets, bits that must be 0 for a term to be in one).
-SUBSETS = ((4, 3), (6, 5), (9, 7), (7, 9))
+#: Hash buckets that the lexicon lies in, for looking terms up.
+BUCKETS = 1 << 16
+#: Chains of subsets; subsets of a chain; bits of a term's hash that must be 0 for each next subset.
+FAMILIES, LEVELS, BITS = 24, 5, 2
 #: Hash of no terms.
 EMPTY = 42
 _WORD = r"[^\p{L}\p{N}]+"
 
 
 def _terms(text: Column) -> Column:
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _WORD), "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit((1 << BUCKET_BITS) - 1))))
+    return F.array_distinct(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _WORD), ""))
 
 
-def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> list[int]:
-    """The band's bitmap as 64-bit words: 4096 of them, counted over all documents."""
-    n = docs.count()
-    seen = docs.select(F.explode(_terms(F.col(text))).alias("b")).groupBy("b").count()
-    band = seen.where((F.col("count") >= F.lit(max(2.0, low * n))) & (F.col("count") <= F.lit(high * n)))
-    words = band.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
-    out = [0] * (1 << (BUCKET_BITS - 6))
-    for r in words.collect():
-        out[r["w"]] = r["bits"]
-    return out
+def frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, count: the number of documents that hold each term."""
+    return docs.select(F.explode(_terms(F.col(text))).alias("term")).groupBy("term").count()
 
 
-def _field(x: Column, k: Column, width: int) -> Column:
-    """The k-th field of `width` bits of x."""
-    return F.call_function("shiftrightunsigned", x, k * width).bitwiseAND(F.lit((1 << width) - 1))
+def _bucket(term: Column) -> Column:
+    return F.xxhash64(term).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def parts_of(text: Column, bitmap: list[int]) -> Column:
-    """The fingerprint as an array of hashes: the whole lexicon's, then each subset's (EMPTY: no term)."""
-    bits = F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>")
-    known = lambda b: F.getbit(F.get(bits, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
-    # each level is a lambda's argument, so it is computed once
-    first = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-
-    def pick(terms: Column) -> Column:
-        return first(F.filter(terms, known), lambda band: F.sort_array(F.when(F.size(band) >= MIN_TERMS, band).otherwise(terms)))
+def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> list[list[str]]:
+    """The band's terms, in BUCKETS lists by their hash."""
+    n = docs.count()
+    seen = frequencies(docs, text)
+    band = seen.where((F.col("count") >= F.lit(max(2.0, low * n))) & (F.col("count") <= F.lit(high * n)))
+    out: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for r in band.groupBy(_bucket(F.col("term")).alias("bucket")).agg(F.sort_array(F.collect_list("term")).alias("terms")).collect():
+        out[r["bucket"]] = r["terms"]
+    return out
 
-    def subsets(used: Column, salt: int, count: int, width: int) -> Column:
-        def one(row: Column) -> Column:
-            def taken(k: Column) -> Column:
-                return F.xxhash64(F.filter(row, lambda x: _field(x, k, width) == 0))
 
-            return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), taken)
+def parts_of(text: Column, band: list[list[str]]) -> Column:
+    """The fingerprint as an array of hashes: the whole lexicon's, then each subset's (EMPTY: no term)."""
+    per = 64 // (LEVELS * BITS)  # chains that one hash of a term serves
 
-        return first(F.transform(used, lambda b: F.xxhash64(b, F.lit(salt))), one)
+    def chain(terms: Column, k: Column, level: int) -> Column:
+        """Hashes of the k-th chain's subsets from `level` on, of terms that are in the one before."""
+        field = lambda x: F.call_function("shiftrightunsigned", x, k * (LEVELS * BITS) + level * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
+        rest = lambda own: F.array(F.xxhash64(own)) if level + 1 == LEVELS else F.concat(F.array(F.xxhash64(own)), chain(own, k, level + 1))
+        return let(F.filter(terms, lambda x: field(x) == 0), rest)
 
-    def hashes(used: Column) -> Column:
-        return F.concat(F.array(F.xxhash64(used)), *[subsets(used, k, count, width) for k, (count, width) in enumerate(SUBSETS)])
+    def subsets(used: Column, salt: int) -> Column:
+        chains = F.sequence(F.lit(0), F.lit(min(per, FAMILIES - salt * per) - 1))
+        return let(F.transform(used, lambda t: F.xxhash64(t, F.lit(salt))), lambda h: F.flatten(F.transform(chains, lambda k: chain(h, k, 0))))
 
-    return first(first(_terms(text), pick), hashes)
+    buckets = F.from_json(F.lit(json.dumps(band, ensure_ascii=False)), "array<array<string>>")
+    known = lambda t: F.array_contains(F.get(buckets, _bucket(t)), t)
+    used = F.sort_array(F.filter(_terms(text), known))
+    return let(used, lambda u: F.concat(F.array(F.xxhash64(u)), *[subsets(u, salt) for salt in range(-(-FAMILIES // per))]))
 
 
 def as_text(parts: Column) -> Column:
@@ -108,10 +106,10 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(counted) == 0, F.lit(1.0)).otherwise(equal / F.size(counted)).cast("double")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", bitmap: list[int] | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", band: list[list[str]] | None = None) -> DataFrame:
     """docs with `fingerprint`; general use of the operator."""
-    bitmap = bitmap if bitmap is not None else lexicon(docs, text)
-    return docs.withColumn("fingerprint", as_text(parts_of(F.col(text), bitmap)))
+    band = band if band is not None else lexicon(docs, text)
+    return docs.withColumn("fingerprint", as_text(parts_of(F.col(text), band)))
 
 
 def with_next(rows: DataFrame, key: str, tie: str, carry: list[str]) -> DataFrame:
@@ -126,7 +124,7 @@ def with_next(rows: DataFrame, key: str, tie: str, carry: list[str]) -> DataFram
     parts = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first()["q"] or []
     bounds = F.from_json(F.lit(json.dumps(sorted(set(cuts)))), "array<bigint>")
-    dealt = rows.withColumn("range", F.size(F.filter(bounds, lambda c: c <= F.coalesce(F.col(key), F.lit(-(1 << 63))))))
+    dealt = rows.withColumn("range", count_upto(bounds, F.coalesce(F.col(key), F.lit(-(1 << 63))), len(set(cuts))))
     firsts = sorted((r[0], r[1], r[2]) for r in dealt.groupBy("range").agg(F.min(F.coalesce(key, F.lit(-(1 << 63)))), F.max(F.col(key).isNull())).collect())
     before = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
     keys = [k for _, k, null in firsts if not null]
@@ -140,13 +138,13 @@ def with_next(rows: DataFrame, key: str, tie: str, carry: list[str]) -> DataFram
 
 def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bitmap = lexicon(docs)
-    rows = with_next(docs.withColumn("parts", parts_of(F.col("text"), bitmap)), "doc_id", "text", ["text", "parts"])
+    band = lexicon(docs)
+    rows = with_next(docs.withColumn("parts", parts_of(F.col("text"), band)), "doc_id", "text", ["text", "parts"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "parts", "next_parts", edited.alias("edited"))
-    rows = rows.withColumn("edited_parts", parts_of(F.col("edited"), bitmap))
+    rows = rows.withColumn("edited_parts", parts_of(F.col("edited"), band))
     return rows.select(
         "doc_id",
         "n_chars",

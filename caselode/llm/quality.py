@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, unused, words_of
+from .common import let, table, unused, words_of
 
 WINDOW = 8
 
@@ -52,15 +52,6 @@ def _without(text: Column, chars: str) -> Column:
     return text
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once: the argument of a lambda.
-
-    Keeps the whole verdict one expression of linear size, also where the
-    optimizer moves a filter on it below a projection.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def repeat_words(words: Column) -> Column:
     """Words that stand in a window of WINDOW words found twice or more in the text.
 

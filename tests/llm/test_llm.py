@@ -9,6 +9,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from caselode.llm import chat, imatch, jaccard, langid, mix, pack, quality, shards, tokencount, tokenfile, transducer
@@ -49,30 +51,70 @@ def empty(spark):
 # -- 1 ------------------------------------------------------------------------
 
 
+def spark_hash(values):
+    """Spark's xxhash64 of strings and longs, one after the other; an array counts as its elements."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True) if abs(v) > 9 else v.to_bytes(4, "little"), seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def imatch_terms(t):
+    return {w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+
+
+def brute_fingerprint(t, band):
+    used = sorted(imatch_terms(t) & band, key=lambda w: w.encode())
+    parts, per = [spark_hash(used)], 64 // (imatch.LEVELS * imatch.BITS)
+    for family in range(imatch.FAMILIES):
+        salt, k = divmod(family, per)
+        own = [spark_hash([w, salt]) for w in used]
+        for level in range(imatch.LEVELS):
+            own = [h for h in own if (h % (1 << 64)) >> (k * imatch.LEVELS * imatch.BITS + level * imatch.BITS) & ((1 << imatch.BITS) - 1) == 0]
+            parts.append(spark_hash(own))
+    return parts
+
+
+def brute_likeness(a, b):
+    counted = [(x, y) for x, y in zip(a, b, strict=True) if x != imatch.EMPTY or y != imatch.EMPTY]
+    return sum(x == y for x, y in counted) / len(counted) if counted else 1.0
+
+
 def test_imatch(spark, corpus, tmp_path, empty):
     df, texts = corpus
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in imatch.op1_imatch(spark, str(tmp_path)).collect()}
     ids = sorted(texts)
-    prints = {}
+    seen = Counter(w for t in texts.values() for w in imatch_terms(t))
+    n = len(texts)
+    band = {w for w, c in seen.items() if max(2, imatch.LOW * n) <= c <= imatch.HIGH * n}
+    assert band and band == {w for part in imatch.lexicon(df) for w in part}
+    as_text = lambda parts: "".join(f"{h & 0xFFFFFFFF:08x}" for h in parts)
     for i, k in enumerate(ids):
         t, nxt = texts[k], texts[ids[(i + 1) % len(ids)]]
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
         r = got[k]
+        own, other, changed = (brute_fingerprint(x, band) for x in (t, nxt, edited))
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert prints.setdefault(t, r.fingerprint) == r.fingerprint
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if nxt == t:
-            assert r.near_next == 1
+        assert (r.fingerprint, r.edited_fingerprint) == (as_text(own), as_text(changed))
+        assert (r.near_edited, r.near_next) == (brute_likeness(own, changed), brute_likeness(own, other))
     assert imatch.fingerprints(empty).count() == 0
 
 
+def test_imatch_tells_halves_from_strangers(spark, tmp_path):
+    """An edited text is nearer than the next one, for almost all texts."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(f"w{int(3000 * rng.random() ** 3)}" for _ in range(rng.choice([20, 60, 200, 900])))) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = imatch.op1_imatch(spark, str(tmp_path)).where("near_edited > near_next").count()
+    assert r >= 0.95 * len(rows)
+
+
 def test_imatch_band_and_ties(spark):
     rows = [(1, "common rare1"), (1, "common mid"), (2, "common mid"), (None, "common")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("range", F.lit(1)).withColumn("parts", F.lit("x"))
-    bits = imatch.lexicon(df, low=0.4, high=0.6)
-    assert sum(bin(b & (2**64 - 1)).count("1") for b in bits) == 1  # mid alone
+    assert [t for part in imatch.lexicon(df, low=0.4, high=0.6) for t in part] == ["mid"]
     nxt = imatch.with_next(df.select("doc_id", "text"), "doc_id", "text", ["text"]).collect()
     assert {(r.doc_id, r.text): r.next_text for r in nxt} == {(None, "common"): "common mid", (1, "common mid"): "common rare1", (1, "common rare1"): "common mid", (2, "common mid"): "common"}
     one = imatch.with_next(spark.createDataFrame([(5, "a")], "doc_id long, text string"), "doc_id", "text", ["text"]).first()
