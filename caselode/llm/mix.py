@@ -8,6 +8,8 @@ exploded and shuffled globally by range of a hash of (seed, id, copy).
 A mean above DRAW, for which exp(-mean) nears the smallest double, is split
 into equal parts of at most DRAW: the count is the sum of one draw for each,
 each at its own hash, which has the same Poisson law.
+The shuffle key is uniform on 52 bits, so the ranges' bounds are known before
+and the input is read and drawn once, with no sample of it.
 
 Sizes are exact sums over all documents. The table of rates has one row per
 named target and one for all other sources together, so what is broadcast is
@@ -105,7 +107,8 @@ def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, seed: str = SEED,
     out = out.withColumn("shuffle_key", key).drop(g, draws, cdf, u)
     if shuffle:
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = out.repartitionByRange(parts, "shuffle_key").sortWithinPartitions("shuffle_key")
+        place = (F.col("shuffle_key") * F.lit(float(parts)) / F.lit(_BITS)).cast("int")
+        out = out.repartitionById(parts, F.least(place, F.lit(parts - 1))).sortWithinPartitions("shuffle_key")
     return out
 
 
@@ -125,10 +128,13 @@ WITH RECURSIVE w(g, w) AS (VALUES {wanted}),
 d AS (SELECT doc_id, source, CASE WHEN source IN ({named}) THEN source ELSE '{OTHER}' END AS g, coalesce(strlen(text), 0) AS b, md5(text) AS text_md5,
       {number.format(f"'{SEED}:' || coalesce(doc_id::varchar, '')")}::double / {_BITS!r} AS u FROM documents),
 s AS (SELECT g, sum(b) AS bytes FROM d GROUP BY g),
-r AS (SELECT w.g, CASE WHEN coalesce(bytes, 0) > 0 THEN w * (SELECT sum(bytes) FROM s)::double / bytes::double ELSE 0.0::double END AS mean FROM w LEFT JOIN s USING (g)),
-c AS (SELECT g, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS cum FROM r UNION ALL
-      SELECT g, mean, k + 1, p * mean / (k + 1), cum + p * mean / (k + 1) FROM c WHERE k < ceil(mean + 12 * sqrt(mean) + 40)),
-n AS (SELECT doc_id, source, text_md5, count(*) FILTER (WHERE c.cum <= u)::BIGINT AS n_copies, any_value(u) AS u FROM (SELECT *, row_number() OVER () AS rn FROM d) d JOIN c USING (g) GROUP BY rn, doc_id, source, text_md5)
+r AS (SELECT *, mean / draws AS part FROM (SELECT *, greatest(1, ceil(mean / {DRAW}))::INT AS draws FROM (
+      SELECT w.g, CASE WHEN coalesce(bytes, 0) > 0 THEN w * (SELECT sum(bytes) FROM s)::double / bytes::double ELSE 0.0::double END AS mean FROM w LEFT JOIN s USING (g)))),
+c AS (SELECT g, part, 0 AS k, exp(-part) AS p, exp(-part) AS cum FROM r UNION ALL
+      SELECT g, part, k + 1, p * part / (k + 1), cum + p * part / (k + 1) FROM c WHERE k < ceil(part + 12 * sqrt(part) + 40)),
+e AS (SELECT d.*, unnest(generate_series(1, draws)) AS draw FROM (SELECT *, row_number() OVER () AS rn FROM d) d JOIN r USING (g)),
+f AS (SELECT * REPLACE (CASE WHEN draw = 1 THEN u ELSE {number.format(f"'{SEED}:draw:' || draw || ':' || coalesce(doc_id::varchar, '')")}::double / {_BITS!r} END AS u) FROM e),
+n AS (SELECT doc_id, source, text_md5, count(*) FILTER (WHERE c.cum <= u)::BIGINT AS n_copies FROM f JOIN c USING (g) GROUP BY rn, doc_id, source, text_md5)
 SELECT doc_id, source, k AS copy, n_copies, {number.format(f"'{SEED}:order:' || coalesce(doc_id::varchar, '') || ':' || k")} AS shuffle_key, text_md5
 FROM n, unnest(generate_series(1, n_copies)) AS s(k)
 """

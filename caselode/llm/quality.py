@@ -4,6 +4,10 @@ Each rule names a ratio or count of a text and the range that a good text has.
 `quality_rules` compiles the table into Column expressions of a single
 select: no user functions, no shuffle, no join.
 
+The stop-word rule judges a text by the function words of its own language, so
+it applies only where a language column is given and names a language of
+STOP_WORDS; texts of all other languages are judged by the other rules.
+
 Defined cases: a null text counts as empty (0 words, base_failed); repeated
 rows are judged each on its own; input columns of the same names as outputs
 are replaced; any other column passes through; an empty table gives no rows.
@@ -18,7 +22,7 @@ from .common import let, table, unused, words_of
 
 WINDOW = 8
 
-#: Frequent function words of the corpus' four languages.
+#: Frequent function words by language.
 STOP_WORDS = {
     "en": "the be to of and that have with in is it for was on are as at this by not or an",
     "de": "der die und den von zu das mit sich des auf ist im dem nicht ein eine als auch es",
@@ -33,7 +37,7 @@ LETTER = r"[A-Za-z\x{0080}-\x{10FFFF}]"
 #: name, metric, lowest, highest (null: no bound). Ratios are of words or of
 #: lines that hold a word.
 RULES: list[tuple[str, str, float | None, float | None]] = [
-    ("mean_word_length", "mean_word_chars", 2.0, 15.0),
+    ("mean_word_length", "mean_word_chars", 1.5, 15.0),  # words of one or two characters are common in some scripts
     ("symbol_ratio", "symbols_per_word", None, 0.1),
     ("stop_words", "stop_ratio", 0.02, None),
     ("letter_words", "letter_word_ratio", 0.6, None),
@@ -79,8 +83,22 @@ def repeat_words(words: Column) -> Column:
     return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), count)
 
 
-def _counts(text: Column) -> Column:
-    stop_list = sorted({w for ws in STOP_WORDS.values() for w in ws.split()})
+def _stop_words(words: Column, lang: Column | None) -> Column:
+    """Words of the text that are function words of its language; null for a language without a list."""
+    if lang is None:
+        return F.lit(None)
+
+    def of(name: str) -> Column:
+        own = sorted(STOP_WORDS[name].split())
+        return F.size(F.filter(words, lambda w: F.lower(w).isin(own)))
+
+    out = F.when(F.lit(False), F.lit(0))
+    for name in STOP_WORDS:
+        out = out.when(lang == name, of(name))
+    return out
+
+
+def _counts(text: Column, lang: Column | None) -> Column:
     parts = F.struct(words_of(text).alias("w"), F.filter(F.split(text, "\n"), lambda x: F.rtrim(_blanks(x)) != "").alias("l"))
 
     def counted(p: Column) -> Column:
@@ -93,7 +111,7 @@ def _counts(text: Column) -> Column:
             "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
             "n_repeat_words": repeat_words(words),
             "n_lines": F.size(lines),
-            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(stop_list))),
+            "n_stop_words": _stop_words(words, lang),
             "n_letter_words": F.size(F.filter(words, lambda w: w.rlike(LETTER))),
             "n_bullet_lines": F.size(F.filter(lines, lambda x: F.ltrim(_blanks(x)).substr(1, 1).isin("-", "*", "•"))),
             "n_ellipsis_lines": F.size(F.filter(lines, ends)),
@@ -103,11 +121,14 @@ def _counts(text: Column) -> Column:
     return let(parts, counted)
 
 
-def verdict(text: Column, rules=RULES) -> Column:
-    """struct of the counts, `base_failed`, `failed` (names of failed rules) and `kept` of a text."""
+def verdict(text: Column, lang: Column | None = None, rules=RULES) -> Column:
+    """struct of the counts, `base_failed`, `failed` (names of failed rules) and `kept` of a text.
+
+    n_stop_words is null, and its rule not applied, where lang has no list of STOP_WORDS.
+    """
 
     def judged(c: Column) -> Column:
-        per = lambda a, b: F.when(c[b] > 0, c[a] / c[b]).otherwise(F.lit(0.0))
+        per = lambda a, b: F.when(c[b] > 0, c[a] / c[b]).when(c[a].isNotNull(), F.lit(0.0))
         metrics = {
             "mean_word_chars": per("word_chars", "n_words"),
             "symbols_per_word": per("n_symbols", "n_words"),
@@ -129,13 +150,13 @@ def verdict(text: Column, rules=RULES) -> Column:
         names = F.array_compact(F.array(*failed)) if failed else F.expr("cast(array() as array<string>)")
         return F.struct(*[c[k].alias(k) for k in COUNTS], base.alias("base_failed"), names.alias("failed"), (~base & (F.size(names) == 0)).alias("kept"))
 
-    return let(let(F.coalesce(text, F.lit("")), _counts), judged)
+    return let(let(F.coalesce(text, F.lit("")), lambda t: _counts(t, lang)), judged)
 
 
-def quality_rules(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """df with the fields of `verdict` as columns."""
+def quality_rules(df: DataFrame, text: str = "text", lang: str | None = "lang", rules=RULES) -> DataFrame:
+    """df with the fields of `verdict` as columns; lang: the column of declared languages, if there is one."""
     (q,) = unused(df, "quality")
-    out = df.withColumn(q, verdict(F.col(text), rules))
+    out = df.withColumn(q, verdict(F.col(text), F.col(lang) if lang else None, rules))
     names = [*COUNTS, "base_failed", "failed", "kept"]
     return out.select(*[c for c in df.columns if c not in names], *[F.col(q)[n].alias(n) for n in names])
 
@@ -148,12 +169,12 @@ OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "b
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules(docs).select("doc_id", *OUT)
 
 
 def quality_sql() -> str:
-    stops = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws.split()}))
+    stops = " ".join("WHEN '{}' THEN len(list_filter(w, lambda x: lower(x) IN ({})))".format(k, ", ".join(f"'{w}'" for w in ws.split())) for k, ws in STOP_WORDS.items())
     metric = {
         "mean_word_chars": "word_chars / n_words",
         "symbols_per_word": "n_symbols / n_words",
@@ -165,19 +186,19 @@ def quality_sql() -> str:
     }
     bad = []
     for _, m, low, high in RULES:
-        value = f"coalesce({metric[m].replace(' / ', '::double / nullif(')}, 0), 0)"
+        value = f"coalesce({metric[m].replace(' / ', '::double / nullif(')}, 0), CASE WHEN {metric[m].split()[0]} IS NOT NULL THEN 0 END)"
         if low is not None:
-            bad.append(f"{value} < {low}")
+            bad.append(f"coalesce({value} < {low}, false)")
         if high is not None:
-            bad.append(f"{value} > {high}")
+            bad.append(f"coalesce({value} > {high}, false)")
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-a AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+a AS (SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
       list_filter(string_split(t, chr(10)), lambda x: trim(translate(x, chr(9)||chr(11)||chr(12)||chr(13), '    ')) <> '') AS l FROM d),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
       length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
       (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
-      len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS n_stop,
+      CASE lang {stops} END AS n_stop,
       len(list_filter(w, lambda x: regexp_matches(x, '{LETTER}'))) AS n_letter,
       len(list_filter(l, lambda x: substr(ltrim(translate(x, chr(9)||chr(11)||chr(12)||chr(13), '    ')), 1, 1) IN ('-', '*', '•'))) AS n_bullet,
       len(list_filter(l, lambda x: rtrim(translate(x, chr(9)||chr(11)||chr(12)||chr(13), '    ')) SIMILAR TO '(.|\\s)*(\\.\\.\\.|…)')) AS n_ellipsis FROM a),

@@ -2,11 +2,13 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import regex
@@ -129,6 +131,7 @@ def test_pack_covers_every_id_once(spark, corpus, empty):
     path = default_path("byte_bpe_50k.json")
     ids = {k: np.append(byte_bpe(path).slow.encode(t, add_special_tokens=False).ids, 1).astype("<u4") for k, t in texts.items()}
     pieces = pack.pack(df, path, window=64)
+    part_of = {r.doc_id: r.part for r in pack.tokenize(df, path, 1).select("doc_id", "part").collect()}
     by_doc, by_seq = {}, {}
     for r in pack.digest(pieces).collect():
         assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
@@ -144,8 +147,26 @@ def test_pack_covers_every_id_once(spark, corpus, empty):
                 assert at == ends[k]
     assert len(by_doc) == len(texts) and sorted(by_seq) == list(range(len(by_seq)))
     assert [sum(n for _, n in v) for _, v in sorted(by_seq.items())][:-1] == [64] * (len(by_seq) - 1)
-    rows = pack.assemble(pieces).collect()
-    assert sum(r.n_tokens for r in rows) == sum(map(len, ids.values())) and pack.pack(empty, path).count() == 0
+    rows = sorted(pack.assemble(pieces, 64).collect())
+    assert [r.sequence_id for r in rows] == list(range(len(by_seq)))
+    assert [r.n_tokens for r in rows[:-1]] == [64] * (len(rows) - 1) and rows[-1].n_tokens <= 64
+    stream = b"".join(bytes(p.ids) for r in rows for p in r.pieces)
+    assert len(stream) == 4 * sum(map(len, ids.values()))
+    at = Counter()
+    for p in (p for r in rows for p in r.pieces):
+        assert bytes(p.ids) == ids[p.doc_id][p.start : p.start + p.length].tobytes() and p.start == at[p.doc_id]
+        at[p.doc_id] += p.length
+    # boundary: the windows that take tokens from two partitions, no others
+    sources = {}
+    for r in pieces.select("sequence_id", "boundary", "doc_id").collect():
+        sources.setdefault((r.sequence_id, r.boundary), set()).add(part_of[r.doc_id])
+    assert all((len(parts) > 1) is across for (_, across), parts in sources.items()) and len(sources) == len(by_seq)
+    assert pack.pack(empty, path).count() == 0 and pack.assemble(pack.pack(empty, path)).count() == 0
+
+
+def test_one_partition_has_no_boundary(spark):
+    df = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string").coalesce(1)
+    assert [r.boundary for r in pack.pack(df, default_path("byte_bpe_50k.json")).collect()] == [False]
 
 
 def test_repeated_ids_pack_apart(spark):
@@ -456,6 +477,55 @@ def test_mix_means(spark):
     assert all(abs(r["count"] - 2000) < 200 for r in n)
 
 
+def test_mix_counts_are_exact_quantiles(spark):
+    """Counts of means from 0 to 5000 against the exact distribution, draw by draw; the SQL gives the same rows."""
+    weights = {"zero": 0.0, "few": 0.3, "fifty": 50.0, "edge": 745.0, "more": 800.0, "many": 5000.0}
+    rows = [(i, "x", s) for i, s in enumerate([*weights] * 40)]
+    n = sum(weights.values())
+    # every source has 40 bytes; one unnamed text makes the corpus n bytes for each byte of them
+    df = spark.createDataFrame([*rows, (None, "y" * (40 * int(10 * n) - 240), None)], "doc_id long, text string, source string")
+    total = 40 * int(10 * n)
+    targets = {**{k: 40 * w / total for k, w in weights.items()}, "other": 1 - 40 * n / total}
+    means = {r.g: r.mean for r in mix.rates(df, targets).collect()}
+    assert all(abs(means[k] - w) < 1e-6 * max(1, w) for k, w in weights.items())
+    got = Counter(r.doc_id for r in mix.mix(df, targets, shuffle=False).where("doc_id is not null").select("doc_id").collect())
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:13], 16) / 2**52
+    for i, _, source in rows:
+        draws = max(1, -(-int(np.ceil(means[source])) // mix.DRAW))
+        part, want = means[source] / draws, 0
+        for k in range(1, draws + 1):
+            u = number(f"{mix.SEED}:{i}" if k == 1 else f"{mix.SEED}:draw:{k}:{i}")
+            c, j = 0.0, 0
+            while (c := c + math.exp(-part + (j * math.log(part) if j else 0) - math.lgamma(j + 1)) if part else 1.0) <= u:
+                j += 1
+            want += j
+        assert abs(got[i] - want) <= (1 if part > 100 else 0)  # terms differ in their last bits
+
+
+def test_mix_is_its_sql(spark, tmp_path):
+    """Also where a mean takes several draws, ids are null or repeated and texts null."""
+    rows = [(0, "x", "src0"), (1, "x", "src0"), (1, "x", "src0"), (None, "x", "src1"), (5, None, "src1"), (3, "y" * 30_000, "src9"), (4, "z" * 9000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mix.op9_mix_poisson(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(mix.mix_sql())
+    names = [d[0] for d in want.description]
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in got.collect())
+    assert got.groupBy("source").count().where("source = 'src0' and count > 900").count() == 1
+
+
+def test_mix_is_in_order_over_partitions(spark, corpus):
+    out = mix.mix(corpus[0], {"src0": 1.0, "other": 2.0}).select("shuffle_key", F.spark_partition_id().alias("p")).collect()
+    keys = [r.shuffle_key for r in sorted(out, key=lambda r: r.p)]
+    assert keys == sorted(keys) and len({r.p for r in out}) == 4
+
+
+def test_mix_of_a_computed_table(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.when(F.col("id") % 3 == 0, "src0").alias("source"))
+    assert {mix.mix(df).count() for _ in range(2)} == {mix.mix(df, shuffle=False).count()}
+
+
 def test_mix_large_means(spark):
     """A small source beside a large one: means above what exp(-mean) can start from."""
     df = spark.createDataFrame([*((i, "x", "src0") for i in range(300)), (300, "y" * 899_700, None)], "doc_id long, text string, source string")
@@ -484,6 +554,23 @@ def brute_quality(t):
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), dup, len(inside), len(w) < 20 or 100 * len(inside) > 30 * len(w)
 
 
+CLEAN = {
+    "ko": "오늘 아침 시장에는 많은 사람들이 모여 채소와 과일을 사고 있었다 날씨는 맑았고 바람은 부드럽게 불었으며 아이들은 광장에서 즐겁게 뛰어놀았다 우리는 작은 가게에 들러 따뜻한 차를 마시고 집으로 돌아왔다",
+    "it": "Ieri mattina siamo andati al mercato vicino alla piazza dove molte persone compravano frutta fresca mentre i bambini giocavano felici sotto gli alberi e noi bevevamo caffè prima di tornare a casa",
+    "ja": "けさ 市場 には 大勢 の 人 が 集まり 野菜 や 果物 を 買って いた 空 は 晴れて 風 は 静か で 子供 たち は 広場 で 遊んで いた",
+    None: "Gisteren liepen wij langs de gracht waar oude huizen staan terwijl kinderen speelden onder hoge bomen vlak bij onze kleine school buiten de drukke stad",
+}
+
+
+def test_clean_texts_of_other_languages_stay(spark):
+    """Only a text of a language with a list is judged by its function words."""
+    rows = [(lang, text) for lang, text in CLEAN.items()] + [("en", " ".join(f"gibber{k}" for k in range(40)))]
+    got = quality.quality_rules(spark.createDataFrame(rows, "lang string, text string")).collect()
+    assert [(r.kept, r.failed) for r in got] == [(True, [])] * len(CLEAN) + [(False, ["stop_words"])]
+    plain = quality.quality_rules(spark.createDataFrame(rows, "lang string, text string").drop("lang"), lang=None)
+    assert plain.where("kept").count() == len(rows)
+
+
 def test_quality(spark, corpus, empty):
     df, texts = corpus
     more = {9001: "a b c d e f g h i j " * 9, 9002: "line x\nline x\n\n \nline x", 9003: "# * $ % & | < > " * 5, 9004: "the of and " * 3 + words(random.Random(1), 60)}
@@ -495,5 +582,5 @@ def test_quality(spark, corpus, empty):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(t)
         assert not (r.base_failed and r.kept)
     assert got[9004].kept and "symbol_ratio" in got[9003].failed
-    assert df.where(quality.verdict(F.col("text"))["kept"]).count() == sum(r.kept for r in got.values())
+    assert df.where(quality.verdict(F.col("text"), F.col("lang"))["kept"]).count() == sum(r.kept for r in got.values())
     assert quality.quality_rules(empty).count() == 0
