@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return docs.select(COLUMNS).where(quality.verdict(F.col("text"))["kept"])
+    return docs.select(COLUMNS).where(quality.verdict(F.col("text"), F.col("lang"))["kept"])
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
