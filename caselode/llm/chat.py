@@ -5,7 +5,9 @@ iterative self-joins: round k joins the table of 2^k-th ancestors with itself,
 so a tree of depth d takes log2(d) rounds, and the same tables, from the last
 to the first, unfold every leaf into all its ancestors, each with its distance.
 Branches of a tree are ranked by the mean score of their messages; each chosen
-path becomes one conversation.
+path becomes one conversation. Where only the best branches are asked for, the
+same tables, with sums of scores along their jumps, rank the leaves first; only
+the chosen ones unfold, and only their texts move.
 
 The template is `<|turn|>role<|says|>text<|end|>` per turn. Inside roles and
 texts every `<`, any backslashes, `|` gets one backslash more, so the control
@@ -45,11 +47,12 @@ def unescape(x: Column) -> Column:
 
 
 def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (tree, id, up) of 2^k-th ancestors, k ascending, and nodes without a root.
+    """Tables (tree, id, up, total) of 2^k-th ancestors, k ascending, and nodes without a root.
 
-    nodes: tree, id, parent. A round joins on (tree, id), unique on one side.
+    nodes: tree, id, parent, score. total sums the scores from id on, without
+    up's. A round joins on (tree, id), unique on one side.
     """
-    up = nodes.select("tree", "id", F.col("parent").alias("up"))
+    up = nodes.select("tree", "id", F.col("parent").alias("up"), F.col("score").alias("total"))
     known = nodes.select("tree", F.col("id").alias("up"))
     up = materialize(up.join(known, ["tree", "up"], "left_semi"), "up0")
     largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
@@ -58,21 +61,36 @@ def ancestors(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         if 1 << len(out) > largest:
             return out, up.select("tree", "id")  # only a cycle has ancestors that far
         out.append(up)
-        above = up.select("tree", F.col("id").alias("up"), F.col("up").alias("next"))
-        up = materialize(up.join(above, ["tree", "up"]).select("tree", "id", F.col("next").alias("up")), f"up{len(out)}")
+        above = up.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"))
+        up = materialize(up.join(above, ["tree", "up"]).select("tree", "id", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total")), f"up{len(out)}")
     return out, nodes.select("tree", "id").limit(0)
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """tree, leaf, id, distance: every message on the way from each leaf to its root."""
+def _best(leaves: DataFrame, hops: list[DataFrame], nodes: DataFrame, branches: int) -> DataFrame:
+    """The leaves of each tree's best branches, by sums along the jumps to the root: one row a leaf in each round."""
+    at = leaves.select("tree", "leaf", "id", F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("sum"))
+    for k in range(len(hops) - 1, -1, -1):
+        jump = (F.col("n") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("n")
+        at = at.join(hops[k], ["tree", "id"], "left").select("tree", "leaf", F.coalesce("up", "id").alias("id"), jump, (F.col("sum") + F.coalesce("total", F.lit(0.0))).alias("sum"))
+    at = at.join(nodes.select("tree", "id", "score"), ["tree", "id"])
+    order = Window.partitionBy("tree").orderBy(((F.col("sum") + F.col("score")) / (F.col("n") + 1)).desc(), "leaf")
+    ranked = at.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
+    return materialize(ranked.select("tree", "leaf", F.col("leaf").alias("id")), "best")
+
+
+def paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
+    """tree, leaf, id, distance: every message on the way from each leaf, or each of the best, to its root."""
     hops, lost = ancestors(nodes)
     parents = nodes.select("tree", F.col("parent").alias("id"))
     out = nodes.select("tree", "id").join(parents, ["tree", "id"], "left_anti").join(lost, ["tree", "id"], "left_anti")
-    out = out.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).cast("bigint").alias("distance"))
+    out = out.select("tree", F.col("id").alias("leaf"), "id")
+    if branches is not None:
+        out = _best(out, hops, nodes, branches)
+    out = out.withColumn("distance", F.lit(0).cast("bigint"))
     for k in range(len(hops) - 1, -1, -1):
         # one join a round; a union of `out` and its step would double the plan each time
         both = F.array(F.struct("id", "distance"), F.struct(F.col("up").alias("id"), (F.col("distance") + (1 << k)).alias("distance")))
-        out = out.join(hops[k], ["tree", "id"], "left").select("tree", "leaf", F.inline(both)).where("id is not null")
+        out = out.join(hops[k].drop("total"), ["tree", "id"], "left").select("tree", "leaf", F.inline(both)).where("id is not null")
     return out
 
 
@@ -86,7 +104,7 @@ def linearize(messages: DataFrame, branches: int | None = None, loss_role: str =
     tree = F.when(F.col("tree").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("tree").cast("string")))
     rows = messages.select(tree.alias("tree"), "id", "parent", empty("role").alias("role"), empty("text").alias("text"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     rows = rows.where(F.col("id").isNotNull()).groupBy("tree", "id").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "id", "m.*")
-    way = paths(rows.select("tree", "id", "parent"))
+    way = paths(rows.select("tree", "id", "parent", "score"), branches)
     full = way.join(rows.drop("parent"), ["tree", "id"])
     path = Window.partitionBy("tree", "leaf").orderBy(F.col("distance").desc())
     role, text = escape(F.col("role")), escape(F.col("text"))
@@ -102,7 +120,7 @@ def linearize(messages: DataFrame, branches: int | None = None, loss_role: str =
         F.array_sort(F.array_compact(F.collect_list(span))).alias("loss_spans"),
     )
     best = Window.partitionBy("tree").orderBy(F.col("score").desc(), "leaf")
-    out = out.withColumn("rank", F.row_number().over(best)) if branches is None else out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
+    out = out.withColumn("rank", F.row_number().over(best))
     return out.withColumn("tree", F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30)))
 
 

@@ -15,7 +15,9 @@ pass over the texts without a shuffle; it sees no column but the text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and
 is rejected; a null id counts as the empty string in the fold; null languages
-train nothing; with no training document at all every text is `und`; very long
+train nothing; languages of any type count by their text, and more than
+MAX_LANGS of them raise an error; of centroids equally near the first language
+by name wins; with no training document at all every text is `und`; very long
 texts are read whole, in one vector; repeated rows each give a row; other
 columns are ignored; an empty table gives no rows.
 """
@@ -111,7 +113,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Fit on the sample of the documents with a language and a text that aren't held out."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     key = F.xxhash64("doc_id")
     counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}

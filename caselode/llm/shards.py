@@ -1,16 +1,18 @@
 """Sharding: a uniform shuffle with exact shard sizes.
 
-Rows lie in blocks. A random matrix says how many rows of each block go to
-each cell (a piece of a shard's slots); given the block and cell sizes its
-rows follow the multivariate hypergeometric law, so that dealing each locally
-permuted block out by its row of the matrix is a uniformly random
-distribution. Rows are then exchanged by cell and permuted again: their rank
-in the cell, plus the cell's first slot, is the slot.
-
-Blocks and cells are what tasks sort, not shards, so the work of a task stays
-bounded while the corpus grows to the matrix' bounds, and spills beyond them.
-The driver holds the block totals and the matrix, of MAX_BLOCKS x MAX_CELLS
-counts at most, whatever the number of rows.
+A random matrix says how many rows of each input partition go to each cell (a
+piece of a shard's slots); given the partition and cell sizes its rows follow
+the multivariate hypergeometric law, so that dealing each locally permuted
+partition out by its row of the matrix is a uniformly random distribution. The
+local permutation is a sort inside the partition, which moves nothing. Rows
+are then exchanged once, by cell, and permuted again: their rank in the cell,
+plus the cell's first slot, is the slot.
+
+Partitions and cells are what tasks sort, not shards, so the work of a task
+stays bounded while the corpus grows to the matrix' bounds, and spills beyond
+them. An input of more than MAX_PARTS partitions is coalesced to that many,
+without a shuffle. The driver holds the partition totals and the matrix, of
+MAX_PARTS x MAX_CELLS counts at most, whatever the number of rows.
 
 Defined cases: rows need not be distinct, each has a place of its own; a null
 text has size 16 and crc32 0; other columns pass through, those named as an
@@ -23,17 +25,20 @@ from __future__ import annotations
 
 import json
 import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, unused
+from .common import count_upto, table, unused
 
 SHARDS = 40
-#: Rows in a cell and in a block, as long as that makes no more cells and blocks
-#: than the bounds of the matrix (beyond them cells and blocks grow; their sorts spill).
-CELL_ROWS, BLOCK_ROWS, MAX_CELLS, MAX_BLOCKS = 100_000, 100_000, 1024, 256
+#: Rows in a cell, as long as that makes no more cells than the bounds of the matrix
+#: (beyond them cells grow; their sorts spill).
+CELL_ROWS, MAX_CELLS, MAX_PARTS = 100_000, 1024, 1024
+#: Bits of a row's number inside its partition (the place of monotonically_increasing_id).
+_PLACE = 33
 SEED = 20240
 
 
@@ -95,38 +100,36 @@ def cells_of(n: int, shards: int, cell_rows: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _sizes(df: DataFrame) -> list[int]:
+    """Rows of each partition; empty ones up to the last that has rows count too."""
+    found = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect()}
+    return [found.get(k, 0) for k in range(max(found, default=-1) + 1)]
+
+
+def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows: int = CELL_ROWS, max_parts: int = MAX_PARTS) -> DataFrame:
     """df with shard and slot: a uniform random order cut into shards of equal size."""
     spark = df.sparkSession
-    rid, block, rank, cell, first, upto, frm = unused(df, "rid", "block", "rank", "cell", "first_slot", "upto", "frm")
-    keyed = df.drop("shard", "slot").withColumn(rid, F.monotonically_increasing_id())
-    n_rows = keyed.count()
-    blocks = min(MAX_BLOCKS, max(1, -(-n_rows // block_rows)))
-    cell_rows = max(cell_rows, -(-n_rows // max(1, MAX_CELLS - shards)))
-    mixed = lambda salt: F.xxhash64(F.lit(seed).cast("bigint"), F.lit(salt), F.col(rid))
-    keyed = keyed.withColumn(block, F.pmod(mixed("block"), F.lit(blocks)).cast("int"))
-    sizes = {r[0]: r[1] for r in keyed.groupBy(block).count().collect()}
-    cells = cells_of(n_rows, shards, cell_rows)
-    matrix = communication_matrix([sizes.get(b, 0) for b in range(blocks)], [c[2] for c in cells], seed)
-    # each block's ranks are cut into runs, one for each cell
-    runs = []
-    for b, row in enumerate(matrix):
-        at = 0
-        for c, x in enumerate(row):
-            if x:
-                runs.append([b, at, at + x, c])
-                at += x
-    row_type = f"array<struct<{block}:int,{frm}:int,{upto}:int,{cell}:int>>"
-    deal = _inline(spark, [dict(zip((block, frm, upto, cell), r, strict=True)) for r in runs], row_type)
+    rid, part, place, cell, first, upto = unused(df, "rid", "part", "place", "cell", "first_slot", "upto")
+    sizes = _sizes(df)
+    if len(sizes) > max_parts:
+        df = df.coalesce(max_parts)
+        sizes = _sizes(df)
+    n_rows = sum(sizes)
+    cells = cells_of(n_rows, shards, max(cell_rows, -(-n_rows // max(1, MAX_CELLS - shards))))
+    matrix = communication_matrix(sizes, [c[2] for c in cells], seed)
+    # a partition's ranks are cut into one run for each cell: the runs' ends, in order
+    runs = _inline(spark, [{part: p, upto: list(accumulate(row))} for p, row in enumerate(matrix)], f"array<struct<{part}:int,{upto}:array<bigint>>>")
     slots = _inline(spark, [{cell: c, "shard": s, first: at} for c, (s, at, _) in enumerate(cells)], f"array<struct<{cell}:int,shard:int,{first}:bigint>>")
-    by_block = deal.groupBy(block).agg(F.sort_array(F.collect_list(F.struct(upto, cell))).alias(frm))
-    local = Window.partitionBy(block).orderBy(mixed("local"), rid)
-    out = keyed.withColumn(rank, F.row_number().over(local) - 1).join(F.broadcast(by_block), block)
-    # the run that holds the rank; runs are few, and in order
-    out = out.withColumn(cell, F.filter(frm, lambda x: x[upto] > F.col(rank))[0][cell])
+    mixed = lambda salt: F.xxhash64(F.lit(seed).cast("bigint"), F.lit(salt), F.col(rid))
+    keyed = df.drop("shard", "slot").withColumn(rid, F.monotonically_increasing_id())
+    # after the local sort the next running number is partition and rank
+    local = keyed.sortWithinPartitions(mixed("local"), rid).withColumn(place, F.monotonically_increasing_id())
+    local = local.withColumn(part, F.shiftright(place, _PLACE).cast("int")).withColumn(place, F.col(place).bitwiseAND(F.lit((1 << _PLACE) - 1)))
+    # the cell whose run holds the rank: as many as end at or before it lie ahead
+    out = local.join(F.broadcast(runs), part).withColumn(cell, count_upto(F.col(upto), F.col(place), len(cells))).drop(part, place, upto)
     again = Window.partitionBy(cell).orderBy(mixed("slot"), rid)
-    out = out.withColumn(rank, F.row_number().over(again) - 1).join(F.broadcast(slots), cell)
-    return out.withColumn("slot", (F.col(first) + F.col(rank)).cast("bigint")).drop(rid, block, rank, cell, first, upto, frm)
+    out = out.withColumn("slot", F.row_number().over(again).cast("bigint") - 1).join(F.broadcast(slots), cell)
+    return out.withColumn("slot", F.col(first) + F.col("slot")).drop(rid, cell, first)
 
 
 def _inline(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:

@@ -8,14 +8,19 @@ a reader maps the file and slices it without a copy. The last row of a file is
 padded; its mask is false there. A manifest has one row per document: file,
 first id in it, number of ids.
 
+The mask says which ids count; reading takes the ids under it.
+
 Files are first written under a name of the attempt and then renamed, so a
 task that runs again, after a lost executor, replaces its own file by an equal
 one. They go to a folder that all executors share, through pyarrow's file
-systems.
-
-Defined cases: a null text is empty (its end id alone); documents of equal id
-follow each other in order of their text; columns other than id and text are
-ignored; an empty table gives no files and no rows; a null id sorts first.
+systems: the driver resolves the folder as Spark does (a bare path by the
+default file system) and names it so that pyarrow understands it.
+
+Defined cases: a null text is empty (its end id alone); ids are whole numbers
+or null, and a null id sorts first; documents of equal id follow each other in
+order of their text's hash, then their text, and may lie in several ranges;
+columns other than id and text are ignored; an empty table gives no files and
+no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +44,14 @@ END_ID = 0
 ROWS = 256
 
 
+def resolved(spark: SparkSession, uri: str) -> str:
+    """uri with the file system that Spark takes it to be on, by the name that pyarrow has for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    scheme, _, rest = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().partition(":")
+    rest = rest if rest.startswith("//") else f"//{rest}"
+    return {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + ":" + rest
+
+
 def _open(uri: str):
     from pyarrow import fs
 
@@ -85,6 +98,8 @@ def write_ids(docs: DataFrame, uri: str, path: str, width: int = WIDTH, end_id:
     The manifest is written too, so the files are made once.
     """
 
+    uri = resolved(docs.sparkSession, uri)
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -118,7 +133,9 @@ def write_ids(docs: DataFrame, uri: str, path: str, width: int = WIDTH, end_id:
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # equal ids may be many: their texts' hashes, and of equal texts the rows' numbers, cut them into ranges too
+    rows = rows.withColumn("mix", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(parts, "doc_id", "mix", "row").sortWithinPartitions("doc_id", "mix", "text")
     return materialize(ordered.mapInArrow(run, "part int, local_start bigint, doc_id bigint, n bigint, file string"), "manifest")
 
 
@@ -129,7 +146,7 @@ class IdFile:
         store, root = _open(uri)
         at = posixpath.join(root, name)
         source = pa.memory_map(at) if store.type_name == "local" else store.open_input_file(at)
-        self.file, self.key, self.held = pa.ipc.open_file(source), -1, None
+        self.file, self.key, self.held, self.mask = pa.ipc.open_file(source), -1, None, None
         self.width = self.file.schema.field("ids").type.list_size
 
     def ids(self, start: int, n: int) -> np.ndarray:
@@ -138,8 +155,13 @@ class IdFile:
         while n > 0:
             key, offset = divmod(start, step)
             if key != self.key:
-                self.key, self.held = key, self.file.get_batch(key).column(0).flatten().to_numpy(zero_copy_only=True)
-            out.append(self.held[offset : offset + min(n, step - offset)])
+                batch = self.file.get_batch(key)
+                self.key, self.held = key, batch.column(0).flatten().to_numpy(zero_copy_only=True)
+                self.mask = batch.column(1).flatten()
+            take = min(n, step - offset)
+            if self.mask.slice(offset, take).true_count != take:
+                raise ValueError(f"ids {start} to {start + take} of batch {key} are padding")
+            out.append(self.held[offset : offset + take])
             start, n = start + len(out[-1]), n - len(out[-1])
         return np.concatenate(out) if len(out) != 1 else out[0]
 
@@ -150,7 +172,12 @@ def _reader(uri: str, name: str) -> IdFile:
 
 
 def read_ids(manifest: DataFrame, uri: str) -> DataFrame:
-    """doc_id, start (in the whole stream), n_tokens and ids (32 bit) read from the files."""
+    """doc_id, start (in the whole stream), n_tokens and ids (32 bit) read from the files.
+
+    An id that the mask calls padding is an error: the manifest and the file disagree.
+    """
+
+    uri = resolved(manifest.sparkSession, uri)
 
     def run(batches):
         for batch in batches:

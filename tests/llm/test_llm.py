@@ -202,6 +202,23 @@ def test_token_files_round_trip(spark, corpus, empty):
     assert tokenfile.read_ids(tokenfile.write_ids(empty, scratch_path(spark, "e"), path), uri).count() == 0
 
 
+def test_token_files_of_odd_rows(spark):
+    """Null, equal and clashing: every row once, in order of id, gapless, over several files."""
+    path, uri = default_path("byte_bpe_50k.json"), scratch_path(spark, "o").removeprefix("file://")
+    rows = [(None, "no id"), (None, None), *((5, f"text {i % 7}") for i in range(60)), (2, "x" * 70_000), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("clash")).withColumn("file", F.lit(1)).withColumn("mix", F.lit(1))
+    manifest = tokenfile.write_ids(df, uri, path, width=16)  # a bare path is the default file system's
+    got = sorted(tokenfile.read_ids(manifest, uri).collect(), key=lambda r: r.start)
+    want = Counter((k, np.append(byte_bpe(path).slow.encode(t or "", add_special_tokens=False).ids, 0).astype("<u4").tobytes()) for k, t in rows)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == want
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
+    assert [r.doc_id for r in got] == [None] * 2 + [2] + [5] * 60 + [9]
+    assert manifest.where("doc_id = 5").select("file").distinct().count() > 1
+    with pytest.raises(ValueError):
+        n = manifest.where("doc_id = 9").first()
+        tokenfile.IdFile(tokenfile.resolved(spark, uri), n["file"]).ids(n["local_start"], n["n"] + 1)
+
+
 # -- 3 ------------------------------------------------------------------------
 
 
@@ -306,6 +323,26 @@ def test_reply_trees(spark):
     assert chat.linearize(tree(spark, [])).count() == 0
 
 
+def test_best_branches_of_random_trees(spark):
+    """The chosen leaves and their ranks against brute force, ties among them."""
+    rng = random.Random(21)
+    rows, want = [], {}
+    for t in range(12):
+        parent = {1: None} | {i: rng.randrange(max(1, i - 6), i) for i in range(2, 40)}
+        score = {i: rng.choice([None, 0.0, 0.25, 0.5, 1.0]) for i in parent}
+        rows += [(t, i, p, rng.choice(["user", "assistant"]), f"t{i}", score[i]) for i, p in parent.items()]
+        means = {}
+        for leaf in set(parent) - set(parent.values()):
+            way = [leaf]
+            while parent[way[-1]]:
+                way.append(parent[way[-1]])
+            means[leaf] = (sum(score[i] or 0 for i in way) / len(way), len(way))
+        best = sorted(means, key=lambda k: (-means[k][0], k))[:3]
+        want |= {(str(t), leaf): (k + 1, means[leaf][1]) for k, leaf in enumerate(best)}
+    got = chat.linearize(tree(spark, rows), branches=3).collect()
+    assert {(r.tree, r.leaf): (r.rank, r.n_turns) for r in got} == want
+
+
 def test_long_chain_doubles(spark):
     rows = [(1, i, i - 1 if i else None, "assistant" if i % 2 else "user", f"t{i}", 0.0) for i in range(37)]
     r = chat.linearize(tree(spark, rows)).select("n_turns", chat.read_turns(F.col("formatted")).alias("t")).collect()
@@ -405,17 +442,54 @@ def test_graph_components(spark):
 
 def test_shards_are_exact(spark, empty):
     df = spark.range(1003).select((F.col("id") % 900).alias("doc_id"), F.lit("x").alias("shard"))
-    rows = shards.shard(df, shards=7, cell_rows=50, block_rows=100).collect()
+    rows = shards.shard(df, shards=7, cell_rows=50).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i % 900 for i in range(1003))
     sizes = Counter(r.shard for r in rows)
     assert sorted(sizes) == list(range(7)) and max(sizes.values()) - min(sizes.values()) <= 1
     for s in range(7):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sizes[s]))
-    again = shards.shard(df, shards=7, cell_rows=50, block_rows=100).collect()
+    again = shards.shard(df, shards=7, cell_rows=50).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    few = shards.shard(df, shards=7, cell_rows=50, max_parts=2).collect()
+    assert Counter(r.shard for r in few) == sizes
     assert shards.shard(empty).count() == 0
 
 
+def test_shards_follow_the_matrix(spark):
+    """Each partition gives each shard as many rows as the matrix says, in an order unlike the input's."""
+    df = spark.range(400).select(F.col("id"), F.spark_partition_id().alias("part"))
+    rows = shards.shard(df, shards=4, cell_rows=1000).collect()
+    matrix = shards.communication_matrix([100] * 4, [100] * 4, shards.SEED)
+    assert [[sum(r.part == p and r.shard == s for r in rows) for s in range(4)] for p in range(4)] == matrix
+    order = [r.id for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    runs = sum(a < b for a, b in zip(order, order[1:]))
+    assert 150 < runs < 250  # about half of a random order's steps go up
+
+
+def test_shard_query(spark, corpus, tmp_path):
+    """Size, crc32 and law of every row against brute force; null, empty and repeated rows among them."""
+    df, texts = corpus
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = shards.op7_shard_hypergeometric(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((k, len(t.encode()) + 16, zlib.crc32(t.encode())) for k, t in texts.items())
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes[s] for s in range(40)) - min(sizes[s] for s in range(40)) <= 1
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+    assert sorted((r.shard, r.slot) for r in got) == sorted((s, k) for s in sizes for k in range(sizes[s]))
+
+
+def test_deals_are_uniform(spark):
+    """Over many seeds each row comes to each shard alike, and two rows meet as often as chance has it."""
+    df = spark.range(12).coalesce(3).select("id")
+    seen, together = Counter(), 0
+    for seed in range(60):
+        rows = {r.id: r.shard for r in shards.shard(df, shards=3, seed=seed).collect()}
+        seen.update(rows.items())
+        together += rows[0] == rows[1]
+    assert sum((seen[i, s] - 20) ** 2 / 20 for i in range(12) for s in range(3)) < 70  # chi square, 24 degrees
+    assert abs(together / 60 - 3 / 11) < 0.2
+
+
 def test_matrix_sums_and_law():
     m = shards.communication_matrix([30, 0, 50, 20], [25, 25, 50], 3)
     assert [sum(r) for r in m] == [30, 0, 50, 20] and [sum(c) for c in zip(*m)] == [25, 25, 50]
@@ -446,6 +520,55 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in none.collect()} == {"und"} and langid.predict(empty.select("doc_id", "text"), langid.train(df)).count() == 0
 
 
+def brute_features(t):
+    data = b" " + b" ".join("".join(c if ord(c) >= 128 or c.isalpha() else " " for c in t.lower()).encode().split()) + b" "
+    out = Counter()
+    for n in (2, 3, 4):
+        for i in range(len(data) - n + 1):
+            key = (int.from_bytes(data[i : i + n], "big") * 2654435761 + n * 0x9E3779B1) & 0xFFFFFFFF
+            out[key >> (32 - langid.DIM_BITS)] += 1
+    return out
+
+
+def test_nearest_centroid_by_brute_force(spark, monkeypatch):
+    """One centroid a language is the mean direction of its sample; a prediction is the largest cosine."""
+    monkeypatch.setattr(langid, "CLUSTERS", 1)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(LANGS[lang].split()) for _ in range(12)), lang) for i, lang in enumerate(["en", "de", "fr"] * 20)] + [(99, "12 . \n", "en")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    sample = [(lang, brute_features(t)) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1 and any(c.isalpha() for c in t)]
+    seen = Counter(k for _, f in sample for k in f)
+    idf = lambda k: math.log((1 + len(sample)) / (1 + seen[k])) + 1
+
+    def unit(f):
+        v = {k: math.log1p(n) * idf(k) for k, n in f.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / norm for k, x in v.items()}
+
+    centroids = {}
+    for lang in LANGS:
+        total = Counter()
+        for own, f in sample:
+            if own == lang:
+                total.update(unit(f))
+        norm = math.sqrt(sum(x * x for x in total.values()))
+        centroids[lang] = {k: x / norm for k, x in total.items()}
+    assert model.langs == sorted(LANGS)
+    texts = [t for _, t, _ in rows[:-1]] + ["the der les", "zzz qqq", "été über have"]
+    for t, (lang, score, rejected) in zip(texts, model.predict(texts), strict=True):
+        v = unit(brute_features(t))
+        cosines = {k: sum(x * c.get(i, 0) for i, x in v.items()) for k, c in centroids.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert abs(score - cosines[best]) < 1e-4 and (lang == best or abs(cosines[lang] - cosines[best]) < 1e-4)
+        assert rejected == (score < model.lowest[model.langs.index(lang)])
+
+
+def test_languages_of_any_type(spark):
+    df = spark.createDataFrame([(i, "the of and" if i % 2 else "der die und", i % 2) for i in range(60)], "doc_id long, text string, lang int")
+    out = langid.predict(df, langid.train(df)).collect()
+    assert all(r.lang_pred == str(r.doc_id % 2) for r in out)
+
+
 # -- 9 ------------------------------------------------------------------------
 
 
