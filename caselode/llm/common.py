@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..storage import materialize, scratch_path, shared_dir
+from ..storage import discard, materialize, scratch_path, shared_dir
 
-__all__ = ["count_upto", "if_small", "let", "materialize", "scratch_path", "shared_dir", "table", "unused", "words_of"]
+__all__ = ["count_upto", "discard", "if_small", "let", "materialize", "scratch_path", "shared_dir", "table", "unused", "words_of"]
 
 #: White space of the word rule, for Java and for DuckDB patterns.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links all larger neighbours, then all smaller ones, to the
     smallest neighbour, until every edge leads to its component's smallest
     node: a logarithmic number of rounds. A round is written to the shared
-    folder; only two sums of it come to the driver. Null ends are left out.
+    folder and the one before deleted; only two sums of it come to the driver.
+    Null ends are left out.
     """
     both = edges.where("a is not null and b is not null and a <> b")
     now = materialize(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -28,10 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
         # u and its smaller neighbours go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, now = now, materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
         sums = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if tuple(sums) == state:
             break
         state = tuple(sums)
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out = materialize(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
+    discard(now)
+    return out

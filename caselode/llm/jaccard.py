@@ -16,15 +16,19 @@ length of lists. A pair meets on a list only if what both sets hold from
 that place in the order on can still make the overlap that they need.
 
 The order comes from a table of shingle counts over all documents, of fixed
-size (SKETCH_BITS): it decides which shingles are looked at first, never what
-links. Every candidate is checked on the whole sets.
+size (SKETCH_BITS), on a logarithmic scale that ranks counts up to 2^31: it
+decides which shingles are looked at first, never what links. Every candidate
+is checked on the whole sets. Classes are named by 64 bits of a hash of the
+set; other 64 bits tell unlike sets of one name apart, and those sets then go
+by the other bits.
 
 Groups of near copies are not expanded into pairs. First each list links its
 members to its most typical one (a star); the links that hold are merged into
 components. Then each list gives the pairs of members that are still in
 different components, all of them, and those are checked too; so no link
 between components is lost and none inside is looked for twice. Stars with many
-members are checked in salted shares. Nothing is capped.
+members are checked in salted shares, and lists with many members are dealt in
+blocks: every pair of blocks is a task's group of its own. Nothing is capped.
 
 Defined cases: null and empty texts and texts of blanks have an empty set and
 link with nothing; fewer than 5 words make one shingle of the whole sequence;
@@ -42,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import if_small, materialize, table, unused
+from .common import discard, if_small, materialize, table, unused
 from .graph import components
 
 SHINGLE = 5
@@ -52,8 +56,12 @@ SKETCH_BITS = 24
 #: Bytes of text hashed at once, and bits of a set's parity map.
 CHUNK_BYTES, PARITY = 1 << 19, 1024
 _BLOCK_BITS = 16
-#: Largest size of set considered light, and members of a star in one share.
-MAX_LIGHT, SHARE = 64, 2000
+#: Largest size of set considered light, members of a star in one share, and of a list in one block.
+MAX_LIGHT, SHARE, BLOCK = 64, 2000, 4096
+#: Rows of a class that go to one task, at least, where its members are joined with it.
+HOT = 500
+#: Steps of the scale of counts for each doubling.
+SCALE = 8
 #: Rows of a batch sent on.
 FLUSH = 1 << 18
 
@@ -143,10 +151,18 @@ def shingle_set(text: str) -> np.ndarray:
     return next(shingle_sets(pa.array([text], pa.string())))
 
 
-def class_of(s: np.ndarray) -> int:
+def class_names(s: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit names of a set."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return tuple(int(x) for x in np.array([h & 0xFFFFFFFFFFFFFFFF, h >> 64], np.uint64).view(np.int64))
+
+
+def class_of(s: np.ndarray, shared: frozenset = frozenset()) -> int:
+    """The name of a set's class: the other one if the first is shared by unlike sets."""
+    name, other = class_names(s)
+    return other if name in shared else name
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -169,10 +185,15 @@ def least_overlap(n: int) -> int:
 
 
 class _Counters:
-    """Counts by slot of a task, up to 255, given out in blocks of 2^16 counters."""
+    """Counts by slot of a task, up to 65535, given out in blocks of 2^16 counters, a byte of each.
+
+    Block b holds the low bytes; b with HIGH added, where there are any, the high ones.
+    """
+
+    HIGH = 1 << 20
 
     def __init__(self, bits: int):
-        self.bits, self.n, self.held, self.size = bits, np.zeros(1 << bits, np.uint8), [], 0
+        self.bits, self.n, self.held, self.size = bits, np.zeros(1 << bits, np.uint16), [], 0
 
     def add(self, keys: np.ndarray) -> None:
         self.held.append((keys >> np.uint64(64 - self.bits)).astype(np.uint32))
@@ -185,7 +206,7 @@ class _Counters:
             slots = np.sort(np.concatenate(self.held))
             at = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
             more, slots = np.diff(np.r_[at, len(slots)]), slots[at]
-            self.n[slots] = np.minimum(255, self.n[slots] + more)
+            self.n[slots] = np.minimum(65535, self.n[slots] + more)
         self.held, self.size = [], 0
 
     def blocks(self):
@@ -194,34 +215,43 @@ class _Counters:
         for b in range(len(self.n) // width):
             part = self.n[b * width : (b + 1) * width]
             if part.any():
-                yield b, part.tobytes()
+                yield b, (part & 255).astype(np.uint8).tobytes()
+                if (part > 255).any():
+                    yield b + self.HIGH, (part >> 8).astype(np.uint8).tobytes()
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of 256 steps, SCALE for each doubling of 1 + count."""
+    return np.minimum(255, np.rint(SCALE * np.log2(1.0 + counts))).astype(np.uint8)
 
 
 def summed(blocks: DataFrame, bits: int) -> np.ndarray:
     """One table from the tasks' blocks (block, counts): added up by block, then 2^bits counters come here.
 
-    Sums are kept up to 255, a byte each: beyond it shingles count as equally common.
+    A byte each, on a logarithmic scale (see `scaled`).
     """
     width = 1 << min(_BLOCK_BITS, bits)
 
     def give(block: int, total: np.ndarray) -> pa.RecordBatch:
-        data = np.minimum(total, 255).astype(np.uint8).tobytes()
+        data = scaled(total).tobytes()
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([data], pa.binary())], names=["block", "counts"])
 
     def run(batches):
-        now, total = None, np.zeros(width, np.uint32)
+        now, total = None, np.zeros(width, np.uint64)
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                high, b = divmod(b, _Counters.HIGH)
                 if b != now:
                     if now is not None:
                         yield give(now, total)
-                    now, total = b, np.zeros(width, np.uint32)
-                total += np.frombuffer(blob.as_buffer(), np.uint8)
+                    now, total = b, np.zeros(width, np.uint64)
+                total += np.frombuffer(blob.as_buffer(), np.uint8).astype(np.uint64) << np.uint64(8 * high)
         if now is not None:
             yield give(now, total)
 
     out = np.zeros(1 << bits, np.uint8)
-    for r in blocks.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, counts binary").collect():
+    own = F.pmod("block", F.lit(_Counters.HIGH))
+    for r in blocks.repartition(own).sortWithinPartitions(own).mapInArrow(run, "block int, counts binary").collect():
         out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["counts"], np.uint8)
     return out
 
@@ -232,10 +262,13 @@ def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def profile(rows: DataFrame) -> DataFrame:
-    """Per document its class and set size; per task the blocks of its shingle counts. Numbers after the text are passed on."""
+    """Per document its class, the class' other name and set size; per task the blocks of its shingle counts.
+
+    Numbers after the text are passed on.
+    """
     own = [c for c in rows.columns if c != "text"]
     at = [rows.columns.index(c) for c in own]
-    names = [*own, "node", "n", "parity", "block", "counts"]
+    names = [*own, "node", "other", "n", "parity", "block", "counts"]
 
     def run(batches):
         counters = _Counters(SKETCH_BITS)
@@ -244,17 +277,18 @@ def profile(rows: DataFrame) -> DataFrame:
             for s in sets:
                 counters.add(s)
             k = len(sets)
+            node, other = zip(*map(class_names, sets), strict=True) if sets else ([], [])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in at), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                [*(batch.column(i) for i in at), pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                 names=names,
             )
         for b, blob in counters.blocks():
             yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(1, pa.int64()) for _ in at), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([b], pa.int32()), pa.array([blob], pa.binary())],
+                [*(pa.nulls(1, pa.int64()) for _ in at), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.list_(pa.int64())), pa.array([b], pa.int32()), pa.array([blob], pa.binary())],
                 names=names,
             )
 
-    return materialize(rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in own) + ", node bigint, n bigint, parity array<bigint>, block int, counts binary"), "profile")
+    return materialize(rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in own) + ", node bigint, other bigint, n bigint, parity array<bigint>, block int, counts binary"), "profile")
 
 
 # -- signatures ---------------------------------------------------------------
@@ -268,12 +302,13 @@ def boundary(sizes: dict[int, int], sketch: np.ndarray) -> int:
     lists is that of the rarest fifth of shingles, as only those are posted,
     in units of the counters' mean load.
     """
+    value = np.exp2(np.arange(256) / SCALE) - 1
     slots = np.zeros(256, np.int64)  # counters by count, a part at a time: the driver holds no wide copy
     for part in np.array_split(sketch, max(1, len(sketch) >> 20)):
         slots += np.bincount(part, minlength=256)
-    weight, longer = np.cumsum(slots * np.arange(256)), 1.0
+    weight, longer = np.cumsum(slots * value), 1.0
     if weight[-1]:
-        longer = float(np.searchsorted(weight, 0.2 * weight[-1]) * slots[1:].sum() / weight[-1])
+        longer = float(value[np.searchsorted(weight, 0.2 * weight[-1])] * slots[1:].sum() / weight[-1])
     prefix = lambda n: n - least_overlap(n) + 1
     best, cost = 0, None
     for b in range(MAX_LIGHT + 1):
@@ -291,7 +326,7 @@ def _signatures(s: np.ndarray, sketch: np.ndarray, light: int):
     key = (counts << np.uint64(40)) | (s >> np.uint64(24))
     order = np.argsort(key, kind="stable")
     p = n - least_overlap(n) + 1
-    weight = int(16 * np.log2(1.0 + counts[order[:p]]).mean())
+    weight = int(2 * counts[order[:p]].mean())
     sigs, kinds = [], []
     if 2 <= n <= light:
         first = s[order[: p + 1]]
@@ -305,7 +340,7 @@ def _signatures(s: np.ndarray, sketch: np.ndarray, light: int):
     return np.concatenate(sigs), np.concatenate(kinds), weight
 
 
-def signatures(rows: DataFrame, sketch, light: int) -> DataFrame:
+def signatures(rows: DataFrame, sketch, light: int, shared: frozenset = frozenset()) -> DataFrame:
     """sig, node, n, weight, kind of every class; a task gives each class once."""
 
     def run(batches):
@@ -313,7 +348,7 @@ def signatures(rows: DataFrame, sketch, light: int) -> DataFrame:
         for batch in batches:
             held, size = [], 0
             for s in shingle_sets(batch.column(1)):
-                if len(s) == 0 or (node := class_of(s)) in seen:
+                if len(s) == 0 or (node := class_of(s, shared)) in seen:
                     continue
                 seen.add(node)
                 sigs, kinds, weight = _signatures(s, table, light)
@@ -341,14 +376,22 @@ def stars(entries: DataFrame) -> DataFrame:
     """Rows of lists with two classes or more: sig, node, n, kind and `center`, the list's most typical class.
 
     Rows stream in order of list and weight, so the first is the center and
-    a list of any length needs no memory.
+    a list of any length needs no memory. A class that several tasks gave
+    counts once.
     """
 
     def run(batches):
         last = None  # the row before, if it may still be alone in its list
-        sig = center = None
+        sig = center = seen = None
         for batch in batches:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            again = np.zeros(len(cols[0]), bool)
+            again[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+            again[:1] = len(again) > 0 and seen == (cols[0][0], cols[1][0])
+            if again.all():
+                continue
+            seen = (cols[0][-1], cols[1][-1])
+            cols = [c[~again] for c in cols]
             cols = [np.concatenate([[a], b]) for a, b in zip(last, cols, strict=True)] if last is not None else cols
             s, node, n, kind = cols[0], cols[1], cols[2], cols[4]
             fresh = np.ones(len(s), bool)
@@ -380,10 +423,10 @@ def stars(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "sig bigint, node bigint, n int, kind int, center bigint")
 
 
-def _pairs_of(comp, node, n, kind):
-    """All pairs of a list's members in different components that sizes and kinds allow, in blocks."""
+def _pairs_of(comp, node, n, kind, block, across: bool):
+    """All pairs of a list's members in different components that sizes and kinds allow; across: of unlike blocks only."""
     order = np.lexsort((node, n))
-    comp, node, n, kind = comp[order], node[order], n[order], kind[order]
+    comp, node, n, kind, block = comp[order], node[order], n[order], kind[order], block[order]
     place = kind // POS
     last = np.searchsorted(n.astype(np.int64) * NUM, n.astype(np.int64) * DEN, side="right")  # larger partners end here
     # a smaller set too deep in its order for the least partner, its own size, has none
@@ -391,6 +434,8 @@ def _pairs_of(comp, node, n, kind):
     for i in np.flatnonzero(able):
         j = np.arange(i + 1, last[i])
         ok = comp[j] != comp[i]
+        if across:
+            ok &= block[j] != block[i]
         if kind[i] != SUBSET:
             # what is left of both sets from here must hold the overlap that a link needs
             need = -(-(n[i] + n[j]).astype(np.int64) * NUM // (NUM + DEN))
@@ -401,8 +446,20 @@ def _pairs_of(comp, node, n, kind):
             yield node[i], node[j]
 
 
-def cross_pairs(entries: DataFrame) -> DataFrame:
-    """a, b (with a < b) of entries (sig, node, n, kind, comp): see _pairs_of. Lists stream one at a time."""
+def cross_pairs(lists: DataFrame, comps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """A table of a, b (with a < b) of lists (sig, node, n, kind) whose members lie in several components: see _pairs_of.
+
+    A list's members are dealt by hash into blocks; each pair of blocks, and
+    each block with itself, is a group of about 2 * BLOCK rows at most.
+    """
+    lists = lists.select("sig", "node", "n", "kind")
+    known = _with_component(lists, "node", comps, "comp")
+    mixed = known.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high")
+    mixed = materialize(mixed.select("sig", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "mixed")
+    live = _with_component(lists.join(if_small(mixed), "sig"), "node", comps, "comp")
+    live = live.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = live.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("sig", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "node", "n", "kind", "comp", "block")
 
     def run(batches):
         held = None
@@ -410,34 +467,40 @@ def cross_pairs(entries: DataFrame) -> DataFrame:
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             if held is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-            cut = np.searchsorted(cols[0], cols[0][-1], side="left")
-            held = [c[cut:] for c in cols]
-            yield from _lists([c[:cut] for c in cols])
+            at = _fresh(cols)[-1]
+            held = [c[at:] for c in cols]
+            yield from _groups([c[:at] for c in cols])
         if held is not None:
-            yield from _lists(held)
+            yield from _groups(held)
+
+    def _fresh(cols) -> np.ndarray:
+        """Where groups begin."""
+        sig, left, right = cols[:3]
+        return np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
 
-    def _lists(cols):
-        sig, node, n, kind, comp = cols
-        if len(sig) == 0:
+    def _groups(cols):
+        if len(cols[0]) == 0:
             return
-        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        ends = np.r_[starts[1:], len(sig)]
-        low, high = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
-        left, right, size = [], [], 0
-        for k in np.flatnonzero(low != high):
-            part = slice(starts[k], ends[k])
-            for a, b in _pairs_of(comp[part], node[part], n[part], kind[part]):
-                left.append(np.minimum(a, b))
-                right.append(np.maximum(a, b))
+        starts = _fresh(cols)
+        ends = np.r_[starts[1:], len(cols[0])]
+        one, two, size = [], [], 0
+        for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+            left, right = cols[1][lo], cols[2][lo]
+            node, n, kind, comp, block = (c[lo:hi] for c in cols[3:])
+            for a, b in _pairs_of(comp, node, n, kind, block, left != right):
+                one.append(np.minimum(a, b))
+                two.append(np.maximum(a, b))
                 size += len(b)
                 if size >= FLUSH:
-                    yield _pair_batch(left, right)
-                    left, right, size = [], [], 0
-        if left:
-            yield _pair_batch(left, right)
-
-    dealt = entries.repartition("sig").sortWithinPartitions("sig")
-    return dealt.select("sig", "node", "n", "kind", "comp").mapInArrow(run, "a bigint, b bigint")
+                    yield _pair_batch(one, two)
+                    one, two, size = [], [], 0
+        if one:
+            yield _pair_batch(one, two)
+
+    groups = ["sig", "left", "right"]
+    out = materialize(dealt.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, "a bigint, b bigint").distinct(), "cross")
+    discard(mixed)
+    return out
 
 
 def _pair_batch(left, right) -> pa.RecordBatch:
@@ -452,8 +515,8 @@ def _hash64(x: np.ndarray) -> np.ndarray:
     return _mix(x.astype(np.int64).view(np.uint64))
 
 
-def checked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. b's set goes, in shares, to where its partners' sets go.
+def checked(rows: DataFrame, pairs: DataFrame, shared: frozenset = frozenset()) -> DataFrame:
+    """The pairs (a, b) that link, as a written table. b's set goes, in shares, to where its partners' sets go.
 
     Sets are made again from the texts of the classes that occur in pairs; a
     table of counters of fixed size tells them from most others before the
@@ -481,7 +544,7 @@ def checked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             held, size = [], 0
             for s in shingle_sets(batch.column(1)):
-                if len(s) == 0 or (node := class_of(s)) in seen:
+                if len(s) == 0 or (node := class_of(s, shared)) in seen:
                     continue
                 slot = int(_hash64(np.array([node]))[0] >> np.uint64(64 - SKETCH_BITS))
                 if known.value[slot >> 3] >> (7 - (slot & 7)) & 1:
@@ -518,7 +581,10 @@ def checked(rows: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     dealt = sent.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "role")
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
+    out = materialize(dealt.mapInArrow(compare, "a bigint, b bigint"), "links")
+    discard(wanted)
+    known.unpersist()
+    return out
 
 
 def plausible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
@@ -544,8 +610,17 @@ def _with_component(rows: DataFrame, node: str, comps: DataFrame, out: str) -> D
     return rows.join(if_small(named), node, "left").withColumn(out, F.coalesce("_c", node)).drop("_c")
 
 
+def _shared_names(members: DataFrame) -> frozenset:
+    """Names that unlike sets share: about rows^2 / 2^65 of them, none below billions of documents."""
+    twice = members.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low < high")
+    return frozenset(r["node"] for r in twice.select("node").collect())
+
+
 def _linked_classes(rows: DataFrame, trace=None) -> tuple[DataFrame, DataFrame]:
-    """Every row's class and set size, and the component of each class that links."""
+    """Every row's class and set size, and the component of each class that links.
+
+    Both read written tables; all other tables of the way here are deleted.
+    """
     spark = rows.sparkSession
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -554,35 +629,53 @@ def _linked_classes(rows: DataFrame, trace=None) -> tuple[DataFrame, DataFrame]:
             trace(name, df)
         return df
 
-    known = keep(profile(rows), "profile")
-    members = known.where("block is null").drop("parity", "block", "counts")
+    def checks(pairs: DataFrame) -> DataFrame:
+        """The links among pairs of classes that the parity maps let through."""
+        left = keep(plausible(pairs, maps), "pairs")
+        found = checked(rows, left, shared)
+        if trace:
+            trace("links", found)
+        discard(pairs, left)
+        return found
+
+    known = profile(rows)
+    if trace:
+        trace("profile", known)
+    members = known.where("block is null").drop("block", "counts")
+    shared = _shared_names(members.where("n > 0"))
+    if shared:
+        members = members.withColumn("node", F.when(F.col("node").isin(list(shared)), F.col("other")).otherwise(F.col("node")))
     counts = summed(known.where("block is not null").select("block", "counts"), SKETCH_BITS)
     sizes = {r["n"]: r["count"] for r in members.where((F.col("n") > 0) & (F.col("n") <= 2 * MAX_LIGHT)).groupBy("n").count().collect()}
     light = boundary(sizes, counts)
-    maps = keep(known.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "maps")
+    maps = keep(members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity")), "maps")
+    members = members.drop("other", "parity")
     order = spark.sparkContext.broadcast(counts)
     del counts
-    lists = keep(stars(signatures(rows, order, light)), "lists")
+    lists = keep(stars(signatures(rows, order, light, shared)), "lists")
     order.unpersist()
 
     # first each class and the center that it shares most lists with, then all centers still apart
     spokes = keep(lists.where("center is not null").groupBy("node", "center").count().select(F.col("node").alias("a"), F.col("center").alias("b"), "count"), "spokes")
-    best = keep(spokes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
-    links = keep(checked(rows, keep(plausible(best, maps), "pairs")), "links")
-    comps = keep(components(links), "comps")
+    links = checks(keep(spokes.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best"))
+    tables, comps = [links], components(links)
 
-    def more(pairs: DataFrame, links: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = keep(plausible(pairs, maps), "pairs")
+    def more(pairs: DataFrame) -> None:
+        """Take in the links among pairs of classes of unlike components."""
+        nonlocal links, comps
         if pairs.isEmpty():
-            return links, comps
-        links = links.unionByName(keep(checked(rows, pairs), "links"))
-        return links, keep(components(links), "comps")
+            discard(pairs)
+            return
+        tables.append(checks(pairs))
+        links = links.unionByName(tables[-1])
+        before, comps = comps, components(links)
+        discard(before)
 
     apart = _with_component(_with_component(spokes.select("a", "b"), "a", comps, "ca"), "b", comps, "cb").where("ca <> cb")
-    links, comps = more(keep(apart.select("a", "b"), "apart"), links, comps)
+    more(keep(apart.select("a", "b"), "apart"))
     # what is still apart: every pair of every list
-    rest = cross_pairs(_with_component(lists.select("sig", "node", "n", "kind"), "node", comps, "comp")).distinct()
-    links, comps = more(keep(rest, "cross"), links, comps)
+    more(cross_pairs(lists, comps))
+    discard(maps, lists, spokes, *tables)
     return members, comps
 
 
@@ -596,16 +689,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             trace(name, df)
         return df
 
-    classes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    classes = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     linked = keep(comps.join(classes, "node"), "linked")  # classes without a link need no component
     smallest = keep(linked.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     named = linked.join(if_small(smallest), "component").select("node", "component_id")
     by_class = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    full = members.where("n > 0").join(by_class, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    full = _with_class(members.where("n > 0"), by_class, classes).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 
 
+def _with_class(members: DataFrame, by_class: DataFrame, classes: DataFrame) -> DataFrame:
+    """members with the columns of their class; the members of a hot class go to several tasks.
+
+    A class is hot if it has more than HOT rows and an eighth of a partition's
+    mean share: at most eight times as many classes as partitions.
+    """
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bound = max(HOT, members.count() // (8 * parts))
+    hot = materialize(classes.where(F.col("rows") > bound).select("node", F.ceil(F.col("rows") / bound).cast("int").alias("shares")), "hot")
+    if hot.isEmpty():
+        return members.join(by_class, "node")
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = members.join(F.broadcast(hot), "node", "left").withColumn("share", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), shares).cast("int"))
+    every = by_class.join(F.broadcast(hot), "node", "left").withColumn("share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    return dealt.drop("shares").join(every.drop("shares"), ["node", "share"])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group: the one of the smallest id (null last).
 

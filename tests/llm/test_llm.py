@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -408,6 +409,60 @@ def test_many_texts_with_a_common_passage(spark):
     assert got == brute_components(texts)
 
 
+def test_hot_lists_and_classes_are_split(spark, monkeypatch):
+    """Blocks, shares and shares of classes far below the sizes of lists: the same components."""
+    for name, value in (("BLOCK", 3), ("SHARE", 2), ("HOT", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(jaccard.cross_pairs, "__defaults__", (3,))
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(40)]
+    texts = {}
+    for i in range(90):
+        w = [*common[: rng.randrange(20, 40)], *(f"z{i % 9}x{k}" for k in range(rng.randrange(4, 30)))]
+        texts[i] = " ".join(w if i % 3 else common)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()}
+    assert got == brute_components(texts)
+
+
+def test_unlike_sets_of_one_name(spark, monkeypatch):
+    """Names of few bits that clash for nearly all sets: the other names keep them apart."""
+    whole = jaccard.class_names
+    monkeypatch.setattr(jaccard, "class_names", lambda s: (whole(s)[0] % 5, whole(s)[1]))
+    monkeypatch.setattr(jaccard, "profile", lambda rows, real=jaccard.profile: real(rows))
+    rng = random.Random(3)
+    texts = {i: words(rng, 30, 5000) for i in range(25)}
+    texts |= {100 + i: texts[i] + " more" for i in range(8)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    profiled = [(int(whole(jaccard.shingle_set(t))[0] % 5), whole(jaccard.shingle_set(t))[1]) for t in texts.values()]
+    shared = jaccard._shared_names(spark.createDataFrame(profiled, "node long, other long"))
+    assert shared == {0, 1, 2, 3, 4} & {a for a, _ in profiled}
+    s = jaccard.shingle_set(texts[0])
+    assert jaccard.class_of(s, shared) == whole(s)[1] and jaccard.class_of(s) == whole(s)[0] % 5
+    assert rows.count() == 33
+
+
+def test_counts_rank_at_any_size():
+    counts = np.array([0, 1, 2, 3, 10, 255, 256, 1000, 70_000, 10**9], np.uint64)
+    steps = jaccard.scaled(counts)
+    assert (np.diff(steps.astype(int))[:5] > 0).all() and (np.diff(steps.astype(int)) >= 0).all() and steps[-1] < 255
+    c = jaccard._Counters(8)
+    c.add(np.repeat(np.array([7 << 56], np.uint64), 70_000))
+    c.add(np.array([9 << 56] * 300, np.uint64))
+    low, high = dict(c.blocks())[0], dict(c.blocks())[c.HIGH]
+    assert [low[k] + 256 * high[k] for k in (7, 8, 9)] == [65535, 0, 300]
+
+
+def test_tables_of_the_way_are_deleted(spark, corpus):
+    from caselode.storage import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = jaccard.near_duplicates(corpus[0])
+    left = {x.split("-")[1] for x in set(os.listdir(folder)) - before}
+    assert left <= {"profile", "components", "linked", "smallest", "hot"} and out.count() == len(corpus[1])
+
+
 def test_keep_one(spark):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(4, long), (2, long + " more"), (9, "alone and other words here"), (9, "alone and other words here"), (None, long), (7, None), (8, "")]
