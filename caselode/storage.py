@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where tables lie that this process wrote and may delete.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where that is unset a folder of our own.
 
-    In local mode a temporary folder serves (one machine is the whole cluster
-    there), else one in the warehouse.
+    On one machine, that is under a master local or local[...], a temporary
+    folder serves; under any other master one in the warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if spark.sparkContext.master.startswith("local"):
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             base = f"file://{tempfile.mkdtemp(prefix='caselode-')}"
         else:
             base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
@@ -37,10 +43,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` gave, once nothing reads them any more."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            drop_path(df.sparkSession, path)
