@@ -43,11 +43,15 @@ def state_counts(rows: DataFrame, state: str, vocabulary: list[str], *aggs) -> D
     return domain.join(got, state, "left").fillna(0)
 
 
-def content_links(files: DataFrame, cells: DataFrame, text: str) -> DataFrame:
-    """Files and cells with equal text, by hash."""
-    a = files.withColumn("_h", F.sha2(text, 256)).drop(text)
-    b = cells.withColumn("_h", F.sha2(text, 256)).drop(text)
-    return a.join(b, "_h").drop("_h")
+def content_links(files: DataFrame, cells: DataFrame, file: str, text: str) -> DataFrame:
+    """Cells with the file of equal text, by hash: the smallest one, and how many files have that text.
+
+    One row a cell: equal texts are a class with a representative and members,
+    not all their pairs. The files' side has one row a text, so a hot text is
+    hot on one side only, which adaptive skew joins split.
+    """
+    classes = files.groupBy(F.sha2(text, 256).alias("_h")).agg(F.min(file).alias(file), F.count("*").alias("members"))
+    return cells.withColumn("_h", F.sha2(text, 256)).drop(text).join(classes, "_h").drop("_h")
 
 
 def id_set_status(rows: DataFrame, left: str, right: str) -> DataFrame:

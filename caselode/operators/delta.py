@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import source_id_state
+from .paging import ranges
 
 KINDS = ["NEW", "CHANGED", "UNCHANGED", "LEGACY_KNOWN", "CURRENT_KNOWN", "UNPRESERVED", "MISSING", "ABSENCE_UNCONFIRMED"]
 FETCHED = ["NEW", "CHANGED", "UNPRESERVED"]
@@ -66,8 +67,14 @@ def fetch_candidates(delta: DataFrame, incomplete: DataFrame | None = None) -> D
 
 def validate_sorted(delta: DataFrame, position: str) -> DataFrame:
     """Rows of a stored delta that break its order or repeat an id."""
-    w = Window.orderBy(position)
-    return delta.withColumn("_prior", F.lag("source_id").over(w)).where(F.col("source_id") <= F.col("_prior")).drop("_prior")
+    # ranges of positions, each written with its number; a range's first row follows the last row before it
+    ranged = ranges(delta, [position])
+    within = Window.partitionBy("_p").orderBy("_k")
+    lasts = ranged.groupBy("_p").agg(F.max_by("source_id", "_k").alias("_last"))  # a row for each range
+    before = lasts.select("_p", F.lag("_last").over(Window.partitionBy(F.lit(1)).orderBy("_p")).alias("_last"))
+    prior = ranged.withColumn("_lag", F.lag("source_id").over(within)).join(F.broadcast(before), "_p", "left")
+    prior = prior.withColumn("_prior", F.when(F.col("_k") == 0, F.col("_last")).otherwise(F.col("_lag")))
+    return prior.where(F.col("source_id") <= F.col("_prior")).select(*delta.columns)
 
 
 def audit_pages(pages: DataFrame) -> DataFrame:

@@ -77,22 +77,28 @@ def replay(events: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         active: dict[str, set[str]] = {}
+        owner: dict[str, str] = {}  # of each held key
         merged: dict[str, str] = {}
+
+        def give(key: str, entity: str) -> None:
+            if key in owner:
+                active[owner[key]].discard(key)
+            active.setdefault(entity, set()).add(key)
+            owner[key] = entity
+
         rejected = 0
         for e in pdf.sort_values("sequence").itertuples(index=False):
-            held = {k for keys in active.values() for k in keys}
-            if e.operation == "CREATE" and e.entity not in active and e.entity not in merged and e.key not in held:
-                active[e.entity] = {e.key}
+            if e.operation == "CREATE" and e.entity not in active and e.entity not in merged and e.key not in owner:
+                give(e.key, e.entity)
             elif e.operation == "MERGE" and e.entity in active and e.target in active and e.entity != e.target:
-                active[e.target] |= active.pop(e.entity)
+                for key in list(active[e.entity]):
+                    give(key, e.target)
+                del active[e.entity]
                 merged[e.entity] = e.target
             elif e.operation == "SPLIT" and e.entity in active and e.key in active[e.entity] and e.target not in active and e.target not in merged:
-                active[e.entity].discard(e.key)
-                active[e.target] = {e.key}
-            elif e.operation == "RELINK" and e.target in active and e.key in held:
-                for keys in active.values():
-                    keys.discard(e.key)
-                active[e.target].add(e.key)
+                give(e.key, e.target)
+            elif e.operation == "RELINK" and e.target in active and e.key in owner:
+                give(e.key, e.target)
             else:
                 rejected += 1
         comp = pdf["component"].iloc[0] if len(pdf) else None

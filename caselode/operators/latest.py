@@ -51,3 +51,9 @@ def status_changes(df: DataFrame, keys: list[str], order: list[str], status: str
     moved = df.withColumn("previous", prior).where(F.col("previous").isNotNull() & (F.col("previous") != F.col(status)))
     pairs = [f"{a}>{b}" for a, bs in allowed.items() for b in bs]
     return moved.where(~F.concat("previous", F.lit(">"), F.col(status)).isin(pairs))
+
+
+def latest_before(df: DataFrame, keys: list[str], order: str, counts: Column, name: str) -> DataFrame:
+    """df with the greatest `order` (a time) of the rows that count and are strictly earlier; one sort, no self-join."""
+    earlier = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(order).cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.max(F.when(counts, F.col(order))).over(earlier))

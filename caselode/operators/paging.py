@@ -25,6 +25,14 @@ def keyset_page(df: DataFrame, key: str, after, limit: int = 100) -> DataFrame:
     return (df if after is None else df.where(F.col(key) > after)).orderBy(key).limit(limit)
 
 
+def ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in sorted ranges, written once with a row's range `_p` and its place `_k` in it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return materialize(ranged.select("*", F.spark_partition_id().alias("_p"), place.alias("_k")), "ranges")
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFrame:
     """df with a gapless number from 0 in the given order, without a single task.
 
@@ -32,10 +40,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "ordinal") -> DataFram
     place in it (ranges are sampled, so a second deal would differ); a range's
     base is the sum of the counts before.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), place.alias("_k"))
-    ranged = materialize(ranged, "ranges")
+    ranged = ranges(df, order)
     bases, at = {}, 0
     for p, n in sorted((r[0], r[1]) for r in ranged.groupBy("_p").count().collect()):
         bases[p] = at

@@ -43,25 +43,6 @@ def search(df: DataFrame, query: str, columns: list[str] | None = None, order: l
     return out
 
 
-def folded_projection(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The search table: key and each column's folded text. Folding is paid once, searches are built-in."""
-    from ..functions.text import casefold
-
-    ship(df.sparkSession)
-    kinds = {f.name: f.dataType for f in df.schema}
-    fold = casefold()
-    return df.select(key, *[fold(text_of(kinds[c], F.col(c))).alias(c) for c in columns])
-
-
-def search_projection(projection: DataFrame, key: str, query: str) -> DataFrame:
-    """Keys and matched columns from a table of folded_projection."""
-    needle = query.strip().casefold()
-    cols = [c for c in projection.columns if c != key]
-    hits = F.array_compact(F.array(*[F.when(F.contains(c, F.lit(needle)), F.lit(c)) for c in cols]))
-    out = projection.select(key, F.slice(hits, 1, SHOWN).alias("matched_columns"))
-    return out.where((F.size("matched_columns") > 0) & F.lit(bool(needle)))
-
-
 def case_numbers(*cols: Column) -> Column:
     """Trimmed texts that aren't blank, each once, in order."""
     return F.array_distinct(F.filter(F.array_compact(F.array(*[strip(c) for c in cols])), lambda x: x != ""))

@@ -101,21 +101,20 @@ def _(t):
     return fields.anomalies(got, heads, {"SEG": "segment"})
 
 
-@query("w11_bounded_restore", "SELECT sha, n, running FROM (SELECT sha, n, (sum(n) OVER (ORDER BY sha))::BIGINT AS running FROM (SELECT sha, n FROM (SELECT sha256(text) AS sha, min(n_chars) AS n FROM documents WHERE lang = 'es' GROUP BY 1) ORDER BY sha LIMIT 60)) WHERE running <= 90000")
+@query(
+    "w11_bounded_restore",
+    """SELECT sha, n, running FROM (SELECT sha, n, (sum(n) OVER (ORDER BY sha))::BIGINT AS running FROM (
+         SELECT sha, n FROM (SELECT sha256(text) AS sha, min(n_chars) AS n FROM documents GROUP BY 1) WHERE sha NOT IN (SELECT sha256(text) FROM documents WHERE source = 'src0') ORDER BY sha LIMIT 60)) WHERE running <= 90000""",
+)
 def _(t):
     from ..sources.backup import missing_blobs
 
-    want = t.documents.groupBy(F.sha2("text", 256).alias("sha256"), "lang").agg(F.min("n_chars").alias("size_bytes"))
-    some = missing_blobs(want.where("lang = 'es'").select("sha256", "size_bytes"), want.limit(0), 0, 60, 90_000)
+    digest = F.sha2("text", 256).alias("sha256")
+    want = t.documents.groupBy(digest).agg(F.min("n_chars").alias("size_bytes"))
+    some = missing_blobs(want, t.documents.where("source = 'src0'").select(digest), 0, 60, 90_000)
     return some.select(F.col("sha256").alias("sha"), F.col("size_bytes").alias("n"), "running")
 
 
-@query("j25_occurrence_links")
-def _(t):
-    found = documents.tag_occurrences(t.pages, "page_id", "html", "a").select(F.col("page_id").alias("source"), F.col("target").alias("file"), "before", "after", "order")
-    return documents.match_occurrences(found, found)
-
-
 @query("l11_chronological", "SELECT doc_id, row_number() OVER (ORDER BY o_orderdate, doc_id) - 1 AS ordinal FROM documents JOIN orders ON doc_id = o_orderkey")
 def _(t):
     dated = t.documents.join(t.orders, F.col("doc_id") == F.col("o_orderkey")).select("doc_id", "o_orderdate")

@@ -176,10 +176,10 @@ def _(t):
     return t.conversations.join(docs, ["conv_id", "text"], "left_anti").select("conv_id", "turn")
 
 
-@query("j22_hash_join", "SELECT a.doc_id, b.doc_id AS other_id FROM documents a JOIN documents b ON a.text = b.text AND a.lang = 'en' AND b.lang = 'en'")
+@query("j22_hash_join", "SELECT doc_id, class_id, members FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) AS members FROM documents)")
 def _(t):
-    en = t.documents.where("lang = 'en'")
-    return coverage.content_links(en.select("doc_id", "text"), en.select(F.col("doc_id").alias("other_id"), "text"), "text")
+    files = t.documents.select(F.col("doc_id").alias("class_id"), "text")
+    return coverage.content_links(files, t.documents.select("doc_id", "text"), "class_id", "text").select("doc_id", "class_id", "members")
 
 
 @query(
@@ -339,9 +339,13 @@ def _(t):
     return d.groupBy(missing_kind(T.LongType(), F.col("doc_id")).alias("id_kind"), missing_kind(T.StringType(), F.col("text")).alias("text_kind")).agg(F.count("*").alias("n"))
 
 
-@query("a22_fingerprint", None)
+def _cell_sql(*names: str) -> str:
+    return " || ".join(f"'{n}=' || coalesce(length({n}::VARCHAR) || ':' || {n}::VARCHAR, '-') || chr(10)" for n in sorted(names))
+
+
+@query("a22_fingerprint", f"SELECT count(*) AS rows, (sum(n) % 2305843009213693952)::BIGINT AS sum_hash, bit_xor(n) AS xor_hash FROM (SELECT ('0x' || substr(sha256({_cell_sql('doc_id', 'text', 'lang', 'source', 'n_chars')}), 1, 12))::BIGINT AS n FROM documents)")
 def _(t):
-    return t.lineitem.agg(*hashes.table_fingerprint(*[F.col(c) for c in t.lineitem.columns]))
+    return t.documents.agg(*hashes.cell_fingerprint({c: F.col(c) for c in t.documents.columns}))
 
 
 @query("a23_set_hash", "SELECT lang, sha256(string_agg(source, chr(10) ORDER BY source)) AS h FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY lang")

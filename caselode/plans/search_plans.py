@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, dates, keys, text, urls
 from ..operators import ledger, quality, search
+from ..operators.search_index import index_of
 from ..sources import tables
 from .registry import query
 
@@ -44,10 +45,40 @@ def _(t):
     return t.pages.where(text.contains_folded(F.col("html"), "&") & text.like_literal(F.col("html"), "&amp;")).select("page_id", "url")
 
 
+SEARCHED = ["text", "lang", "source"]
+
+
+@query("d16_index_build", "SELECT count(*)::BIGINT AS rows, true AS ready FROM documents")
+def _(t):
+    index = index_of(t.documents, "doc_id", SEARCHED)
+    return index.rows().agg(F.count("ordinal").alias("rows")).withColumn("ready", F.lit(index.ready()))
+
+
 @query("d16_search_projection", f"SELECT doc_id, 'text' AS matched FROM documents WHERE contains(replace(lower(text), 'ß', 'ss'), '{WORD}')")
 def _(t):
-    projection = search.folded_projection(t.documents, "doc_id", ["text", "lang", "source"])
-    return search.search_projection(projection, "doc_id", WORD).select("doc_id", F.array_join("matched_columns", ",").alias("matched"))
+    hits = index_of(t.documents, "doc_id", SEARCHED).search(WORD.title())
+    return hits.select(F.col("key").alias("doc_id"), F.array_join("matched_columns", ",").alias("matched"))
+
+
+@query(
+    "p2_index_search",
+    f"""SELECT doc_id, concat_ws(',', CASE WHEN contains(text, '{NUMBER}') THEN 'text' END, CASE WHEN contains(lang, '{NUMBER}') THEN 'lang' END, CASE WHEN contains(source, '{NUMBER}') THEN 'source' END) AS matched
+        FROM documents WHERE contains(text, '{NUMBER}') OR contains(lang, '{NUMBER}') OR contains(source, '{NUMBER}')""",
+)
+def _(t):
+    hits = index_of(t.documents, "doc_id", SEARCHED).search(NUMBER)
+    return hits.select(F.col("key").alias("doc_id"), F.array_join("matched_columns", ",").alias("matched"))
+
+
+@query("f1_index_short", "SELECT doc_id, concat_ws(',', CASE WHEN contains(replace(lower(text), 'ß', 'ss'), 'de') THEN 'text' END, CASE WHEN lang = 'de' THEN 'lang' END) AS matched FROM documents WHERE contains(replace(lower(text), 'ß', 'ss'), 'de') OR lang = 'de'")
+def _(t):
+    hits = index_of(t.documents, "doc_id", SEARCHED).search("DE")  # shorter than a trigram: the folded rows are read
+    return hits.select(F.col("key").alias("doc_id"), F.array_join("matched_columns", ",").alias("matched"))
+
+
+@query("l6_prefix_search", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER () AS rn, lang FROM documents) WHERE contains(lang, 'e') ORDER BY rn LIMIT 30")
+def _(t):
+    return index_of(t.documents, "doc_id", ["lang"]).search("E", limit=30).select(F.col("key").alias("doc_id"))
 
 
 @query("d18_title_first", "SELECT page_id, 'title' AS matched FROM pages WHERE contains(lower(url), 'utm_source')")
@@ -225,9 +256,12 @@ def _(t):
     return tables.quarantined(None, t.events.select("event_id", line.alias("value")), kind).select("event_id", "status")
 
 
-@query("f2_strip", "SELECT doc_id, length(trim(replace(replace(left(text, 40), chr(10), ' '), chr(9), ' ')))::BIGINT AS n FROM documents")
+BLANKS = "[ \\t\\n\\r\\f\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+@query("f2_strip", f"SELECT doc_id, length(regexp_replace(regexp_replace(text, '^{BLANKS}', ''), '{BLANKS}$', ''))::BIGINT AS n FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.length(text.strip(F.substring("text", 1, 40))).cast("bigint").alias("n"))
+    return t.documents.select("doc_id", F.length(text.strip(F.col("text"))).cast("bigint").alias("n"))
 
 
 @query("f3_compact", "SELECT doc_id, sha256(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', '', 'g')) AS h FROM documents")
@@ -245,11 +279,11 @@ def _(t):
     return t.part.select("p_partkey", text.label_join(F.col("p_type"), F.lit("SMALL"), F.lit(None).cast("string"), F.col("p_brand")).alias("label"))
 
 
-@query("f33_context", "SELECT doc_id, substr(text, 11, 20) AS piece, substr(text, 1, 10) AS before, substr(text, 31, 30) AS after FROM documents WHERE length(text) >= 30")
+@query("f33_context", "SELECT doc_id, substr(text, 11, 20) AS piece, substr(text, 1, 10) AS before, substr(text, 31, 30) AS after FROM documents")
 def _(t):
     a, b = F.lit(10), F.lit(30)
     before, after = text.context(F.col("text"), a, b, 30)
-    return t.documents.where(F.length("text") >= 30).select("doc_id", text.slice_of(F.col("text"), a, b).alias("piece"), before.alias("before"), after.alias("after"))
+    return t.documents.select("doc_id", text.slice_of(F.col("text"), a, b).alias("piece"), before.alias("before"), after.alias("after"))
 
 
 @query("f38_brief", "SELECT doc_id, CASE WHEN length(text) > 30 THEN left(text, 30) || '…(' || length(text) || ')' ELSE text END AS brief FROM documents")

