@@ -56,8 +56,8 @@ def metadata_date(x: Column) -> Column:
 
 
 def date_state(x: Column) -> Column:
-    """MISSING, INVALID or VALID."""
-    return F.when(x.isNull() | F.trim(x).isin(*NO_DATE), "MISSING").when(metadata_date(x).isNull(), "INVALID").otherwise("VALID")
+    """MISSING, INVALID or VALID; only the words for no date, as they are, are MISSING, so blanks are INVALID."""
+    return F.when(x.isNull() | x.isin(*NO_DATE), "MISSING").when(metadata_date(x).isNull(), "INVALID").otherwise("VALID")
 
 
 def agreed_date(*values: Column) -> Column:

@@ -124,3 +124,12 @@ def id_text(x: Column) -> Column:
     """A numeric id as text, without the fraction of whole numbers."""
     whole = x.cast("bigint")
     return F.when(whole == x, whole.cast("string")).otherwise(x.cast("string"))
+
+
+def blob_key_state(key: Column) -> Column:
+    """VALID if a key is blobs/<first two digits>/<sha256 in lower case>, else INVALID_STORAGE_KEY.
+
+    Keys are made from digests, never from names or URLs, so no key leads out of the store.
+    """
+    formed = key.rlike("^blobs/[0-9a-f]{2}/[0-9a-f]{64}$") & (F.substring(key, 7, 2) == F.substring(key, 10, 2))
+    return F.when(F.coalesce(formed, F.lit(False)), "VALID").otherwise("INVALID_STORAGE_KEY")

@@ -55,3 +55,19 @@ def unique_mapping_url(names: Column, base: str) -> Column:
     """The URL of a mapping that names one file; null if none or several."""
     one = F.array_distinct(names)
     return F.when(F.size(one) == 1, F.concat(F.lit(base), F.url_encode(F.get(one, F.lit(0)))))
+
+
+#: The provider's parameters for an article that a judgment links to.
+ARTICLE_MODE, ARTICLE_CLASS = "11", "L"
+
+
+def article_params(law: Column, article: Column, context: Column, frame_day: Column) -> Column:
+    """Parameters of the request for a linked article; null where context or day is not of the known form.
+
+    The context `prec` takes the frame's day, `precYYYYMMDD` its own; the day must be a real date.
+    """
+    day = F.when(context == "prec", frame_day).when(context.rlike("^prec[0-9]{8}$"), F.substring(context, 5, 8))
+    real = day.rlike("^[0-9]{8}$") & F.try_to_date(day, "yyyyMMdd").isNotNull()
+    blank = F.lit("")
+    fields = {"joNo": article, "joEfYd": blank, "mode": F.lit(ARTICLE_MODE), "lsNm": law, "ancYd": blank, "lsId": F.concat(F.lit("prec"), day), "efYd": day, "lsClsCd": F.lit(ARTICLE_CLASS)}
+    return F.when(real, F.struct(*[v.alias(k) for k, v in fields.items()]))

@@ -70,3 +70,30 @@ def first_reason(*rules: tuple[str, Column], ok: str = "OK") -> Column:
     for name, test in rules:
         out = F.when(test, name) if out is None else out.when(test, name)
     return out.otherwise(ok)
+
+
+def pending_manifests(pending: DataFrame, batch: list[str], order: list[str]) -> DataFrame:
+    """Per batch the manifest of its open references: a JSON text, named by its own hash, so equal work has one name.
+
+    A batch is bounded where it is planned (see paging); its manifest is one row.
+    """
+    rest = [c for c in pending.columns if c not in batch]
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.to_json(F.struct(*sorted(rest)), {"ignoreNullFields": "false"}).alias("_json")))), lambda x: x["_json"])
+    body = F.concat(F.lit('{"references":['), F.array_join(lines, ","), F.lit("]}"))
+    out = pending.groupBy(*batch).agg(F.count("*").alias("references"), body.alias("body"))
+    return out.withColumn("manifest_id", F.concat(F.lit("image-manifest:"), F.sha2("body", 256)))
+
+
+def pinned(inputs: DataFrame, now: DataFrame, key: str, pins: list[str]) -> DataFrame:
+    """Inputs with what has changed since they were pinned: the names of differing pins, or MISSING."""
+    j = inputs.alias("i").join(now.alias("n"), key, "left")
+    there = F.lit(False)
+    for p in pins:
+        there = there | F.col(f"n.{p}").isNotNull()
+    changed = F.array_compact(F.array(*[F.when(~F.col(f"i.{p}").eqNullSafe(F.col(f"n.{p}")), F.lit(p)) for p in pins]))
+    return j.select(key, F.when(~there, F.array(F.lit("MISSING"))).otherwise(changed).alias("changed"))
+
+
+def input_state(size: Column, digest: Column, wanted: Column, most: int) -> Column:
+    """Whether an import may be read: IMPORT_INPUT_SIZE_LIMIT, IMPORT_INPUT_HASH_MISMATCH or OK, in this order."""
+    return F.when(size > most, "IMPORT_INPUT_SIZE_LIMIT").when(~digest.eqNullSafe(wanted), "IMPORT_INPUT_HASH_MISMATCH").otherwise("OK")

@@ -59,3 +59,14 @@ def title_first(df: DataFrame, query: str, title: str, body: str) -> DataFrame:
 
 def any_of(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+#: Which part of a current document matched, and the title of one without.
+IN_TITLE, IN_HTML, NO_TITLE = "current_reader_title", "current_reader_html", "현재 제공 본문"
+
+
+def hit_items(hits: DataFrame, query: str, title: str, html: str) -> DataFrame:
+    """hits with display_title and matched_columns: the title if it holds the query, else the body; others go."""
+    shown = F.when(strip(F.col(title)) != "", F.col(title)).otherwise(NO_TITLE)
+    part = F.when(contains_folded(shown, query), IN_TITLE).when(contains_folded(F.col(html), query), IN_HTML)
+    return hits.withColumn("display_title", shown).withColumn("matched_columns", part).where("matched_columns is not null").withColumn("matched_columns", F.array("matched_columns"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import markup as M
-from ..operators import documents, fields
+from ..operators import case_fields, documents, fields
 from ..session import ship
 from .registry import query
 
@@ -232,3 +232,89 @@ def _(t):
 def _(t):
     text = H.visible_udf()(F.col("html"))
     return pages(t).where("page_id = 4").select("page_id", F.inline(H.headings_udf()(text))).drop("body_start")
+
+
+CASES = [
+    ("4", "<h2>대법원 2023. 2. 3. 선고 2022다1 전원합의체 판결 ★</h2>" + BODY, "제목", {"csNoLstCtt": "2022다1, 2022다2", "prnjdgYmd": "20230203", "cortNm": "대법원", "csNmLstCtt": "손해배상"}, {"판례일련번호": "77", "사건번호": "2022다1"}, "EXACT"),
+    ("5", "<p>본문</p>", "서울지법 판결", {"csNoLstCtt": "99카합12", "prnjdgYmd": "19990231", "cortNm": " "}, None, "CONFLICT"),
+    ("6", None, None, None, None, None),
+]
+
+
+def cases(t):
+    spark = t.pages.sparkSession
+    ship(spark)
+    return spark.createDataFrame(CASES, case_fields.INPUT)
+
+
+@query(
+    "h9_case_fields",
+    values(
+        "doc, name, value, status, evidence",
+        *(
+            f"('{doc}', '{name}', {'NULL' if value is None else repr(value)}, '{status}', {'NULL' if evidence is None else repr(evidence)})"
+            for doc, name, value, status, evidence in (
+                ("4", "case_full_no", "대법원 2023. 2. 3. 선고 2022다1 전원합의체 판결 ★", "PRESENT", "title"),
+                ("4", "main_decision", "【주 문】 기각한다.", "PRESENT", "visible text"),
+                ("4", "applicable_acts_tail", "[참조조문] 민법", "PRESENT", "visible text"),
+                ("4", "applicable_acts", None, "NOT_PROVIDED", None),
+                ("4", "party_info_dict", '{"원고": "갑"}', "PRESENT", "visible text"),
+                ("4", "judge", '{"대법관": "을(재판장)"}', "PRESENT", "visible text"),
+                ("4", "case_no", "2022다1", "PRESENT", "metadata:csNoLstCtt"),
+                ("4", "code", "다", "PRESENT", "metadata:csNoLstCtt"),
+                ("4", "decision_date", "2023-02-03", "PRESENT", "metadata:prnjdgYmd"),
+                ("4", "supreme", "true", "PRESENT", "metadata:cortNm"),
+                ("4", "jeonhap", "true", "PRESENT", "title"),
+                ("4", "important", "true", "PRESENT", "title"),
+                ("4", "lmeta_serialno", "77", "PRESENT", "provider:판례일련번호"),
+                ("4", "lmeta_saNm", None, "NOT_PROVIDED", None),
+                ("4", "for_lawschool", None, "NOT_APPLICABLE", None),
+                ("4", "repealed_cases", None, "REVIEW", None),
+                ("5", "case_full_no", "서울지법 판결", "PRESENT", "title"),
+                ("5", "main_decision", None, "NOT_PROVIDED", None),
+                ("5", "applicable_acts_tail", None, "NOT_PROVIDED", None),
+                ("5", "applicable_acts", None, "NOT_PROVIDED", None),
+                ("5", "party_info_dict", None, "NOT_PROVIDED", None),
+                ("5", "judge", None, "NOT_PROVIDED", None),
+                ("5", "case_no", "99카합12", "PRESENT", "metadata:csNoLstCtt"),
+                ("5", "code", "카합", "PRESENT", "metadata:csNoLstCtt"),
+                ("5", "decision_date", "19990231", "ERROR", "metadata:prnjdgYmd"),
+                ("5", "supreme", "false", "PRESENT", "metadata:cortNm"),
+                ("5", "jeonhap", "false", "PRESENT", "title"),
+                ("5", "important", None, "NOT_PROVIDED", None),
+                ("5", "lmeta_serialno", None, "REVIEW", None),
+                ("5", "lmeta_saNm", None, "REVIEW", None),
+                ("5", "for_lawschool", None, "NOT_APPLICABLE", None),
+                ("5", "repealed_cases", None, "REVIEW", None),
+            )
+        ),
+    ),
+)
+def _(t):
+    shown = "case_full_no main_decision applicable_acts_tail applicable_acts party_info_dict judge case_no code decision_date supreme jeonhap important lmeta_serialno lmeta_saNm for_lawschool repealed_cases".split()
+    rows = case_fields.case_fields(cases(t).where("doc <> '6'"))
+    return rows.where(F.col("name").isin(shown)).select("doc", "name", "value", "status", "evidence")
+
+
+@query("h9_field_statuses", values("doc, status, n", "('4', 'PRESENT', 26)", "('4', 'NOT_PROVIDED', 29)", "('4', 'NOT_APPLICABLE', 4)", "('4', 'REVIEW', 1)", "('6', 'NOT_PROVIDED', 42)", "('6', 'NOT_APPLICABLE', 4)", "('6', 'REVIEW', 1)", "('6', 'NOT_PROCESSED', 10)", "('6', 'PRESENT', 3)"))
+def _(t):
+    rows = case_fields.case_fields(cases(t).where("doc <> '5'"))
+    return rows.groupBy("doc", "status").agg(F.count("*").alias("n"))
+
+
+@query("c11_field_contract", values("doc, errors", "('4', '')", "('5', '')", "('6', '')", "('x', 'FIELDS_CONTRACT_MISMATCH,FIELDS_STATUS_INVALID,FIELDS_EVIDENCE_MISSING')"))
+def _(t):
+    rows = case_fields.case_fields(cases(t))
+    bad = rows.where("doc = '4' and position < 2").withColumn("doc", F.lit("x")).withColumn("status", F.when(F.col("position") == 1, "DONE").otherwise("PRESENT")).withColumn("evidence", F.lit(None).cast("string"))
+    return case_fields.contract_errors(rows.unionByName(bad)).select("doc", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    "f9_case_symbols",
+    values("symbol, day, label, status", "('다', '2023-01-01', '민사 · 상고', 'PRESENT')", "('가단', '2022-07-28', '민사 · 제1심 · 단독', 'REVIEW')", "('라', '2022-07-29', '민사 · 항고', 'PRESENT')", "('가소', NULL, '민사 · 소액', 'REVIEW')", "('헌가', '2023-01-01', NULL, 'REVIEW')"),
+)
+def _(t):
+    rows = [("다", "2023-01-01"), ("가단", "2022-07-28"), ("라", "2022-07-29"), ("가소", None), ("헌가", "2023-01-01")]
+    df = t.pages.sparkSession.createDataFrame(rows, "symbol string, day string")
+    sort = case_fields.case_sort(F.col("symbol"), F.col("day").cast("date"))
+    return df.select("symbol", "day", F.get_json_object(sort["value"], "$.label").alias("label"), sort["status"].alias("status"))

@@ -124,3 +124,18 @@ def row_bundle(df: DataFrame, key: str) -> DataFrame:
     """(key, body, sha256, size) of each row as JSON: a manifest with its blobs."""
     body = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
     return df.select(key, body.alias("body")).withColumn("sha256", F.sha2("body", 256)).withColumn("size_bytes", F.octet_length("body").cast("bigint"))
+
+
+def jdbc_rows(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int], parts: int, properties: dict | None = None) -> DataFrame:
+    """A table of a database by JDBC, in `parts` ranges of a whole-number key so that no task reads it all.
+
+    The driver's jar is the caller's. Rows outside of the bounds are in the first and last range. One read is
+    one statement a range; for one snapshot of all, read from an exported or frozen table.
+    """
+    if parts < 1 or bounds[0] > bounds[1]:
+        raise SourceError("INVALID_JDBC_RANGES")
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
+    for name, value in (properties or {}).items():
+        reader = reader.option(name, value)
+    return reader.load()
