@@ -64,3 +64,33 @@ def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, ""), name)
         assert docs.count() == 0
+
+
+def test_odd_rows_in_each_stage(spark):
+    """Null and tied ids, null columns, equal rows and extra columns: every stage's defined result."""
+    rng = random.Random(12)
+    stops = "the of and to in that with this from have".split()
+
+    def text(n=60):
+        return " ".join(rng.choice(stops) if rng.random() < 0.4 else f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.choice('lmnr')}{rng.choice('aeiou')}{rng.choice('stkp')}" for _ in range(n))
+
+    own = [text() for _ in range(40)]
+    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(own)]
+    rows += [(None, own[0] + " end", "en", "src0", 1), (None, text(), None, None, None), (None, text(), "en", None, 2)]
+    rows += [(7, text(), "en", "src1", 3), (7, text(), "xx", "src1", 3), (50, own[5], "en", "src2", 4), (50, own[5], "en", "src2", 4)]
+    rows += [(60, None, None, None, None), (61, "", "en", "src0", 0), (62, "### " * 40, "en", "src0", 0)]
+    docs = spark.createDataFrame(rows, KIND).withColumn("score", F.lit("clash")).withColumn("copy", F.lit(1)).repartition(3)
+    plain = lambda df: sorted((tuple(r) for r in df.select(corpus_pipeline.COLUMNS).collect()), key=str)
+    stage = dict(corpus_pipeline.STAGES)
+    good = [r for r in rows if r[0] not in (60, 61, 62)]
+    ruled = stage["quality_rules"](spark, docs, "")
+    assert ruled.columns == corpus_pipeline.COLUMNS and plain(ruled) == sorted(good, key=str)
+    known = stage["language_id"](spark, docs, "")
+    assert plain(known) == sorted(good, key=str)
+    one = plain(stage["near_duplicates"](spark, docs, ""))
+    gone = {(None, own[0] + " end"), (50, own[5])}
+    assert one == sorted((r for r in rows if (r[0], r[1]) not in gone), key=str)
+    mixed = stage["mixing"](spark, docs, "")
+    assert set(plain(mixed)) <= set(rows) and mixed.columns == corpus_pipeline.COLUMNS
+    packed = stage["packing"](spark, docs, "")
+    assert packed.where("start = 0").count() == len(rows)
