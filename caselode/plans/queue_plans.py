@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys, urls
-from ..operators import ledger, links, queue, search
+from ..operators import ledger, links, queue, reports, search, waves
 from ..session import ship
 from .markup_plans import values
 from .registry import query
@@ -155,3 +155,45 @@ def _(t):
 def _(t):
     ship(t.pages.sparkSession)
     return search.hit_items(t.pages, "/A", "url", "html").select("page_id", "display_title", F.element_at("matched_columns", 1).alias("matched"))
+
+
+@query(
+    "d41_baseline",
+    """WITH m AS (SELECT lang, count(*) AS rows, count(*) FILTER (n_chars > 1000) AS long, count(*) FILTER (source = 'src0') AS hot, count(DISTINCT source) AS sources, false AS total FROM documents GROUP BY lang
+                  UNION ALL SELECT NULL, count(*), count(*) FILTER (n_chars > 1000), count(*) FILTER (source = 'src0'), count(DISTINCT source), true FROM documents)
+       SELECT lang, total, measure, n FROM (UNPIVOT m ON rows, long, hot, sources INTO NAME measure VALUE n)""",
+)
+def _(t):
+    tests = {"long": F.col("n_chars") > 1000, "hot": F.col("source") == "src0"}
+    return reports.baseline(t.documents, ["lang"], tests, {"sources": F.col("source")})
+
+
+@query(
+    "d45_source_differences",
+    """SELECT doc_id, CASE WHEN o.doc_id IS NULL THEN 'THEIRS_ONLY' WHEN s.doc_id IS NULL THEN 'OURS_ONLY' WHEN o.lang IS DISTINCT FROM s.lang OR o.source IS DISTINCT FROM s.source THEN 'DIFFERENT' ELSE 'SAME' END AS state,
+              concat_ws(',', CASE WHEN o.doc_id IS NOT NULL AND s.doc_id IS NOT NULL AND o.lang IS DISTINCT FROM s.lang THEN 'lang' END, CASE WHEN o.doc_id IS NOT NULL AND s.doc_id IS NOT NULL AND o.source IS DISTINCT FROM s.source THEN 'source' END) AS differing
+       FROM (SELECT doc_id, lang, source FROM documents WHERE doc_id % 5 <> 0) o FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN 'other' ELSE source END AS source FROM documents WHERE doc_id % 4 <> 0) s USING (doc_id)""",
+)
+def _(t):
+    d = t.documents.select("doc_id", "lang", "source")
+    theirs = d.where("doc_id % 4 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 3 == 0, "other").otherwise(F.col("source")).alias("source"))
+    return reports.source_differences(d.where("doc_id % 5 <> 0"), theirs, "doc_id", ["lang", "source"]).select("doc_id", "state", F.array_join(F.coalesce("differing", F.expr("cast(array() as array<string>)")), ",").alias("differing"))
+
+
+@query("d61_registered", "SELECT user_id, event_id, CASE WHEN event_type IN ('signup', 'purchase') THEN ts END AS ts FROM events")
+def _(t):
+    e = t.events
+    registry = e.select("event_id", "ts", F.to_json(F.struct(F.col("event_type").alias("kind"))).alias("metadata"))
+    return reports.registered(e.select("user_id", "event_id"), registry, "event_id", ["ts"], ["signup", "purchase"]).select("user_id", "event_id", "ts")
+
+
+@query("d33_staged_jobs", "SELECT doc_id::VARCHAR AS item, kind, doc_id || ':' || kind AS job_id, CASE WHEN prior IS NOT NULL THEN doc_id || ':' || prior END AS needs FROM documents, (VALUES ('FETCH', NULL), ('IMAGES', 'FETCH'), ('REFRESH', 'IMAGES'), ('ENRICH', 'REFRESH'), ('FIELDS', 'ENRICH')) AS v(kind, prior)")
+def _(t):
+    return waves.staged(t.documents, "doc_id")
+
+
+@query("d62_open_batches", "SELECT DISTINCT source AS batch, 'v2' AS input FROM documents WHERE source NOT IN ('src1', 'src3')")
+def _(t):
+    plan = t.documents.select(F.col("source").alias("batch"), F.lit("v2").alias("input")).distinct()
+    done = plan.withColumn("status", F.when(F.col("batch") == "src2", "FAILED").otherwise("SUCCEEDED")).withColumn("input", F.when(F.col("batch") == "src0", "v1").otherwise("v2"))
+    return waves.open_batches(plan, done.where("batch in ('src0', 'src1', 'src2', 'src3')"))
