@@ -121,7 +121,8 @@ def with_next(rows: DataFrame, key: str, tie: str, carry: list[str]) -> DataFram
     first rows, one a range, are found by their keys. After the last row comes
     the first.
     """
-    parts = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges are dealt to partitions by hash: many small ones even out
+    parts = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first()["q"] or []
     bounds = F.from_json(F.lit(json.dumps(sorted(set(cuts)))), "array<bigint>")
     dealt = rows.withColumn("range", count_upto(bounds, F.coalesce(F.col(key), F.lit(-(1 << 63))), len(set(cuts))))
