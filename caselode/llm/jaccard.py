@@ -32,10 +32,10 @@ blocks: every pair of blocks is a task's group of its own. Nothing is capped.
 
 Defined cases: null and empty texts and texts of blanks have an empty set and
 link with nothing; fewer than 5 words make one shingle of the whole sequence;
-repeated rows and ids are rows of one class if their texts' sets are equal; a
-null id takes part (and is no smallest id unless a component has no other);
-other columns are ignored; an empty table gives no rows. Classes are told apart
-by 64 bits of a set's hash.
+repeated rows and ids are rows of one class if their texts' sets are equal; ids
+are whole numbers or null, and a null id takes part (and is no smallest id
+unless a component has no other); other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
