@@ -88,7 +88,7 @@ def _chain(t):
 
 @query(
     "j12_descendants",
-    f"""WITH RECURSIVE n AS ({_CHAIN}), d(root, node, depth) AS (SELECT id, id, 0 FROM n WHERE parent IS NULL UNION ALL SELECT d.root, n.id, d.depth + 1 FROM d JOIN n ON n.parent = d.node WHERE d.depth < 20)
+    f"""WITH RECURSIVE n AS ({_CHAIN}), d(root, node, depth) AS (SELECT id, id, 0 FROM n WHERE parent IS NULL UNION ALL SELECT d.root, n.id, d.depth + 1 FROM d JOIN n ON n.parent = d.node)
         SELECT root, node, depth FROM d WHERE depth > 0""",
 )
 def _(t):
