@@ -26,6 +26,13 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _ranked_by_id(model: dict) -> bool:
+    """Whether ids rise with the order of merges, each forming a token of its own: what tiktoken takes for granted."""
+    formed = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    whole = {i for t, i in model["vocab"].items() if len(t) > 1}
+    return None not in formed and all(a < b for a, b in zip(formed, formed[1:])) and set(formed) == whole
+
+
 class ByteBpe:
     """encode(text): numpy uint32 ids, without special tokens added."""
 
@@ -41,7 +48,7 @@ class ByteBpe:
         self.top = max([*vocab.values(), *(t["id"] for t in spec.get("added_tokens", []))])
         self.fast = None
         known = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex") and not spec["pre_tokenizer"].get("add_prefix_space") and not spec.get("normalizer")
-        if known and all(set(t) <= byte.keys() for t in vocab):
+        if known and all(set(t) <= byte.keys() for t in vocab) and _ranked_by_id(spec["model"]):
             ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
             fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
             probe = "It's 12 o'clock;\n\n  Müßte élan? 한국어 ¡señor!\tx  "

@@ -184,6 +184,18 @@ def test_byte_bpe_is_the_library():
         assert bpe.encode(t).tolist() == bpe.slow.encode(t, add_special_tokens=False).ids
 
 
+def test_files_with_other_merge_orders_go_to_the_library(tmp_path):
+    with open(default_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    merges = spec["model"]["merges"]
+    merges[0], merges[1] = merges[1], merges[0]
+    with open(f"{tmp_path}/swapped.json", "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    bpe = byte_bpe(f"{tmp_path}/swapped.json")
+    assert bpe.fast is None
+    assert bpe.encode(" the thing it is").tolist() == bpe.slow.encode(" the thing it is", add_special_tokens=False).ids
+
+
 def test_token_files_round_trip(spark, corpus, empty):
     df, texts = corpus
     path, uri = default_path("byte_bpe_50k.json"), scratch_path(spark, "t")
