@@ -133,3 +133,32 @@ def blob_key_state(key: Column) -> Column:
     """
     formed = key.rlike("^blobs/[0-9a-f]{2}/[0-9a-f]{64}$") & (F.substring(key, 7, 2) == F.substring(key, 10, 2))
     return F.when(F.coalesce(formed, F.lit(False)), "VALID").otherwise("INVALID_STORAGE_KEY")
+
+
+def decision_outcome(court: Column, disposition: Column, dockets: Column, case_keys: Column) -> Column:
+    """struct<state, keys> of a decision: its keys (court, case_number, kind), sorted, from its declared case keys.
+
+    court and dockets (an array) are the metadata's, null if unknown; case_keys
+    is array<struct<court, case_number>>. The first key that cannot stand says
+    why: CONFLICTING_DECISION_COURT, or UNREADABLE_KEY; then UNREADABLE_DOCKET
+    and CONFLICTING_DECISION_DOCKETS if the metadata's dockets are others.
+    Without a known kind there are no keys (UNKNOWN_KIND); else KEYS.
+    """
+    kind, none = decision_kind(disposition), F.expr("cast(array() as array<string>)")
+    own = F.coalesce(case_keys, F.expr("cast(array() as array<struct<court:string,case_number:string>>)"))
+    unreadable = lambda x: F.size(docket_aliases(x)) == 0
+    faults = F.array_compact(
+        F.transform(own, lambda k: F.when(court.isNotNull() & (court != k["court"]), "CONFLICTING_DECISION_COURT").when(unreadable(k["case_number"]) | (k["court"] != strip(k["court"])), "UNREADABLE_KEY"))
+    )
+    keys = F.flatten(F.transform(own, lambda k: F.transform(docket_aliases(k["case_number"]), lambda a: F.struct(k["court"].alias("court"), a.alias("case_number"), kind.alias("kind")))))
+    keys = F.array_sort(F.array_distinct(keys))
+    said = F.coalesce(dockets, none)
+    named = F.array_sort(F.array_distinct(F.flatten(F.transform(said, docket_aliases))))
+    state = (
+        F.when(kind.isNull(), "UNKNOWN_KIND")
+        .when(F.size(faults) > 0, F.get(faults, F.lit(0)))
+        .when(F.exists(said, unreadable), "UNREADABLE_DOCKET")
+        .when((F.size(said) > 0) & (named != F.array_sort(F.array_distinct(F.transform(keys, lambda k: k["case_number"])))), "CONFLICTING_DECISION_DOCKETS")
+        .otherwise("KEYS")
+    )
+    return F.struct(state.alias("state"), F.when(state == "KEYS", keys).otherwise(F.slice(keys, 1, 0)).alias("keys"))

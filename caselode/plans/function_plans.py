@@ -44,12 +44,33 @@ def listed(x: Column) -> Column:
     return F.array_join(x, ",")
 
 
+def _outcome(x: Column) -> Column:
+    return F.concat(x["state"], F.lit(":"), F.array_join(F.transform(x["keys"], lambda k: k["case_number"]), ","))
+
+
 def sha(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
 
 
 cases("f5_decision_kinds", "x string", [(" 전원합의체판결 ",), ("판 결",), (None,), ("중간판결",), ("재결",)], ["판결", None, None, "중간판결", "재결"], keys.decision_kind)
 cases("f17_display_courts", "x string", [("서울 지법",), ("대법원",), (None,)], ["서울지방법원", "대법원", None], lambda x: keys.display_court(x, {"서울지법": "서울지방법원"}))
+cases(
+    "f7_decision_outcomes",
+    "c string, d string, m string, k string",
+    [
+        ("대법원", "판결", "2000다1,2", "대법원:2000다2/대법원:2000다1"),
+        (None, "전원합의체판결", None, "대법원:2000다1,2"),
+        ("대법원", "판결", None, "서울지법:2000다1"),
+        ("대법원", "판결", None, "대법원:x/서울지법:2000다1"),
+        ("대법원", "판결", None, "서울지법:x/대법원:y"),
+        ("대법원", "판결", "2000다3", "대법원:2000다1"),
+        ("대법원", "판결", "2000", "대법원:2000다1"),
+        ("대법원", "기타", "2000다1", "대법원:2000다1"),
+        (None, "결정", None, None),
+    ],
+    ["KEYS:2000다1,2000다2", "KEYS:2000다1,2000다2", "CONFLICTING_DECISION_COURT:", "UNREADABLE_KEY:", "CONFLICTING_DECISION_COURT:", "CONFLICTING_DECISION_DOCKETS:", "UNREADABLE_DOCKET:", "UNKNOWN_KIND:", "KEYS:"],
+    lambda c, d, m, k: _outcome(keys.decision_outcome(c, d, F.when(m.isNotNull(), F.array(m)), F.transform(F.split(k, "/"), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).alias("court"), F.split_part(x, F.lit(":"), F.lit(2)).alias("case_number"))))),
+)
 cases(
     "f18_date_proposals",
     "t string, h string, m string",
