@@ -42,6 +42,8 @@ FOLLOWS = 500_000
 #: Symbols of a lane at least, of a group of texts that step together, and lanes that are worth an array step.
 LANE, GROUP, FEW = 96, 1 << 21, 24
 RESET = 0
+#: Bits of a block of code points whose classes are asked for together.
+_BLOCK = 13
 SPACE, LETTER, DIGIT, OTHER = range(4)
 LITERAL = 4
 _NEVER = 1 << 60
@@ -89,6 +91,7 @@ class Merges:
             plain = t.removesuffix(self.suffix) if ends else t
             if not plain or not set(plain) <= byte.keys() or (len(plain) > 1 and i not in self.parts):
                 continue  # an added token, or one that no merge forms
+            _require(len(plain) < 1024, "a token of 1024 bytes or more")
             node = 0
             for ch in plain:
                 key = node << 8 | byte[ch]
@@ -164,17 +167,18 @@ class Merges:
 
     def step(self, state: int, byte: int) -> tuple[int, int]:
         """(next state, tokens gained) on a byte."""
-        on, gain, token = [], None, -1
-        for node, last, at in self._starts(state):
-            node = self.child.get(node << 8 | byte)
+        on, gain, token, child = [], None, -1, self.child
+        for x in self.states[state]:  # see _start
+            node = child.get(x >> 36 << 8 | byte)
             if node is None:
                 continue
-            t = self.open[node]
-            if gain is None and t >= 0 and self._whole(t) and (last < 0 or self._may_follow(last, t)):
-                gain, token = at + 1, t
+            if gain is None and (t := self.open[node]) >= 0:
+                last = (x >> 12 & 0xFFFFFF) - 1
+                if self._whole(t) and (last < 0 or self._may_follow(last, t)):
+                    gain, token = (x & 0xFFF) - 2047, t
             if self.inner[node] or self.end[node] >= 0:
-                on.append((node, last, at))
-        key = (*(self._start(n, last, at - gain) for n, last, at in on), self._start(0, token, 0))
+                on.append(node << 36 | (x & 0xFFFFFFFFF))
+        key = (*[x - gain for x in on], self._start(0, token, 0))
         if key not in self.of:
             self.of[key] = len(self.states)
             self.states.append(key)
@@ -203,7 +207,8 @@ class Transducer:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         _require(not any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])), "an added token that is matched after normalisation")
         self.merges = Merges(spec["model"])
-        self.classes = self._classes()
+        self.classes, self.learnt = np.zeros(ALPHABET, np.uint8), set()
+        self._learn(0)
         self.plain = self._plain()
         self._clear()
 
@@ -229,22 +234,19 @@ class Transducer:
         _require(not spec.get("truncation") and not spec.get("padding"), "truncation or padding")
         return fixed
 
-    def _classes(self) -> np.ndarray:
-        """The class of each code point, asked from the library: how it splits between letters and between signs."""
-        out = np.zeros(ALPHABET, np.uint8)
-        split = self.library.pre_tokenizer.pre_tokenize_str
-        for at in range(0, ALPHABET, 1 << 13):
-            some = [c for c in range(at, at + (1 << 13)) if not 0xD800 <= c < 0xE000]
-            if not some:
-                continue
-            pieces = {}
-            for kind, probe in ((LETTER, "x"), (OTHER, "!")):
-                n = np.zeros(len(some), int)
-                for _, (start, _) in split("".join(f" {probe}{chr(c)}{probe}" for c in some)):
-                    n[start // 4] += 1
-                pieces[kind] = n
-            out[some] = np.select([pieces[LETTER] == 1, pieces[OTHER] == 1, pieces[LETTER] == 3], [LETTER, OTHER, DIGIT], SPACE)
-        return out
+    def _learn(self, block: int) -> None:
+        """The classes of a block of code points, asked from the library: how it splits between letters and between signs."""
+        some = [c for c in range(block << _BLOCK, block + 1 << _BLOCK) if not 0xD800 <= c < 0xE000]
+        self.learnt.add(block)
+        if not some:
+            return
+        pieces = {}
+        for kind, probe in ((LETTER, "x"), (OTHER, "!")):
+            n = np.zeros(len(some), int)
+            for _, (start, _) in self.library.pre_tokenizer.pre_tokenize_str("".join(f" {probe}{chr(c)}{probe}" for c in some)):
+                n[start // 4] += 1
+            pieces[kind] = n
+        self.classes[some] = np.select([pieces[LETTER] == 1, pieces[OTHER] == 1, pieces[LETTER] == 3], [LETTER, OTHER, DIGIT], SPACE)
 
     def _plain(self) -> re.Pattern:
         """Finds a character that Python's lower case and the file's normaliser treat unlike, or that may compose."""
@@ -253,8 +255,9 @@ class Transducer:
             ch = chr(c)
             if 0xD800 <= c < 0xE000 or _COMPOSING.match(ch):
                 continue
-            want = " " if self.classes[c] == SPACE else ch.replace("Σ", "σ").lower()
-            if self.library.normalizer.normalize_str(ch) != want:
+            got = self.library.normalizer.normalize_str(ch)
+            blank = c < 1 << _BLOCK and self.classes[c] == SPACE
+            if got != (" " if blank else ch.replace("Σ", "σ").lower()):
                 odd.append(ch)
         return re.compile(f"{_COMPOSING.pattern}|[{re.escape(''.join(odd))}]" if odd else _COMPOSING.pattern)
 
@@ -267,7 +270,7 @@ class Transducer:
 
     def _grow(self) -> None:
         used = self.keys >= 0
-        keys, values = self.keys[used], self.values[used]
+        keys, values = self.keys[used].tolist(), self.values[used].tolist()
         self.bits += 2
         self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
         self._insert(keys, values)
@@ -275,17 +278,14 @@ class Transducer:
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * _MULT) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _insert(self, keys, values) -> None:
-        keys, values = np.array(keys, np.int64), np.array(values, np.int64)
-        at, mask = self._slots(keys), (1 << self.bits) - 1
-        while len(keys):
-            free = np.flatnonzero(self.keys[at] < 0)
-            _, first = np.unique(at[free], return_index=True)
-            put = free[first]
-            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
-            rest = np.ones(len(keys), bool)
-            rest[put] = False
-            keys, values, at = keys[rest], values[rest], (at[rest] + 1) & mask
+    def _insert(self, keys: list[int], values: list[int]) -> None:
+        mask, shift, mult = (1 << self.bits) - 1, 64 - self.bits, int(_MULT)
+        taken = self.keys.item
+        for key, value in zip(keys, values, strict=True):
+            at = (key * mult & 0xFFFFFFFFFFFFFFFF) >> shift
+            while taken(at) >= 0:
+                at = (at + 1) & mask
+            self.keys[at], self.values[at] = key, value
 
     # -- the machine, a symbol at a time ----------------------------------------
 
@@ -357,8 +357,15 @@ class Transducer:
         while len(miss):
             empty = got[miss] < 0
             if empty.any():
-                self._compile(np.unique(keys[miss[empty]]).tolist())
-                return self._look_up(keys)
+                # the new ones are looked up anew, all others have their place or go on
+                new = miss[empty]
+                bits = self.bits
+                self._compile(np.unique(keys[new]).tolist())
+                if self.bits != bits:
+                    return self._look_up(keys)
+                got[new] = self.keys[at[new]]
+                miss = miss[got[miss] != keys[miss]]
+                continue
             at[miss] = (at[miss] + 1) & mask
             got[miss] = self.keys[at[miss]]
             miss = miss[got[miss] != keys[miss]]
@@ -418,7 +425,13 @@ class Transducer:
     def symbols(self, texts: list[str]) -> np.ndarray:
         """Symbols of normalised texts, a blank after each."""
         whole = " ".join([*texts, ""])
-        return np.frombuffer(whole.encode("ascii"), np.uint8).astype(np.int64) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.int64)
+        if whole.isascii():
+            return np.frombuffer(whole.encode("ascii"), np.uint8).astype(np.int64)
+        out = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.int64)
+        for block in np.flatnonzero(np.bincount(out >> _BLOCK)).tolist():
+            if block not in self.learnt:
+                self._learn(block)
+        return out
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each normalised text."""
@@ -463,7 +476,7 @@ class Transducer:
         count, are gained on the way. A chunk without a blank has inner count
         None: it leads to the state with s + head.
         """
-        blanks = [m.start() for m in re.finditer(r"\s", chunk) if self.classes[ord(m[0])] == SPACE]
+        blanks = np.flatnonzero(self.classes[self.symbols([chunk])[:-1]] == SPACE).tolist()
         if not blanks:
             return chunk, None, ""
         inner = chunk[blanks[0] + 1 : blanks[-1] + 1]
