@@ -38,6 +38,8 @@ from .search import SHOWN, clamp
 VERSION = "folded-trigrams-1"
 #: Rows of a block, files of a group, trigrams that a search looks up at most, rows that it looks at first.
 BLOCK, GROUP, LOOKED_UP, PREFIX = 64, 64, 8, 256
+#: Blocks that a search names one by one; beyond that they are joined.
+LISTED = 1000
 _FILE_BITS = 40
 #: After the scheme, paths have one slash or three.
 _SLASHES = ":/+"
@@ -150,7 +152,9 @@ class SearchIndex:
 
     def rows(self) -> DataFrame:
         """ordinal, block, key and f0, f1 ...: the columns' folded texts."""
-        return self.spark.read.parquet(f"{self.path}/rows")
+        kind = {f.name: f.dataType.simpleString() for f in self.df.schema}[self.key]
+        names = "".join(f", {f} string" for f in self._folded())
+        return self.spark.read.schema(f"ordinal bigint, block bigint, key {kind}{names}, group int").parquet(f"{self.path}/rows")
 
     def candidates(self, needle: str) -> DataFrame | None:
         """Blocks that hold trigrams of a folded needle, evenly chosen ones if it has many; None if it has none."""
@@ -158,8 +162,9 @@ class SearchIndex:
         if not own:
             return None
         own = own[:: -(-len(own) // LOOKED_UP)]
-        posted = self.spark.read.parquet(f"{self.path}/grams").where(F.col("gram").isin(own))
-        return posted.select("gram", "block").distinct().groupBy("block").count().where(F.col("count") == len(own)).select("block")
+        posted = self.spark.read.schema("gram bigint, block bigint, group int").parquet(f"{self.path}/grams").where(F.col("gram").isin(own))
+        per = posted.groupBy("block").agg(F.size(F.collect_set("gram")).alias("n"))  # LOOKED_UP at most
+        return per.where(F.col("n") == len(own)).select("block")
 
     def search(self, query: str, limit: int | None = None) -> DataFrame | None:
         """`key`, ordinal and matched_columns (the first 8) of rows with the query in any column; None if not ready.
@@ -181,7 +186,11 @@ class SearchIndex:
             if first.count() == limit:
                 return first
         blocks = self.candidates(needle)
-        out = matched(rows if blocks is None else rows.join(blocks, "block", "left_semi"))
+        if blocks is not None:
+            some = [r["block"] for r in blocks.limit(LISTED + 1).collect()]
+            # few blocks are named in the scan, many are joined
+            rows = rows.where(F.col("block").isin(some)) if len(some) <= LISTED else rows.join(blocks, "block", "left_semi")
+        out = matched(rows)
         return out if limit is None else out.orderBy("ordinal").limit(limit)
 
 

@@ -81,6 +81,15 @@ def test_an_empty_source(spark, tmp_path):
     assert index.build() and index.search("plain").count() == 0
 
 
+def test_many_blocks_are_joined(spark, source, monkeypatch):
+    df, root = source
+    index = SearchIndex(df, "key", COLUMNS, root)
+    index.build()
+    few = hits(index.search("plain").select("key", "matched_columns"))
+    monkeypatch.setattr("caselode.operators.search_index.LISTED", 1)
+    assert hits(index.search("plain").select("key", "matched_columns")) == few == hits(search.search(df, "plain", columns=COLUMNS).select("key", "matched_columns"))
+
+
 def test_few_blocks_are_read(spark, source):
     df, root = source
     index = SearchIndex(df, "key", COLUMNS, root)
