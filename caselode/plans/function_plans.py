@@ -405,3 +405,20 @@ def _(t):
     e = t.events.select("user_id", F.col("event_id").alias("position"))
     a, b = e.where("position % 3 <> 0").withColumn("old", F.lit(1)), e.where("position % 5 <> 0").withColumn("new", F.lit(1))
     return documents.positional_join(a, b, ["user_id", "position"]).select("user_id", "position", "pairing")
+
+
+_EVENTS = [("CREATE", "a", None, "k1"), ("CREATE", "b", None, "k2"), ("CREATE", "c", None, "k1"), ("MERGE", "a", "b", None), ("SPLIT", "b", "d", "k1"), ("RELINK", None, "b", "k1"), ("RELINK", None, "b", "k9"), ("CREATE", "a", None, "k3"), ("SPLIT", "b", "a", "k2")]
+
+
+@query(
+    "d9_replay_cases",
+    expected(
+        'component, entity, state, merged_into, "keys", rejected',
+        [row for c in (1, 2) for row in ((c, "a", "MERGED", "b", "", 4), (c, "b", "ACTIVE", "", "k1,k2", 4), (c, "d", "ACTIVE", "", "", 4))],
+    ),
+)
+def _(t):
+    from ..operators import identity
+
+    rows = [(c, i, *e) for c in (1, 2) for i, e in enumerate(_EVENTS)]
+    return identity.replay(_each(t, rows, "component int, sequence int, operation string, entity string, target string, key string"))
