@@ -77,15 +77,15 @@ def parts_of(text: Column, band: list[list[str]]) -> Column:
     """The fingerprint as an array of hashes: the whole lexicon's, then each subset's (EMPTY: no term)."""
     per = 64 // (LEVELS * BITS)  # chains that one hash of a term serves
 
-    def chain(terms: Column, k: Column, level: int) -> Column:
+    def chain(terms: Column, k: int, level: int) -> Column:
         """Hashes of the k-th chain's subsets from `level` on, of terms that are in the one before."""
-        field = lambda x: F.call_function("shiftrightunsigned", x, k * (LEVELS * BITS) + level * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
+        mask = F.lit(((1 << BITS) - 1) << (k * LEVELS + level) * BITS).cast("bigint")
         rest = lambda own: F.array(F.xxhash64(own)) if level + 1 == LEVELS else F.concat(F.array(F.xxhash64(own)), chain(own, k, level + 1))
-        return let(F.filter(terms, lambda x: field(x) == 0), rest)
+        return let(F.filter(terms, lambda x: x.bitwiseAND(mask) == 0), rest)
 
     def subsets(used: Column, salt: int) -> Column:
-        chains = F.sequence(F.lit(0), F.lit(min(per, FAMILIES - salt * per) - 1))
-        return let(F.transform(used, lambda t: F.xxhash64(t, F.lit(salt))), lambda h: F.flatten(F.transform(chains, lambda k: chain(h, k, 0))))
+        chains = range(min(per, FAMILIES - salt * per))  # written out, so that a term costs a mask and a comparison
+        return let(F.transform(used, lambda t: F.xxhash64(t, F.lit(salt))), lambda h: F.concat(*[chain(h, k, 0) for k in chains]))
 
     buckets = F.from_json(F.lit(json.dumps(band, ensure_ascii=False)), "array<array<string>>")
     known = lambda t: F.array_contains(F.get(buckets, _bucket(t)), t)
