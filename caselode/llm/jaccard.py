@@ -40,6 +40,8 @@ gives no rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +62,8 @@ _BLOCK_BITS = 16
 MAX_LIGHT, SHARE, BLOCK = 64, 2000, 4096
 #: Rows of a class that go to one task, at least, where its members are joined with it.
 HOT = 500
+#: Bits of the name that a class goes by.
+NAME_BITS = 64
 #: Steps of the scale of counts for each doubling.
 SCALE = 8
 #: Rows of a batch sent on.
@@ -151,18 +155,24 @@ def shingle_set(text: str) -> np.ndarray:
     return next(shingle_sets(pa.array([text], pa.string())))
 
 
-def class_names(s: np.ndarray) -> tuple[int, int]:
-    """Two independent 64-bit names of a set."""
+def class_names(s: np.ndarray, bits: int = NAME_BITS) -> tuple[int, int]:
+    """Two independent names of a set: one of so many bits, and one of 64."""
     import xxhash
 
     h = xxhash.xxh3_128_intdigest(s.tobytes())
-    return tuple(int(x) for x in np.array([h & 0xFFFFFFFFFFFFFFFF, h >> 64], np.uint64).view(np.int64))
+    return tuple(int(x) for x in np.array([h & ((1 << bits) - 1), h >> 64], np.uint64).view(np.int64))
+
+
+@dataclass(frozen=True)
+class Names:
+    """How classes are named: by the first name, or by the other one if unlike sets share the first."""
 
+    bits: int = NAME_BITS
+    shared: frozenset = frozenset()
 
-def class_of(s: np.ndarray, shared: frozenset = frozenset()) -> int:
-    """The name of a set's class: the other one if the first is shared by unlike sets."""
-    name, other = class_names(s)
-    return other if name in shared else name
+    def of(self, s: np.ndarray) -> int:
+        name, other = class_names(s, self.bits)
+        return other if name in self.shared else name
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -261,7 +271,7 @@ def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
 
 
-def profile(rows: DataFrame) -> DataFrame:
+def profile(rows: DataFrame, bits: int = NAME_BITS) -> DataFrame:
     """Per document its class, the class' other name and set size; per task the blocks of its shingle counts.
 
     Numbers after the text are passed on.
@@ -277,7 +287,7 @@ def profile(rows: DataFrame) -> DataFrame:
             for s in sets:
                 counters.add(s)
             k = len(sets)
-            node, other = zip(*map(class_names, sets), strict=True) if sets else ([], [])
+            node, other = zip(*(class_names(s, bits) for s in sets), strict=True) if sets else ([], [])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in at), pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                 names=names,
@@ -340,7 +350,7 @@ def _signatures(s: np.ndarray, sketch: np.ndarray, light: int):
     return np.concatenate(sigs), np.concatenate(kinds), weight
 
 
-def signatures(rows: DataFrame, sketch, light: int, shared: frozenset = frozenset()) -> DataFrame:
+def signatures(rows: DataFrame, sketch, light: int, names: Names = Names()) -> DataFrame:
     """sig, node, n, weight, kind of every class; a task gives each class once."""
 
     def run(batches):
@@ -348,7 +358,7 @@ def signatures(rows: DataFrame, sketch, light: int, shared: frozenset = frozense
         for batch in batches:
             held, size = [], 0
             for s in shingle_sets(batch.column(1)):
-                if len(s) == 0 or (node := class_of(s, shared)) in seen:
+                if len(s) == 0 or (node := names.of(s)) in seen:
                     continue
                 seen.add(node)
                 sigs, kinds, weight = _signatures(s, table, light)
@@ -515,7 +525,7 @@ def _hash64(x: np.ndarray) -> np.ndarray:
     return _mix(x.astype(np.int64).view(np.uint64))
 
 
-def checked(rows: DataFrame, pairs: DataFrame, shared: frozenset = frozenset()) -> DataFrame:
+def checked(rows: DataFrame, pairs: DataFrame, names: Names = Names()) -> DataFrame:
     """The pairs (a, b) that link, as a written table. b's set goes, in shares, to where its partners' sets go.
 
     Sets are made again from the texts of the classes that occur in pairs; a
@@ -544,7 +554,7 @@ def checked(rows: DataFrame, pairs: DataFrame, shared: frozenset = frozenset())
         for batch in batches:
             held, size = [], 0
             for s in shingle_sets(batch.column(1)):
-                if len(s) == 0 or (node := class_of(s, shared)) in seen:
+                if len(s) == 0 or (node := names.of(s)) in seen:
                     continue
                 slot = int(_hash64(np.array([node]))[0] >> np.uint64(64 - SKETCH_BITS))
                 if known.value[slot >> 3] >> (7 - (slot & 7)) & 1:
@@ -616,7 +626,7 @@ def _shared_names(members: DataFrame) -> frozenset:
     return frozenset(r["node"] for r in twice.select("node").collect())
 
 
-def _linked_classes(rows: DataFrame, trace=None) -> tuple[DataFrame, DataFrame]:
+def _linked_classes(rows: DataFrame, trace=None, bits: int = NAME_BITS) -> tuple[DataFrame, DataFrame]:
     """Every row's class and set size, and the component of each class that links.
 
     Both read written tables; all other tables of the way here are deleted.
@@ -632,19 +642,19 @@ def _linked_classes(rows: DataFrame, trace=None) -> tuple[DataFrame, DataFrame]:
     def checks(pairs: DataFrame) -> DataFrame:
         """The links among pairs of classes that the parity maps let through."""
         left = keep(plausible(pairs, maps), "pairs")
-        found = checked(rows, left, shared)
+        found = checked(rows, left, names)
         if trace:
             trace("links", found)
         discard(pairs, left)
         return found
 
-    known = profile(rows)
+    known = profile(rows, bits)
     if trace:
         trace("profile", known)
     members = known.where("block is null").drop("block", "counts")
-    shared = _shared_names(members.where("n > 0"))
-    if shared:
-        members = members.withColumn("node", F.when(F.col("node").isin(list(shared)), F.col("other")).otherwise(F.col("node")))
+    names = Names(bits, _shared_names(members.where("n > 0")))
+    if names.shared:
+        members = members.withColumn("node", F.when(F.col("node").isin(list(names.shared)), F.col("other")).otherwise(F.col("node")))
     counts = summed(known.where("block is not null").select("block", "counts"), SKETCH_BITS)
     sizes = {r["n"]: r["count"] for r in members.where((F.col("n") > 0) & (F.col("n") <= 2 * MAX_LIGHT)).groupBy("n").count().collect()}
     light = boundary(sizes, counts)
@@ -652,7 +662,7 @@ def _linked_classes(rows: DataFrame, trace=None) -> tuple[DataFrame, DataFrame]:
     members = members.drop("other", "parity")
     order = spark.sparkContext.broadcast(counts)
     del counts
-    lists = keep(stars(signatures(rows, order, light, shared)), "lists")
+    lists = keep(stars(signatures(rows, order, light, names)), "lists")
     order.unpersist()
 
     # first each class and the center that it shares most lists with, then all centers still apart
@@ -679,9 +689,9 @@ def _linked_classes(rows: DataFrame, trace=None) -> tuple[DataFrame, DataFrame]:
     return members, comps
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", trace=None) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document. trace(name, df) is told of each step."""
-    members, comps = _linked_classes(_rows(docs, id_col, text), trace)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", trace=None, bits: int = NAME_BITS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document. trace(name, df) is told of each step; bits: see Names."""
+    members, comps = _linked_classes(_rows(docs, id_col, text), trace, bits)
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         df = materialize(df, name)

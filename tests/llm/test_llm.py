@@ -437,21 +437,17 @@ def test_hot_lists_and_classes_are_split(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
-def test_unlike_sets_of_one_name(spark, monkeypatch):
-    """Names of few bits that clash for nearly all sets: the other names keep them apart."""
-    whole = jaccard.class_names
-    monkeypatch.setattr(jaccard, "class_names", lambda s: (whole(s)[0] % 5, whole(s)[1]))
-    monkeypatch.setattr(jaccard, "profile", lambda rows, real=jaccard.profile: real(rows))
+def test_unlike_sets_of_one_name(spark):
+    """Names of three bits, shared by nearly all sets: the other names keep them apart."""
     rng = random.Random(3)
     texts = {i: words(rng, 30, 5000) for i in range(25)}
-    texts |= {100 + i: texts[i] + " more" for i in range(8)}
-    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    profiled = [(int(whole(jaccard.shingle_set(t))[0] % 5), whole(jaccard.shingle_set(t))[1]) for t in texts.values()]
-    shared = jaccard._shared_names(spark.createDataFrame(profiled, "node long, other long"))
-    assert shared == {0, 1, 2, 3, 4} & {a for a, _ in profiled}
+    texts |= {100 + i: texts[i] + " more" for i in range(8)} | {200 + i: texts[i].upper() for i in range(5)} | {300: "", 301: "a b"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, bits=3).collect()}
+    assert got == brute_components(texts)
     s = jaccard.shingle_set(texts[0])
-    assert jaccard.class_of(s, shared) == whole(s)[1] and jaccard.class_of(s) == whole(s)[0] % 5
-    assert rows.count() == 33
+    name, other = jaccard.class_names(s, 3)
+    assert 0 <= name < 8 and jaccard.Names(3, frozenset([name])).of(s) == other and jaccard.Names(3).of(s) == name
 
 
 def test_counts_rank_at_any_size():
