@@ -14,7 +14,8 @@ one of common trigrams, reads the folded rows, never the source.
 
 Defined cases: null cells match nothing; a blank query finds nothing; a source
 that changed has another key, so its old index is not used; an empty source
-has an empty index; columns may have any names, as the index numbers them.
+has an empty index; columns may have any names, as the index numbers them;
+one process builds an index at a time.
 """
 
 from __future__ import annotations
