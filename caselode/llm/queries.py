@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, imatch, jaccard, langid, mix, pack, quality, shards, tokencount, tokenfile
+from . import chat, imatch, jaccard, langid, mix, pack, quality, shards, simhash, tokencount, tokenfile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid_centroids": langid.op8_langid_centroids,
         "op9_mix_poisson": mix.op9_mix_poisson,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_simhash": simhash.op11_simhash,
         "pipeline": corpus_pipeline.run,
     }
 
