@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, divergence, imatch, jaccard, langid, mix, pack, quality, shards, simhash, tokencount, tokenfile
+from . import chat, divergence, imatch, jaccard, langid, mix, pack, quality, shards, simhash, tokencount, tokenfile, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,10 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mix_poisson": mix.op9_mix_poisson,
         "op10_quality_rules": quality.op10_quality_rules,
         "op11_simhash": simhash.op11_simhash,
+        "op12_prefix_trie": trie.op12_prefix_trie,
         "op13_divergence": divergence.op13_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_trees": chat.chat_sql(), "op6_jaccard_join": jaccard.jaccard_sql(), "op9_mix_poisson": mix.mix_sql(), "op10_quality_rules": quality.quality_sql(), "op13_divergence": divergence.divergence_sql()}
+    return {"op5_chat_trees": chat.chat_sql(), "op6_jaccard_join": jaccard.jaccard_sql(), "op9_mix_poisson": mix.mix_sql(), "op10_quality_rules": quality.quality_sql(), "op12_prefix_trie": trie.trie_sql(), "op13_divergence": divergence.divergence_sql()}
