@@ -8,6 +8,12 @@ local permutation is a sort inside the partition, which moves nothing. Rows
 are then exchanged once, by cell, and permuted again: their rank in the cell,
 plus the cell's first slot, is the slot.
 
+Partitions are fixed before anything is counted: the permuted rows are written
+once, each with its partition and place, and all that follows (the totals, the
+matrix, the exchange) is a function of what was written, however files are
+split or tasks run again when it is read. Places without a gap are checked, so
+that a row can't get lost between the counts and the deal.
+
 Partitions and cells are what tasks sort, not shards, so the work of a task
 stays bounded while the corpus grows to the matrix' bounds, and spills beyond
 them. An input of more than MAX_PARTS partitions is coalesced to that many,
@@ -16,9 +22,7 @@ MAX_PARTS x MAX_CELLS counts at most, whatever the number of rows.
 
 Defined cases: rows need not be distinct, each has a place of its own; a null
 text has size 16 and crc32 0; other columns pass through, those named as an
-output are replaced; an empty table gives no rows. The input must give the
-same rows in the same partitions when read again (files do; write other plans
-to a table first), as rows are told apart by partition and position.
+output are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import count_upto, table, unused
+from .common import count_upto, materialize, table, unused
 
 SHARDS = 40
 #: Rows in a cell, as long as that makes no more cells than the bounds of the matrix
@@ -100,31 +104,31 @@ def cells_of(n: int, shards: int, cell_rows: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _sizes(df: DataFrame) -> list[int]:
+def _sizes(rows: DataFrame, part: str, place: str) -> list[int]:
     """Rows of each partition; empty ones up to the last that has rows count too."""
-    found = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect()}
-    return [found.get(k, 0) for k in range(max(found, default=-1) + 1)]
+    found = {r[0]: r for r in rows.groupBy(part).agg(F.count("*").alias("n"), (F.max(place) + 1).alias("upto"), F.min(place).alias("least")).collect()}
+    if any(r["n"] != r["upto"] or r["least"] for r in found.values()):
+        raise RuntimeError("written partitions have gaps")
+    return [found[k]["n"] if k in found else 0 for k in range(max(found, default=-1) + 1)]
 
 
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = SEED, cell_rows: int = CELL_ROWS, max_parts: int = MAX_PARTS) -> DataFrame:
     """df with shard and slot: a uniform random order cut into shards of equal size."""
     spark = df.sparkSession
     rid, part, place, cell, first, upto = unused(df, "rid", "part", "place", "cell", "first_slot", "upto")
-    sizes = _sizes(df)
-    if len(sizes) > max_parts:
-        df = df.coalesce(max_parts)
-        sizes = _sizes(df)
+    mixed = lambda salt: F.xxhash64(F.lit(seed).cast("bigint"), F.lit(salt), F.col(rid))
+    keyed = df.drop("shard", "slot").coalesce(max_parts).withColumn(rid, F.monotonically_increasing_id())
+    # after the local sort the next running number is partition and rank
+    local = keyed.sortWithinPartitions(mixed("local"), rid).withColumn(place, F.monotonically_increasing_id())
+    local = local.withColumn(part, F.shiftright(place, _PLACE).cast("int")).withColumn(place, F.col(place).bitwiseAND(F.lit((1 << _PLACE) - 1)))
+    local = materialize(local, "permuted")
+    sizes = _sizes(local, part, place)
     n_rows = sum(sizes)
     cells = cells_of(n_rows, shards, max(cell_rows, -(-n_rows // max(1, MAX_CELLS - shards))))
     matrix = communication_matrix(sizes, [c[2] for c in cells], seed)
     # a partition's ranks are cut into one run for each cell: the runs' ends, in order
     runs = _inline(spark, [{part: p, upto: list(accumulate(row))} for p, row in enumerate(matrix)], f"array<struct<{part}:int,{upto}:array<bigint>>>")
     slots = _inline(spark, [{cell: c, "shard": s, first: at} for c, (s, at, _) in enumerate(cells)], f"array<struct<{cell}:int,shard:int,{first}:bigint>>")
-    mixed = lambda salt: F.xxhash64(F.lit(seed).cast("bigint"), F.lit(salt), F.col(rid))
-    keyed = df.drop("shard", "slot").withColumn(rid, F.monotonically_increasing_id())
-    # after the local sort the next running number is partition and rank
-    local = keyed.sortWithinPartitions(mixed("local"), rid).withColumn(place, F.monotonically_increasing_id())
-    local = local.withColumn(part, F.shiftright(place, _PLACE).cast("int")).withColumn(place, F.col(place).bitwiseAND(F.lit((1 << _PLACE) - 1)))
     # the cell whose run holds the rank: as many as end at or before it lie ahead
     out = local.join(F.broadcast(runs), part).withColumn(cell, count_upto(F.col(upto), F.col(place), len(cells))).drop(part, place, upto)
     again = Window.partitionBy(cell).orderBy(mixed("slot"), rid)
