@@ -11,7 +11,8 @@ vocabulary: bounded, so it is a literal of the plan.
 
 A fingerprint keeps a text's distinct terms that are in the lexicon, sorts
 them, and hashes them once whole and once for each of several random subsets of
-the lexicon. A subset takes a term by bits of the term's hash. Subsets come in
+the lexicon. A text without a term of the band is hashed whole by all its distinct
+terms, so that it is like only what has the same ones. A subset takes a term by bits of the term's hash. Subsets come in
 FAMILIES, each a chain of ever smaller ones, every one a quarter of the one
 before: whatever a text's length, some subsets hold few of its terms, and edits
 elsewhere leave their hashes alone. The likeness of two fingerprints is the
@@ -21,16 +22,17 @@ two.
 Main path: built-in functions only. One shuffle moves the texts, to set each
 next to its successor by id.
 
-Defined cases: null and empty texts, and texts without a lexicon term, have the
-empty fingerprint (likeness 1 to each other, 0 to any other); equal texts have
-equal fingerprints; documents with equal ids follow each other in order of
-their text; a null id comes first; a single document is its own successor;
+Defined cases: null and empty texts, and texts without any term, have the empty
+fingerprint (likeness 1 to each other, 0 to any other); equal texts have equal
+fingerprints; ids are whole numbers; documents with equal ids follow each other
+in order of a hash of their text, then of the text; a null id comes first; a single document is its own successor;
 other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,8 +91,9 @@ def parts_of(text: Column, band: list[list[str]]) -> Column:
 
     buckets = F.from_json(F.lit(json.dumps(band, ensure_ascii=False)), "array<array<string>>")
     known = lambda t: F.array_contains(F.get(buckets, _bucket(t)), t)
-    used = F.sort_array(F.filter(_terms(text), known))
-    return let(used, lambda u: F.concat(F.array(F.xxhash64(u)), *[subsets(u, salt) for salt in range(-(-FAMILIES // per))]))
+    both = let(_terms(text), lambda t: F.struct(F.sort_array(F.filter(t, known)).alias("used"), t.alias("terms")))
+    whole = lambda x: F.array(F.when(F.size(x["used"]) > 0, F.xxhash64(x["used"])).otherwise(F.xxhash64(F.sort_array(x["terms"]))))
+    return let(both, lambda x: F.concat(whole(x), let(x["used"], lambda u: F.concat(*[subsets(u, salt) for salt in range(-(-FAMILIES // per))]))))
 
 
 def as_text(parts: Column) -> Column:
@@ -112,27 +115,47 @@ def fingerprints(docs: DataFrame, text: str = "text", band: list[list[str]] | No
     return docs.withColumn("fingerprint", as_text(parts_of(F.col(text), band)))
 
 
+def _mixed(tie: str) -> Column:
+    """31 bits of a hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("tie"), tie), 33)
+
+
+def ranges(rows: DataFrame, key: str, tie: str) -> tuple[DataFrame, Column, int]:
+    """rows with `range`, ascending by key; the key with null as the least number; how many bounds there are, plus one."""
+    # ranges are dealt to partitions by hash: many small ones even out
+    parts = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = -(1 << 63)
+    own = F.coalesce(F.col(key), F.lit(least))
+    cuts = rows.agg(F.percentile_approx(own, [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first()["q"] or []
+    times = sorted(Counter(cuts).items())
+    bounds = F.from_json(F.lit(json.dumps([x for x, _ in times])), "array<bigint>")
+    shares = F.from_json(F.lit(json.dumps([1] + [n for _, n in times])), "array<int>")
+    upto = count_upto(bounds, own, len(times))
+    at_bound = (upto > 0) & (F.get(bounds, upto - 1) == own)
+    # the rows of a bound come before those of larger keys: `parts` is beyond all their shares
+    share = F.when(at_bound, F.shiftright(_mixed(tie) * F.get(shares, upto), 31)).otherwise(F.lit(parts))
+    return rows.withColumn("range", (upto * (parts + 1) + share).cast("int")), own, parts
+
+
 def with_next(rows: DataFrame, key: str, tie: str, carry: list[str]) -> DataFrame:
-    """rows with next_<c> for each carried column (none null), of the row that follows by (key, tie).
+    """rows with next_<c> for each carried column (none null), of the row that follows by (key, hash of tie, tie).
 
     The rows are dealt into ranges of the key, whose bounds come from a
     quantile sketch, and shuffled once; `lead` works inside a range, and the
     last row of a range takes the first of the next range that has rows. Those
     first rows, one a range, are found by their keys. After the last row comes
-    the first.
+    the first. A key that is several bounds at once holds that many ranges'
+    rows; they are cut into as many ranges by the hash of `tie`.
     """
-    # ranges are dealt to partitions by hash: many small ones even out
-    parts = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10 * parts).alias("q")).first()["q"] or []
-    bounds = F.from_json(F.lit(json.dumps(sorted(set(cuts)))), "array<bigint>")
-    dealt = rows.withColumn("range", count_upto(bounds, F.coalesce(F.col(key), F.lit(-(1 << 63))), len(set(cuts))))
-    firsts = sorted((r[0], r[1], r[2]) for r in dealt.groupBy("range").agg(F.min(F.coalesce(key, F.lit(-(1 << 63)))), F.max(F.col(key).isNull())).collect())
+    dealt, own, parts = ranges(rows, key, tie)
+    firsts = sorted((r[0], r[1], r[2]) for r in dealt.groupBy("range").agg(F.min(own), F.max(F.col(key).isNull())).collect())
     before = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
-    keys = [k for _, k, null in firsts if not null]
+    keys = sorted({k for _, k, null in firsts if not null})
     is_first = F.col(key).isin(keys) | F.col(key).isNull() if any(f[2] for f in firsts) else F.col(key).isin(keys)
-    heads = dealt.where(is_first).groupBy("range").agg(*[F.min_by(c, F.struct(key, tie)).alias(f"head_{c}") for c in carry])
-    after = heads.withColumn("range", F.get(F.from_json(F.lit(json.dumps([before.get(i, -1) for i in range(parts + 1)])), "array<int>"), F.col("range")))
-    order = Window.partitionBy("range").orderBy(key, tie)
+    heads = dealt.where(is_first).groupBy("range").agg(*[F.min_by(c, F.struct(F.col(key), _mixed(tie), F.col(tie))).alias(f"head_{c}") for c in carry])
+    led_by = F.from_json(F.lit(json.dumps({str(k): v for k, v in before.items()})), "map<string,int>")
+    after = heads.withColumn("range", F.element_at(led_by, F.col("range").cast("string")))
+    order = Window.partitionBy("range").orderBy(F.col(key), _mixed(tie), F.col(tie))
     led = dealt.select("*", *[F.lead(c).over(order).alias(f"led_{c}") for c in carry])
     return led.join(after, "range", "left").select(*rows.columns, *[F.coalesce(f"led_{c}", f"head_{c}").alias(f"next_{c}") for c in carry])
 
