@@ -161,6 +161,29 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str | None = "lang",
     return out.select(*[c for c in df.columns if c not in names], *[F.col(q)[n].alias(n) for n in names])
 
 
+#: Scripts that are written without blanks between words, and characters that stand for a word there.
+UNSEGMENTED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")) + "]"
+WORD_CHARS = 2
+
+
+def kept_by_script(text: Column, lang: Column | None = None) -> Column:
+    """Whether a text is kept, where its declared language or the word rule may not fit its script.
+
+    A text that fails nothing but the stop words of its declared language stays
+    if most of its letters are of another script than those lists are in. A
+    text with too few words, most of whose letters are of a script without
+    blanks, is judged as if a blank followed every WORD_CHARS of them.
+    """
+    letters = lambda t, kind: F.length(F.regexp_replace(t, f"[^{kind}]", ""))
+    text = F.coalesce(text, F.lit(""))
+    foreign = 2 * letters(text, r"\p{IsLatin}") < letters(text, r"\p{L}")
+    unsegmented = 2 * letters(text, UNSEGMENTED[1:-1]) > letters(text, r"\p{L}\p{M}")
+    cut = F.regexp_replace(text, f"({UNSEGMENTED}{{{WORD_CHARS}}})", "$1 ")
+    alone = lambda v: (F.size(v["failed"]) == 1) & F.array_contains(v["failed"], "stop_words") & ~v["base_failed"]
+    again = lambda v: F.when(v["kept"], F.lit(True)).when(alone(v), foreign).when((v["n_words"] < BASE_MIN_WORDS) & unsegmented, verdict(cut)["kept"]).otherwise(F.lit(False))
+    return let(verdict(text, lang), again)
+
+
 def _blanks(x: Column) -> Column:
     return F.translate(x, "\t\x0b\x0c\r", "    ")
 

@@ -68,7 +68,7 @@ def imatch_terms(t):
 
 def brute_fingerprint(t, band):
     used = sorted(imatch_terms(t) & band, key=lambda w: w.encode())
-    parts, per = [spark_hash(used)], 64 // (imatch.LEVELS * imatch.BITS)
+    parts, per = [spark_hash(used or sorted(imatch_terms(t), key=lambda w: w.encode()))], 64 // (imatch.LEVELS * imatch.BITS)
     for family in range(imatch.FAMILIES):
         salt, k = divmod(family, per)
         own = [spark_hash([w, salt]) for w in used]
@@ -119,11 +119,41 @@ def test_imatch_band_and_ties(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("range", F.lit(1)).withColumn("parts", F.lit("x"))
     assert [t for part in imatch.lexicon(df, low=0.4, high=0.6) for t in part] == ["mid"]
     nxt = imatch.with_next(df.select("doc_id", "text"), "doc_id", "text", ["text"]).collect()
-    assert {(r.doc_id, r.text): r.next_text for r in nxt} == {(None, "common"): "common mid", (1, "common mid"): "common rare1", (1, "common rare1"): "common mid", (2, "common mid"): "common"}
+    order = [r[0] for r in df.where("doc_id = 1").orderBy(imatch._mixed("text")).select("text").collect()]  # ties go by hash
+    assert {(r.doc_id, r.text): r.next_text for r in nxt} == {(None, "common"): order[0], (1, order[0]): order[1], (1, order[1]): "common mid", (2, "common mid"): "common"}
     one = imatch.with_next(spark.createDataFrame([(5, "a")], "doc_id long, text string"), "doc_id", "text", ["text"]).first()
     assert one.next_text == "a"
 
 
+def test_imatch_without_a_common_term(spark, tmp_path):
+    """Texts without a term of the band are like only those of the same terms."""
+    rows = [(i, f"only{i} never{i}") for i in range(50)] + [(60, "b a"), (61, "A, b!"), (62, "?!"), (63, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    band = imatch.lexicon(spark.read.parquet(f"{tmp_path}/documents.parquet"), high=0.01)
+    assert not any(band)
+    got = {r.doc_id: r.fingerprint for r in imatch.fingerprints(spark.read.parquet(f"{tmp_path}/documents.parquet"), band=band).collect()}
+    assert len({got[i] for i in range(50)}) == 50 and got[60] == got[61] != got[62] == got[63]
+    near = {r.doc_id: r for r in imatch.op1_imatch(spark, str(tmp_path)).collect()}
+    assert near[0].near_next == 0 and near[60].near_next == 1 and near[62].near_next == 1
+
+
+def test_rows_of_one_id_are_dealt_over_ranges(spark):
+    """A third of the ids null and a third one number: no range holds a large share, and the order is one cycle."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"t{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = {r.text: (r.doc_id, r.next_text) for r in imatch.with_next(df, "doc_id", "text", ["text"]).collect()}
+    at, seen = "t0", []
+    for _ in rows:
+        seen.append(out[at][0])
+        at = out[at][1]
+    assert at == "t0" and len(out) == 3000
+    start = next(k for k in range(3000) if seen[k] is None and seen[k - 1] is not None)
+    seen = [-1 if x is None else x for x in seen[start:] + seen[:start]]
+    assert seen == sorted(seen)
+    taken = imatch.ranges(df, "doc_id", "text")[0].groupBy("range").count().agg(F.max("count")).first()[0]
+    assert taken < 400
+
+
 # -- 2, 4 ---------------------------------------------------------------------
 
 
@@ -541,6 +571,27 @@ def test_shard_query(spark, corpus, tmp_path):
     assert sorted((r.shard, r.slot) for r in got) == sorted((s, k) for s in sizes for k in range(sizes[s]))
 
 
+def test_shards_keep_every_row_when_files_are_split_anew(spark, tmp_path):
+    """Other splits, or fewer partitions, between the call and the action change nothing."""
+    path = f"{tmp_path}/rows"
+    spark.range(20_000).select(F.col("id"), F.md5(F.col("id").cast("string")).alias("t")).coalesce(2).write.option("parquet.block.size", 40_000).parquet(path)
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes"]
+    try:
+        for name, value in zip(names, ("20k", "30", "1k"), strict=True):
+            spark.conf.set(name, value)
+        out = shards.shard(spark.read.parquet(path), shards=7, cell_rows=900)
+        for name, value in zip(names, ("1g", "1", "4m"), strict=True):
+            spark.conf.set(name, value)
+        rows = out.select("id", "shard", "slot").collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert sorted(r.id for r in rows) == list(range(20_000))
+    sizes = Counter(r.shard for r in rows)
+    assert sorted(sizes.values()) == [2857] * 6 + [2858]
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((s, k) for s in sizes for k in range(sizes[s]))
+
+
 def test_deals_are_uniform(spark):
     """Over many seeds each row comes to each shard alike, and two rows meet as often as chance has it."""
     df = spark.range(12).coalesce(3).select("id")
@@ -641,12 +692,14 @@ def test_mix(spark, corpus, empty):
     targets = {"src0": 3.0, "src1": 1.0, "other": 1.0}
     means = {r.g: (r.bytes, r.mean) for r in mix.rates(df, targets).collect()}
     total = sum(len(t.encode()) for t in texts.values())
+    whole = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
     assert sum(b for b, _ in means.values()) == total
     out = mix.mix(df, targets).collect()
     per = Counter(r.doc_id for r in out)
     for k, i in ((k, i) for i, k in enumerate(sorted(texts))):
         mean = means[{0: "src0", 1: "src1"}.get(i % 4, "other")][1]
-        u = int(hashlib.md5(f"{mix.SEED}:{k}".encode()).hexdigest()[:13], 16) / 2**52
+        source, digest = f"src{i % 4}", hashlib.md5(texts[k].encode()).hexdigest() if whole[k] is not None else ""
+        u = int(hashlib.md5(f"{mix.SEED}:{k}:{source}:{digest}:1".encode()).hexdigest()[:13], 16) / 2**52
         n, p = 0, np.exp(-mean)
         c = p
         while c <= u:
@@ -680,7 +733,8 @@ def test_mix_counts_are_exact_quantiles(spark):
         draws = max(1, -(-int(np.ceil(means[source])) // mix.DRAW))
         part, want = means[source] / draws, 0
         for k in range(1, draws + 1):
-            u = number(f"{mix.SEED}:{i}" if k == 1 else f"{mix.SEED}:draw:{k}:{i}")
+            row = f"{i}:{source}:{hashlib.md5(b'x').hexdigest()}:1"
+            u = number(f"{mix.SEED}:{row}" if k == 1 else f"{mix.SEED}:draw:{k}:{row}")
             c, j = 0.0, 0
             while (c := c + math.exp(-part + (j * math.log(part) if j else 0) - math.lgamma(j + 1)) if part else 1.0) <= u:
                 j += 1
@@ -701,6 +755,25 @@ def test_mix_is_its_sql(spark, tmp_path):
     assert got.groupBy("source").count().where("source = 'src0' and count > 900").count() == 1
 
 
+def test_mix_draws_null_and_equal_rows_apart(spark):
+    """A third of the ids null, and a third of the rows equal in all: means are kept, and keys spread."""
+    rows = [(None if i % 3 == 0 else i, f"t{i % 7} {i}" if i % 3 else "same", f"src{i % 2}", i) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, number int").repartition(5)
+    targets = {"src0": 0.5, "src1": 1.0, "other": 1.0}
+    means = {r.g: r.mean for r in mix.rates(df, targets).collect()}
+    out = mix.mix(df, targets).withColumn("part", F.spark_partition_id()).collect()
+    for source in ("src0", "src1"):
+        for null in (True, False):
+            own = sum(s == source and (i is None) == null for i, _, s, _ in rows)
+            got = sum(r.source == source and (r.doc_id is None) == null for r in out)
+            assert abs(got / own - means[source]) < 0.08 * means[source]
+    same = Counter(r.number for r in out if r.doc_id is None and r.copy == 1)
+    assert max(same.values()) == 1 and len({r.shuffle_key for r in out}) > 0.999 * len(out)
+    assert max(Counter(r.part for r in out).values()) < 2 * len(out) / 4
+    with pytest.raises(ValueError, match="other"):
+        mix.mix(df, {"src0": 1.0})
+
+
 def test_mix_is_in_order_over_partitions(spark, corpus):
     out = mix.mix(corpus[0], {"src0": 1.0, "other": 2.0}).select("shuffle_key", F.spark_partition_id().alias("p")).collect()
     keys = [r.shuffle_key for r in sorted(out, key=lambda r: r.p)]

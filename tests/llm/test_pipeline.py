@@ -94,3 +94,31 @@ def test_odd_rows_in_each_stage(spark):
     assert set(plain(mixed)) <= set(rows) and mixed.columns == corpus_pipeline.COLUMNS
     packed = stage["packing"](spark, docs, "")
     assert packed.where("start = 0").count() == len(rows)
+
+
+def test_texts_of_other_scripts_stay(spark):
+    """A declared language whose script is another, and scripts without blanks; junk in them goes all the same."""
+    korean = " ".join(f"소유권{c} 이전등기{c}" for c in "가나다라마바사아자차카타파하") + " 하였다 그리고"
+    rng = random.Random(3)
+    japanese = "".join("".join(rng.choice("所有権移転登記文書述地裁判決原告被告のはをにがとでもれる") for _ in range(rng.randrange(8, 30))) + "。" for _ in range(14))
+    rows = [(1, korean, "en", "s", 1), (2, japanese, "ja", "s", 1), (3, japanese, None, "s", 1), (4, japanese[:30], "ja", "s", 1), (5, "所有権" * 200, "ja", "s", 1), (6, "zxq wvut " * 3 + " ".join(f"q{i}x" for i in range(40)), "en", "s", 1)]
+    kept = corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, KIND), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+
+
+def test_nothing_to_train_on_is_an_error(spark):
+    docs = spark.createDataFrame([(i, f"the text number {i} is here", None, "s", 1) for i in range(9)], KIND)
+    with pytest.raises(ValueError, match="language_id"):
+        corpus_pipeline.language_stage(spark, docs, "")
+
+
+def test_mixing_counts(spark):
+    """Rows of each source by their rate, null ids among them."""
+    rows = [(None if i % 3 == 0 else i, f"word{i % 900} text", "en", f"src{i % 4}", 1) for i in range(6000)]
+    docs = spark.createDataFrame(rows, KIND)
+    means = {r.g: r.mean for r in mix.rates(docs, mix.TARGETS).collect()}
+    got = corpus_pipeline.mixing_stage(spark, docs, "").groupBy("source", F.col("doc_id").isNull().alias("null")).count().collect()
+    for r in got:
+        own = sum(s == r.source and (i is None) == r["null"] for i, _, _, s, _ in rows)
+        mean = means[r.source if r.source in mix.TARGETS else "other"]
+        assert abs(r["count"] / own - mean) < 5 * (mean / own) ** 0.5
