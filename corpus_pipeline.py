@@ -27,21 +27,25 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, each row judged by its own text and declared language.
 
-    Null and empty texts go (no words); a null or unknown language only leaves the stop-word rule out;
-    equal rows are all kept or all go; no row moves.
+    Null and empty texts go (no words); a null or unknown language only leaves the stop-word rule out, and so does
+    one whose script is not the text's; scripts without blanks are judged in words of two characters; equal rows
+    are all kept or all go; no row moves.
     """
-    return docs.select(COLUMNS).where(quality.verdict(F.col("text"), F.col("lang"))["kept"])
+    return docs.select(COLUMNS).where(quality.kept_by_script(F.col("text"), F.col("lang")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the model is fitted on this stage's own input.
 
     Null texts and texts without a letter go, as does what lies far from every centroid; null languages train
-    nothing; with nothing to train on, every document goes. Of equally near centroids the first language by
+    nothing; documents without one that trains are an error. Of equally near centroids the first language by
     name counts, which never decides whether a row stays.
     """
     rows = docs.select(COLUMNS)
-    judged = langid.predict(rows, langid.train(rows), keep=["lang", "source", "n_chars"], keep_text=True)
+    model = langid.train(rows)
+    if not model.langs and not rows.isEmpty():
+        raise ValueError("language_id: no document with a language and letters to train on")
+    judged = langid.predict(rows, model, keep=["lang", "source", "n_chars"], keep_text=True)
     return judged.where(~F.col("rejected")).select(COLUMNS)
 
 
@@ -57,8 +61,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their source's rate, in a global random order.
 
-    Rows of one id are drawn alike, each for itself; a null source is among the others; empty texts weigh
-    nothing and are drawn as their source is; a null id hashes as an empty one.
+    Every row is drawn for itself, also rows of one id, of none, or equal in all; a null source is among the
+    others; empty texts weigh nothing and are drawn as their source is.
     """
     return mix.mix(docs.select(COLUMNS)).select(COLUMNS)
 
