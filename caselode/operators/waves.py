@@ -26,7 +26,7 @@ RECEIPT = "batch string, input string, status string, error string, at timestamp
 
 def receipts(spark: SparkSession, path: str) -> DataFrame:
     """All receipts below path; none if nothing was written yet."""
-    from .search_index import exists
+    from ..sources.log import exists
 
     return spark.read.schema(RECEIPT).parquet(path) if exists(spark, path) else spark.createDataFrame([], RECEIPT)
 

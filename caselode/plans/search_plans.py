@@ -51,7 +51,7 @@ SEARCHED = ["text", "lang", "source"]
 @query("d16_index_build", "SELECT count(*)::BIGINT AS rows, true AS ready FROM documents")
 def _(t):
     index = index_of(t.documents, "doc_id", SEARCHED)
-    return index.rows().agg(F.count("ordinal").alias("rows")).withColumn("ready", F.lit(index.ready()))
+    return index.rows().agg(F.count("row").alias("rows")).withColumn("ready", F.lit(index.ready()))
 
 
 @query("d16_search_projection", f"SELECT doc_id, 'text' AS matched FROM documents WHERE contains(replace(lower(text), 'ß', 'ss'), '{WORD}')")
