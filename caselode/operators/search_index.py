@@ -31,7 +31,6 @@ from __future__ import annotations
 import hashlib
 import json
 import posixpath
-import re
 import uuid
 
 import numpy as np
@@ -41,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import text_of
 from ..session import ship
-from ..sources.log import Conflict, Log, listing
+from ..sources.log import SLASHES, Conflict, Log, snapshot
 from ..sources.tables import SourceError
 from ..storage import drop_path, shared_dir
 from .search import SHOWN, clamp
@@ -56,19 +55,6 @@ FAN = 8
 #: Bits of a block's number in its file.
 _BLOCK_BITS = 28
 _FILE_BITS = 40
-#: After the scheme, paths have one slash or three.
-_SLASHES = ":/+"
-
-
-def _plain(path: str) -> str:
-    return re.sub(_SLASHES, ":/", path, count=1)
-
-
-def snapshot(df: DataFrame) -> dict[str, list[int]]:
-    """Size and time of change of each of df's files, in order of their paths; folders are listed once each."""
-    files = sorted(df.inputFiles())
-    there = {folder: listing(df.sparkSession, folder) for folder in {posixpath.dirname(f) for f in files}}
-    return {_plain(f): list(there[posixpath.dirname(f)].get(posixpath.basename(f), (-1, -1))) for f in files}
 
 
 def _listed(numbers: list[int]) -> str:
@@ -142,7 +128,7 @@ class SearchIndex:
         numbered = spark.range(1).select(F.inline(F.from_json(F.lit(numbers), "array<struct<path:string,file:bigint>>")))
         source = spark.read.schema(self.df.schema).parquet(*files)
         texts = [text_of(kinds[c], F.col(c)).alias(f"f{k}") for k, c in enumerate(self.columns)]
-        at = F.regexp_replace(F.col("_metadata.file_path"), f"^([^:/]+){_SLASHES}", "$1:/")
+        at = F.regexp_replace(F.col("_metadata.file_path"), f"^([^:/]+){SLASHES}", "$1:/")
         rows = source.select(at.alias("path"), F.col("_metadata.row_index").alias("row"), F.col(self.key).alias("key"), *texts)
         block = F.shiftleft("file", _BLOCK_BITS) + F.floor(F.col("row") / BLOCK)
         rows = rows.join(F.broadcast(numbered), "path").select("file", "row", block.alias("block"), "key", *self._folded())  # a row a file of the portion

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import search
+from ..operators import merkle, search
 from ..operators.search_index import SearchIndex
+from ..operators.walk import Kind, Relation, reason_counts, verdicts, walk
+from ..sources import archives
+from ..sources.sealed import sidecars, write_sealed
 from ..sources.versions import Tables
-from ..storage import scratch_path
+from ..storage import materialize, scratch_path
 from .registry import query
 
 NEEDLE = "555-"
@@ -104,3 +108,143 @@ def _(t):
     second.append("kept", lines.where("l_returnflag = 'R' and l_quantity > 25").withColumn("l_quantity", -F.col("l_quantity")))
     second.publish()
     return store.changed_rows("kept", 1).groupBy("l_returnflag", "change").agg(F.count("*").alias("rows"))
+
+
+#: What stands at an order's nodes in `d60_reference_walk`.
+BROKEN = {"part": "p_partkey % 17 <> 0", "supplier": "s_acctbal >= 0", "line": "l_quantity <= 49"}
+
+
+def _order_graph(t):
+    """Orders, their lines, the lines' parts and each part's first supplier; some parts are not there, some nodes break a rule."""
+    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    kinds = {
+        "order": Kind(t.orders.select(F.col("o_orderkey").alias("id"))),
+        "line": Kind(t.lineitem.select(line.alias("id"), "l_quantity"), {"LARGE_QUANTITY": F.expr(BROKEN["line"])}),
+        "part": Kind(t.part.where(BROKEN["part"]).select(F.col("p_partkey").alias("id"))),
+        "supplier": Kind(t.supplier.select(F.col("s_suppkey").alias("id"), "s_acctbal"), {"NEGATIVE_BALANCE": F.expr(BROKEN["supplier"])}),
+    }
+    first = t.lineitem.groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    links = lambda df, a, b: df.select(a.alias("source"), b.alias("target"))
+    relations = [
+        Relation("lines", "order", "line", links(t.lineitem, F.col("l_orderkey"), line), required=True),
+        Relation("part", "line", "part", links(t.lineitem, line, F.col("l_partkey")), required=True),
+        Relation("supplier", "part", "supplier", links(first, F.col("l_partkey"), F.col("l_suppkey"))),
+    ]
+    return walk(kinds, relations, "order")
+
+
+_ORDER_GRAPH = f"""
+WITH f AS (SELECT l_partkey AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1),
+l AS (SELECT l_orderkey AS o, 'line' AS kind, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, 1 AS depth, CASE WHEN NOT {BROKEN["line"]} THEN 'LARGE_QUANTITY' END AS why FROM lineitem),
+p AS (SELECT DISTINCT l_orderkey AS o, 'part' AS kind, l_partkey::VARCHAR AS id, 2 AS depth, CASE WHEN p_partkey IS NULL THEN 'MISSING:part' END AS why
+      FROM lineitem LEFT JOIN (SELECT * FROM part WHERE {BROKEN["part"]}) ON l_partkey = p_partkey),
+s AS (SELECT DISTINCT o, 'supplier' AS kind, f.s::VARCHAR AS id, 3 AS depth, CASE WHEN s_suppkey IS NULL THEN 'MISSING:supplier' WHEN NOT {BROKEN["supplier"]} THEN 'NEGATIVE_BALANCE' END AS why
+      FROM p JOIN f ON p.id = f.p::VARCHAR LEFT JOIN supplier ON s_suppkey = f.s WHERE why IS NULL),
+r AS (SELECT o_orderkey AS o, 'order' AS kind, o_orderkey::VARCHAR AS id, 0 AS depth, CASE WHEN o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) THEN 'NONE:lines' END AS why FROM orders),
+every AS (SELECT * FROM r UNION ALL SELECT * FROM l UNION ALL SELECT * FROM p UNION ALL SELECT * FROM s)
+"""
+
+
+@query(
+    "d60_reference_walk",
+    _ORDER_GRAPH
+    + """SELECT o::VARCHAR AS root, count(*) FILTER (WHERE why IS NULL OR why NOT LIKE 'MISSING:%') AS nodes, max(depth)::INT AS deepest, count(why) AS broken,
+                coalesce(string_agg(DISTINCT why, ',' ORDER BY why), '') AS reasons FROM every GROUP BY o""",
+)
+def _(t):
+    return verdicts(_order_graph(t)).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("d60_reason_counts", _ORDER_GRAPH + "SELECT kind, why AS reason, count(DISTINCT o) AS roots, count(DISTINCT id) AS nodes FROM every WHERE why IS NOT NULL GROUP BY ALL")
+def _(t):
+    return reason_counts(_order_graph(t))
+
+
+@query(
+    "c5_case_references",
+    """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, text FROM conversations),
+            c AS (SELECT conv_id, max(n) AS last, CASE WHEN conv_id % 10 = 3 THEN least(max(n), 2) ELSE max(n) END AS upto FROM t GROUP BY conv_id),
+            n AS (SELECT t.conv_id, CASE WHEN n = upto AND upto < last THEN 'MISSING:next' WHEN length(text) < 40 THEN 'SHORT' END AS why, n, upto, last FROM t JOIN c USING (conv_id) WHERE n <= upto)
+       SELECT conv_id::VARCHAR AS root, 1 + count(*) FILTER (WHERE why IS NULL OR why <> 'MISSING:next') AS nodes, count(why) AS broken,
+              coalesce(string_agg(DISTINCT why, ',' ORDER BY why), '') AS reasons FROM n GROUP BY conv_id""",
+)
+def _(t):
+    """Conversations lead to their first turn and turns to the next, at any depth; some second turns are gone."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    of = lambda n: F.concat_ws("-", "conv_id", n)
+    turns = t.conversations.withColumn("n", F.row_number().over(order)).withColumn("last", F.max("n").over(Window.partitionBy("conv_id")))
+    there = turns.where("not (conv_id % 10 = 3 and n = 2 and last > 2)").select(of("n").alias("id"), "text")
+    kinds = {"case": Kind(t.conversations.select(F.col("conv_id").alias("id")).distinct()), "turn": Kind(there, {"SHORT": F.length("text") >= 40})}
+    relations = [
+        Relation("first", "case", "turn", turns.where("n = 1").select(F.col("conv_id").alias("source"), of("n").alias("target")), required=True),
+        Relation("next", "turn", "turn", turns.where("n < last").select(of("n").alias("source"), of(F.col("n") + 1).alias("target"))),
+    ]
+    return verdicts(walk(kinds, relations, "case")).select("root", "nodes", "broken", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(
+    "d38_coverage_sidecars",
+    """SELECT 'orders' AS "table", 'COMPLETE' AS status, '' AS reasons, count(*) AS rows, sum(o_totalprice)::DECIMAL(20,2) AS total, 1::BIGINT AS input_files FROM orders UNION ALL
+       SELECT 'lineitem', CASE WHEN count(*) FILTER (WHERE l_discount > 0.09) > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END, CASE WHEN count(*) FILTER (WHERE l_discount > 0.09) > 0 THEN 'HIGH_DISCOUNT' ELSE '' END, count(*), sum(l_extendedprice)::DECIMAL(20,2), 1 FROM lineitem UNION ALL
+       SELECT 'customer', 'COMPLETE', '', count(*), sum(c_acctbal)::DECIMAL(20,2), 1 FROM customer""",
+)
+def _(t):
+    """A sidecar a table, from the pass that writes it."""
+    spark, path = t.orders.sparkSession, scratch_path(t.orders.sparkSession, "sealed")
+    of = {"orders": ("o_totalprice", {}), "lineitem": ("l_extendedprice", {"HIGH_DISCOUNT": F.count_if(F.col("l_discount") > 0.09)}), "customer": ("c_acctbal", {})}
+    seals = [write_sealed(getattr(t, name), f"{path}/{name}", name, {"total": F.sum(column)}, complete) for name, (column, complete) in of.items()]
+    rows = sidecars(spark, seals)
+    return rows.select("table", "status", F.array_join("reasons", ",").alias("reasons"), "rows", F.col("metrics")["total"].cast("decimal(20,2)").alias("total"), "input_files")
+
+
+#: The second version of lineitem in `d63`.
+SECOND = "CASE WHEN l_orderkey % 997 = 0 THEN l_quantity + 1 ELSE l_quantity END"
+
+
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _two_versions(t):
+    spark, path = t.lineitem.sparkSession, scratch_path(t.lineitem.sparkSession, "fingerprinted")
+    keys, lines = [*LINE], t.lineitem.select(*LINE, "l_quantity", "l_shipdate")
+    second = lines.where("l_orderkey % 1009 <> 1").withColumn("l_quantity", F.expr(SECOND))
+    more = lines.where("l_orderkey % 1013 = 2").withColumn("l_orderkey", -F.col("l_orderkey"))
+    return merkle.fingerprint(lines, keys, f"{path}/first"), merkle.fingerprint(second.unionByName(more), keys, f"{path}/second")
+
+
+@query(
+    "d63_differing_rows",
+    f"""WITH a AS (SELECT {", ".join(LINE)}, l_quantity FROM lineitem),
+             b AS (SELECT {", ".join(LINE)}, {SECOND} AS l_quantity FROM lineitem WHERE l_orderkey % 1009 <> 1 UNION ALL SELECT -l_orderkey, {", ".join(LINE[1:])}, l_quantity FROM lineitem WHERE l_orderkey % 1013 = 2)
+        SELECT {", ".join(LINE)}, CASE WHEN b.l_quantity IS NULL THEN 'REMOVED' WHEN a.l_quantity IS NULL THEN 'ADDED' ELSE 'CHANGED' END AS change, a.l_quantity AS was, b.l_quantity AS is_now
+        FROM a FULL JOIN b USING ({", ".join(LINE)}) WHERE a.l_quantity IS DISTINCT FROM b.l_quantity""",
+)
+def _(t):
+    out = merkle.differing_rows(*_two_versions(t))
+    return out.select(*LINE, "change", F.get("before", F.lit(0))["l_quantity"].alias("was"), F.get("after", F.lit(0))["l_quantity"].alias("is_now"))
+
+
+@query(
+    "d63_cross_validation",
+    """SELECT count(*) AS audited, count(*) FILTER (WHERE l_orderkey % 1009 <> 1) + count(*) FILTER (WHERE l_orderkey % 1013 = 2) AS candidates, count(*) FILTER (WHERE l_orderkey % 1013 = 2) AS added,
+              count(*) FILTER (WHERE l_orderkey % 1009 = 1) AS removed, count(*) FILTER (WHERE l_orderkey % 997 = 0 AND l_orderkey % 1009 <> 1) AS changed, 0::BIGINT AS count, false AS equal FROM lineitem""",
+)
+def _(t):
+    return merkle.cross_validate(*_two_versions(t)).withColumn("audited", F.col("audited").cast("bigint")).withColumn("candidates", F.col("candidates").cast("bigint"))
+
+
+@query(
+    "d64_archive_blobs",
+    """WITH d AS (SELECT doc_id, sha256(text) AS h, strlen(text) AS size FROM documents),
+            m AS (SELECT CASE WHEN doc_id % 11 = 0 THEN sha256('changed ' || doc_id) ELSE sha256(text) END AS h, sha256(text) AS claimed FROM documents WHERE doc_id % 7 <> 0),
+            w AS (SELECT DISTINCT h FROM d), f AS (SELECT h, count(*) AS places FROM m GROUP BY h)
+       SELECT h AS sha256, CASE WHEN places IS NOT NULL THEN 'RESTORABLE' WHEN h IN (SELECT claimed FROM m) THEN 'CHANGED' ELSE 'MISSING' END AS status, coalesce(places, 0) AS places FROM w LEFT JOIN f USING (h)
+       UNION ALL SELECT h, 'UNKNOWN', places FROM f WHERE h NOT IN (SELECT h FROM w)""",
+)
+def _(t):
+    """Texts against archives that hold most of them, some with other content under their name."""
+    docs = t.documents.select("doc_id", "text", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size_bytes"))
+    own = docs.where("doc_id % 7 <> 0").withColumn("body", F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("changed "), "doc_id")).otherwise(F.col("text")))
+    made = archives.write_tars(own, "sha256", "body", scratch_path(docs.sparkSession, "tars"))
+    paths = [r["archive"] for r in materialize(made, "archives").collect()]  # a path a task
+    return archives.reconcile(archives.tar_members(docs.sparkSession, paths), docs.select("sha256", "size_bytes"))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: After the scheme, paths have one slash or three.
+SLASHES = ":/+"
 
 
 class Conflict(RuntimeError):
@@ -31,6 +35,18 @@ def listing(spark: SparkSession, folder: str) -> dict[str, tuple[int, int]]:
     return {posixpath.basename(s.getPath().toString()): (s.getLen(), s.getModificationTime()) for s in fs.listStatus(hpath) if s.isFile()}
 
 
+def plain(path: str) -> str:
+    """A path with one slash after its scheme."""
+    return re.sub(SLASHES, ":/", path, count=1)
+
+
+def snapshot(df: DataFrame) -> dict[str, list[int]]:
+    """Size and time of change of each of df's files, in order of their paths; folders are listed once each."""
+    files = sorted(df.inputFiles())
+    there = {folder: listing(df.sparkSession, folder) for folder in {posixpath.dirname(f) for f in files}}
+    return {plain(f): list(there[posixpath.dirname(f)].get(posixpath.basename(f), (-1, -1))) for f in files}
+
+
 def write_once(spark: SparkSession, path: str, value) -> None:
     """A JSON file that wasn't there before; of several writers one succeeds, the others get Conflict."""
     fs, hpath = fs_of(spark, path)
