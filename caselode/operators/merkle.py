@@ -71,8 +71,8 @@ def fingerprint(df: DataFrame, keys: list[str], path: str, levels: int = LEVELS)
     leaves = spark.read.parquet(f"{path}/rows").select("bucket", F.lit(1).cast("bigint").alias("n"), wide(h1).alias("h1"), wide(h2).alias("h2"))
     leaves = _sums(leaves, "bucket")
     # every leaf counts in one node of each level
-    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("bucket", FAN_BITS * (levels - k)).alias("node")) for k in range(levels + 1)])).alias("x")
-    nodes = _sums(leaves.select("n", "h1", "h2", levels).select("x.level", "x.node", "n", "h1", "h2"), "level", "node")
+    above = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("bucket", FAN_BITS * (levels - k)).alias("node")) for k in range(levels + 1)])).alias("x")
+    nodes = _sums(leaves.select("n", "h1", "h2", above).select("x.level", "x.node", "n", "h1", "h2"), "level", "node")
     nodes.write.parquet(f"{path}/tree")
     write_once(spark, f"{path}/keys.json", [keys, levels])
     return Fingerprinted(spark, path)
