@@ -1,65 +1,96 @@
-"""Fields of a document as long rows: text sections, metadata, judges, parties; wide again; roll-up and checks."""
+"""Fields of a document as long rows: text sections, metadata, judges, parties; wide again; roll-up and checks.
+
+A page passes through Python once, for its visible text and the stretches
+between its accepted headings; everything that is made of these is an
+expression of built-in functions beside the page's other columns.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import sections_of, visible_text
+from ..functions.html import page_sections_udf
+from ..functions.text import slice_of, strip
 from ..session import ship
 
 #: Who may be named in a heading of parties, and who signs.
 PARTY = "원고|피고|청구인|신청인|항고인|항소인|피신청인|상고인|사건본인|참가인|검사"
-JUDGE = r"(?m)^\s*(대법관|대법원장|판사|재판관|군판사)\s+([^\n]+)"
+SIGNS = "대법관|대법원장|판사|재판관|군판사"
+
+_RANGES = "array<struct<start:int,end:int>>"
+
+
+def stretches(sections: Column, labels: list[str], tail: bool) -> Column:
+    """The sections under one of the labels, in the order of the text; tail: of headings in square brackets."""
+    return F.filter(sections, lambda s: (s["tail"] == F.lit(tail)) & s["label"].isin(labels))
+
+
+def parties_in(sections: Column) -> Column:
+    """The sections whose heading names a party."""
+    return F.filter(sections, lambda s: ~s["tail"] & s["label"].rlike(PARTY))
+
+
+def said(text: Column, sections: Column) -> Column:
+    """What sections say, heading included: each without white space at its ends, a line break between; null without any."""
+    lines = F.transform(sections, lambda s: strip(slice_of(text, s["start"], s["end"])))
+    return F.when(F.size(sections) > 0, F.array_join(lines, "\n"))
+
+
+def ranges(sections: Column) -> Column:
+    return F.transform(sections, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+
+def by_label(text: Column, sections: Column) -> Column:
+    """A map from each heading to what stands below it; of equal headings the last one counts."""
+    last = lambda label: F.element_at(F.filter(sections, lambda s: s["label"] == label), -1)
+    below = lambda s: strip(slice_of(text, s["body_start"], s["end"]))
+    labels = F.array_distinct(F.transform(sections, lambda s: s["label"]))
+    return F.map_from_entries(F.transform(labels, lambda x: F.struct(x, below(last(x)))))
+
 
-_FIELDS = "doc string, name string, value string, status string, reason string, ranges array<struct<start:int,end:int>>"
+def signature(text: Column) -> Column:
+    """struct<role, names, ranges> of the first line that a judge signs; null without one."""
+    pattern = rf"(?sU)\A(.*?)((?m:^)\s*({SIGNS})\s+([^\n]+))"
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    start = F.length(part(1))
+    span = F.array(F.struct(start.cast("int").alias("start"), (start + F.length(part(2))).cast("int").alias("end")))
+    return F.when(text.rlike(rf"(?mU)^\s*({SIGNS})\s+[^\n]"), F.struct(part(3).alias("role"), strip(part(4)).alias("names"), span.alias("ranges")))
 
 
 def text_fields(docs: DataFrame, key: str, html: str, sections: dict[str, list[str]], tail: list[str]) -> DataFrame:
     """(doc, name, value, status, reason, ranges) of sections found in documents' visible text.
 
     sections: field name -> labels; names in `tail` have square-bracket
-    headings. A section that repeats is joined and put to REVIEW. Parties and
-    the first judges' line give fields of their own.
+    headings. A section that repeats is joined and put to REVIEW. Each party
+    and the first judges' line give fields of their own.
     """
     ship(docs.sparkSession)
-    body = sorted({x for n, labels in sections.items() if n not in tail for x in labels})
-    ends = sorted({x for n in tail for x in sections[n]})
-
-    def run(frames):
-        import re
-
-        for pdf in frames:
-            out = []
-            for doc, source in zip(pdf["doc"], pdf["html"], strict=True):
-                if source is None:
-                    continue
-                text = visible_text(source)
-                found = sections_of(text, body, ends, PARTY)
-                put = lambda name, value, spans, status="PRESENT", why="explicit section": out.append((doc, name, value, status, why, spans))  # noqa: B023,E731
-                for name, labels in sections.items():
-                    own = [s for s in found if s["label"] in labels and s["tail"] == (name in tail)]
-                    if own:
-                        value = "\n".join(text[s["start"] : s["end"]].strip() for s in own)
-                        many = len(own) > 1
-                        put(name, value, [{"start": s["start"], "end": s["end"]} for s in own], "REVIEW" if many else "PRESENT", "section repeats" if many else "explicit section")
-                for s in found:
-                    if not s["tail"] and re.search(PARTY, s["label"]):
-                        put("party:" + s["label"], text[s["body_start"] : s["end"]].strip(), [{"start": s["start"], "end": s["end"]}])
-                m = re.search(JUDGE, text)
-                if m:
-                    put("judge:" + m[1], m[2].strip(), [{"start": m.start(), "end": m.end()}])
-            yield pd.DataFrame(out, columns=["doc", "name", "value", "status", "reason", "ranges"])
-
-    return docs.select(F.col(key).cast("string").alias("doc"), F.col(html).alias("html")).mapInPandas(run, _FIELDS)
+    body = [x for n, labels in sections.items() if n not in tail for x in labels]
+    page = page_sections_udf(body, [x for n in tail for x in sections[n]], PARTY)
+    rows = docs.select(F.col(key).cast("string").alias("doc"), page(F.col(html)).alias("page")).select("doc", "page.visible", "page.sections")
+    visible, found = F.col("visible"), F.col("sections")
+
+    def field(name: Column, value: Column, spans: Column, repeats: Column) -> Column:
+        status, why = F.when(repeats, "REVIEW").otherwise("PRESENT"), F.when(repeats, "section repeats").otherwise("explicit section")
+        return F.struct(name.alias("name"), value.alias("value"), status.alias("status"), why.alias("reason"), spans.cast(_RANGES).alias("ranges"))
+
+    once = F.lit(False)
+    cells = []
+    for name, labels in sections.items():
+        own = stretches(found, labels, name in tail)
+        cells.append(field(F.lit(name), said(visible, own), ranges(own), F.size(own) > 1))
+    signed = signature(visible)
+    cells.append(field(F.concat(F.lit("judge:"), signed["role"]), signed["names"], signed["ranges"], once))
+    named = F.transform(parties_in(found), lambda s: field(F.concat(F.lit("party:"), s["label"]), strip(slice_of(visible, s["body_start"], s["end"])), F.array(F.struct(s["start"], s["end"])), once))
+    return rows.select("doc", F.inline(F.concat(F.array(*cells), named))).where("value is not null and name is not null")
 
 
 def metadata_fields(docs: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     """(doc, name, value, status, reason, ranges) from metadata columns; null and blank are no fields."""
     cells = [F.struct(F.lit(name).alias("name"), F.col(c).cast("string").alias("value")) for name, c in columns.items()]
     rows = docs.select(F.col(key).cast("string").alias("doc"), F.inline(F.array(*cells))).where("value is not null and value <> ''")
-    return rows.select("doc", "name", "value", F.lit("PRESENT").alias("status"), F.lit("metadata").alias("reason"), F.expr("cast(null as array<struct<start:int,end:int>>)").alias("ranges"))
+    return rows.select("doc", "name", "value", F.lit("PRESENT").alias("status"), F.lit("metadata").alias("reason"), F.lit(None).cast(_RANGES).alias("ranges"))
 
 
 def complete(fields: DataFrame, docs: DataFrame, key: str, names: list[str], status: str = "NOT_PROVIDED") -> DataFrame:
