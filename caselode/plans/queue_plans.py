@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import keys, urls
+from ..functions import keys
 from ..operators import ledger, links, queue, reports, search, waves
 from ..session import ship
-from .markup_plans import values
 from .registry import query
 
 NOW = "1995-06-17 00:00:00"
@@ -81,24 +80,6 @@ def _(t):
     return queue.bounded(t.part, {"p_size": (5, 40), "p_retailprice": (None, 1500)}).select("p_partkey", F.array_join("invalid", ",").alias("invalid"))
 
 
-@query(
-    "f44_article_params",
-    values(
-        'n, "joNo", "lsNm", "lsId", "efYd", mode, "lsClsCd"',
-        "(0, '000100', '민법', 'prec20010203', '20010203', '11', 'L')",
-        "(1, '000200', '형법', 'prec19990101', '19990101', '11', 'L')",
-        "(2, NULL, NULL, NULL, NULL, NULL, NULL)",
-        "(3, NULL, NULL, NULL, NULL, NULL, NULL)",
-        "(4, NULL, NULL, NULL, NULL, NULL, NULL)",
-    ),
-)
-def _(t):
-    rows = [(0, "민법", "000100", "prec", "20010203"), (1, "형법", "000200", "prec19990101", "20010203"), (2, "상법", "000300", "prec20010231", "20010203"), (3, "상법", "000300", "other", "20010203"), (4, "상법", "000300", "prec", None)]
-    df = t.pages.sparkSession.createDataFrame(rows, "n int, law string, article string, context string, day string")
-    p = urls.article_params(F.col("law"), F.col("article"), F.col("context"), F.col("day"))
-    return df.select("n", p.alias("p")).select("n", *[f"p.{k}" for k in ("joNo", "lsNm", "lsId", "efYd", "mode", "lsClsCd")])
-
-
 @query("d75_blob_keys", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'INVALID_STORAGE_KEY' ELSE 'VALID' END AS state FROM documents")
 def _(t):
     digest = F.sha2("text", 256)
@@ -107,12 +88,6 @@ def _(t):
     return t.documents.select("doc_id", keys.blob_key_state(key).alias("state"))
 
 
-@query("d53_link_banners", values("status, banner", *(f"('{k}', '{v}')" for k, v in links.BANNERS.items()), f"('OTHER', '{links.PENDING_BANNER}')", f"(NULL, '{links.PENDING_BANNER}')"))
-def _(t):
-    df = t.pages.sparkSession.createDataFrame([(k,) for k in (*links.BANNERS, "OTHER", None)], "status string")
-    return df.select("status", links.banner(F.col("status")).alias("banner"))
-
-
 @query(
     "d47_reproved_links",
     """SELECT doc_id, CASE WHEN s.h IS NULL THEN 'NEW' WHEN f.h IS NULL THEN 'NOT_FOUND_AGAIN' WHEN s.h = f.h THEN 'SAME' ELSE 'EVIDENCE_DIFFERS' END AS state
