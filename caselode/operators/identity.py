@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.suffix import Automaton
+
 
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once: n and extra rows."""
@@ -66,6 +69,38 @@ def agreement(ours: DataFrame, theirs: DataFrame, key: str, fields: list[str]) -
     return long.groupBy("field", "state").count()
 
 
+def audit(rows: DataFrame, block: str, id_col: str, text: str, day: str) -> DataFrame:
+    """Candidates of one identity: block, id, representative, copies, same_day, common, share of every class of equal texts in a block.
+
+    A block's rows are classes of equal text, each known by its smallest id; the
+    class of the smallest id of all is the block's representative, and every
+    other class is held against it: whether they agree on the day, the length
+    of the longest common substring, and its share of the shorter text. So a
+    block of n classes gives n - 1 rows. Null blocks and texts are left out.
+    """
+    known = rows.where(F.col(block).isNotNull() & F.col(text).isNotNull()).select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(day).alias("day"))
+    classes = known.groupBy("block", F.sha2("text", 256).alias("h")).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("text", "id").alias("text"), F.min("day").alias("day"), F.countDistinct("day").alias("days"))
+    first = classes.groupBy("block").agg(F.min_by(F.struct("id", "text", "day", "days"), "id").alias("r"), F.count("*").alias("classes")).where("classes > 1")
+    pairs = classes.join(first, "block").where("id <> r.id")
+    pairs = pairs.select("block", F.col("r.id").alias("representative"), "id", "copies", ((F.col("days") <= 1) & (F.col("r.days") <= 1) & F.col("day").eqNullSafe(F.col("r.day"))).alias("same_day"), F.col("r.text").alias("a"), F.col("text").alias("b"))
+    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    out = f"block {kind['block']}, representative {kind['id']}, id {kind['id']}, copies bigint, same_day boolean, common int, share double"
+
+    def run(batches):
+        held, machine = None, None  # a block's automaton serves all of its classes
+        for batch in batches:
+            common, share = [], []
+            for a, b in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                if machine is None or a != held:
+                    held, machine = a, Automaton(a)
+                n = machine.longest_common(b)[2]
+                common.append(n)
+                share.append(n / max(1, min(len(a), len(b))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(common, pa.int32()), pa.array(share)], names=[*batch.schema.names[:5], "common", "share"])
+
+    return pairs.sortWithinPartitions("block", "id").mapInArrow(run, out)
+
+
 def replay(events: DataFrame) -> DataFrame:
     """State after CREATE / MERGE / SPLIT / RELINK events (component, sequence, operation, entity, target, key).
 

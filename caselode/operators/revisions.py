@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashes import record_hash
 from .latest import latest_per_key
+from .sinks import write_sinks
 
 
 def current(documents: DataFrame, revisions: DataFrame) -> DataFrame:
@@ -88,15 +89,15 @@ def build_revision(inputs: DataFrame, rule_version: str, columns: list[str]) ->
     return inputs.withColumn("build", record_hash({"rule": F.lit(rule_version)} | {c: F.col(c) for c in columns}))
 
 
-def fan_out(rows: DataFrame, parts: dict[str, str], path: str) -> None:
-    """One pass, several JSON tables: an array column per part is unfolded and written below path."""
-    from ..storage import materialize
-
-    once = materialize(rows, "fan")
+def fan_out(rows: DataFrame, parts: dict[str, str], path: str) -> DataFrame:
+    """One pass, several JSON outputs: `rows`, and for each part an array column of structs, unfolded with the first key; sink and rows of each."""
     keys = [c for c in rows.columns if c not in parts.values()]
-    once.select(*keys).write.mode("errorifexists").json(f"{path}/rows")
-    for name, column in parts.items():
-        once.select(*keys[:1], F.inline(column)).write.mode("errorifexists").json(f"{path}/{name}")
+
+    def unfolded(column: str) -> Column:
+        names = rows.schema[column].dataType.elementType.names
+        return F.transform(column, lambda x: F.struct(F.col(keys[0]), *[x[f].alias(f) for f in names]))
+
+    return write_sinks(rows, {"rows": F.struct(*keys), **{n: unfolded(c) for n, c in parts.items()}}, path)
 
 
 def put_blobs(bodies: DataFrame, store: str) -> DataFrame:

@@ -1,35 +1,14 @@
-"""Driving a plan of batches: one receipt a batch, resumption from equal inputs only, a breaker.
+"""Batches that are still open, and the staged jobs of items, as relations.
 
-A plan is a table of (batch, input): which batches there are, in order, and a
-hash of what each works on. Receipts are an append-only table in a folder;
-a batch with a SUCCEEDED receipt for the same input is not run again, however
-often the driver is started anew. The rows inside a batch are Spark's work;
-only the plan, one row a batch, is walked on the driver.
-
-Defined cases: a batch whose input has changed runs again; a failed batch ends
-the walk or, with `stop_on_failure` off, counts towards the breaker, which
-opens after BREAK failures in a row; an empty plan gives no receipts.
+A batch with a SUCCEEDED receipt for the same input is done, however often
+work is started anew; a batch whose input has changed is open again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime, timezone
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Failures in a row that stop a walk.
-BREAK = 3
-RECEIPT = "batch string, input string, status string, error string, at timestamp"
-
-
-def receipts(spark: SparkSession, path: str) -> DataFrame:
-    """All receipts below path; none if nothing was written yet."""
-    from ..sources.log import exists
-
-    return spark.read.schema(RECEIPT).parquet(path) if exists(spark, path) else spark.createDataFrame([], RECEIPT)
-
 
 def open_batches(plan: DataFrame, done: DataFrame) -> DataFrame:
     """Batches of the plan without a SUCCEEDED receipt for their input."""
@@ -37,36 +16,6 @@ def open_batches(plan: DataFrame, done: DataFrame) -> DataFrame:
     return plan.join(good, ["batch", "input"], "left_anti")
 
 
-def walk(plan: DataFrame, step: Callable[[str, str], None], path: str, most: int | None = None, stop_on_failure: bool = True) -> dict:
-    """Run step(batch, input) for open batches in order; what was considered, run and failed, and why the walk ended.
-
-    An error of a step is recorded by the name of its type, never its message.
-    """
-    if most is not None and most < 1:
-        raise ValueError("INVALID_BATCH_LIMIT")
-    spark = plan.sparkSession
-    todo = open_batches(plan, receipts(spark, path)).orderBy("batch")
-    ran, failed, in_a_row, ended = 0, 0, 0, "COMPLETE"
-    for row in todo.toLocalIterator():
-        if most is not None and ran >= most:
-            ended = "LIMIT"
-            break
-        error = None
-        try:
-            step(row["batch"], row["input"])
-        except Exception as e:  # noqa: BLE001 - any failure of a batch is its receipt
-            error = type(e).__name__
-        ran, failed = ran + 1, failed + (error is not None)
-        in_a_row = in_a_row + 1 if error else 0
-        status = "FAILED" if error else "SUCCEEDED"
-        now = datetime.now(timezone.utc).replace(tzinfo=None)
-        spark.createDataFrame([(row["batch"], row["input"], status, error, now)], RECEIPT).write.mode("append").parquet(path)
-        if error and (stop_on_failure or in_a_row >= BREAK):
-            ended = "FAILED" if stop_on_failure else "BREAKER_OPEN"
-            break
-    return {"ran": ran, "failed": failed, "ended": ended}
-
-
 #: Kinds of work and the kind whose end each waits for.
 STAGES = {"FETCH": None, "IMAGES": "FETCH", "REFRESH": "IMAGES", "ENRICH": "REFRESH", "FIELDS": "ENRICH"}
 

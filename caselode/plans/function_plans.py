@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import hashes
 from ..operators import ledger, paging, revisions
+from ..operators.sinks import read_sink
 from ..session import ship
 from ..sources import backup, tables
 from ..storage import scratch_path
@@ -126,7 +127,7 @@ def _(t):
     path = scratch_path(spark, "fan")
     words = F.transform(F.split(F.concat_ws(" ", "source", "lang"), " "), lambda w: F.struct(w.alias("word")))
     revisions.fan_out(t.documents.select("doc_id", words.alias("words")), {"words": "words"}, path)
-    return spark.read.schema("doc_id long, word string").json(f"{path}/words")
+    return read_sink(spark, path, "words", "doc_id long, word string")
 
 
 @query("w10_backup", expected('"table", rows, state', [("region", 5, "VERIFIED"), ("nation", 25, "VERIFIED")]))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import merkle, search
+from ..functions import html as H
+from ..operators import identity, merkle, search, sinks, staleness
+from ..operators import requests as asking
 from ..operators.search_index import SearchIndex
 from ..operators.walk import Kind, Relation, reason_counts, verdicts, walk
-from ..sources import archives
+from ..session import ship
+from ..sources import archives, footers, windows
 from ..sources.sealed import sidecars, write_sealed
 from ..sources.versions import Tables
 from ..storage import materialize, scratch_path
@@ -248,3 +253,182 @@ def _(t):
     made = archives.write_tars(own, "sha256", "body", scratch_path(docs.sparkSession, "tars"))
     paths = [r["archive"] for r in materialize(made, "archives").collect()]  # a path a task
     return archives.reconcile(archives.tar_members(docs.sparkSession, paths), docs.select("sha256", "size_bytes"))
+
+
+# -- footers ---------------------------------------------------------------------------
+
+
+def _clustered(t):
+    """Orders in eight files of ascending keys."""
+    spark, path = t.orders.sparkSession, scratch_path(t.orders.sparkSession, "clustered")
+    t.orders.select("o_orderkey", "o_custkey", "o_orderpriority").repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "r6_zone_map",
+    """SELECT 'o_orderkey' AS "column", count(*)::BIGINT AS rows, 0::BIGINT AS nulls, min(o_orderkey)::VARCHAR AS low, max(o_orderkey)::VARCHAR AS high FROM orders UNION ALL
+       SELECT 'o_custkey', count(*), 0, min(o_custkey)::VARCHAR, max(o_custkey)::VARCHAR FROM orders UNION ALL SELECT 'o_orderpriority', count(*), 0, min(o_orderpriority), max(o_orderpriority) FROM orders""",
+)
+def _(t):
+    zones = footers.zone_map(_clustered(t))
+    number = F.when(F.col("column") != "o_orderpriority", F.col("low").cast("bigint")), F.when(F.col("column") != "o_orderpriority", F.col("high").cast("bigint"))
+    out = zones.groupBy("column").agg(F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), F.coalesce(F.min(number[0]).cast("string"), F.min("low")).alias("low"), F.coalesce(F.max(number[1]).cast("string"), F.max("high")).alias("high"))
+    return out.select("column", "rows", "nulls", "low", "high")
+
+
+@query("r3_zone_lookup", "SELECT *, 1::BIGINT AS row_groups FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) - 7 FROM orders))")
+def _(t):
+    """Of eight files one is named before anything is read."""
+    df = _clustered(t)
+    wanted = t.orders.agg(F.max("o_orderkey")).first()[0] - 7
+    return footers.zone_lookup(df, footers.zone_map(df, ["o_orderkey"]), "o_orderkey", wanted).select("o_orderkey", "o_custkey", "row_groups")
+
+
+@query("r6_footer_columns", "SELECT count(DISTINCT column_name)::BIGINT AS columns FROM (SELECT unnest(['doc_id', 'text', 'lang', 'source', 'n_chars']) AS column_name)")
+def _(t):
+    """The columns that Spark's own footer entry names, of documents written again."""
+    spark, path = t.documents.sparkSession, scratch_path(t.documents.sparkSession, "footers")
+    t.documents.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(path)
+    schema = footers.footer_value(spark.read.parquet(path), "org.apache.spark.sql.parquet.row.metadata")
+    return spark.createDataFrame([(len(schema["fields"]),)], "columns bigint")
+
+
+# -- listings by windows ------------------------------------------------------------------
+
+DAYS, PAGE = 7, 50
+
+
+def _served(t) -> dict:
+    """Events as pages of a listing by weeks, written as files; the options that read them."""
+    spark, path = t.events.sparkSession, scratch_path(t.events.sparkSession, "pages")
+    first, last = t.events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    week = F.date_add(F.lit(first), (F.floor(F.datediff(F.to_date("ts"), F.lit(first)) / DAYS) * DAYS).cast("int"))
+    row = F.struct(F.col("event_id").alias("id"), F.date_format("ts", "yyyyMMdd").alias("day"), F.col("event_type").alias("kind"), "value")
+    at = F.row_number().over(Window.partitionBy("week").orderBy("event_id"))
+    rows = t.events.withColumn("week", week).select("week", row.alias("row"), at.alias("at"), F.count("*").over(Window.partitionBy("week")).alias("total"))
+    pages = rows.groupBy("week", F.ceil(F.col("at") / PAGE).cast("int").alias("page"), "total").agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("x"))  # PAGE rows
+    body = F.to_json(F.struct(F.struct("total", F.col("x.row").alias("items")).alias("list")))
+    pages.select(body.alias("value"), "week", "page").repartition("week", "page").write.partitionBy("week", "page").text(path)
+    url = f"{path}/week={{first}}/page={{page}}"
+    return {"fetch": "caselode.sources.windows:file_pages", "url": url, "from": first.isoformat(), "to": last.isoformat(), "days": str(DAYS), "root": "list", "total": "total", "items": "items", "id": "id", "day": "day"}
+
+
+_EVENTS = "SELECT event_id::VARCHAR AS id, ts::DATE AS day, event_type AS kind FROM events"
+
+
+@query("r17_windowed_listing", _EVENTS)
+def _(t):
+    options, spark = _served(t), t.events.sparkSession
+    spark.dataSource.register(windows.WindowedListing)
+    return spark.read.format("windowed_listing").options(**options).load().select("id", "day", F.get_json_object("row", "$.kind").alias("kind"))
+
+
+@query("r15_resumed_listing", _EVENTS)
+def _(t):
+    """The same as a stream that ends after some windows and is started again: each row once."""
+    options, spark = _served(t), t.events.sparkSession
+    spark.dataSource.register(windows.WindowedListing)
+    path = scratch_path(spark, "listed")
+    every = windows.windows(*map(windows.date.fromisoformat, (options["from"], options["to"])), DAYS)
+    for last in (every[len(every) // 2].last, every[-1].last):
+        rows = spark.readStream.format("windowed_listing").options(**options | {"to": last.isoformat()}).load()
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    return spark.read.schema(windows.SCHEMA).parquet(f"{path}/rows").select("id", "day", F.get_json_object("row", "$.kind").alias("kind"))
+
+
+# -- what a change makes stale -----------------------------------------------------------
+
+
+def _turn_graph(t):
+    """Turns that saw the turn before; in some conversations the first one has changed since."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = t.conversations.withColumn("n", F.row_number().over(order)).withColumn("before", F.lag("text").over(order))
+    of = lambda n: F.concat_ws("-", "conv_id", n)
+    items = turns.select(of("n").alias("id"), F.sha2("text", 256).alias("hash"), "conv_id", "n")
+    seen = F.when((F.col("conv_id") % 10 == 3) & (F.col("n") == 2), F.sha2(F.concat(F.lit("old "), "before"), 256)).otherwise(F.sha2("before", 256))
+    links = turns.where("n > 1").select(of("n").alias("id"), of(F.col("n") - 1).alias("upstream"), seen.alias("seen"))
+    return items, links
+
+
+_TURNS = "SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations"
+
+
+@query("c6_stale_turns", f"SELECT conv_id || '-' || n AS id, CASE WHEN conv_id % 10 = 3 AND n > 1 THEN 'STALE' ELSE 'FRESH' END AS state, CASE WHEN conv_id % 10 = 3 AND n > 1 THEN n - 2 END::INT AS depth, (conv_id % 10 = 3 AND n = 2)::INT::BIGINT AS changed FROM ({_TURNS})")
+def _(t):
+    items, links = _turn_graph(t)
+    return staleness.staleness(items, links)
+
+
+@query(
+    "c6_stale_gold",
+    f"""SELECT conv_id || '-' || n AS id, NOT (length(text) < 40 OR n % 4 = 0 OR (conv_id % 10 = 3 AND n > 1)) AS gold,
+               CASE WHEN n % 4 = 0 THEN 'REVISION_CHANGED' WHEN conv_id % 10 = 3 AND n > 1 THEN 'UPSTREAM_STALE' WHEN length(text) < 40 THEN 'NOT_PASSED' ELSE '' END AS reasons FROM ({_TURNS})""",
+)
+def _(t):
+    """Reviews hold for the revision that they saw and as long as nothing upstream has changed."""
+    items, links = _turn_graph(t)
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = t.conversations.withColumn("n", F.row_number().over(order))
+    saw = F.when(F.col("n") % 4 == 0, "another").otherwise(F.sha2("text", 256))
+    reviews = turns.select(F.concat_ws("-", "conv_id", "n").alias("id"), saw.alias("revision"), (F.length("text") >= 40).alias("passed"))
+    out = staleness.gold(staleness.review_states(reviews, items, staleness.staleness(items, links)))
+    return out.select("id", "gold", F.array_join("reasons", ",").alias("reasons"))
+
+
+# -- one pass, several sinks; requests; candidates ----------------------------------------
+
+_LINKS = "(length(html) - length(replace(html, '<a href=', ''))) // 8"
+
+
+@query(
+    "d36_corpus_inventory",
+    f"""SELECT 'rows' AS sink, count(*)::BIGINT AS rows FROM pages UNION ALL SELECT 'links', sum({_LINKS})::BIGINT FROM pages UNION ALL SELECT 'errors', count(*) FILTER ({_LINKS} < 8)::BIGINT FROM pages""",
+)
+def _(t):
+    """Rows, links and errors of pages from one pass over them, with the counts that were seen."""
+    ship(t.pages.sparkSession)
+    seen = t.pages.select("page_id", H.occurrences_udf("a")(F.col("html")).alias("links"), F.sha2("html", 256).alias("sha256"))
+    links = F.transform("links", lambda x: F.struct(F.col("page_id"), x["order"].alias("order"), x["target"].alias("target")))
+    few = F.when(F.size("links") < 8, F.struct("page_id", F.lit("FEW_LINKS").alias("code")))
+    return sinks.write_sinks(seen, {"rows": F.struct("page_id", "sha256", F.size("links").alias("links")), "links": links, "errors": F.array_compact(F.array(few))}, scratch_path(t.pages.sparkSession, "sinks"))
+
+
+def told(endpoint: str, params: str) -> str:
+    """A transport for the queries: it gives back what was asked, and for some documents another language."""
+    asked = json.loads(params)
+    if asked["id"].endswith("13"):
+        raise TimeoutError
+    return json.dumps(asked | ({"lang": "xx"} if asked["id"].endswith("7") else {}))
+
+
+@query(
+    "d52_recovered_identities",
+    """SELECT doc_id, CASE WHEN doc_id % 100 = 13 THEN 'REQUEST_FAILED' WHEN doc_id % 10 = 7 THEN 'IDENTITY_EVIDENCE_MISMATCH' ELSE 'RECOVERED' END AS state, CASE WHEN doc_id % 10 = 7 THEN 'lang' ELSE '' END AS mismatched,
+              (SELECT count(*) FROM documents) AS asked, 0::BIGINT AS asked_again FROM documents""",
+)
+def _(t):
+    """Identities from answers that are asked for once; the second run asks nothing."""
+    spark = t.documents.sparkSession
+    cache = Tables(spark, scratch_path(spark, "requests"))
+    rows = t.documents.select("doc_id", "lang", "source", F.lit("detail").alias("endpoint"), F.create_map(F.lit("id"), F.col("doc_id").cast("string"), F.lit("lang"), "lang", F.lit("source"), "source").alias("params"))
+    first, asked = asking.ask(rows, cache, "caselode.plans.store_plans:told")
+    _, again = asking.ask(rows, cache, "caselode.plans.store_plans:told")
+    answer = lambda k: F.get_json_object("answer", f"$.{k}")
+    out = asking.recovered(first, {"lang": (F.col("lang"), answer("lang")), "source": (F.col("source"), answer("source"))})
+    return out.select("doc_id", "state", F.array_join(F.coalesce("mismatched", F.array()), ",").alias("mismatched"), F.lit(asked).cast("bigint").alias("asked"), F.lit(again).cast("bigint").alias("asked_again"))
+
+
+@query(
+    "d42_identity_candidates",
+    """SELECT doc_id AS block, doc_id AS representative, doc_id + 1000000000 AS id, 2::BIGINT AS copies, doc_id % 3 <> 0 AS same_day, greatest(length(text) // 3, length(text) - length(text) // 3 - 1)::INT AS common FROM documents WHERE length(text) > 0""",
+)
+def _(t):
+    """Each text beside two copies of it with one character changed, as candidates of one identity."""
+    ship(t.documents.sparkSession)
+    p = F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(F.left("text", p), F.lit("\uffff"), F.substr("text", p + 2))
+    own = t.documents.where("length(text) > 0").select(F.col("doc_id").alias("block"), F.col("doc_id").alias("id"), "text", F.lit(1).alias("day"))
+    other = t.documents.where("length(text) > 0").select(F.col("doc_id").alias("block"), (F.col("doc_id") + 1_000_000_000).alias("id"), edited.alias("text"), F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1).alias("day"))
+    copy = other.withColumn("id", F.col("id") + 1)
+    return identity.audit(own.unionByName(other).unionByName(copy), "block", "id", "text", "day").drop("share")

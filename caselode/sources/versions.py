@@ -82,6 +82,11 @@ class Change:
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
         self._staged[name] = {"schema": schema.json(), "parts": [self._write(name, df)]}
 
+    def staged_rows(self, name: str) -> int:
+        """How many rows these changes wrote to a table."""
+        before = {p["folder"] for p in (self._before["tables"].get(name) or {"parts": []})["parts"]}
+        return sum(p["rows"] for p in (self._staged.get(name) or {"parts": []})["parts"] if p["folder"] not in before)
+
     def drop(self, name: str) -> None:
         self._staged[name] = None
 

@@ -120,34 +120,6 @@ def test_sixty_fields(spark):
     assert case_fields.symbol_label("가단") == "민사 · 제1심 · 단독" and case_fields.symbol_label("라") == "민사 · 항고"
 
 
-def test_walks_resume_and_stop(spark, tmp_path):
-    from caselode.operators import waves
-
-    path, seen = f"{tmp_path}/receipts", []
-    plan = spark.createDataFrame([(f"b{i}", "v1") for i in range(6)], "batch string, input string")
-
-    def step(batch, given):
-        seen.append((batch, given))
-        if batch in bad:
-            raise RuntimeError("secret")
-
-    bad = {"b2"}
-    assert waves.walk(plan, step, path) == {"ran": 3, "failed": 1, "ended": "FAILED"}
-    bad = set()
-    assert waves.walk(plan, step, path, most=2) == {"ran": 2, "failed": 0, "ended": "LIMIT"}
-    assert waves.walk(plan, step, path) == {"ran": 2, "failed": 0, "ended": "COMPLETE"}
-    assert [b for b, _ in seen] == ["b0", "b1", "b2", "b2", "b3", "b4", "b5"]
-    assert waves.walk(plan, step, path)["ran"] == 0
-    changed = plan.withColumn("input", F.when(F.col("batch") == "b1", "v2").otherwise(F.col("input")))
-    assert waves.walk(changed, step, path)["ran"] == 1 and seen[-1] == ("b1", "v2")
-    assert waves.receipts(spark, path).where("status = 'FAILED'").select("batch", "error").collect() == [("b2", "RuntimeError")]
-    bad = {f"b{i}" for i in range(6)}
-    got = waves.walk(plan, step, f"{path}2", stop_on_failure=False)
-    assert got == {"ran": waves.BREAK, "failed": waves.BREAK, "ended": "BREAKER_OPEN"}
-    with pytest.raises(ValueError):
-        waves.walk(plan, step, path, most=0)
-
-
 def test_bounded_source_comparison(spark):
     from caselode.operators import reports
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from caselode.functions import markup
 from caselode.operators import revisions
+from caselode.operators.sinks import read_sink
 
 
 def test_titles():
@@ -117,8 +118,9 @@ def test_revisions(spark, tmp_path):
     b = revisions.build_revision(req, "v1", ["root"]).collect()
     assert b[0].build != b[1].build
     rows = spark.createDataFrame([(1, [(1, "a")])], "k int, parts array<struct<o:int,v:string>>")
-    revisions.fan_out(rows, {"parts": "parts"}, f"{tmp_path}/f")
-    assert spark.read.json(f"{tmp_path}/f/parts").count() == 1
+    counts = revisions.fan_out(rows, {"parts": "parts"}, f"{tmp_path}/f")
+    assert {r.sink: r.rows for r in counts.collect()} == {"rows": 1, "parts": 1}
+    assert [tuple(r) for r in read_sink(spark, f"{tmp_path}/f", "parts", "k int, o int, v string").collect()] == [(1, 1, "a")]
     store = f"{tmp_path}/s"
     revisions.put_blobs(inc.select("body"), store)
     assert revisions.put_blobs(inc.select("body"), store).count() == 2
