@@ -147,3 +147,15 @@ def decision_key(court: Column, case_number: Column, kind: Column) -> Column:
     from ..functions.text import strip
 
     return reasons(COURT_SPELLING=(court == strip(court)) & (court != ""), CASE_NUMBER_SPELLING=case_number.rlike(DOCKET), UNKNOWN_KIND=kind.isin(sorted(set(KINDS.values()))))
+
+
+def batch_input(position: Column, times: Column, size: Column, most: int, sha256: Column, real: Column) -> Column:
+    """A row of a batch's input: a position that occurs once, a size within the limit, the hash that was promised."""
+    return reasons(INVALID_POSITION=position >= 0, DUPLICATE_POSITION=times == 1, EMPTY_INPUT=size > 0, INPUT_SIZE_LIMIT=size <= most, INPUT_HASH_MISMATCH=real == sha256)
+
+
+def stored_cell(kind, x: Column) -> Column:
+    """Whether a cell comes back from its tagged form as it was."""
+    from ..functions.cells import tag, text_of, untag
+
+    return untag(tag(kind, x)).eqNullSafe(text_of(kind, x))

@@ -66,3 +66,33 @@ def theta_semi(rows: DataFrame, spans: DataFrame, key: str, at: str, start: str,
     s = spans.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"))
     cond = (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("_s")) & (F.col("_e").isNull() | (F.col(at) <= F.col("_e")))
     return rows.join(s, cond, "left_semi")
+
+
+def text_coverage(cells: DataFrame, files: DataFrame, cell: str, file: str, text: str, folder: str) -> DataFrame:
+    """folder, status and counts of cells and files by content: MATCHED, CELL_ONLY or FILE_ONLY; equal texts are one class.
+
+    A cell is in the folder of the smallest file with its text; those without a file are in none.
+    """
+    of = lambda df, *aggs: df.groupBy(F.sha2(text, 256).alias("_h")).agg(*aggs)
+    a = of(cells, F.count(cell).alias("cells"))
+    b = of(files, F.count(file).alias("files"), F.min_by(folder, file).alias("folder"))
+    j = a.join(b, "_h", "full_outer")
+    status = F.when(F.col("files").isNull(), "CELL_ONLY").when(F.col("cells").isNull(), "FILE_ONLY").otherwise("MATCHED")
+    return j.groupBy("folder", status.alias("status")).agg(F.count("*").alias("texts"), F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
+
+
+def bindings(receipts: DataFrame, readers: DataFrame, key: str, digest: str) -> DataFrame:
+    """Readers (reader, order, key, digest) with how their receipt (key, digest) binds: BOUND, BODY_DIFFERS, UNBOUND, SEVERAL_SOURCES or DUPLICATE_ORDER."""
+    per = receipts.groupBy(key).agg(F.countDistinct(digest).alias("_n"), F.min(digest).alias("_d"))
+    times = readers.groupBy("reader", "order").agg(F.count("*").alias("_times"))
+    j = readers.join(per, key, "left").join(times, ["reader", "order"])
+    state = F.when(F.col("_times") > 1, "DUPLICATE_ORDER").when(F.col("_n").isNull(), "UNBOUND").when(F.col("_n") > 1, "SEVERAL_SOURCES").when(F.col(digest) != F.col("_d"), "BODY_DIFFERS").otherwise("BOUND")
+    return j.withColumn("state", state).drop("_n", "_d", "_times")
+
+
+def prepared(wanted: DataFrame, current: DataFrame, stored: DataFrame, key: str, value: str) -> DataFrame:
+    """wanted keys with the best evidence there is: the current value, else the stored one, else none; source says CURRENT, STORED or FETCH."""
+    one = lambda df, name: df.where(F.col(value).isNotNull()).groupBy(key).agg(F.min(value).alias(name))
+    j = wanted.select(key).distinct().join(one(current, "_c"), key, "left").join(one(stored, "_s"), key, "left")
+    source = F.when(F.col("_c").isNotNull(), "CURRENT").when(F.col("_s").isNotNull(), "STORED").otherwise("FETCH")
+    return j.select(key, source.alias("source"), F.coalesce("_c", "_s").alias(value))

@@ -81,3 +81,50 @@ def mapping_reason(names: Column, file: Column, width: Column) -> Column:
         .when(F.coalesce(width, F.lit(0)) <= 0, "NO_SIZE")
         .otherwise("EXACT")
     )
+
+
+#: Largest image that is taken: bytes, and pixels.
+MOST_BYTES, MOST_PIXELS = 16 << 20, 25_000_000
+
+
+def dimensions(content: Column) -> Column:
+    """struct<width, height> from the header of a PNG, GIF or BMP; null for others and for headers that are cut off."""
+    h = F.hex(F.substring(content, 1, 32))
+    number = lambda at, n: F.conv(F.nullif(F.substring(h, 2 * at + 1, 2 * n), F.lit("")), 16, 10).cast("bigint")
+    turned = lambda at, n: sum((number(at + k, 1) * F.lit(1 << 8 * k) for k in range(1, n)), number(at, 1))
+    pair = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    kind, size = sniff(content), F.octet_length(content)
+    return F.when((kind == "png") & (size >= 24), pair(number(16, 4), number(20, 4))).when((kind == "gif") & (size >= 10), pair(turned(6, 2), turned(8, 2))).when((kind == "bmp") & (size >= 26), pair(turned(18, 4), turned(22, 4)))
+
+
+def image_state(content: Column) -> Column:
+    """Whether bytes may be kept as an image: OK, or the first reason against it."""
+    size = dimensions(content)
+    return (
+        F.when(content.isNull() | (F.octet_length(content) == 0), "IMAGE_EMPTY")
+        .when(F.octet_length(content) > MOST_BYTES, "IMAGE_TOO_LARGE")
+        .when(sniff(content).isNull(), "IMAGE_TYPE_UNKNOWN")
+        .when(sniff(content).isin("png", "gif", "bmp") & size.isNull(), "IMAGE_TRUNCATED")
+        .when((size["width"] <= 0) | (size["height"] <= 0) | (size["width"] * size["height"] > MOST_PIXELS), "IMAGE_DIMENSIONS")
+        .otherwise("OK")
+    )
+
+
+def assembled(references: DataFrame, attempts: DataFrame, prior: DataFrame, url: str, order: str, blob: str) -> DataFrame:
+    """References with the state of their URL's latest attempt and its blob, or the one that an earlier revision has proven.
+
+    A carried blob makes the state ACQUIRED, with carried true.
+    """
+    from .ledger import carry_forward
+
+    last = latest_per_key(attempts, [url], [F.desc(order)]).select(url, F.col("outcome").alias("_o"), F.col(blob))
+    j = carry_forward(references.join(last, url, "left"), prior, url, blob)
+    state = F.when(F.col("carried"), "ACQUIRED").when(F.col("_o").isNull(), "NEVER_ATTEMPTED").when(F.col("_o").isin("ACQUIRED", "FAILED"), F.col("_o")).otherwise("OTHER")
+    return j.withColumn("state", state).drop("_o")
+
+
+def manifest(references: DataFrame, url: str, order: str, status: str, most: int) -> DataFrame:
+    """One row a URL, the first `most` in order of first mention: order, mentions, and whether they disagree about a mismatch."""
+    known = references.where(F.col(url).isNotNull())
+    per = known.groupBy(url).agg(F.min(order).alias("first"), F.count("*").alias("mentions"), (F.bool_or(F.col(status) == MISMATCH) & F.bool_or(F.col(status) != MISMATCH)).alias("disagree"))
+    return per.orderBy("first", url).limit(most)

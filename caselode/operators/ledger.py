@@ -97,3 +97,13 @@ def pinned(inputs: DataFrame, now: DataFrame, key: str, pins: list[str]) -> Data
 def input_state(size: Column, digest: Column, wanted: Column, most: int) -> Column:
     """Whether an import may be read: IMPORT_INPUT_SIZE_LIMIT, IMPORT_INPUT_HASH_MISMATCH or OK, in this order."""
     return F.when(size > most, "IMPORT_INPUT_SIZE_LIMIT").when(~digest.eqNullSafe(wanted), "IMPORT_INPUT_HASH_MISMATCH").otherwise("OK")
+
+
+def rebuilt(projection: DataFrame, derived: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and state of a projection against one derived anew: SAME, CHANGED, MISSING (not in the projection) or EXTRA."""
+    from ..functions.hashes import record_hash
+
+    hashed = lambda df, name: df.select(*keys, record_hash({c: F.col(c).cast("string") for c in sorted(df.columns)}).alias(name))
+    j = hashed(projection, "_have").join(hashed(derived, "_want"), keys, "full_outer")
+    state = F.when(F.col("_have").isNull(), "MISSING").when(F.col("_want").isNull(), "EXTRA").when(F.col("_have") == F.col("_want"), "SAME").otherwise("CHANGED")
+    return j.select(*keys, state.alias("state"))

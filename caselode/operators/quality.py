@@ -89,3 +89,15 @@ def dispatch(items: DataFrame, latest: DataFrame, busy: DataFrame) -> DataFrame:
         .otherwise("DISPATCH")
     )
     return j.withColumn("decision", why).drop("_latest", "_busy")
+
+
+def audit(scope: DataFrame, inputs: DataFrame, issues: DataFrame) -> DataFrame:
+    """Issues of a frozen scope (doc, revision); a document whose input (doc, revision, valid) isn't as frozen has one issue instead.
+
+    That issue says why: INPUT_MISSING, INPUT_REVISION_CHANGED or INPUT_INVALID.
+    """
+    now = inputs.select("doc", F.col("revision").alias("_now"), F.col("valid").alias("_valid"))
+    why = F.when(F.col("_now").isNull(), "INPUT_MISSING").when(F.col("_now") != F.col("revision"), "INPUT_REVISION_CHANGED").when(~F.coalesce("_valid", F.lit(False)), "INPUT_INVALID")
+    judged = scope.join(now, "doc", "left").select("doc", why.alias("why"))
+    own = issues.join(judged.where("why is null").select("doc"), "doc", "left_semi")
+    return own.unionByName(judged.where("why is not null").select("doc", F.lit("LOGIC_REQUIRED").alias("category"), F.col("why").alias("code"), F.lit("input").alias("location")))

@@ -41,3 +41,20 @@ def registered(rows: DataFrame, registry: DataFrame, on: str, columns: list[str]
     """rows with a registry's columns, left joined, of the entries whose metadata (JSON) name one of the kinds."""
     some = registry.where(F.get_json_object(metadata, "$.kind").isin(kinds)).select(on, *columns)
     return rows.join(some, on, "left")
+
+
+def history(rows: DataFrame, at: str, key: str, n: int = 20) -> DataFrame:
+    """The newest n rows with their rank; of equal times the larger key first."""
+    from pyspark.sql.window import Window
+
+    newest = rows.orderBy(F.desc(at), F.desc(key)).limit(n)
+    return newest.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc(at), F.desc(key))))  # n rows
+
+
+def date_overlay(rows: DataFrame, key: str, title: str, html: str, *metadata: str) -> DataFrame:
+    """key, status, value and apply of a repair of missing decision dates: only READY proposals are applied, the others are quarantined with their state."""
+    from ..functions.dates import cited_dates, decision_date_status
+
+    status = decision_date_status(F.col(title), F.col(html), *map(F.col, metadata))
+    value = F.when(status == "READY", F.get(cited_dates(F.col(title)), F.lit(0)))
+    return rows.select(key, status.alias("status"), value.alias("value"), (status == "READY").alias("apply"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import hashes
-from ..operators import ledger, paging, revisions
+from ..operators import documents, ledger, paging, revisions
 from ..operators.sinks import read_sink
 from ..session import ship
 from ..sources import backup, tables

@@ -139,3 +139,36 @@ def jdbc_rows(spark: SparkSession, url: str, table: str, key: str, bounds: tuple
     for name, value in (properties or {}).items():
         reader = reader.option(name, value)
     return reader.load()
+
+
+def put_files(rows: DataFrame, digest: str, body: str, folder: str) -> DataFrame:
+    """Write each body as <folder>/<first two digits>/<digest>, unless it is there; digest and written of each."""
+    own = rows.select(F.col(digest).alias("digest"), F.col(body).cast("binary").alias("body"))
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        fs, inner = pafs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (pafs.LocalFileSystem(), folder)
+        for batch in batches:
+            written = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = f"{inner}/{name[:2]}/{name}"
+                new = fs.get_file_info(path).type == pafs.FileType.NotFound
+                if new:  # whole or not at all: another task may write the same
+                    fs.create_dir(f"{inner}/{name[:2]}", recursive=True)
+                    part = f"{inner}/{name[:2]}/.{name}.{uuid.uuid4().hex}"
+                    with fs.open_output_stream(part) as out:
+                        out.write(data or b"")
+                    fs.move(part, path)
+                written.append(new)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(written, pa.bool_())], names=["digest", "written"])
+
+    return own.mapInArrow(run, "digest string, written boolean")
+
+
+def described(df: DataFrame) -> DataFrame:
+    """position, name and type of a table's columns."""
+    return df.sparkSession.createDataFrame([(k, f.name, f.dataType.simpleString()) for k, f in enumerate(df.schema)], "position int, name string, type string")

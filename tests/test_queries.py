@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from caselode.plans import derived_plans, function_plans, markup_plans, media, queue_plans, registry, relational, search_plans, state, store_plans  # noqa: F401
+from caselode.plans import audit_plans, derived_plans, function_plans, markup_plans, media, queue_plans, registry, relational, search_plans, state, store_plans  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
