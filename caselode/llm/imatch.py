@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import count_upto, let, table
+from .common import count_upto, let, table, unused
 
 #: The band: document frequency as a share of the corpus, and two documents at least.
 LOW, HIGH = 0.0005, 0.2
@@ -75,25 +75,31 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     return out
 
 
-def parts_of(text: Column, band: list[list[str]]) -> Column:
-    """The fingerprint as an array of hashes: the whole lexicon's, then each subset's (EMPTY: no term)."""
-    per = 64 // (LEVELS * BITS)  # chains that one hash of a term serves
+def _chain(own: str, k: int, level: int, depth: int = 0) -> str:
+    """SQL of the hashes of the k-th chain's subsets from `level` on, of terms `own` that are in the one before."""
+    mask, name = ((1 << BITS) - 1) << (k * LEVELS + level) * BITS, f"o{depth}"
+    kept = f"filter({own}, y -> y & {mask}L = 0L)"
+    if level + 1 == LEVELS:
+        return f"array(xxhash64({kept}))"
+    return f"get(transform(array({kept}), {name} -> concat(array(xxhash64({name})), {_chain(name, k, level + 1, depth + 1)})), 0)"
+
 
-    def chain(terms: Column, k: int, level: int) -> Column:
-        """Hashes of the k-th chain's subsets from `level` on, of terms that are in the one before."""
-        mask = F.lit(((1 << BITS) - 1) << (k * LEVELS + level) * BITS).cast("bigint")
-        rest = lambda own: F.array(F.xxhash64(own)) if level + 1 == LEVELS else F.concat(F.array(F.xxhash64(own)), chain(own, k, level + 1))
-        return let(F.filter(terms, lambda x: x.bitwiseAND(mask) == 0), rest)
+def _subsets() -> str:
+    """SQL of the hashes of all subsets of terms `u`; as text, for a column a lambda costs a call to the JVM each."""
+    per = 64 // (LEVELS * BITS)  # chains that one hash of a term serves
+    salted = lambda salt: ", ".join(_chain("h", k, 0) for k in range(min(per, FAMILIES - salt * per)))
+    return ", ".join(f"get(transform(array(transform(u, t -> xxhash64(t, {salt}))), h -> concat({salted(salt)})), 0)" for salt in range(-(-FAMILIES // per)))
 
-    def subsets(used: Column, salt: int) -> Column:
-        chains = range(min(per, FAMILIES - salt * per))  # written out, so that a term costs a mask and a comparison
-        return let(F.transform(used, lambda t: F.xxhash64(t, F.lit(salt))), lambda h: F.concat(*[chain(h, k, 0) for k in chains]))
 
+def with_parts(df: DataFrame, text: str, band: list[list[str]], out: str) -> DataFrame:
+    """df with `out`, the fingerprint of a text as an array of hashes: the whole lexicon's, then each subset's (EMPTY: no term)."""
+    (found,) = unused(df, "found")
     buckets = F.from_json(F.lit(json.dumps(band, ensure_ascii=False)), "array<array<string>>")
     known = lambda t: F.array_contains(F.get(buckets, _bucket(t)), t)
-    both = let(_terms(text), lambda t: F.struct(F.sort_array(F.filter(t, known)).alias("used"), t.alias("terms")))
-    whole = lambda x: F.array(F.when(F.size(x["used"]) > 0, F.xxhash64(x["used"])).otherwise(F.xxhash64(F.sort_array(x["terms"]))))
-    return let(both, lambda x: F.concat(whole(x), let(x["used"], lambda u: F.concat(*[subsets(u, salt) for salt in range(-(-FAMILIES // per))]))))
+    both = let(_terms(F.col(text)), lambda t: F.struct(F.sort_array(F.filter(t, known)).alias("used"), t.alias("terms")))
+    whole = "array(if(size(x.used) > 0, xxhash64(x.used), xxhash64(sort_array(x.terms))))"
+    parts = F.expr(f"get(transform(array(`{found}`), x -> concat({whole}, get(transform(array(x.used), u -> concat({_subsets()})), 0))), 0)")
+    return df.withColumn(found, both).withColumn(out, parts).drop(found)
 
 
 def as_text(parts: Column) -> Column:
@@ -112,7 +118,8 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, text: str = "text", band: list[list[str]] | None = None) -> DataFrame:
     """docs with `fingerprint`; general use of the operator."""
     band = band if band is not None else lexicon(docs, text)
-    return docs.withColumn("fingerprint", as_text(parts_of(F.col(text), band)))
+    (parts,) = unused(docs, "parts")
+    return with_parts(docs, text, band, parts).withColumn("fingerprint", as_text(F.col(parts))).drop(parts)
 
 
 def _mixed(tie: str) -> Column:
@@ -163,12 +170,12 @@ def with_next(rows: DataFrame, key: str, tie: str, carry: list[str]) -> DataFram
 def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     band = lexicon(docs)
-    rows = with_next(docs.withColumn("parts", parts_of(F.col("text"), band)), "doc_id", "text", ["text", "parts"])
+    rows = with_next(with_parts(docs, "text", band, "parts"), "doc_id", "text", ["text", "parts"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("doc_id", n.cast("bigint").alias("n_chars"), "parts", "next_parts", edited.alias("edited"))
-    rows = rows.withColumn("edited_parts", parts_of(F.col("edited"), band))
+    rows = with_parts(rows, "edited", band, "edited_parts")
     return rows.select(
         "doc_id",
         "n_chars",
