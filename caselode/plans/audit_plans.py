@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import cells
 from ..functions import html as H
+from ..functions import markup as M
 from ..operators import case_fields, contracts, coverage, documents, fields, images, ledger, links, profile, quality, reports, revisions
 from ..session import ship
 from ..sources import details, tables, windows
@@ -16,7 +17,6 @@ from ..sources.listing import HttpStatus
 from ..sources.migrations import Step, migrate
 from ..sources.versions import Tables
 from ..storage import materialize, scratch_path
-from .derived_plans import _D, _M, _Y
 from .markup_plans import _LONG, ORDERS, cases, made, of_customers, of_orders, of_pages, pages
 from .registry import query
 from .store_plans import _served
@@ -29,7 +29,7 @@ def _(t):
     return tables.described(t.documents).select("position", "name")
 
 
-_REGISTRY = "SELECT sha256(text) AS sha256, min(doc_id) AS doc_id, max(strlen(text))::BIGINT AS size_bytes FROM documents GROUP BY 1"
+_REGISTRY = "SELECT sha256('text: ' || text) AS sha256, min(doc_id) AS doc_id FROM documents GROUP BY 1"
 
 
 @query("r12_verified_blobs", f"SELECT sha256, CASE doc_id % 5 WHEN 0 THEN 'MISSING' WHEN 1 THEN 'BLOB_INTEGRITY_FAILED' ELSE 'VERIFIED' END AS state FROM ({_REGISTRY})")
@@ -37,7 +37,8 @@ def _(t):
     """Texts as content-addressed files; some are gone, some hold other bytes than they are named by."""
     ship(t.documents.sparkSession)
     folder = scratch_path(t.documents.sparkSession, "blobs")
-    registry = t.documents.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).cast("bigint").alias("size_bytes"), F.any_value("text").alias("text"))
+    texts = t.documents.select("doc_id", F.concat(F.lit("text: "), "text").alias("text"))  # Spark lists no empty files
+    registry = texts.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).cast("bigint").alias("size_bytes"), F.any_value("text").alias("text"))
     body = F.when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     materialize(tables.put_files(registry.where("doc_id % 5 <> 0").withColumn("body", body), "sha256", "body", folder), "put")
     return tables.verified_blobs(t.documents.sparkSession, folder, registry.select("sha256", "size_bytes")).select("sha256", "state")
@@ -74,6 +75,52 @@ def _(t):
     return got.select("id", "state", F.when(F.col("state") == "OK", F.col("body")).alias("body"))
 
 
+_TRIED: dict[str, int] = {}
+
+
+def told_at_last(url: str) -> bytes:
+    """A transport for the query that answers some ids only when they are asked a third time, and some never."""
+    ident = int(url.rsplit("/", 1)[1])
+    _TRIED[url] = _TRIED.get(url, 0) + 1
+    if ident % 50 == 1 or (ident % 50 == 2 and _TRIED[url] % 3):
+        raise HttpStatus(503)
+    if ident % 50 == 3:
+        raise HttpStatus(400)
+    return json.dumps({"detail": {"id": ident, "body": f"at try {_TRIED[url]}", "n": 1}}).encode()
+
+
+@query("r16_retried_details", "SELECT doc_id::VARCHAR AS id, CASE doc_id % 50 WHEN 1 THEN 'HTTP_503' WHEN 3 THEN 'HTTP_400' ELSE 'OK' END AS state, CASE WHEN doc_id % 50 NOT IN (1, 3) THEN '{\"id\": ' || doc_id || ', \"n\": 1}' END AS metadata FROM documents")
+def _(t):
+    ship(t.documents.sparkSession)
+    got = details.details(t.documents, "doc_id", "caselode.plans.audit_plans:told_at_last", "x/{id}", "id", "body", pause=0)
+    return got.select("id", "state", "metadata")
+
+
+def told_html(url: str) -> bytes:
+    """A transport for the query: frames and articles by number."""
+    kind, ident = url.split("/")[-2:]
+    n = int(ident)
+    if n % 20 == 3:
+        return b"\xff\xfe<p>"
+    if n % 20 == 4:
+        return b"no tags"
+    if n % 20 == 5 and kind == "frame":
+        return b"<p>" + b"x" * details.CAP
+    return f"<input id=precSeq value={n}><input id=precYd value=20010203><p>{kind}</p>".encode()
+
+
+@query(
+    "r20_provider_pages",
+    """SELECT page_id::VARCHAR AS id, e AS endpoint, CASE WHEN page_id % 20 IN (3, 4) THEN 'NOT_HTML' WHEN page_id % 20 = 5 AND e = 'frame' THEN 'BODY_SIZE_LIMIT' ELSE 'OK' END AS state,
+              CASE WHEN page_id % 20 NOT IN (3, 4) AND NOT (page_id % 20 = 5 AND e = 'frame') THEN page_id::VARCHAR END AS source_id FROM pages, (SELECT unnest(['frame', 'article']) AS e)""",
+)
+def _(t):
+    """Frames and articles of each page, and what a frame says of itself."""
+    ship(t.pages.sparkSession)
+    got = details.html_pages(t.pages, "page_id", "caselode.plans.audit_plans:told_html", {"frame": "x/frame/{id}", "article": "x/article/{id}"})
+    return got.select("id", "endpoint", "state", F.when(F.col("state") == "OK", M.frame_links_udf("go")(F.col("html"))["source_id"]).alias("source_id"))
+
+
 @query("r19_replayed_pages", "SELECT url, CASE min(page_id) % 4 WHEN 0 THEN 'BODY_CHANGED' WHEN 1 THEN 'BAD_STATUS' ELSE 'REPLAYED' END AS state FROM pages GROUP BY url")
 def _(t):
     """The newest of two receipts of each URL decides, and only with the body that it names."""
@@ -166,6 +213,28 @@ def _(t):
     return out.select("*", F.lit(applied).cast("bigint").alias("applied"), F.lit(again).cast("bigint").alias("again"))
 
 
+@query(
+    "d72_changed_rows",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 8 THEN 'X' WHEN o_orderstatus = 'P' THEN 'U' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 100 = 8 THEN 0 ELSE o_totalprice END AS price,
+              (SELECT count(*) FROM orders WHERE o_orderstatus = 'P')::BIGINT AS returned, (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 7)::BIGINT AS deleted FROM orders WHERE o_orderkey % 10 <> 7""",
+)
+def _(t):
+    """INSERT ... SELECT, UPDATE ... RETURNING, DELETE and an upsert on a versioned table, published as one version."""
+    spark = t.orders.sparkSession
+    store = Tables(spark, scratch_path(spark, "changed"))
+    rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    first = store.change()
+    first.replace("orders", rows.where("status <> 'P'"))
+    first.publish()
+    change = store.change()
+    change.append("orders", rows.where("status = 'P'"))
+    returned = change.update("orders", F.col("status") == "P", {"status": F.lit("U")})
+    deleted = change.delete("orders", F.col("o_orderkey") % 10 == 7)
+    change.upsert("orders", rows.where("o_orderkey % 100 = 8").withColumn("status", F.lit("X")).withColumn("price", F.lit(0.0)), ["o_orderkey"])
+    change.publish()
+    return store.pin().table("orders").select("*", F.lit(returned.count()).cast("bigint").alias("returned"), F.lit(deleted).cast("bigint").alias("deleted"))
+
+
 # -- fields, links and images ----------------------------------------------------------
 
 

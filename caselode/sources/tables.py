@@ -93,7 +93,10 @@ def text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def verified_blobs(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
-    """Registry rows (sha256, size_bytes) with the state of their blob: VERIFIED, MISSING or BLOB_INTEGRITY_FAILED."""
+    """Registry rows (sha256, size_bytes) with the state of their blob: VERIFIED, MISSING or BLOB_INTEGRITY_FAILED.
+
+    Spark lists no empty files: an empty blob is MISSING.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     blobs = raw.select(F.element_at(F.split("path", "/"), -1).alias("sha256"), "length", F.sha2("content", 256).alias("_real"))
     j = registry.join(blobs, "sha256", "left")

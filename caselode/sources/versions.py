@@ -8,6 +8,10 @@ any number of changes and publishes them as one version or not at all. If
 somebody else published in between, the changes are put onto that version,
 unless it touched one of the same tables: then the writer gets a Conflict.
 
+Updates and deletions write only those folders anew that hold a row concerned
+(copy on write). There are no row locks: of two writers of one table one gets
+a Conflict and starts again.
+
 The log holds a folder's name, rows and bytes, not its rows; rows are counted
 in the pass that writes them.
 """
@@ -16,8 +20,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +87,52 @@ class Change:
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
         self._staged[name] = {"schema": schema.json(), "parts": [self._write(name, df)]}
 
+    def _now(self, name: str) -> tuple[dict, list[tuple[dict, DataFrame]]]:
+        """The table's entry with what is staged so far, and its parts with their rows."""
+        entry = self._staged.get(name) or self._before["tables"].get(name)
+        if entry is None:
+            raise SourceError("NO_SUCH_TABLE")
+        part = lambda p: Pinned(self.store, self.base, {"tables": {name: entry | {"parts": [p]}}}).table(name)
+        return entry, [(p, part(p)) for p in entry["parts"]]
+
+    def _rewrite(self, name: str, where: Column, change) -> int:
+        """Write the parts anew that have rows for which `where` holds, each as change(part) has it; how many such rows there were."""
+        entry, parts = self._now(name)
+        kept, rows = [], 0
+        for p, df in parts:
+            n = df.where(where).count()
+            rows += n
+            kept.append(self._write(name, change(df).select(*df.columns)) if n else p)
+        self._staged[name] = entry | {"parts": kept}
+        return rows
+
+    def update(self, name: str, where: Column, values: dict[str, Column]) -> DataFrame:
+        """Set columns of the rows for which `where` holds (null doesn't); those rows as they are now. Parts without such rows stay."""
+        entry, parts = self._now(name)
+        kinds = {f.name: f.dataType for f in T.StructType.fromJson(json.loads(entry["schema"]))}
+        hit = F.coalesce(where, F.lit(False))
+        setting = {c: F.when(hit, v.cast(kinds[c])).otherwise(F.col(c)) for c, v in values.items()}
+        spark = self.store.spark
+        returned = [df.where(hit).withColumns({c: v.cast(kinds[c]) for c, v in values.items()}) for _, df in parts]
+        self._rewrite(name, hit, lambda df: df.withColumns(setting))
+        return reduce(DataFrame.unionByName, returned) if returned else spark.createDataFrame([], T.StructType.fromJson(json.loads(entry["schema"])))
+
+    def delete(self, name: str, where: Column) -> int:
+        """Take out the rows for which `where` holds; how many. Parts without such rows stay."""
+        hit = F.coalesce(where, F.lit(False))
+        return self._rewrite(name, hit, lambda df: df.where(~hit))
+
+    def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
+        """Rows in place of those of equal keys, beside the others; only parts with such keys are written anew. Keys repeat in neither."""
+        entry, parts = self._now(name)
+        wanted = rows.select(*keys).distinct()
+        kept = []
+        for p, df in parts:
+            left = df.join(wanted, keys, "left_anti").select(*df.columns)
+            kept.append(p if df.join(wanted, keys, "left_semi").isEmpty() else self._write(name, left))
+        self._staged[name] = entry | {"parts": kept}
+        self.append(name, rows)
+
     def staged_rows(self, name: str) -> int:
         """How many rows these changes wrote to a table."""
         before = {p["folder"] for p in (self._before["tables"].get(name) or {"parts": []})["parts"]}
