@@ -13,6 +13,7 @@ with its own tag only. Elements without an end tag never contain anything.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -21,6 +22,9 @@ from html.parser import HTMLParser
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style iframe object embed svg math template noscript".split())
 
+#: Elements whose text is a page's name.
+HEADINGS = ("title", "h1", "h2")
+
 OPEN, CLOSE, TEXT = "open", "close", "text"
 
 
@@ -36,6 +40,9 @@ class Event:
     parent: int | None = None
     partner: int | None = None
     shown: bool = True
+    #: whether a table is around this one, and the innermost title or heading around it
+    in_table: bool = False
+    heading: str | None = None
     #: visible characters before, white space left out
     before: int = 0
 
@@ -75,23 +82,35 @@ class Page:
 
     def __init__(self, html: str, hides=UNSEEN):
         self.html, self.rows = html, _Reader(html).rows
-        around: list[int] = []
+        around: list[int] = []  # rows of the open elements
+        walls: list[int] = []  # places in it of those whose content isn't shown
+        opened: Counter[str] = Counter()  # names of the open elements
         count = 0
         for i, e in enumerate(self.rows):
-            if e.kind == CLOSE:
-                scope = next((at for at in reversed(range(len(around))) if self.rows[around[at]].name in hides), 0)
-                e.partner = next((k for k in reversed(around[scope:]) if self.rows[k].name == e.name), None)
-                if e.partner is not None:
+            if e.kind == CLOSE and opened[e.name]:
+                scope = walls[-1] if walls else 0
+                place = next((k for k in range(len(around) - 1, scope - 1, -1) if self.rows[around[k]].name == e.name), None)
+                if place is not None:
+                    e.partner = around[place]
                     self.rows[e.partner].partner = i
-                    del around[around.index(e.partner) :]
+                    opened.subtract(self.rows[k].name for k in around[place:])
+                    del around[place:]
+                    while walls and walls[-1] >= place:
+                        walls.pop()
             e.parent = around[-1] if around else None
-            above = self.rows[e.parent] if around else None
-            e.shown = above is None or (above.shown and above.name not in hides)
+            if around:
+                above = self.rows[e.parent]
+                e.shown = above.shown and above.name not in hides
+                e.in_table = above.in_table or above.name == "table"
+                e.heading = above.name if above.name in HEADINGS else above.heading
             e.before = count
             if e.kind == TEXT and e.shown:
                 count += len("".join(e.name.split()))
             if e.kind == OPEN and e.name not in VOID:
+                if e.name in hides:
+                    walls.append(len(around))
                 around.append(i)
+                opened[e.name] += 1
 
     def opened(self, *names: str) -> list[int]:
         """Rows that open an element of these names."""
