@@ -3,8 +3,8 @@ r"""How the sources of a language diverge in their terms, by sorted runs.
 Documents are counted where they lie: a task sums its documents' terms by
 language, source and term (HELD entries at most, then it starts anew), so a
 frequent term costs a task one row. These rows are dealt by (lang, term) and
-sorted by (lang, term, source, document), and a scan over the sorted runs adds
-up document frequency and counts; terms of too few documents end there.
+sorted by (lang, term, source, document), behind a hash of the first two, and
+a scan over the sorted runs adds up document frequency and counts; terms of too few documents end there.
 
 Shares need the sums over all kept terms, so partial pairs and terms come from
 a second scan, over the kept runs. Sources are numbered within their language
@@ -121,7 +121,8 @@ def _whole_runs(batches, names: list[str], squeeze=lambda rows: rows):
 
 def kept_runs(counts: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, term, source, n, lang_n, first of the terms in at least `least` documents of the lang; first is 1 in one row a term."""
-    dealt = counts.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+    # the hash goes first, as the sort compares its first eight bytes before all else; runs stay whole
+    dealt = counts.repartition("lang", "term").sortWithinPartitions(F.xxhash64("lang", "term"), "lang", "term", "source", "document")
 
     def scanned(rows: pa.RecordBatch) -> pa.RecordBatch:
         """One row for each lang, term and source."""
