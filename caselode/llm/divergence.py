@@ -40,7 +40,7 @@ from .common import if_small, materialize, table
 #: Documents that a kept term occurs in at least, ranks of terms, what is added to counts, units of a share.
 LEAST, TOP, ADDED, UNIT = 30, 50, 5, 1_000_000_000
 #: Bytes of a text that are split at a time, (lang, source, term) entries that a task holds, sources of a block, cells of a chunk of runs.
-PIECE, HELD, SOURCES, CELLS = 1 << 20, 300_000, 256, 1 << 20
+PIECE, HELD, SOURCES, CELLS = 1 << 20, 800_000, 256, 1 << 20
 
 #: A-Z to a-z; all other bytes below 128 that are no letters to blanks.
 _LETTERS = bytes(x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
@@ -131,8 +131,7 @@ def kept_runs(counts: DataFrame, least: int = LEAST) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(rows[c].take(pa.array(at)) for c in ("lang", "term", "source")), *sums], names=["lang", "term", "source", "docs", "n"])
 
     def run(batches):
-        slim = (batch.select(["lang", "term", "source", "docs", "n"]) for batch in batches)
-        for rows in _whole_runs(slim, ["lang", "term"], scanned):
+        for rows in _whole_runs(batches, ["lang", "term"], scanned):
             at = _starts(rows["lang"], rows["term"])
             sizes = np.diff(np.r_[at, len(rows)])
             stays = np.repeat(np.add.reduceat(_numbers(rows["docs"]), at) >= least, sizes)
@@ -142,7 +141,7 @@ def kept_runs(counts: DataFrame, least: int = LEAST) -> DataFrame:
             columns = [*(rows[c] for c in ("lang", "term", "source", "n")), pa.array(whole), pa.array(first)]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "source", "n", "lang_n", "first"]).filter(pa.array(stays))
 
-    return dealt.mapInArrow(run, "lang string, term string, source string, n bigint, lang_n bigint, first bigint")
+    return dealt.drop("document").mapInArrow(run, "lang string, term string, source string, n bigint, lang_n bigint, first bigint")
 
 
 def share(n: str, whole: str, terms: str) -> Column:
