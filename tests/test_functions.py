@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caselode.functions.suffix import longest_common
 from caselode.functions import cells, dates, hashes, html, keys, text, urls
 from caselode.operators import contracts, search
 
@@ -157,7 +158,7 @@ def test_html():
     assert [h["label"] for h in html.headings("【주 문】 x\n [참조조문] y")] == ["주문", "참조조문"]
     refs = html.visual_refs("<div style=\"background:url('a.png')\"><img srcset='b.png 1x, c.png 2x' src=data:x>")
     assert [(r["kind"], r["ref"]) for r in refs] == [("css", "a.png"), ("srcset", "b.png"), ("srcset", "c.png"), ("data", "data:x")] or len(refs) == 4
-    assert html.common_evidence("abcde", "xbcdy") == "bcd"
+    assert longest_common("abcde", "xbcdy") == "bcd"
     parts = html.sections_of("【주문】A【기타】B【이유】C", ["주문", "이유"], [], "원고")
     assert [(p["label"], p["end"]) for p in parts] == [("주문", 10), ("이유", 15)]
 
