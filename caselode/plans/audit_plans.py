@@ -166,7 +166,7 @@ def _(t):
     return back.agg(F.count("*").alias("rows"), F.lit(len(back.columns)).cast("bigint").alias("columns"), F.count("case_no").alias("with_docket"))
 
 
-@query("w4_published_once", "SELECT count(*)::BIGINT AS rows, sum(o_totalprice)::DECIMAL(20,2) AS total, true AS refused FROM orders")
+@query("w4_published_once", "SELECT count(*)::BIGINT AS rows, round(sum(o_totalprice), 1) AS total, true AS refused FROM orders")
 def _(t):
     """A table appears whole, and never in the place of another."""
     spark, path = t.orders.sparkSession, scratch_path(t.orders.sparkSession, "published")
@@ -176,7 +176,7 @@ def _(t):
         refused = False
     except Exception:  # noqa: BLE001 - Spark's own error for a path that exists
         refused = True
-    return back.agg(F.count("*").alias("rows"), F.sum("o_totalprice").cast("decimal(20,2)").alias("total")).withColumn("refused", F.lit(refused))
+    return back.agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 1).alias("total")).withColumn("refused", F.lit(refused))
 
 
 @query("w7_saved_versions", "SELECT source, count(DISTINCT text)::BIGINT AS versions, 2 * count(*)::BIGINT AS receipts FROM documents GROUP BY source")
@@ -198,7 +198,7 @@ def _(t):
     return found.select("lang", "references", (F.sha2("kept", 256) == F.col("sha256")).alias("named_by_content"))
 
 
-@query("w12_migrated", "SELECT o_orderpriority AS priority, count(*)::BIGINT AS orders, sum(o_totalprice)::DECIMAL(20,2) AS total, 3::BIGINT AS applied, 0::BIGINT AS again FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL")
+@query("w12_migrated", "SELECT o_orderpriority AS priority, count(*)::BIGINT AS orders, round(sum(o_totalprice), 1) AS total, 3::BIGINT AS applied, 0::BIGINT AS again FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL")
 def _(t):
     """Three numbered changes of a table; a second run finds all of them in the history."""
     spark = t.orders.sparkSession
@@ -209,7 +209,7 @@ def _(t):
         Step(3, "trim", "orders", "without status P", lambda df: df.where("o_orderstatus <> 'P'")),
     ]
     applied, again = len(migrate(store, steps)), len(migrate(store, steps))
-    out = store.pin().table("orders").groupBy("priority").agg(F.count("*").alias("orders"), F.sum("o_totalprice").cast("decimal(20,2)").alias("total"))
+    out = store.pin().table("orders").groupBy("priority").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 1).alias("total"))
     return out.select("*", F.lit(applied).cast("bigint").alias("applied"), F.lit(again).cast("bigint").alias("again"))
 
 
@@ -334,14 +334,14 @@ _TITLE = "CASE k WHEN 1 THEN '대법원' WHEN 2 THEN concat(y, '. ', mo, '. ', d
 
 @query(
     "d44_repair_overlay",
-    of_orders("SELECT o_orderkey, CASE k WHEN 1 THEN 'MISSING_TITLE_DATE' WHEN 2 THEN 'AMBIGUOUS_TITLE' WHEN 3 THEN 'TITLE_NOT_CONFIRMED_IN_HTML' ELSE 'READY' END AS status, CASE WHEN k IN (0, 4, 5) THEN make_date(y::INT, mo::INT, d::INT) ELSE DATE '1900-01-01' END AS day FROM p"),
+    of_orders("SELECT o_orderkey, CASE k WHEN 1 THEN 'MISSING_TITLE_DATE' WHEN 2 THEN 'AMBIGUOUS_TITLE' WHEN 3 THEN 'TITLE_NOT_CONFIRMED_IN_HTML' ELSE 'READY' END AS status, CASE WHEN k IN (0, 4, 5) THEN make_date(y::INT, mo::INT, d::INT) ELSE DATE '1900-01-01' END::VARCHAR AS day FROM p"),
 )
 def _(t):
     """Proposals from titles, and the table with those applied that are ready."""
     rows = made(t, "orders", "o_orderkey", ORDERS, title=_TITLE, page=f"CASE WHEN k = 3 THEN c ELSE {_TITLE} END")
     base = rows.select("o_orderkey", F.lit("1900-01-01").cast("date").alias("day"))
     overlay = reports.date_overlay(rows, "o_orderkey", "title", "page")
-    return ledger.apply_overlay(base, overlay, "o_orderkey", "day").join(overlay.select("o_orderkey", "status"), "o_orderkey").select("o_orderkey", "status", "day")
+    return ledger.apply_overlay(base, overlay, "o_orderkey", "day").join(overlay.select("o_orderkey", "status"), "o_orderkey").select("o_orderkey", "status", F.col("day").cast("string").alias("day"))
 
 
 @query(

@@ -64,9 +64,9 @@ def _(t):
 
 @query(
     "r14_pinned_tables",
-    """WITH old AS (SELECT 1::BIGINT AS version, o_orderpriority, count(DISTINCT o_orderkey) AS orders, sum(l_quantity)::DECIMAL(20,2) AS quantity
+    """WITH old AS (SELECT 1::BIGINT AS version, o_orderpriority, count(DISTINCT o_orderkey) AS orders, sum(l_quantity) AS quantity
                     FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
-            new AS (SELECT 2::BIGINT AS version, '9-' || o_orderpriority AS o_orderpriority, count(DISTINCT o_orderkey) AS orders, sum(l_quantity)::DECIMAL(20,2) AS quantity
+            new AS (SELECT 2::BIGINT AS version, '9-' || o_orderpriority AS o_orderpriority, count(DISTINCT o_orderkey) AS orders, sum(l_quantity) AS quantity
                     FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag <> 'R' GROUP BY ALL)
        SELECT * FROM old UNION ALL SELECT * FROM new""",
 )
@@ -87,7 +87,7 @@ def _(t):
 
     def summed(of):
         j = of.table("orders").join(of.table("lineitem"), F.expr("o_orderkey = l_orderkey"))
-        out = j.groupBy("o_orderpriority").agg(F.countDistinct("o_orderkey").alias("orders"), F.sum("l_quantity").cast("decimal(20,2)").alias("quantity"))
+        out = j.groupBy("o_orderpriority").agg(F.countDistinct("o_orderkey").alias("orders"), F.sum("l_quantity").alias("quantity"))
         return out.select(F.lit(of.version).cast("bigint").alias("version"), "*")
 
     return summed(pinned).unionByName(summed(store.pin()))
@@ -119,9 +119,13 @@ def _(t):
 BROKEN = {"part": "p_partkey % 17 <> 0", "supplier": "s_acctbal >= 0", "line": "l_quantity <= 49"}
 
 
+#: What tells lines apart: order and number do not.
+_LINE_ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)"
+
+
 def _order_graph(t):
     """Orders, their lines, the lines' parts and each part's first supplier; some parts are not there, some nodes break a rule."""
-    line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    line = F.expr(f"concat_ws('-', {_LINE_ID})")
     kinds = {
         "order": Kind(t.orders.select(F.col("o_orderkey").alias("id"))),
         "line": Kind(t.lineitem.select(line.alias("id"), "l_quantity"), {"LARGE_QUANTITY": F.expr(BROKEN["line"])}),
@@ -140,7 +144,7 @@ def _order_graph(t):
 
 _ORDER_GRAPH = f"""
 WITH f AS (SELECT l_partkey AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1),
-l AS (SELECT l_orderkey AS o, 'line' AS kind, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, 1 AS depth, CASE WHEN NOT {BROKEN["line"]} THEN 'LARGE_QUANTITY' END AS why FROM lineitem),
+l AS (SELECT l_orderkey AS o, 'line' AS kind, concat_ws('-', {_LINE_ID}) AS id, 1 AS depth, CASE WHEN NOT {BROKEN["line"]} THEN 'LARGE_QUANTITY' END AS why FROM lineitem),
 p AS (SELECT DISTINCT l_orderkey AS o, 'part' AS kind, l_partkey::VARCHAR AS id, 2 AS depth, CASE WHEN p_partkey IS NULL THEN 'MISSING:part' END AS why
       FROM lineitem LEFT JOIN (SELECT * FROM part WHERE {BROKEN["part"]}) ON l_partkey = p_partkey),
 s AS (SELECT DISTINCT o, 'supplier' AS kind, f.s::VARCHAR AS id, 3 AS depth, CASE WHEN s_suppkey IS NULL THEN 'MISSING:supplier' WHEN NOT {BROKEN["supplier"]} THEN 'NEGATIVE_BALANCE' END AS why
@@ -189,9 +193,9 @@ def _(t):
 
 @query(
     "d38_coverage_sidecars",
-    """SELECT 'orders' AS "table", 'COMPLETE' AS status, '' AS reasons, count(*) AS rows, sum(o_totalprice)::DECIMAL(20,2) AS total, 1::BIGINT AS input_files FROM orders UNION ALL
-       SELECT 'lineitem', CASE WHEN count(*) FILTER (WHERE l_discount > 0.09) > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END, CASE WHEN count(*) FILTER (WHERE l_discount > 0.09) > 0 THEN 'HIGH_DISCOUNT' ELSE '' END, count(*), sum(l_extendedprice)::DECIMAL(20,2), 1 FROM lineitem UNION ALL
-       SELECT 'customer', 'COMPLETE', '', count(*), sum(c_acctbal)::DECIMAL(20,2), 1 FROM customer""",
+    """SELECT 'orders' AS "table", 'COMPLETE' AS status, '' AS reasons, count(*) AS rows, round(sum(o_totalprice), 1) AS total, 1::BIGINT AS input_files FROM orders UNION ALL
+       SELECT 'lineitem', CASE WHEN count(*) FILTER (WHERE l_discount > 0.09) > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END, CASE WHEN count(*) FILTER (WHERE l_discount > 0.09) > 0 THEN 'HIGH_DISCOUNT' ELSE '' END, count(*), round(sum(l_extendedprice), 1), 1 FROM lineitem UNION ALL
+       SELECT 'customer', 'COMPLETE', '', count(*), round(sum(c_acctbal), 1), 1 FROM customer""",
 )
 def _(t):
     """A sidecar a table, from the pass that writes it."""
@@ -199,14 +203,14 @@ def _(t):
     of = {"orders": ("o_totalprice", {}), "lineitem": ("l_extendedprice", {"HIGH_DISCOUNT": F.count_if(F.col("l_discount") > 0.09)}), "customer": ("c_acctbal", {})}
     seals = [write_sealed(getattr(t, name), f"{path}/{name}", name, {"total": F.sum(column)}, complete) for name, (column, complete) in of.items()]
     rows = sidecars(spark, seals)
-    return rows.select("table", "status", F.array_join("reasons", ",").alias("reasons"), "rows", F.col("metrics")["total"].cast("decimal(20,2)").alias("total"), "input_files")
+    return rows.select("table", "status", F.array_join("reasons", ",").alias("reasons"), "rows", F.round(F.col("metrics")["total"], 1).alias("total"), "input_files")
 
 
 #: The second version of lineitem in `d63`.
 SECOND = "CASE WHEN l_orderkey % 997 = 0 THEN l_quantity + 1 ELSE l_quantity END"
 
 
-LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 def _two_versions(t):
@@ -314,14 +318,14 @@ def _served(t) -> dict:
     return {"fetch": "caselode.sources.windows:file_pages", "url": url, "from": first.isoformat(), "to": last.isoformat(), "days": str(DAYS), "root": "list", "total": "total", "items": "items", "id": "id", "day": "day"}
 
 
-_EVENTS = "SELECT event_id::VARCHAR AS id, ts::DATE AS day, event_type AS kind FROM events"
+_EVENTS = "SELECT event_id::VARCHAR AS id, ts::DATE::VARCHAR AS day, event_type AS kind FROM events"
 
 
 @query("r17_windowed_listing", _EVENTS)
 def _(t):
     options, spark = _served(t), t.events.sparkSession
     spark.dataSource.register(windows.WindowedListing)
-    return spark.read.format("windowed_listing").options(**options).load().select("id", "day", F.get_json_object("row", "$.kind").alias("kind"))
+    return spark.read.format("windowed_listing").options(**options).load().select("id", F.col("day").cast("string").alias("day"), F.get_json_object("row", "$.kind").alias("kind"))
 
 
 @query("r15_resumed_listing", _EVENTS)
@@ -334,7 +338,7 @@ def _(t):
     for last in (every[len(every) // 2].last, every[-1].last):
         rows = spark.readStream.format("windowed_listing").options(**options | {"to": last.isoformat()}).load()
         rows.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
-    return spark.read.schema(windows.SCHEMA).parquet(f"{path}/rows").select("id", "day", F.get_json_object("row", "$.kind").alias("kind"))
+    return spark.read.schema(windows.SCHEMA).parquet(f"{path}/rows").select("id", F.col("day").cast("string").alias("day"), F.get_json_object("row", "$.kind").alias("kind"))
 
 
 # -- what a change makes stale -----------------------------------------------------------

@@ -1,8 +1,10 @@
 """Every core query against its SQL in DuckDB, on the smallest tables."""
 
+import datetime
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from caselode.plans import audit_plans, derived_plans, function_plans, markup_plans, media, queue_plans, registry, relational, search_plans, state, store_plans  # noqa: F401
@@ -23,6 +25,8 @@ def shown(df):
     for c in df.columns:
         if df[c].dtype.kind == "f" and (df[c].dropna() % 1 == 0).all():
             df[c] = df[c].astype("Int64")
+        if df[c].dtype.kind == "O" and df[c].map(lambda x: type(x) is datetime.date).any():
+            df[c] = pd.to_datetime(df[c])
         if df[c].dtype.kind == "M":
             df[c] = df[c].astype("datetime64[us]")
     none = {"nan", "NaT", "<NA>"}
