@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.suffix import Automaton
 
@@ -104,42 +105,71 @@ def audit(rows: DataFrame, block: str, id_col: str, text: str, day: str) -> Data
 def replay(events: DataFrame) -> DataFrame:
     """State after CREATE / MERGE / SPLIT / RELINK events (component, sequence, operation, entity, target, key).
 
-    Events of one component are applied in order, which no set operation can
-    do; components are independent and small, so each is one group. A later
-    CREATE of a linked key, or an operation on an entity that isn't active, is
-    kept out and counted as rejected.
+    Events of one component are applied in order (null sequences last), which
+    no set operation can do; components are independent. A task takes its
+    components one after the other and holds the state of one, not its events.
+    A later CREATE of a linked key, or an operation on an entity that isn't
+    active, is kept out and counted as rejected.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        active: dict[str, set[str]] = {}
-        owner: dict[str, str] = {}  # of each held key
-        merged: dict[str, str] = {}
-
-        def give(key: str, entity: str) -> None:
-            if key in owner:
-                active[owner[key]].discard(key)
-            active.setdefault(entity, set()).add(key)
-            owner[key] = entity
-
-        rejected = 0
-        for e in pdf.sort_values("sequence").itertuples(index=False):
-            if e.operation == "CREATE" and e.entity not in active and e.entity not in merged and e.key not in owner:
-                give(e.key, e.entity)
-            elif e.operation == "MERGE" and e.entity in active and e.target in active and e.entity != e.target:
-                for key in list(active[e.entity]):
-                    give(key, e.target)
-                del active[e.entity]
-                merged[e.entity] = e.target
-            elif e.operation == "SPLIT" and e.entity in active and e.key in active[e.entity] and e.target not in active and e.target not in merged:
-                give(e.key, e.target)
-            elif e.operation == "RELINK" and e.target in active and e.key in owner:
-                give(e.key, e.target)
-            else:
-                rejected += 1
-        comp = pdf["component"].iloc[0] if len(pdf) else None
-        rows = [(comp, name, "ACTIVE", "", ",".join(sorted(keys)), rejected) for name, keys in sorted(active.items())]
-        rows += [(comp, name, "MERGED", into, "", rejected) for name, into in sorted(merged.items())]
-        return pd.DataFrame(rows, columns=["component", "entity", "state", "merged_into", "keys", "rejected"])
-
     kind = events.schema["component"].dataType.simpleString()
-    return events.groupBy("component").applyInPandas(run, f"component {kind}, entity string, state string, merged_into string, keys string, rejected long")
+    out = StructType.fromDDL(f"component {kind}, entity string, state string, merged_into string, keys string, rejected long")
+    columns = ["operation", "entity", "target", "key"]
+
+    def run(batches):
+        states, held, rows = _States(), None, []
+        for batch in batches:
+            component = batch.column(0)
+            for k, event in enumerate(zip(*[batch.column(c).to_pylist() for c in range(1, 5)], strict=True)):
+                if held is None or component[k] != held:
+                    if held is not None:
+                        rows += states.rows(held.as_py())
+                    states, held = _States(), component[k]
+                states.apply(*event)
+            if len(rows) >= 10_000:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                rows = []
+        if held is not None:
+            rows += states.rows(held.as_py())
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+    schema = to_arrow_schema(out)
+    order = events.repartition("component").sortWithinPartitions("component", F.asc_nulls_last("sequence"))
+    return order.select("component", *columns).mapInArrow(run, out)
+
+
+class _States:
+    """Entities of one component, the keys that they hold, and into what they were merged."""
+
+    def __init__(self):
+        self.active: dict[str, set[str]] = {}
+        self.owner: dict[str, str] = {}  # of each held key
+        self.merged: dict[str, str] = {}
+        self.rejected = 0
+
+    def give(self, key: str, entity: str) -> None:
+        if key in self.owner:
+            self.active[self.owner[key]].discard(key)
+        self.active.setdefault(entity, set()).add(key)
+        self.owner[key] = entity
+
+    def apply(self, operation: str, entity: str, target: str, key: str) -> None:
+        active, merged, owner = self.active, self.merged, self.owner
+        if operation == "CREATE" and entity not in active and entity not in merged and key not in owner:
+            self.give(key, entity)
+        elif operation == "MERGE" and entity in active and target in active and entity != target:
+            for held in list(active[entity]):
+                self.give(held, target)
+            del active[entity]
+            merged[entity] = target
+        elif operation == "SPLIT" and entity in active and key in active[entity] and target not in active and target not in merged:
+            self.give(key, target)
+        elif operation == "RELINK" and target in active and key in owner:
+            self.give(key, target)
+        else:
+            self.rejected += 1
+
+    def rows(self, component) -> list[dict]:
+        names = ("component", "entity", "state", "merged_into", "keys", "rejected")
+        rows = [(component, name, "ACTIVE", "", ",".join(sorted(keys)), self.rejected) for name, keys in sorted(self.active.items())]
+        rows += [(component, name, "MERGED", into, "", self.rejected) for name, into in sorted(self.merged.items())]
+        return [dict(zip(names, r, strict=True)) for r in rows]
