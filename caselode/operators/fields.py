@@ -95,8 +95,12 @@ def metadata_fields(docs: DataFrame, key: str, columns: dict[str, str]) -> DataF
 
 def complete(fields: DataFrame, docs: DataFrame, key: str, names: list[str], status: str = "NOT_PROVIDED") -> DataFrame:
     """A row for each document and name: those without a field get `status`."""
-    domain = docs.select(F.col(key).cast("string").alias("doc"), F.explode(F.array(*[F.lit(n) for n in names])).alias("name"))
-    out = domain.join(fields, ["doc", "name"], "left")
+    more = [f for f in fields.schema if f.name not in ("doc", "name")]
+    own = fields.where(F.col("name").isin(names)).groupBy("doc").agg(F.collect_list(F.struct("name", *[F.col(f.name) for f in more])).alias("_own"))  # a document's fields
+    rows = docs.select(F.col(key).cast("string").alias("doc")).join(own, "doc", "left")
+    lacking = F.array_except(F.array(*[F.lit(n) for n in names]), F.coalesce(F.transform("_own", lambda x: x["name"]), F.array().cast("array<string>")))
+    empty = F.transform(lacking, lambda n: F.struct(n.alias("name"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in more]))
+    out = rows.select("doc", F.inline(F.when(F.col("_own").isNull(), empty).otherwise(F.concat("_own", empty))))
     return out.withColumn("status", F.coalesce("status", F.lit(status)))
 
 
