@@ -16,6 +16,7 @@ from ..functions import html as H
 from ..functions import markup as M
 from ..operators import case_fields, documents, fields, links
 from ..session import ship
+from ..storage import dealt
 from .derived_plans import _COMPACT, _D, _M, _Y, derived
 from .registry import query
 
@@ -34,11 +35,12 @@ def _select(pieces: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {c}" for c, e in pieces.items())
 
 
-def made(t, table: str, key: str, pieces: dict[str, str], **more: str):
-    """key, the pieces, and further columns made of them."""
+def made(t, table: str, key: str, pieces: dict[str, str], deal: str | None = None, **more: str):
+    """key, the pieces, and further columns made of them; deal: the piece by which rows are dealt before the rest is made."""
     df = getattr(t, table)
     ship(df.sparkSession)
-    return df.selectExpr(key, *[f"{e} AS {c}" for c, e in pieces.items()]).selectExpr("*", *[f"{e} AS {c}" for c, e in more.items()])
+    rows = df.selectExpr(key, *[f"{e} AS {c}" for c, e in pieces.items()])
+    return (rows if deal is None else dealt(rows, deal)).selectExpr("*", *[f"{e} AS {c}" for c, e in more.items()])
 
 
 def pages(t, html: str):
@@ -219,7 +221,7 @@ CUSTOMERS = {"i": "CAST(c_custkey AS STRING)", "w": "c_mktsegment", "k": "CAST(c
 
 
 def cases(t):
-    rows = made(t, "customer", "c_custkey", CUSTOMERS, page=f"CASE k WHEN 0 THEN concat('<h2>대법원 2023. 2. 3. 선고 2022', s, i, ' 전원합의체 판결 ★</h2>', {_BODY}) WHEN 1 THEN concat('<p>', w, '</p>') END")
+    rows = made(t, "customer", "c_custkey", CUSTOMERS, deal="i", page=f"CASE k WHEN 0 THEN concat('<h2>대법원 2023. 2. 3. 선고 2022', s, i, ' 전원합의체 판결 ★</h2>', {_BODY}) WHEN 1 THEN concat('<p>', w, '</p>') END")
     return rows.selectExpr(
         "i AS doc",
         "page AS html",

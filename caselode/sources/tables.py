@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,17 +108,19 @@ def publish(df: DataFrame, path: str, rows_per_file: int | None = None) -> DataF
     """Write a new Parquet table and read it back; it must hold the same rows. Never overwrites.
 
     Spark's commit makes the files appear at once; the check compares counts
-    and order-free sums of row hashes, not the rows themselves.
+    and order-free sums of row hashes, not the rows themselves. Those of df are
+    taken in the pass that writes, so df is computed once.
     """
     from ..functions.hashes import table_fingerprint
 
-    writer = df.write.mode("errorifexists").option("compression", "zstd")
+    seen = Observation()
+    cols = [F.to_json(F.struct(F.col(f.name))) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in df.schema]
+    writer = df.observe(seen, *table_fingerprint(*cols)).write.mode("errorifexists").option("compression", "zstd")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     writer.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
-    cols = [F.to_json(F.struct(F.col(f.name))) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in df.schema]
-    if df.agg(*table_fingerprint(*cols)).first() != back.agg(*table_fingerprint(*cols)).first():
+    if seen.get != back.agg(*table_fingerprint(*cols)).first().asDict():
         raise SourceError("ROUND_TRIP_FAILED")
     return back
 

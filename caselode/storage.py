@@ -48,6 +48,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df's rows dealt by keys over as many tasks as a shuffle has.
+
+    For rows that much is made of: a table of small rows is read as few
+    splits, and adaptive execution would coalesce a deal without a number. What
+    is grouped by the same keys later needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
