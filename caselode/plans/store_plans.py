@@ -304,7 +304,7 @@ DAYS, PAGE = 7, 50
 
 
 def _served(t) -> dict:
-    """Events as pages of a listing by weeks, written as files; the options that read them."""
+    """Events as pages of a listing by weeks, a line a page, many to a file; the options that read them."""
     spark, path = t.events.sparkSession, scratch_path(t.events.sparkSession, "pages")
     first, last = t.events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
     week = F.date_add(F.lit(first), (F.floor(F.datediff(F.to_date("ts"), F.lit(first)) / DAYS) * DAYS).cast("int"))
@@ -313,9 +313,11 @@ def _served(t) -> dict:
     rows = t.events.withColumn("week", week).select("week", row.alias("row"), at.alias("at"), F.count("*").over(Window.partitionBy("week")).alias("total"))
     pages = rows.groupBy("week", F.ceil(F.col("at") / PAGE).cast("int").alias("page"), "total").agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("x"))  # PAGE rows
     body = F.to_json(F.struct(F.struct("total", F.col("x.row").alias("items")).alias("list")))
-    pages.select(body.alias("value"), "week", "page").repartition("week", "page").write.partitionBy("week", "page").text(path)
+    bundled = pages.select(body.alias("value"), "week", "page", F.floor((F.col("page") - 1) / windows.BUNDLE).cast("int").alias("bundle"))
+    bundled = bundled.repartition("week", "bundle").sortWithinPartitions("week", "bundle", "page")  # a task a bundle, so a file
+    bundled.drop("page").write.partitionBy("week", "bundle").text(path)
     url = f"{path}/week={{first}}/page={{page}}"
-    return {"fetch": "caselode.sources.windows:file_pages", "url": url, "from": first.isoformat(), "to": last.isoformat(), "days": str(DAYS), "root": "list", "total": "total", "items": "items", "id": "id", "day": "day"}
+    return {"fetch": "caselode.sources.windows:bundled_pages", "url": url, "from": first.isoformat(), "to": last.isoformat(), "days": str(DAYS), "root": "list", "total": "total", "items": "items", "id": "id", "day": "day"}
 
 
 _EVENTS = "SELECT event_id::VARCHAR AS id, ts::DATE::VARCHAR AS day, event_type AS kind FROM events"

@@ -8,7 +8,8 @@ window that was asked are refused, as are ids that come twice, totals that
 change from page to page, and pages that end before the total.
 
 The transport is a function url -> bytes that the caller names by import path;
-`file_pages` reads pages from a folder.
+`file_pages` reads pages from a folder, `bundled_pages` those of a window from
+files of BUNDLE pages each.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from __future__ import annotations
 import importlib
 import json
 from datetime import date, timedelta
+from functools import lru_cache
+from itertools import islice
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -25,6 +29,9 @@ from .listing import ListingError, as_list, fetched, strict_json, strict_xml, to
 SCHEMA = "first date, last date, page int, id string, day date, row string"
 #: Days from the first to the last of a window, at most.
 LONGEST = 92
+#: Pages of a file that `bundled_pages` reads, one a line; rows of an Arrow batch.
+BUNDLE, BATCH = 1000, 10_000
+_as_json = json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
 
 
 class Window(InputPartition):
@@ -44,7 +51,12 @@ def windows(first: date, last: date, days: int) -> list[Window]:
 
 
 def day_of(text) -> date:
-    digits = "".join(c for c in str(text)[:10] if c.isdigit())
+    return _day_of(str(text)[:10])
+
+
+@lru_cache(1024)
+def _day_of(text: str) -> date:
+    digits = "".join(c for c in text if c.isdigit())
     try:
         return date(int(digits[:4]), int(digits[4:6]), int(digits[6:8]))
     except ValueError:
@@ -77,16 +89,43 @@ def listed(options, window: Window):
             if not window.first <= day <= window.last:
                 raise ListingError("ROW_OUTSIDE_WINDOW")
             seen.add(ident)
-            yield (window.first, window.last, page, ident, day, json.dumps(row, ensure_ascii=False, sort_keys=True))
+            yield (window.first, window.last, page, ident, day, _as_json(row))
     if len(seen) != total:
         raise ListingError("TOTAL_MISMATCH")
 
 
+def batches(rows):
+    """Rows of SCHEMA as Arrow batches."""
+    kinds = [pa.date32(), pa.date32(), pa.int32(), pa.string(), pa.date32(), pa.string()]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    while some := list(islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
+
+
+@lru_cache(1)
+def _bundle(url: str) -> list[bytes]:
+    return file_pages(url).split(b"\n")
+
+
+def bundled_pages(url: str) -> bytes:
+    """A transport for <window>/page=<number>: the page is a line of the one file of <window>/bundle=<number // BUNDLE>.
+
+    Pages count from 1. A window is asked page by page, so a task reads each of its files once and holds one of them.
+    """
+    window, _, page = url.rpartition("/page=")
+    number, line = divmod(int(page) - 1, BUNDLE)
+    lines = _bundle(f"{window}/bundle={number}")
+    return lines[line] if line < len(lines) and lines[line] else NO_PAGE
+
+
+NO_PAGE = b'{"list": {"total": 0, "items": []}}'
+
+
 def file_pages(url: str) -> bytes:
     """A transport that reads the one file of a folder; a folder that isn't there is an empty page."""
     fs, path = pafs.FileSystem.from_uri(url)
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return b'{"list": {"total": 0, "items": []}}'
+        return NO_PAGE
     (one,) = [f.path for f in fs.get_file_info(pafs.FileSelector(path)) if not f.base_name.startswith(("_", "."))]
     with fs.open_input_file(one) as f:
         return f.read()
@@ -100,7 +139,7 @@ class _Batch(DataSourceReader):
         return windows(date.fromisoformat(self.o["from"]), date.fromisoformat(self.o["to"]), int(self.o.get("days", 7)))
 
     def read(self, window):
-        return listed(self.o, window)
+        return batches(listed(self.o, window))
 
 
 class _Stream(DataSourceStreamReader):
@@ -119,7 +158,7 @@ class _Stream(DataSourceStreamReader):
         return windows(date.fromisoformat(start["day"]), date.fromisoformat(end["day"]) - timedelta(1), int(self.o.get("days", 7)))
 
     def read(self, window):
-        return listed(self.o, window)
+        return batches(listed(self.o, window))
 
     def commit(self, end):
         pass
