@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.suffix import Automaton
+from ..functions.suffix import Hashed
 
 
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,13 +88,13 @@ def audit(rows: DataFrame, block: str, id_col: str, text: str, day: str) -> Data
     out = f"block {kind['block']}, representative {kind['id']}, id {kind['id']}, copies bigint, same_day boolean, common int, share double"
 
     def run(batches):
-        held, machine = None, None  # a block's automaton serves all of its classes
+        held, first = None, None  # a block's representative is hashed once for all of its classes
         for batch in batches:
             common, share = [], []
             for a, b in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
-                if machine is None or a != held:
-                    held, machine = a, Automaton(a)
-                n = machine.longest_common(b)[2]
+                if first is None or a != held:
+                    held, first = a, Hashed(a)
+                n = first.common_length(Hashed(b))
                 common.append(n)
                 share.append(n / max(1, min(len(a), len(b))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(common, pa.int32()), pa.array(share)], names=[*batch.schema.names[:5], "common", "share"])
