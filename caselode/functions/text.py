@@ -8,6 +8,7 @@ query that folding cannot change takes the built-in `contains` instead.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +50,23 @@ def is_literal(query: str) -> bool:
     return all(0xAC00 <= ord(c) <= 0xD7A3 or c.isascii() and not c.isalpha() for c in query)
 
 
+#: Rows of a batch whose texts Python holds at a time.
+SLICE = 128
+
+
+def _folded_holds(needle: str):
+    """The Arrow UDF that tests texts under full case folding; the folded texts stay where they are made."""
+
+    @F.arrow_udf("boolean")
+    def holds(x: pa.Array) -> pa.Array:
+        found = []
+        for at in range(0, len(x), SLICE):
+            found += [None if v is None else needle in v.casefold() for v in x.slice(at, SLICE).to_pylist()]
+        return pa.array(found, pa.bool_())
+
+    return holds
+
+
 def contains_folded(x: Column, query: str) -> Column:
     """Literal substring test under case folding; null is no match.
 
@@ -56,8 +74,8 @@ def contains_folded(x: Column, query: str) -> Column:
     pay for Python.
     """
     needle = query.casefold()
-    hay = x if is_literal(needle) else casefold()(x)
-    return F.coalesce(F.contains(hay, F.lit(needle)), F.lit(False))
+    found = F.contains(x, F.lit(needle)) if is_literal(needle) else _folded_holds(needle)(x)
+    return F.coalesce(found, F.lit(False))
 
 
 def like_literal(x: Column, part: str) -> Column:

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import text_of
+from ..functions.text import SLICE
 from ..session import ship
 from ..sources.log import SLASHES, Conflict, Log, snapshot
 from ..sources.tables import SourceError
@@ -134,7 +135,7 @@ class SearchIndex:
         rows = rows.join(F.broadcast(numbered), "path").select("file", "row", block.alias("block"), "key", *self._folded())  # a row a file of the portion
 
         def fold(batches):
-            for batch in batches:
+            for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
                 folded = [pa.array([x.casefold() if x is not None else None for x in c.to_pylist()], c.type) for c in batch.columns[4:]]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], *folded], schema=batch.schema)
 
@@ -154,10 +155,9 @@ class SearchIndex:
         def run(batches):
             for batch in _whole_blocks(batches):
                 block = batch.column(0).to_numpy(zero_copy_only=False)
-                cols = [c.to_pylist() for c in batch.columns[1:]]
                 starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
                 for lo, hi in zip(starts, [*starts[1:], len(block)], strict=True):
-                    found = grams([x for c in cols for x in c[lo:hi] if x])
+                    found = grams([x for c in batch.columns[1:] for x in c.slice(lo, hi - lo).to_pylist() if x])
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), block[lo]))], names=["gram", "block"])
 
         self._sorted_grams(held.mapInArrow(run, "gram bigint, block bigint"), name)
