@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,10 +98,25 @@ def text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 def verified_blobs(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
     """Registry rows (sha256, size_bytes) with the state of their blob: VERIFIED, MISSING or BLOB_INTEGRITY_FAILED.
 
-    Spark lists no empty files: an empty blob is MISSING.
+    As where Spark lists files, an empty blob is MISSING and hidden files are passed
+    over. The driver lists the entries of path alone; what is below them, and the
+    blobs' bytes, only tasks see, a folder each.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    blobs = raw.select(F.element_at(F.split("path", "/"), -1).alias("sha256"), "length", F.sha2("content", 256).alias("_real"))
+    fs, inner = _file_system(path)
+    top = [(f.path, f.type == pafs.FileType.Directory) for f in fs.get_file_info(pafs.FileSelector(inner))]
+
+    def run(batches):
+        fs, _ = _file_system(path)
+        for batch in batches:
+            for place, folder in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files = fs.get_file_info(pafs.FileSelector(place, recursive=True)) if folder else [fs.get_file_info(place)]
+                seen = [f for f in files if f.type == pafs.FileType.File and f.size and not any(x.startswith(("_", ".")) for x in f.path[len(inner) :].split("/"))]
+                for at in range(0, len(seen), 1000):
+                    some = seen[at : at + 1000]
+                    yield pa.RecordBatch.from_arrays([pa.array([f.base_name for f in some]), pa.array([f.size for f in some], pa.int64()), pa.array([_sha256(fs, f.path) for f in some])], names=["sha256", "length", "_real"])
+
+    places = spark.createDataFrame(top, "place string, folder boolean").repartition(max(1, len(top)), "place")  # a place of path a row
+    blobs = places.mapInArrow(run, "sha256 string, length long, _real string")
     j = registry.join(blobs, "sha256", "left")
     ok = (F.col("_real") == F.col("sha256")) & (F.col("length") == F.col("size_bytes"))
     return j.withColumn("state", F.when(F.col("_real").isNull(), "MISSING").when(ok, "VERIFIED").otherwise("BLOB_INTEGRITY_FAILED")).drop("_real", "length")
@@ -146,6 +164,19 @@ def jdbc_rows(spark: SparkSession, url: str, table: str, key: str, bounds: tuple
     return reader.load()
 
 
+def _file_system(folder: str):
+    return pafs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (pafs.LocalFileSystem(), folder)
+
+
+def _sha256(fs, path: str) -> str:
+    """The hash of a file, read as a stream."""
+    h = hashlib.sha256()
+    with fs.open_input_stream(path) as f:
+        while part := f.read(1 << 20):
+            h.update(part)
+    return h.hexdigest()
+
+
 def put_files(rows: DataFrame, digest: str, body: str, folder: str) -> DataFrame:
     """Write each body as <folder>/<first two digits>/<digest>, unless it is there; digest and written of each."""
     own = rows.select(F.col(digest).alias("digest"), F.col(body).cast("binary").alias("body"))
@@ -153,10 +184,7 @@ def put_files(rows: DataFrame, digest: str, body: str, folder: str) -> DataFrame
     def run(batches):
         import uuid
 
-        import pyarrow as pa
-        import pyarrow.fs as pafs
-
-        fs, inner = pafs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (pafs.LocalFileSystem(), folder)
+        fs, inner = _file_system(folder)
         for batch in batches:
             written = []
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
