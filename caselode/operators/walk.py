@@ -51,13 +51,13 @@ _SIGNS, _NIBBLES = "-_:./", "ABCDE"
 
 def _packed(of: str) -> Column:
     """An id as bytes, a different one for every id: digits and signs four bits each behind one or two F, any other text behind a zero byte."""
-    nibbles = F.translate(of, _SIGNS, _NIBBLES)
-    short = F.unhex(F.concat(F.when(F.length(nibbles) % 2 == 0, F.lit("FF")).otherwise(F.lit("F")), nibbles))
+    nibbles = reduce(lambda x, sign: F.replace(x, F.lit(sign[0]), F.lit(sign[1])), zip(_SIGNS, _NIBBLES), F.col(of))
+    short = F.unhex(F.concat(F.when(F.length(of) % 2 == 0, F.lit("FF")).otherwise(F.lit("F")), nibbles))
     return F.when(F.col(of).rlike(r"^[0-9_:./-]*\z"), short).otherwise(F.concat(F.expr("x'00'"), F.col(of).cast("binary")))
 
 
 def _unpacked(of: str) -> Column:
-    digits = F.translate(F.expr(f"trim(LEADING 'F' FROM hex({of}))"), _NIBBLES, _SIGNS)
+    digits = reduce(lambda x, sign: F.replace(x, F.lit(sign[1]), F.lit(sign[0])), zip(_SIGNS, _NIBBLES), F.expr(f"trim(LEADING 'F' FROM hex({of}))"))
     return F.when(F.substring(of, 1, 1) == F.expr("x'00'"), F.expr(f"cast(substring({of}, 2) as string)")).otherwise(digits)
 
 
@@ -157,13 +157,13 @@ def walk(kinds: dict[str, Kind], relations: list[Relation], root: str, roots: Da
 def verdicts(reached: DataFrame) -> DataFrame:
     """root, nodes (found, not missing), deepest, broken (nodes with a reason), reasons (distinct codes in order)."""
     lost = F.exists("reasons", lambda x: x.startswith("MISSING:"))
-    out = reached.withColumn("lost", lost).groupBy("root").agg(
+    counts = reached.select("root", "depth", lost.alias("lost"), (F.size("reasons") > 0).alias("bad")).groupBy("root").agg(
         F.count_if(~F.col("lost")).alias("nodes"),
         F.max("depth").alias("deepest"),
-        F.count_if(F.size("reasons") > 0).alias("broken"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"),  # sets of codes
+        F.count_if("bad").alias("broken"),
     )
-    return out
+    codes = reached.select("root", F.explode("reasons").alias("reason")).distinct().groupBy("root").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
+    return counts.join(codes, "root", "left").withColumn("reasons", F.coalesce("reasons", F.expr("cast(array() as array<string>)")))
 
 
 def reason_counts(reached: DataFrame) -> DataFrame:
