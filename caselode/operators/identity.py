@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.suffix import Hashed
+from ..functions.text import SLICE
+from ..storage import dealt, materialize
+
+#: Rows of a block that one task takes.
+LARGE = 4096
 
 
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,28 +85,114 @@ def audit(rows: DataFrame, block: str, id_col: str, text: str, day: str) -> Data
     other class is held against it: whether they agree on the day, the length
     of the longest common substring, and its share of the shorter text. So a
     block of n classes gives n - 1 rows. Null blocks and texts are left out.
+
+    A text is shuffled once: a block's rows stream through one task, which holds
+    the representative's text and a few numbers a class. Blocks of more than
+    LARGE rows go by classes, dealt in pieces beside their representative.
     """
     known = rows.where(F.col(block).isNotNull() & F.col(text).isNotNull()).select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(day).alias("day"))
-    classes = known.groupBy("block", F.sha2("text", 256).alias("h")).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by("text", "id").alias("text"), F.min("day").alias("day"), F.countDistinct("day").alias("days"))
-    first = classes.groupBy("block").agg(F.min_by(F.struct("id", "text", "day", "days"), "id").alias("r"), F.count("*").alias("classes")).where("classes > 1")
-    pairs = classes.join(first, "block").where("id <> r.id")
-    pairs = pairs.select("block", F.col("r.id").alias("representative"), "id", "copies", ((F.col("days") <= 1) & (F.col("r.days") <= 1) & F.col("day").eqNullSafe(F.col("r.day"))).alias("same_day"), F.col("r.text").alias("a"), F.col("text").alias("b"))
-    kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    large = materialize(known.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > LARGE), "large-blocks")  # one for LARGE rows at most
+    some = large.count() > 0
+    kind = {f.name: f.dataType.simpleString() for f in known.schema}
     out = f"block {kind['block']}, representative {kind['id']}, id {kind['id']}, copies bigint, same_day boolean, common int, share double"
 
     def run(batches):
-        held, first = None, None  # a block's representative is hashed once for all of its classes
-        for batch in batches:
-            common, share = [], []
+        held, found = None, []
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
+            kinds = [batch.schema.field(k).type for k in (0, 1, 1)] + [pa.int64(), pa.bool_(), pa.int32(), pa.float64()]
+            for of, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held is None or not _equal(of, held.block):
+                    found += held.rows() if held else []
+                    held = _Block(of)
+                held.add(*row)
+            if len(found) >= 10_000:
+                yield _batch(found, kinds)
+                found = []
+        if held is not None:
+            yield _batch(found + held.rows(), kinds)
+
+    streamed = dealt(known.join(F.broadcast(large), "block", "left_anti") if some else known, "block")
+    streamed = streamed.sortWithinPartitions("block", F.asc_nulls_last("id"), "text").mapInArrow(run, out)
+    return streamed.unionByName(_audit_large(known, large, out)) if some else streamed
+
+
+def _audit_large(known: DataFrame, large: DataFrame, out: str) -> DataFrame:
+    """The rows of `audit` for large blocks: equal texts are merged where they lie, and a block's classes are dealt to as many tasks as it has LARGE rows."""
+    pieces = F.ceil(F.col("n") / LARGE)
+    classes = known.join(F.broadcast(large), "block").groupBy("block", "n", F.sha2("text", 256).alias("h"))
+    classes = classes.agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("text").alias("text"), F.min("day").alias("day"), F.max("day").alias("last")).where("id is not null")
+    first = classes.groupBy("block", "n").agg(F.min(F.struct("id", "text", "day", "last")).alias("r"))
+    first = first.select("block", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("piece"))
+    pairs = classes.withColumn("piece", F.pmod(F.xxhash64("h"), pieces)).join(first, ["block", "piece"]).where("id <> r.id")
+    same_day = F.col("day").eqNullSafe(F.col("last")) & F.col("r.day").eqNullSafe(F.col("r.last")) & F.col("day").eqNullSafe(F.col("r.day"))
+    pairs = pairs.select("block", F.col("r.id").alias("representative"), "id", "copies", same_day.alias("same_day"), F.col("r.text").alias("a"), F.col("text").alias("b"), "piece")
+
+    def run(batches):
+        held, first = None, None  # a block's representative is hashed once for all of a piece's classes
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
+            found = []
             for a, b in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 if first is None or a != held:
                     held, first = a, Hashed(a)
-                n = first.common_length(Hashed(b))
-                common.append(n)
-                share.append(n / max(1, min(len(a), len(b))))
+                found.append(_common(first, b))
+            common, share = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(common, pa.int32()), pa.array(share)], names=[*batch.schema.names[:5], "common", "share"])
 
-    return pairs.sortWithinPartitions("block", "id").mapInArrow(run, out)
+    return pairs.sortWithinPartitions("block", "piece").mapInArrow(run, out)
+
+
+def _common(first: Hashed, text: str) -> tuple[int, float]:
+    """Length of the longest common substring, and its share of the shorter text."""
+    n = first.common_length(Hashed(text))
+    return n, n / max(1, min(len(first.text), len(text)))
+
+
+def _equal(x, y) -> bool:
+    """As Spark groups: nulls and NaN are equal to themselves."""
+    return x == y or (x != x and y != y)
+
+
+def _batch(rows: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["block", "representative", "id", "copies", "same_day", "common", "share"])
+
+
+class _Block:
+    """The classes of one block, whose rows come in order of their ids; of texts it holds the representative's alone."""
+
+    def __init__(self, block):
+        self.block = block
+        self.classes: dict[bytes, list] = {}  # id, copies, its one day, whether it has several, common, share; by the text's hash
+        self.first: str | Hashed | None = None  # hashed once another class comes
+        self.least = None
+
+    def add(self, id, text: str, day) -> None:
+        h = hashlib.sha256(text.encode()).digest()
+        if h not in self.classes:
+            if not self.classes:
+                self.first, self.least = text, id
+            held = [id, 0, None, False, 0, 0.0]
+            if self._counts(id):
+                self.first = self.first if isinstance(self.first, Hashed) else Hashed(self.first)
+                held[4:] = _common(self.first, text)
+            self.classes[h] = held
+        held = self.classes[h]
+        held[1] += 1
+        if day is not None:
+            held[3] = held[3] or (held[2] is not None and not _equal(held[2], day))
+            held[2] = day
+
+    def _counts(self, id) -> bool:
+        """Not the representative, nor a text that shares its id."""
+        return id is not None and not _equal(id, self.least)
+
+    def rows(self) -> list[tuple]:
+        _, _, day, several, _, _ = next(iter(self.classes.values()))
+        return [
+            (self.block, self.least, c[0], c[1], not (several or c[3]) and _equal(c[2], day), c[4], c[5])
+            for c in self.classes.values()
+            if self._counts(c[0])
+        ]
 
 
 def replay(events: DataFrame) -> DataFrame:
