@@ -23,7 +23,8 @@ one of common trigrams, reads the folded rows, never the source.
 Defined cases: null cells match nothing; a blank query finds nothing; an empty
 source has an empty index; columns may have any names, as the index numbers
 them; two tables in one folder need a `name` each only if they also share
-schema, key and columns.
+schema, key and columns. A table is told by the folders that hold its files:
+where one comes or goes, such as a partition, it is another table, built anew.
 """
 
 from __future__ import annotations

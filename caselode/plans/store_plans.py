@@ -14,9 +14,10 @@ from ..operators.search_index import SearchIndex
 from ..operators.walk import Kind, Relation, reason_counts, verdicts, walk
 from ..session import ship
 from ..sources import archives, footers, windows
+from ..sources.log import listing
 from ..sources.sealed import sidecars, write_sealed
 from ..sources.versions import Tables
-from ..storage import materialize, scratch_path
+from ..storage import drop_path, materialize, scratch_path
 from .registry import query
 
 NEEDLE = "555-"
@@ -51,15 +52,18 @@ def _(t):
     """After a table's other languages were taken out of it, the index finds what a scan finds, by tombstones alone."""
     spark, path = t.documents.sparkSession, scratch_path(t.documents.sparkSession, "shrinking")
     docs = t.documents.select("doc_id", "text", "lang")
-    docs.where("lang <> 'en'").write.parquet(f"{path}/rest")
-    docs.where("lang = 'en'").write.parquet(f"{path}/en")
-    SearchIndex(spark.read.parquet(f"{path}/rest", f"{path}/en"), "doc_id", ["text"], name="shrinking").build()
-    left = spark.read.parquet(f"{path}/en")
-    index = SearchIndex(left, "doc_id", ["text"], name="shrinking")
-    index.build()
+    docs.where("lang = 'en'").write.parquet(path)
+    own = listing(spark, path)
+    docs.where("not lang <=> 'en'").write.mode("append").parquet(path)
+    SearchIndex(spark.read.parquet(path), "doc_id", ["text"], name="shrinking").build()
+    for file in listing(spark, path).keys() - own.keys():
+        drop_path(spark, f"{path}/{file}")
+    left = spark.read.parquet(path)
+    index = SearchIndex(left, "doc_id", ["text"], name="shrinking")  # the same folder, so the index that was built; it is ready
     found = index.search(NEEDLE).select(F.col("key").alias("doc_id"))
     scan = search.search(left, NEEDLE, columns=["text"]).select("doc_id", F.lit(True).alias("there"))
-    return found.join(scan, "doc_id", "full_outer").select("doc_id", F.col("there").isNull().alias("stale"))
+    # the rows are the index's own: with those that only the scan finds, what the index lost would not show
+    return found.join(scan, "doc_id", "left").select("doc_id", F.col("there").isNull().alias("stale"))
 
 
 @query(
